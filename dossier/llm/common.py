@@ -53,21 +53,25 @@ def bounded_sample(df: DataFrame, bound: int, key: Column, seed: int = 7) -> Dat
     return df.filter(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * bound / n))
 
 
-def prefix_sums(lengths: Column, block: int = 128) -> Column:
-    """Exclusive running sums of an array<bigint> column, with the total last: n + 1 values.
+def running(values: Column, combine, block: int = 128) -> Column:
+    """Running totals of an array<bigint> column under an associative combine, 0 first: n + 1 values.
 
-    Two levels (sums of blocks, then inside each block), so that long arrays need n * block steps, not n * n.
+    Two levels (totals of blocks, then inside each block), so that long arrays need n * block steps, not n * n.
     """
-    n = F.size(lengths)
+    n = F.size(values)
     blocks = F.transform(
         F.sequence(F.lit(0), F.greatest(F.ceil(n / block).cast("int") - 1, F.lit(0))),
-        lambda b: F.slice(lengths, b * block + 1, block),
+        lambda b: F.slice(values, b * block + 1, block),
     )
     zero = F.lit(0).cast("bigint")
-    grow = lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x)
-    sums = F.transform(blocks, lambda b: F.aggregate(b, zero, lambda a, x: a + x))
-    starts = F.aggregate(sums, F.array(zero), grow)
+    grow = lambda acc, x: F.array_append(acc, combine(F.element_at(acc, -1), x))
+    totals = F.transform(blocks, lambda b: F.aggregate(b, zero, combine))
+    starts = F.aggregate(totals, F.array(zero), grow)
     inner = F.zip_with(
         blocks, F.slice(starts, F.lit(1), F.size(blocks)), lambda b, s: F.aggregate(F.slice(b, 1, F.size(b) - 1), F.array(s), grow)
     )
     return F.when(n == 0, F.array(zero)).otherwise(F.concat(F.flatten(inner), F.array(F.element_at(starts, -1))))
+
+
+def prefix_sums(values: Column) -> Column:
+    return running(values, lambda a, x: a + x)
