@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import bpe, mixing, near_dup, pii, quality_rules
-from dossier.llm.common import table
+from dossier.llm import bpe, language_id, mixing, near_dup, pii, quality_classifier, quality_rules
+from dossier.llm.common import fold, table
 
 
 def vocabulary_path() -> str:
@@ -22,6 +22,19 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", *bpe.digests(done))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", 4) == 2)
+    model = language_id.learn(docs.filter("not held_out"))
+    return language_id.predict(docs.select("doc_id", "held_out", "text"), model)
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", 5) == 0)
+    model = quality_classifier.learn(docs.filter("not held_out"), table(spark, sf_dir, "labels"))
+    scored = quality_classifier.score(docs.select("doc_id", "held_out", "text"), model)
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
