@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import bpe, language_id, mixing, near_dup, pii, quality_classifier, quality_rules
+from dossier.llm import bpe, language_id, mixing, near_dup, pii, quality_classifier, quality_rules, toxicity
 from dossier.llm.common import fold, table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", 5) == 0)
+    model = toxicity.learn(docs.filter("not held_out"), table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs.select("doc_id", "held_out", "text"), model)
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def vocabulary_path() -> str:
     import public_tokenizers
 
