@@ -106,8 +106,8 @@ def word_rows(words: list[str], m: Model) -> np.ndarray:
     return out
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
-    """docs without text_col, with the predicted language and its score."""
+def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang_pred", score_col: str = "score", keep_text: bool = False) -> DataFrame:
+    """docs (without text_col unless kept) with the predicted language and its score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work():
@@ -127,4 +127,11 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str
 
         return do
 
-    return map_texts(docs, text_col, [T.StructField(lang_col, T.StringType()), T.StructField(score_col, T.DoubleType())], work)
+    return map_texts(docs, text_col, [T.StructField(lang_col, T.StringType()), T.StructField(score_col, T.DoubleType())], work, keep_text)
+
+
+def identified(docs: DataFrame, model: Model, least_score: float = 0.4, text_col: str = "text") -> DataFrame:
+    """docs, all columns, without the rows whose language is not told: `und`, or a score under least_score."""
+    lang, score = (next(n for n in (base, *(f"{base}_{i}" for i in range(len(docs.columns) + 1))) if n not in docs.columns) for base in ("lang_pred", "lang_score"))
+    told = predict(docs, model, text_col, lang, score, keep_text=True)
+    return told.filter((F.col(lang) != UNKNOWN) & (F.col(score) >= least_score)).select(*docs.columns)

@@ -57,9 +57,9 @@ def slices(texts: list[str], most: int = SLICE_CHARS) -> Iterator[list[str]]:
         yield held
 
 
-def map_texts(df: DataFrame, text_col: str, made: list[T.StructField], work) -> DataFrame:
-    """df without text_col, with columns made from it: work() -> function of (texts of a slice) -> list of Arrow arrays."""
-    kept = [c for c in df.columns if c != text_col and c not in {f.name for f in made}]
+def map_texts(df: DataFrame, text_col: str, made: list[T.StructField], work, keep_text: bool = False) -> DataFrame:
+    """df, without text_col unless kept, with columns made from it: work() -> function of (texts of a slice) -> Arrow arrays."""
+    kept = [c for c in df.columns if (keep_text or c != text_col) and c not in {f.name for f in made}]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         do = work()
