@@ -303,3 +303,61 @@ def parser_for(name: Column, mime: Column, by_mime: dict[str, str], by_extension
     """The registered parser of a file: by MIME type first, then by extension; null if none."""
     look = lambda table, key: F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key) if table else F.lit(None)
     return F.coalesce(look(by_mime, mime), look(by_extension, extension(name)))
+
+
+def sentence_around(text: Column, position: Column) -> Column:
+    """The sentence that holds a 0-based position, without citation markers; all of the text if none does."""
+    parts = sentences(text)
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.length(F.array_join(F.slice(parts, F.lit(1), n), " ")))
+    at = F.array_position(F.transform(ends, lambda e: e > position), F.lit(True))
+    found = F.when(at > 0, F.get(parts, (at - 1).cast("int"))).otherwise(text)
+    return F.trim(F.regexp_replace(found, r"\[C:[a-f0-9]+\]", " "))
+
+
+def addresses_in(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"), F.lit(0)), lambda a: F.lower(a)))
+
+
+def iso_utc(text: Column) -> Column:
+    """A timestamp from ISO 8601; without an offset it is UTC; null if it is none."""
+    return F.try_to_timestamp(F.regexp_replace(text, "Z$", "+00:00"))
+
+
+def topic_input(subject: Column, body: Column, summary: Column, section: str = "Message:", longest: int = 3000, body_longest: int = 2000) -> Column:
+    """What a topic extractor sees: the subject, the message section of the body, and the summary."""
+    at = F.instr(body, F.lit(section))
+    message = F.substring(F.when(at > 0, F.substring(body, at + len(section), F.length(body))).otherwise(body), 1, body_longest)
+    line = lambda label, value: F.when(F.trim(value) != "", F.concat(F.lit(f"{label}: "), F.trim(value)))
+    return F.substring(F.concat_ws("\n\n", line("Subject", subject), line("Message", message), line("Summary", summary)), 1, longest)
+
+
+def _mended(text: str | None) -> str | None:
+    """Tables of a markdown text with rows of one width and a delimiter row after the first."""
+    if text is None or "|" not in text:
+        return text
+    out, block = [], []
+
+    def flush() -> None:
+        cells = [[c.strip() for c in line.strip().strip("|").split("|")] for line in block]
+        rows = [c for c in cells if not all(set(x) <= set("-: ") and x for x in c)]
+        if len(block) < 2 or not rows:
+            out.extend(block)
+        else:
+            width = max(map(len, rows))
+            lines = ["| " + " | ".join(c + [""] * (width - len(c))) + " |" for c in rows]
+            out.extend([lines[0], "|" + "---|" * width, *lines[1:]])
+        block.clear()
+
+    for line in text.split("\n"):
+        if line.lstrip().startswith("|"):
+            block.append(line)
+        else:
+            flush()
+            out.append(line)
+    flush()
+    return "\n".join(out)
+
+
+@F.pandas_udf(StringType())
+def mended_tables(text: pd.Series) -> pd.Series:
+    return text.map(_mended)

@@ -105,3 +105,35 @@ def grid_sweep(similar: DataFrame, thresholds: DataFrame, most: DataFrame, by: s
     return cells.join(totals, ["threshold", "k"], "left").join(n, F.lit(True)).select(
         "threshold", "k", F.coalesce(F.col("matched") / F.col("n"), F.lit(0.0)).alias("match_rate"), F.coalesce(F.col("items") / F.col("n"), F.lit(0.0)).alias("items_per_question")
     )
+
+
+#: Words that say nothing of a text's subject.
+STOP_WORDS = "a an and are as at be been but by for from had has have he her his i if in is it its not of on or she so that the their them they this to was we were which will with you your".split()
+
+
+def tfidf_cosine(pairs: DataFrame, key: str, a: str = "a", b: str = "b", grams: int = 2) -> DataFrame:
+    """key, similarity of two texts: cosine of tf-idf over word 1- to 2-grams, with idf = ln(3 / (1 + texts)) + 1.
+
+    Terms are counted relationally: (key, side, term) is grouped before it is joined, so long texts cost rows, not memory.
+    """
+    words = lambda c: F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)), lambda w: ~w.isin(STOP_WORDS))
+
+    def terms(c: str):
+        w = words(F.col(c))
+        pairs_ = F.when(F.size(w) > 1, F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w)), lambda x, y: F.concat_ws(" ", x, y))).otherwise(F.array().cast("array<string>"))
+        return F.concat(w, pairs_) if grams > 1 else w
+
+    side = lambda c: pairs.select(key, F.explode(terms(c)).alias("term")).groupBy(key, "term").agg(F.count("*").alias(f"n_{c}"))
+    both = side(a).join(side(b), [key, "term"], "full_outer").fillna(0, [f"n_{a}", f"n_{b}"])
+    idf = F.when((F.col(f"n_{a}") > 0) & (F.col(f"n_{b}") > 0), 1.0).otherwise(F.log(F.lit(1.5)) + 1.0)
+    x, y = F.col(f"n_{a}") * idf, F.col(f"n_{b}") * idf
+    sums = both.groupBy(key).agg(F.sum(x * y).alias("xy"), F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy"))
+    return pairs.select(key).join(sums, key, "left").select(key, F.coalesce(F.try_divide("xy", F.sqrt("xx") * F.sqrt("yy")), F.lit(0.0)).alias("similarity"))
+
+
+def indexed_citations(validated: DataFrame, title: str = "source_title", question: str = "question_id") -> DataFrame:
+    """The valid citations with index: 1 for the source cited first, 2 for the next; sources without a title share one."""
+    from dossier.operators.windows import first_seen_index
+
+    named = validated.filter("valid").withColumn("_title", F.coalesce(F.col(title), F.lit("Unknown Source")))
+    return first_seen_index(named, [question], "_title", "position").drop("_title")

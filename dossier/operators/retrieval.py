@@ -116,3 +116,35 @@ def envelope(hits: DataFrame, block: Column, rank: str = "rank", key: str = "chu
     return hits.agg(ordered.alias("x")).select(
         F.array_join(F.transform("x", lambda s: s["b"]), "\n\n---\n\n").alias("context"), F.transform("x", lambda s: s["k"]).alias("ids"), F.size("x").alias("count")
     )
+
+
+def hashed_embedding(text: Column, dimensions: int = 64) -> Column:
+    """The default embedding: counts of a text's different words by hash, with signs, of unit length; natively."""
+    words = F.array_distinct(tokens(text))
+    slots = F.transform(words, lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(dimensions)).alias("i"), F.when(F.pmod(F.crc32(w), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s")))
+    zeros = F.array_repeat(F.lit(0.0), dimensions)
+    add = lambda acc, x: F.transform(acc, lambda v, i: F.when(i == x["i"], v + x["s"]).otherwise(v))
+    length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+    # arrays of one element bind a value that is used many times
+    bound = F.transform(F.array(F.aggregate(slots, zeros, add)), lambda v: F.struct(v.alias("v"), length(v).alias("n")))
+    return F.transform(bound, lambda b: F.transform(b["v"], lambda x: F.when(b["n"] > 0, x / b["n"]).otherwise(0.0)))[0]
+
+
+def retrieve(chunks: DataFrame, query: Column, count: int = 20, threshold: float = 0.3, rerank_count: int = 5, score: Column | None = None, floor: float = 0.0) -> DataFrame:
+    """Two stages: the nearest chunks, then the best of them by a pluggable score (default: the cosine)."""
+    found = candidates(chunks, query, threshold, count).orderBy(F.desc("cosine"), "chunk_id").limit(count)
+    return rerank(found, score if score is not None else F.col("cosine"), rerank_count, floor)
+
+
+def topic_filter(chunks: DataFrame, topics: DataFrame, query: Column, threshold: float = 0.55, looser: float = 0.45, count: int = 5, other: Column | None = None) -> DataFrame:
+    """One row: the topics to filter by (those above the threshold, else above a looser one), how many chunks they leave,
+    and the decision: skip where no topic matches or no chunk is left."""
+    near = similar_topics(topics, query, looser, count)
+    tight = near.filter(F.col("similarity") > threshold)
+    chosen = near.agg(F.collect_list(F.when(F.col("similarity") > threshold, F.col("id"))).alias("tight"), F.collect_list("id").alias("loose"))
+    chosen = chosen.select(F.when(F.size("tight") > 0, F.col("tight")).otherwise(F.col("loose")).alias("topic_ids"), (F.size("tight") == 0).alias("loosened"))
+    rows = chunks.filter(other) if other is not None else chunks
+    ids = tight.select("id").unionByName(near.join(tight.agg(F.count("*").alias("n")).filter("n = 0"), F.lit(True)).select("id"))
+    left = rows.select("chunk_id", F.explode("topic_ids").alias("id")).join(ids, "id", "left_semi").agg(F.count_distinct("chunk_id").alias("chunks"))
+    decision = F.when(F.size("topic_ids") == 0, "skip_no_topic").when(F.col("chunks") == 0, "skip_no_chunk").otherwise("filter")
+    return chosen.join(left, F.lit(True)).withColumn("decision", decision)

@@ -16,8 +16,9 @@ def similar_pairs(topics: DataFrame, least: float, below: float | None = None, k
     Every pair is compared once: rows are dealt into blocks, and a pair of blocks is one group of the join, so work spreads
     over blocks * (blocks + 1) / 2 keys whatever the data. Exact, and quadratic by nature: topics are a small dimension.
     """
-    unit = topics.filter(F.col("embedding").isNotNull() & (vectors.norm(F.col("embedding")) > 0)).select(
-        F.col(key).alias("id"), F.transform("embedding", lambda x: x.cast("double") / vectors.norm(F.col("embedding"))).alias("unit"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block")
+    measured = topics.filter(F.col("embedding").isNotNull()).withColumn("_norm", vectors.norm(F.col("embedding"))).filter("_norm > 0")
+    unit = measured.select(
+        F.col(key).alias("id"), F.transform("embedding", lambda x: x.cast("double") / F.col("_norm")).alias("unit"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block")
     )
     cells = F.sequence(F.lit(0), F.lit(blocks - 1))
     left = unit.withColumn("cell", F.explode(F.transform(cells, lambda c: F.struct(F.col("block").alias("x"), c.alias("y")))))

@@ -18,9 +18,9 @@ def last_run(df: DataFrame, key: list[str], at: str, minutes: float) -> DataFram
     """Per key the latest session: its start, end, number of rows and seconds."""
     numbered = sessions(df, key, at, minutes)
     runs = numbered.groupBy(*key, "session").agg(F.min(at).alias("started"), F.max(at).alias("ended"), F.count("*").alias("rows"))
-    newest = runs.groupBy(*key).agg(F.max_by(F.struct("started", "ended", "rows"), "session").alias("run"))
-    took = (F.unix_micros(F.col("run.ended").cast("timestamp")) - F.unix_micros(F.col("run.started").cast("timestamp"))) / 1e6
-    return newest.select(*key, "run.started", "run.ended", "run.rows", took.alias("seconds"))
+    newest = runs.groupBy(*key).agg(F.max_by(F.struct("started", "ended", "rows"), "session").alias("_run"))
+    took = (F.unix_micros(F.col("_run.ended").cast("timestamp")) - F.unix_micros(F.col("_run.started").cast("timestamp"))) / 1e6
+    return newest.select(*key, "_run.started", "_run.ended", "_run.rows", took.alias("seconds"))
 
 
 def first_seen_index(df: DataFrame, by: list[str], group: str, position: str) -> DataFrame:
