@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dossier.functions import vectors
 from dossier.functions.text import normal_name
-from dossier.operators.components import components
+from dossier.operators.components import components, ensure_checkpoints
 
 
 def similar_pairs(topics: DataFrame, least: float, below: float | None = None, key: str = "id", blocks: int = 16) -> DataFrame:
@@ -44,6 +44,7 @@ def greedy_plan(topics: DataFrame, pairs: DataFrame, weight: str = "chunk_count"
     Rounds of set operations give the sequential result: in each, topics without a heavier undecided neighbour keep, and
     their undecided neighbours go to the heaviest of them. Only edges are visited.
     """
+    ensure_checkpoints(topics)
     place = topics.select(F.col(key).alias("id"), F.col(weight).alias("w"))
     spark = topics.sparkSession
     edge = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
