@@ -16,9 +16,10 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +33,12 @@ from pyspark.sql import types as T
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: A space between two other characters: what follows it never depends on what precedes it.
 APART = regex.compile(r"(?<=\S) (?=\S)")
-EDGES = regex.compile(r"^\s|\s$|\s\s")
+#: White space other than the space and the line feed.
+ODD_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+ENDINGS = frozenset(".,;:!?")
 NONE = np.iinfo(np.int32).max
-SLICE_CHARS = 4_000_000  # of text held as pieces at a time
+TABLE_BITS = 18  # of the table of pairs
+SLICE_CHARS = 8_000_000  # of text held as pieces at a time
 MOST_PIECES = 400_000  # remembered per task
 ROWS = 1000  # in an output batch
 
@@ -67,17 +71,42 @@ class Vocabulary:
         left, right = (np.array([ids[m[k]] for m in merges], np.int64) for k in (0, 1))
         self.size, self.left, self.right = size, left, right
         self.made = np.array([ids[a + b] for a, b in merges], np.int32)
-        codes = left * size + right
-        self.order = np.argsort(codes).astype(np.int32)
-        self.codes = codes[self.order]
+        self.hash_pairs(left * size + right)
         self.arrow = pa.array(self.tokens, pa.binary())
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
+    def hash_pairs(self, codes: np.ndarray) -> None:
+        """A table with linear probing, of which `probes` steps find any pair."""
+        keys, values = np.full(1 << TABLE_BITS, -1, np.int64), np.full(1 << TABLE_BITS, NONE, np.int32)
+        rest, step = np.arange(len(codes)), 0
+        while len(rest):
+            slot = (self.slots(codes[rest]) + step) & (len(keys) - 1)
+            first = np.unique(slot, return_index=True)[1]
+            first = first[keys[slot[first]] < 0]
+            keys[slot[first]], values[slot[first]] = codes[rest[first]], rest[first]
+            rest, step = np.delete(rest, first), step + 1
+        self.keys, self.values, self.probes = keys, values, step
+
+    @staticmethod
+    def slots(codes: np.ndarray) -> np.ndarray:
+        return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair of token ids; NONE where they do not merge."""
         code = left.astype(np.int64) * self.size + right
-        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-        return np.where(self.codes[at] == code, self.order[at], NONE).astype(np.int32)
+        slot = self.slots(code)
+        found = self.keys[slot]
+        out = np.where(found == code, self.values[slot], NONE)
+        rest = np.flatnonzero((found != code) & (found >= 0))
+        for step in range(1, self.probes):
+            if not len(rest):
+                break
+            at = (slot[rest] + step) & (len(self.keys) - 1)
+            found = self.keys[at]
+            hit = found == code[rest]
+            out[rest[hit]] = self.values[at[hit]]
+            rest = rest[~hit & (found >= 0)]
+        return out
 
 
 @lru_cache(maxsize=4)
@@ -104,21 +133,23 @@ def merge_all(pieces: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarra
         positions = positions[rank[positions] != NONE]
         if not len(positions):
             return
-        by = np.argsort(rank[positions], kind="stable")
-        positions = positions[by]
-        values, starts = np.unique(rank[positions], return_index=True)
-        for r, part in zip(values.tolist(), np.split(positions, starts[1:]), strict=True):
+        own = rank[positions]
+        by = np.argsort(own, kind="stable")
+        positions, own = positions[by], own[by]
+        cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
+        for a, b, r in zip(cuts, cuts[1:], own[cuts[:-1]].tolist(), strict=False):
             if r not in index:
                 index[r] = []
                 heapq.heappush(heap, r)
-            index[r].append(part)
+            index[r].append(positions[a:b])
 
     add(first)
     while heap:
         r = heapq.heappop(heap)
         parts = index.pop(r)
-        at = np.unique(np.concatenate(parts))
+        at = np.sort(np.concatenate(parts))
         at = at[rank[at] == r]
+        at = at[np.concatenate(([True], at[1:] != at[:-1]))] if len(at) > 1 else at
         if v.left[r] == v.right[r] and len(at) > 1:  # of overlapping positions every other one, from the left
             joined = np.concatenate(([False], following[at[:-1]] == at[1:]))
             run = np.maximum.accumulate(np.where(joined, 0, np.arange(len(at))))
@@ -152,36 +183,45 @@ class Encoder:
         self.known: dict[str, int] = {}
         self.ids, self.starts, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def chunks(self, text: str) -> list[str]:
-        """The text as parts that are encoded alone: runs between single spaces, each but the first with its space."""
+    def chunks(self, text: str) -> list:
+        """The text as parts that are encoded alone: a string stands for itself after a space, (s,) for s as it is."""
         if self.v.split and any(s in text for s in self.v.special):
-            return [c for part in self.v.split.split(text) if part for c in ([part] if part in self.v.special else self.plain(part))]
+            return [c for part in self.v.split.split(text) if part for c in ([(part,)] if part in self.v.special else self.plain(part))]
         return self.plain(text)
 
     @staticmethod
-    def plain(text: str) -> list[str]:
-        parts = text.split(" ")
-        if EDGES.search(text):
+    def plain(text: str) -> list:
+        parts: list = text.split(" ")
+        if "" in parts or " \n" in text or "\n " in text or ODD_SPACE.search(text):
             parts = APART.split(text)
-        return [parts[0], *[" " + p for p in parts[1:]]] if text else []
-
-    def learn(self, new: list[str]) -> None:
+        parts[0] = (parts[0],)
+        return parts if text else []
+
+    def pieces(self, chunk) -> list[str]:
+        if isinstance(chunk, str):
+            if chunk.isalpha():
+                return [" " + chunk]
+            if chunk[:-1].isalpha() and chunk[-1] in ENDINGS:
+                return [" " + chunk[:-1], chunk[-1]]
+            return PIECE.findall(" " + chunk)
+        return [chunk[0]] if chunk[0] in self.v.special else PIECE.findall(chunk[0])
+
+    def learn(self, new: list) -> None:
         """Adds chunks to the table: their pieces are merged together."""
-        cut = [[c] if c in self.v.special else PIECE.findall(c) for c in new]
-        distinct = {p: i for i, p in enumerate(dict.fromkeys(chain.from_iterable(cut)))}
-        pieces = [p for p in distinct if p not in self.v.special]
-        ids, counts = merge_all([p.encode("utf-8", "surrogatepass") for p in pieces], self.v)
-        for p in self.v.special.keys() & distinct.keys():
-            pieces.append(p)
-            ids, counts = np.append(ids, np.int32(self.v.special[p])), np.append(counts, 1)
-        place = {p: i for i, p in enumerate(pieces)}
+        cut = list(map(self.pieces, new))
+        place = {p: i for i, p in enumerate(dict.fromkeys(chain.from_iterable(cut)))}
+        plain = [p for p in place if p not in self.v.special]
+        ids, counts = merge_all([p.encode("utf-8", "surrogatepass") for p in plain], self.v)
+        if len(plain) < len(place):  # special tokens are pieces of one id; they follow the others
+            rest = [p for p in place if p in self.v.special]
+            place = {p: i for i, p in enumerate([*plain, *rest])}
+            ids, counts = np.append(ids, [self.v.special[p] for p in rest]).astype(np.int32), np.append(counts, [1] * len(rest))
         starts = np.cumsum(counts) - counts
-        used = np.fromiter((place[p] for c in cut for p in c), np.int64)
+        used = np.fromiter(map(place.__getitem__, chain.from_iterable(cut)), np.int64)
         per_chunk = np.fromiter(map(len, cut), np.int64, len(cut))
         flat, totals = ragged(ids, starts[used], counts[used]), np.add.reduceat(counts[used], np.cumsum(per_chunk) - per_chunk)
         base = len(self.ids)
-        for i, c in enumerate(new, len(self.known)):
-            self.known[c] = i
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
         self.starts = np.concatenate((self.starts, base + np.cumsum(totals) - totals))
         self.counts = np.concatenate((self.counts, totals))
         self.ids = np.concatenate((self.ids, flat))
@@ -190,10 +230,13 @@ class Encoder:
         """Ids of all texts, one after another, and their number in each text."""
         if len(self.known) > MOST_PIECES:
             self.forget()
-        cut = [self.chunks(t) for t in texts]
-        if new := [c for c in dict.fromkeys(chain.from_iterable(cut)) if c not in self.known]:
-            self.learn(new)
-        used = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64)
+        cut = list(map(self.chunks, texts))
+        flat = list(chain.from_iterable(cut))
+        used = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
+        if len(missing := np.flatnonzero(used < 0)):
+            absent = [flat[i] for i in missing.tolist()]
+            self.learn(list(dict.fromkeys(absent)))
+            used[missing] = np.fromiter(map(self.known.__getitem__, absent), np.int64, len(absent))
         n = self.counts[used]
         per_text = np.fromiter(map(len, cut), np.int64, len(cut))
         bounds = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(per_text)))]
