@@ -162,7 +162,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     with_id = named.filter("doc_id is not null").withColumn("nth", nth)
     without = named.filter("doc_id is null").groupBy("fp").agg(F.min("row_key").alias("row_key"))
     stay = with_id.filter("nth = 1").select("row_key").unionByName(without.select("row_key")).distinct()
-    keyed = docs.select(F.struct("*").alias("row"), F.xxhash64(F.col(id_col).cast(docs.schema[id_col].dataType), text_col).alias("row_key"))
+    keyed = docs.select(F.struct("*").alias("row"), F.xxhash64(id_col, text_col).alias("row_key"))
     copies = cut(found.groupBy("row_key").agg(F.count("*").alias("n")).filter("n > 1").select("row_key"), "repeats")
     single = keyed.join(stay.join(copies, "row_key", "left_anti"), "row_key", "left_semi")
     repeated = keyed.join(stay.join(copies, "row_key", "left_semi"), "row_key", "left_semi").groupBy("row_key").agg(F.first("row").alias("row"))
