@@ -4,8 +4,9 @@ Features of a text: densities of words in a curated lexicon and in lexicons lear
 that inflected forms count), their nearness to second-person words, rates of capitals, punctuation, exclamation marks,
 digits and disguised spellings, and the length.
 
-The sample of labelled rows is split by a hash of the id: one half gives the lexicons, the rest the trees (of
-spark.ml, over its part) and the isotonic curve that maps their margin to a probability (over the remaining part).
+The sample of labelled rows is split into two halves by a hash of the id. Each half's features come from the lexicons of the
+other half, so no row meets a lexicon that its own label shaped; four fifths of these rows train the trees (of spark.ml), the
+rest gives the isotonic curve that maps their margin to a probability. Scoring uses the lexicons of both halves together.
 
 Defined cases: a null or empty text has all features 0 and is scored like any other; without rows of both labels every text
 scores the share of label 1 (0 without labels); repeated rows are rows of their own; an empty table gives an empty result.
@@ -28,9 +29,10 @@ from pyspark.sql import types as T
 from dossier.llm.common import bounded_sample, cut
 from dossier.llm.word_table import WordTable, map_texts, sums
 
-SAMPLE = 10_000
+SAMPLE = 16_000
 MOST_TERMS, LEAST_TEXTS, LEAST_ODDS = 4_000, 3, 1.5  # of the learned lexicons
-STEMS = (4, 5, 6)
+LEAST_G = 16.0  # likelihood ratio statistic of a term against chance: many terms are tried
+STEMS = (4, 5, 6, 7, 8)
 NEAR = 5  # words between an abusive word and a second-person one
 TREES, DEPTH = 20, 3
 
@@ -134,8 +136,9 @@ def featurize(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", out_col
     return map_texts(docs, text_col, [T.StructField(out_col, T.ArrayType(T.DoubleType()))], work)
 
 
-def learn_lexicon(labelled: DataFrame) -> Lexicon:
-    """Words and stems whose log odds between the labels stand out, from rows of text and label."""
+def learn_lexicons(labelled: DataFrame) -> list[Lexicon]:
+    """Words and stems whose log odds between the labels stand out, from rows of text, label and half (0 or 1): the lexicons
+    of either half and of both together, from one pass."""
 
     def work():
         def do(texts: list[str]) -> list[pa.Array]:
@@ -147,20 +150,23 @@ def learn_lexicon(labelled: DataFrame) -> Lexicon:
 
         return do
 
-    terms = map_texts(labelled.select("label", "text"), "text", [T.StructField("terms", T.ArrayType(T.StringType()))], work)
-    n1, n0 = labelled.agg(F.coalesce(F.sum("label"), F.lit(0)), F.coalesce(F.sum(1 - F.col("label")), F.lit(0))).first()
-    counted = terms.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("label").alias("k1"), F.sum(1 - F.col("label")).alias("k0"))
-    odds = F.log((F.col("k1") + 0.5) / (n1 + 1.0)) - F.log((F.col("k0") + 0.5) / (n0 + 1.0))
-    kept = counted.filter(F.col("k1") >= LEAST_TEXTS).withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS)
-    # what shows in more texts than chance would give comes first
-    rows = kept.orderBy(F.desc(F.col("odds") * F.sqrt("k1")), "term").limit(MOST_TERMS).collect()
-    lex = Lexicon()
-    for r in rows:
-        if r.term.endswith("*"):
-            lex.stems[r.term[:-1]] = r.odds
-        else:
-            lex.words[r.term] = r.odds
-    return lex
+    counts = [F.count_if((F.col("label") == y) & (F.col("half") == h)).alias(f"k{y}{h}") for y in (0, 1) for h in (0, 1)]
+    n = labelled.agg(*counts).first()
+    terms = map_texts(labelled.select("label", "half", "text"), "text", [T.StructField("terms", T.ArrayType(T.StringType()))], work)
+    counted = cut(terms.select("label", "half", F.explode("terms").alias("term")).groupBy("term").agg(*counts).filter(f"k10 + k11 >= {LEAST_TEXTS}"), "terms")
+
+    def lexicon(halves: tuple[int, ...]) -> Lexicon:
+        k1, k0 = (sum(F.col(f"k{y}{h}") for h in halves) for y in (1, 0))
+        n1, n0 = (sum(n[f"k{y}{h}"] for h in halves) for y in (1, 0))
+        odds = F.log((k1 + 0.5) / (n1 + 1.0)) - F.log((k0 + 0.5) / (n0 + 1.0))
+        share = n1 / max(n1 + n0, 1)
+        against = lambda k, of: F.when(k > 0, k * F.log(k / ((k1 + k0) * max(of, 1e-9)))).otherwise(0.0)
+        g = 2 * (against(k1, share) + against(k0, 1 - share))
+        kept = counted.withColumns({"k1": k1, "odds": odds, "g": F.round(g, 6)}).filter((F.col("k1") >= LEAST_TEXTS) & (F.col("odds") >= LEAST_ODDS) & (F.col("g") >= LEAST_G))
+        rows = kept.orderBy(F.desc("g"), "term").limit(MOST_TERMS).select("term", "odds").collect()
+        return Lexicon({r.term: r.odds for r in rows if not r.term.endswith("*")}, {r.term[:-1]: r.odds for r in rows if r.term.endswith("*")})
+
+    return [lexicon((0,)), lexicon((1,)), lexicon((0, 1))]
 
 
 @dataclass
@@ -176,11 +182,12 @@ def learn(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col:
     known = labels.filter(F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("label"))
     taken = bounded_sample(known, sample, F.col(id_col))
     part = F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(20))
-    rows = cut(docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(taken, id_col).select("text", "label", part.alias("part")), "labelled")
+    rows = cut(docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(taken, id_col).select("text", "label", part.alias("part"), (part % 2).alias("half")), "labelled")
     n, ones = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     prior = ones / n if n else 0.0
-    lexicon = learn_lexicon(rows.filter("part < 10"))
-    seen = cut(featurize(rows.filter("part >= 10").coalesce(8), lexicon).select("part", "label", array_to_vector("features").alias("features")), "features")
+    first, second, lexicon = learn_lexicons(rows)
+    halves = [featurize(rows.filter(F.col("half") == h).coalesce(8), other) for h, other in ((0, second), (1, first))]
+    seen = cut(halves[0].unionByName(halves[1]).select("part", "label", array_to_vector("features").alias("features")), "features")
     if seen.select("label").distinct().count() < 2:
         return Model(lexicon, None, None, prior)
     to_fit, to_calibrate = seen.filter("part < 16").cache(), seen.filter("part >= 16")
