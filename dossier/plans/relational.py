@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from dossier.functions import text as txt
 from dossier.operators import diff, dml, windows
+from dossier.operators.ingest import wave, with_hierarchy
+from dossier.operators.quality import embedding_dimensions, outdated
+from dossier.operators.topics import recount
 from dossier.plans.registry import query, table
 
 
@@ -79,8 +82,6 @@ def f13(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("f22_wave", """SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 20) ORDER BY o_orderkey LIMIT 25""")
 def f22(spark: SparkSession, sf: str) -> DataFrame:
-    from dossier.operators.ingest import wave
-
     known = table(spark, sf, "lineitem").filter("l_quantity > 20").select(F.col("l_orderkey").alias("o_orderkey"))
     return wave(table(spark, sf, "orders").select("o_orderkey"), known, 25, "o_orderkey")
 
@@ -119,8 +120,6 @@ def j02(spark: SparkSession, sf: str) -> DataFrame:
     UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier), t(id, root_id, depth) AS (SELECT id, id, 0 FROM node WHERE parent_id IS NULL
     UNION ALL SELECT d.id, t.root_id, t.depth + 1 FROM node d JOIN t ON d.parent_id = t.id) SELECT id, root_id, depth FROM t""")
 def j03(spark: SparkSession, sf: str) -> DataFrame:
-    from dossier.operators.ingest import with_hierarchy
-
     r, n, s = (table(spark, sf, t) for t in ("region", "nation", "supplier"))
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     nodes = r.select(name("r", "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent_id")).unionByName(n.select(name("n", "n_nationkey").alias("id"), name("r", "n_regionkey").alias("parent_id")))
@@ -245,8 +244,6 @@ def a06(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("a07_recount", """SELECT p.p_partkey AS id, count(DISTINCT l.l_orderkey || ':' || l.l_linenumber) AS chunk_count, count(DISTINCT l.l_orderkey) AS document_count FROM part p JOIN lineitem l ON l.l_partkey = p.p_partkey GROUP BY p.p_partkey""")
 def a07(spark: SparkSession, sf: str) -> DataFrame:
-    from dossier.operators.topics import recount
-
     li = table(spark, sf, "lineitem").select(F.concat_ws(":", "l_orderkey", "l_linenumber").alias("chunk_id"), F.col("l_orderkey").alias("document_id"), F.col("l_partkey").alias("topic_id"))
     return recount(table(spark, sf, "part").select(F.col("p_partkey").alias("id")), li.select("chunk_id", "topic_id"), li.select("chunk_id", "document_id"))
 
@@ -324,8 +321,6 @@ def a22(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("a24_version_histogram", "SELECT p_size % 5 AS ingest_version, count(*) AS n FROM part WHERE p_size % 5 < 4 GROUP BY 1")
 def a24(spark: SparkSession, sf: str) -> DataFrame:
-    from dossier.operators.quality import outdated
-
     return outdated(table(spark, sf, "part").withColumn("ingest_version", F.col("p_size") % 5), 4)
 
 
@@ -511,8 +506,6 @@ def d24(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("q05_vector_dimensions", "SELECT count(*) FILTER (WHERE embedding IS NULL) AS missing, array_to_string(list_sort(list(DISTINCT len(embedding))), ',') AS dimensions FROM embeddings")
 def q05(spark: SparkSession, sf: str) -> DataFrame:
-    from dossier.operators.quality import embedding_dimensions
-
     return embedding_dimensions(table(spark, sf, "embeddings")).select("missing", F.array_join(F.col("dimensions").cast("array<string>"), ",").alias("dimensions"))
 
 
