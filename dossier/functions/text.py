@@ -119,10 +119,13 @@ def table_row(cells: Column, width: int | Column | None = None) -> Column:
 
 def markdown_table(rows: Column) -> Column:
     """A markdown table from array<array<string>>; the first row is its header. Null for no rows."""
-    width = F.array_max(F.transform(rows, lambda r: F.size(r)))
-    lines = F.transform(rows, lambda r: table_row(r, width))
-    rule = F.concat(F.lit("|"), F.array_join(F.array_repeat(F.lit("---"), width), "|"), F.lit("|"))
-    return F.when(F.size(rows) > 0, F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, F.lit(2), F.size(lines))), "\n"))
+
+    def table(width: Column) -> Column:
+        rule = F.concat(F.lit("|"), F.array_join(F.array_repeat(F.lit("---"), width), "|"), F.lit("|"))
+        return F.array_join(F.transform(rows, lambda r, i: F.when(i == 0, F.concat(table_row(r, width), F.lit("\n"), rule)).otherwise(table_row(r, width))), "\n")
+
+    # an array of one element binds the width, which every row uses
+    return F.when(F.size(rows) > 0, F.transform(F.array(F.array_max(F.transform(rows, lambda r: F.size(r)))), table)[0])
 
 
 def citations(text: Column) -> Column:
@@ -307,10 +310,13 @@ def parser_for(name: Column, mime: Column, by_mime: dict[str, str], by_extension
 
 def sentence_around(text: Column, position: Column) -> Column:
     """The sentence that holds a 0-based position, without citation markers; all of the text if none does."""
-    parts = sentences(text)
-    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.length(F.array_join(F.slice(parts, F.lit(1), n), " ")))
-    at = F.array_position(F.transform(ends, lambda e: e > position), F.lit(True))
-    found = F.when(at > 0, F.get(parts, (at - 1).cast("int"))).otherwise(text)
+
+    def holding(parts: Column) -> Column:
+        ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.length(F.array_join(F.slice(parts, F.lit(1), n), " ")))
+        at = F.array_position(F.transform(ends, lambda e: e > position), F.lit(True))
+        return F.when(at > 0, F.get(parts, (at - 1).cast("int"))).otherwise(text)
+
+    found = F.transform(F.array(sentences(text)), holding)[0]
     return F.trim(F.regexp_replace(found, r"\[C:[a-f0-9]+\]", " "))
 
 

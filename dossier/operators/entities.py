@@ -15,9 +15,8 @@ def lookup(register: DataFrame, id_col: str = "id", name: str = "name", aliases:
     return primary.unionByName(other).filter("term <> ''").withColumn("_n", F.row_number().over(first)).filter("_n = 1").select("term", "id")
 
 
-def word_grams(text: Column, longest: int) -> Column:
-    """Different runs of 1 to `longest` lowercase words, joined by one space."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0))
+def word_grams(words: Column, longest: int) -> Column:
+    """Different runs of 1 to `longest` words of an array column, joined by one space."""
     runs = F.transform(
         F.sequence(F.lit(1), F.lit(longest)),
         lambda n: F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.array_join(F.slice(words, i + 1, n), " "))).otherwise(F.array().cast("array<string>")),
@@ -32,7 +31,9 @@ def mentions(texts: DataFrame, terms: DataFrame, key: str, text: str, longest: i
     work does not grow with the register. Names of over `longest` words are not found.
     """
     spelled = terms.select(F.array_join(F.regexp_extract_all("term", F.lit(r"(?U)\w+"), F.lit(0)), " ").alias("gram"), "id").filter("gram <> ''")
-    grams = texts.select(key, F.explode(word_grams(F.col(text), longest)).alias("gram"))
+    # a column of its own: inside word_grams it is used once per run
+    words = texts.select(key, F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0)).alias("_words"))
+    grams = words.select(key, F.explode(word_grams(F.col("_words"), longest)).alias("gram"))
     return grams.join(spelled, "gram").select(key, "id").distinct()
 
 

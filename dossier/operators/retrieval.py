@@ -13,7 +13,7 @@ LEAST_CANDIDATES = 60
 
 def contains_all(column: Column, wanted: list) -> Column:
     """Containment: every wanted value is in the array (true for none wanted)."""
-    return F.forall(F.array(*map(F.lit, wanted)), lambda x: F.array_contains(column, x)) if wanted else F.lit(True)
+    return F.size(F.array_except(F.array(*map(F.lit, wanted)), column)) == 0 if wanted else F.lit(True)
 
 
 def contains_any(column: Column, wanted: list | None) -> Column:
