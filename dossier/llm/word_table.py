@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +26,14 @@ class WordTable:
         """The row of each word, all texts one after another, and the number of words of each text."""
         if len(self.known) > self.most:
             self.known, self.rows = {}, np.zeros((0, self.width), np.float32)
-        new = [w for w in dict.fromkeys(chain.from_iterable(texts)) if w not in self.known]
-        if new:
-            for i, w in enumerate(new, len(self.known)):
-                self.known[w] = i
+        flat = list(chain.from_iterable(texts))
+        at = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
+        if len(missing := np.flatnonzero(at < 0)):
+            absent = [flat[i] for i in missing.tolist()]
+            new = list(dict.fromkeys(absent))
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
             self.rows = np.concatenate((self.rows, self.compute(new).astype(np.float32)))
-        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(texts)), np.int64)
+            at[missing] = np.fromiter(map(self.known.__getitem__, absent), np.int64, len(absent))
         return at, np.fromiter(map(len, texts), np.int64, len(texts))
 
 
