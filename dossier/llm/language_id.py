@@ -47,14 +47,16 @@ def grams_of(word: str) -> list[str]:
     return [w[i : i + n] for n in range(1, MAX_GRAM + 1) for i in range(len(w) - n + 1)]
 
 
-def _table(rows, langs: list[str]) -> tuple[dict[str, int], np.ndarray]:
-    place, at = {}, {lang: i for i, lang in enumerate(langs)}
-    for r in rows:
-        place.setdefault(r.term, len(place))
-    counts = np.zeros((len(place) + 1, len(langs)))
-    for r in rows:
-        counts[place[r.term], at[r.lang]] = r.n
-    return place, np.log((counts + SMOOTH) / (counts.sum(axis=0) + SMOOTH * (len(place) + 1))).astype(np.float32)
+def _table(rows: pa.Table, langs: list[str]) -> tuple[dict[str, int], np.ndarray]:
+    """The place of each term and its log frequencies; rows: term, lang, n."""
+    terms = rows["term"].combine_chunks().dictionary_encode()
+    at = rows["lang"].combine_chunks().dictionary_encode()
+    place = np.array([langs.index(x) for x in at.dictionary.to_pylist()], np.int64)
+    counts = np.zeros((len(terms.dictionary) + 1, len(langs)))
+    if len(rows):
+        counts[terms.indices.to_numpy(), place[at.indices.to_numpy()]] = rows["n"].to_numpy()
+    scores = np.log((counts + SMOOTH) / (counts.sum(axis=0) + SMOOTH * len(counts))).astype(np.float32)
+    return {t: i for i, t in enumerate(terms.dictionary.to_pylist())}, scores
 
 
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> Model:
@@ -65,9 +67,9 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     counted = cut(taken.select("lang", F.explode(words).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("n")), "words")
     langs = [r.lang for r in counted.select("lang").distinct().orderBy("lang").collect()]
 
-    def most(df: DataFrame, bound: int) -> list:
+    def most(df: DataFrame, bound: int) -> pa.Table:
         top = df.groupBy("term").agg(F.sum("n").alias("total")).filter("total > 1").orderBy(F.desc("total"), "term").limit(bound)
-        return df.join(top, "term").select("lang", "term", "n").orderBy("term", "lang").collect()
+        return df.join(top, "term").select("lang", "term", "n").toArrow().sort_by([("term", "ascending"), ("lang", "ascending")])
 
     spelled = F.concat(F.lit("^"), F.col("term"), F.lit("$"))
     grams = F.flatten(
