@@ -125,9 +125,16 @@ def detect(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return df.select("row", "text", F.sort_array(F.concat("base", more)).alias("spans"))
 
 
-def redact(text: Column, spans: Column) -> Column:
-    """The text with every span replaced by its kind in brackets; overlapping spans become one gap, named by the first."""
-    reached = running(F.transform(spans, lambda s: s["end"]), lambda a, x: F.greatest(a, x))
+def ends_reached(spans: Column) -> Column:
+    """Before each span the furthest end of those before it, and last that of all."""
+    return running(F.transform(spans, lambda s: s["end"]), lambda a, x: F.greatest(a, x))
+
+
+def redact(text: Column, spans: Column, reached: Column) -> Column:
+    """The text with every span replaced by its kind in brackets; overlapping spans become one gap, named by the first.
+
+    reached: a column of ends_reached(spans), as every span uses it.
+    """
 
     def piece(s: Column, i: Column) -> Column:
         from_ = F.get(reached, i)
@@ -140,8 +147,8 @@ def redact(text: Column, spans: Column) -> Column:
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs, all columns and rows, with personal data in text_col replaced. A null text stays null."""
-    found = detect(docs, text_col)
-    text = F.when(F.col("row")[text_col].isNotNull(), redact(F.col("text"), F.col("spans")))
+    found = detect(docs, text_col).withColumn("reached", ends_reached(F.col("spans")))
+    text = F.when(F.col("row")[text_col].isNotNull(), redact(F.col("text"), F.col("spans"), F.col("reached")))
     return found.select("row", text.alias("clean")).select(F.col("row").withField(f"`{text_col}`", F.col("clean")).alias("row")).select("row.*")
 
 
