@@ -4,19 +4,24 @@ Each page is cut into blocks of text. Blocks inside menus, headers, footers, sid
 styles or reader comments (by element, role, or class and id) go. Of the rest, those inside <article> (else <main>) are the
 page's main part; without either, all are.
 
-The token streams of a host's pages, in groups of about GROUP pages, are concatenated and their suffixes sorted to a depth
-of RUN tokens by prefix doubling. A run met on different pages is a repeated substring, and a block covered by runs that
-most of the group's distinct pages hold is boilerplate. Inside a main part that must be nearly all pages, so a passage
-that some pages share, or pages that are copies of each other, keep their text; a page never loses over half of it.
+A host's distinct pages, told apart by a digest of their blocks, are dealt by that digest into groups of about GROUP pages.
+The token streams of a group are concatenated and their suffixes sorted to a depth of RUN tokens by prefix doubling; each
+group reports the runs that at least REPORTED of its pages hold. Added up over the host, the reports bound the number of
+its distinct pages that hold a run; where the bounds leave open whether it is enough, the pages are counted again for that
+run. A block covered by runs that most of the host's distinct pages hold is boilerplate. Inside a main part that must be
+nearly all pages, so a passage that some pages share, or pages that are copies of each other, keep their text; a page
+never loses over half of it.
 
 Defined cases: null or empty html has an empty text; a null url belongs to one nameless host; repeated rows are rows of
-their own; an empty table gives an empty result. No group holds over a few times GROUP pages, whatever the host's share.
+their own and count once as pages; an empty table gives an empty result. No group holds over a few times GROUP different
+pages, whatever the host's share.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import numpy as np
@@ -29,7 +34,8 @@ from dossier.llm.common import cut
 GROUP = 64  # pages
 RUN = 8  # tokens
 COVERED = 0.8  # of a block's tokens
-#: share of the group's distinct pages, and how many at least, that hold a run of boilerplate: in a main part, elsewhere
+REPORTED = 0.25  # of a group's pages: runs that fewer hold are not reported
+#: share of the host's distinct pages, and how many at least, that hold a run of boilerplate: in a main part, elsewhere
 MARKED, UNMARKED = (0.9, 8), (0.5, 3)
 
 #: Elements and class or id words by their meaning in HTML.
@@ -128,72 +134,170 @@ def run_classes(tokens: np.ndarray) -> np.ndarray:
     return rank
 
 
-def boilerplate(pages: list[list[str]], marked: list[bool]) -> list[list[bool]]:
-    """For each page and block, whether runs that most distinct pages of the group hold cover it."""
-    codes: dict[str, int] = {}
-    stream, page_of, block_of = [], [], []
-    b = 0
-    for p, page in enumerate(pages):
+def run_hashes(tokens: np.ndarray) -> np.ndarray:
+    """For each position a hash of the RUN tokens from it on, the same in every process."""
+    mixed, depth = tokens.astype(np.uint64), 1
+    while depth < RUN:
+        ahead = np.concatenate((mixed[depth:], np.zeros(min(depth, len(mixed)), np.uint64)))
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + ahead
+        depth *= 2
+    return mixed.view(np.int64)
+
+
+class Words:
+    """A 64-bit hash of each word, never 0. Forgets all once it holds too many."""
+
+    def __init__(self, most: int = 300_000):
+        self.known: dict[str, int] = {}
+        self.most = most
+
+    def stream(self, page: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The page's word hashes, RUN zeros after each block, and the block of each."""
+        if len(self.known) > self.most:
+            self.known.clear()
+        flat, sizes = [], []
         for text in page:
             words = text.split(" ")
-            stream += [codes.setdefault(w, len(codes) + 1) for w in words] + [0] * RUN
-            page_of += [p] * (len(words) + RUN)
-            block_of += [b] * (len(words) + RUN)
-            b += 1
-    none = [[False] * len(page) for page in pages]
-    contents = {}
-    alike = np.array([contents.setdefault(tuple(page), len(contents)) for page in pages])
-    if len(contents) < UNMARKED[1] or not stream:
-        return none
-    tokens, page_of, block_of = np.array(stream, np.int64), np.array(page_of), np.array(block_of)
-    classes = run_classes(tokens)
-    real = np.nonzero(tokens)[0]
-    # suffixes in order of their first RUN tokens; neighbours of one class on different contents are repeats
-    pairs = np.unique(classes[real] * len(contents) + alike[page_of[real]])
-    held = np.zeros(int(classes.max()) + 1, np.int64)
-    np.add.at(held, pairs // len(contents), 1)
-    need = np.array([max(least, np.ceil(share * len(contents))) for share, least in (MARKED if m else UNMARKED for m in marked)])
-    repeated = np.zeros(len(tokens), bool)
-    repeated[real] = held[classes[real]] >= need[page_of[real]]
+            for w in words:
+                if (h := self.known.get(w)) is None:
+                    h = self.known[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") or 1
+                flat.append(h)
+            flat += [0] * RUN
+            sizes.append(len(words) + RUN)
+        return np.array(flat, np.uint64), np.repeat(np.arange(len(page)), sizes)
+
+
+def run_counts(pages: list[list[str]], words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all runs of different pages, and how many of the pages hold each."""
+    streams = [words.stream(page)[0] for page in pages]
+    hashed = np.concatenate([*streams, np.zeros(0, np.uint64)])
+    real = np.flatnonzero(hashed)
+    if not len(real):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    page_of = np.repeat(np.arange(len(pages)), [len(x) for x in streams])
+    # suffixes in order of their first RUN tokens; those of one class on different pages are repeats
+    codes = np.unique(hashed, return_inverse=True)[1].astype(np.int64)
+    classes = run_classes(codes)
+    pairs = np.unique(classes[real] * len(pages) + page_of[real])
+    held = np.bincount(pairs // len(pages), minlength=int(classes.max()) + 1)
+    names = np.zeros(len(held), np.int64)
+    names[classes[real]] = run_hashes(hashed)[real]
+    return names[held > 0], held[held > 0]
+
+
+def repeated_blocks(page: list[str], runs: np.ndarray, words: Words) -> list[bool]:
+    """For each block of the page whether the given runs cover it; none if they cover over half of the page."""
+    if not len(runs) or not page:
+        return [False] * len(page)
+    tokens, block_of = words.stream(page)
+    repeated = np.isin(run_hashes(tokens), runs) & (tokens > 0)
     reach = np.convolve(repeated, np.ones(RUN, np.int64))[: len(tokens)] > 0  # a run covers its RUN tokens
-    size = np.bincount(block_of[real], minlength=b)
-    covered = np.bincount(block_of[real], weights=reach[real], minlength=b)
-    gone, at, out = covered >= COVERED * size, 0, []
-    for page in pages:
-        mine, weight = gone[at : at + len(page)], size[at : at + len(page)]
-        out.append(mine.tolist() if 2 * weight[mine].sum() <= weight.sum() else [False] * len(page))
-        at += len(page)
-    return out
+    real = tokens > 0
+    size = np.bincount(block_of[real], minlength=len(page))
+    gone = np.bincount(block_of[real], weights=reach[real], minlength=len(page)) >= COVERED * size
+    return gone.tolist() if 2 * size[gone].sum() <= size.sum() else [False] * len(page)
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def boilerplate(pages: list[list[str]], marked: list[bool]) -> list[list[bool]]:
+    """For each page and block of a whole host, whether runs that most of its distinct pages hold cover it."""
+    words, contents = Words(), list(dict.fromkeys(map(tuple, pages)))
+    if len(contents) < UNMARKED[1]:
+        return [[False] * len(page) for page in pages]
+    runs, held = run_counts(contents, words)
+    common = {m: runs[held >= max(least, np.ceil(share * len(contents)))] for m, (share, least) in ((True, MARKED), (False, UNMARKED))}
+    return [repeated_blocks(page, common[m], words) for page, m in zip(pages, marked, strict=True)]
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple[list[str], bool]]]]:
     for b in batches:
         for k in range(0, b.num_rows, 200):
             part = b.slice(k, 200)
-            parsed = [main_part(*blocks(h or "")) for h in part.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*(part.column(c) for c in ("page_id", "url", "host", "part")), pa.array([t for t, _ in parsed], pa.list_(pa.string())), pa.array([m for _, m in parsed], pa.bool_())],
-                names=["page_id", "url", "host", "part", "blocks", "marked"],
-            )
-
-
-def _unrepeated(group: pa.Table) -> pa.Table:
-    pages, marked = group["blocks"].to_pylist(), group["marked"].to_pylist()
-    texts = []
-    for k in range(0, len(pages), 4 * GROUP):
-        some = pages[k : k + 4 * GROUP]
-        for page, gone in zip(some, boilerplate(some, marked[k : k + 4 * GROUP]), strict=True):
+            yield part, [main_part(*blocks(h or "")) for h in part.column("html").to_pylist()]
+
+
+def digest(page: Iterable[str]) -> bytes:
+    return hashlib.blake2b("\0".join(page).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+CONTENTS = "host string, part int, parts int, content binary, blocks array<string>"
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of the pages, dealt by their digest."""
+    for b, parsed in _parsed(batches):
+        pages = [page for page, _ in parsed]
+        contents, parts = list(map(digest, pages)), b.column("parts")
+        part = [int.from_bytes(c[:8], "little") % n for c, n in zip(contents, parts.to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [b.column("host"), pa.array(part, pa.int32()), parts, pa.array(contents, pa.binary()), pa.array(pages, pa.list_(pa.string()))],
+            names=["host", "part", "parts", "content", "blocks"],
+        )
+
+
+def _group_runs(group: pa.Table) -> pa.Table:
+    """The number of different pages (run null), and the reported runs; slack: how many more pages may hold an unreported run."""
+    pages = dict(zip(group["content"].to_pylist(), group["blocks"].to_pylist(), strict=True))
+    n, whole = len(pages), group["parts"][0].as_py() == 1
+    share, least = UNMARKED if whole else (REPORTED, 1)
+    least = max(least, int(np.ceil(share * n)))
+    runs, held = run_counts([pages[c] for c in sorted(pages)], Words()) if n >= least else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    runs, held = runs[held >= least], held[held >= least]
+    return pa.table({
+        "host": pa.array([group["host"][0].as_py()] * (len(runs) + 1), pa.string()), "run": pa.array([None, *runs.tolist()], pa.int64()),
+        "n": pa.array([n, *held.tolist()], pa.int64()), "slack": pa.array([0 if whole else least - 1] * (len(runs) + 1), pa.int64()),
+    })
+
+
+def _holding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """host, content, run: which of the asked runs a page holds."""
+    words = Words()
+    for b in batches:
+        hosts, contents, runs = [], [], []
+        for host, content, page, asked in zip(*(b.column(c).to_pylist() for c in ("host", "content", "blocks", "asked")), strict=True):
+            tokens, _ = words.stream(page)
+            held = np.intersect1d(run_hashes(tokens)[tokens > 0], np.array(asked, np.int64)).tolist()
+            hosts += [host] * len(held)
+            contents += [content] * len(held)
+            runs += held
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(contents, pa.binary()), pa.array(runs, pa.int64())], names=["host", "content", "run"])
+
+
+def common_runs(contents: DataFrame) -> DataFrame:
+    """host, inside, elsewhere: the runs of boilerplate in a main part and in pages without one; contents: as CONTENTS."""
+    told = cut(contents.groupBy("host", "part").applyInArrow(_group_runs, "host string, run bigint, n bigint, slack bigint"), "runs")
+    size = told.filter("run is null").groupBy("host").agg(F.sum("n").alias("pages"), F.sum("slack").alias("slack")).filter(F.col("pages") >= UNMARKED[1])
+    held = told.filter("run is not null").groupBy("host", "run").agg(F.sum("n").alias("low"), F.sum("slack").alias("counted")).join(size, "host")
+    high = F.col("low") + F.col("slack") - F.col("counted")
+    need = lambda rule: F.greatest(F.lit(rule[1]), F.ceil(F.lit(rule[0]) * F.col("pages")))
+    doubt = lambda rule: (F.col("low") < need(rule)) & (need(rule) <= high)
+    known = cut(held.filter(high >= need(UNMARKED)).select("host", "run", "pages", "low", (doubt(MARKED) | doubt(UNMARKED)).alias("doubt")), "held")
+    asked = known.filter("doubt").groupBy("host").agg(F.collect_set("run").alias("asked"))
+    if not asked.isEmpty():
+        pairs = contents.join(asked, "host").select("host", "content", "blocks", "asked").mapInArrow(_holding, "host string, content binary, run bigint").distinct()
+        known = known.join(pairs.groupBy("host", "run").agg(F.count("*").alias("exact")), ["host", "run"], "left").withColumn("low", F.coalesce("exact", "low"))
+    enough = lambda rule: F.collect_set(F.when(F.col("low") >= need(rule), F.col("run")))
+    # written, so its size is known when the join is planned
+    return cut(known.groupBy("host").agg(enough(MARKED).alias("inside"), enough(UNMARKED).alias("elsewhere")), "common")
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    words, none = Words(), np.zeros(0, np.int64)
+    for b, parsed in _parsed(batches):
+        texts = []
+        for i, (page, marked) in enumerate(parsed):
+            runs = b.column("inside" if marked else "elsewhere")[i].values
+            gone = repeated_blocks(page, none if runs is None else runs.to_numpy(), words)
             texts.append("\n\n".join(t for t, g in zip(page, gone, strict=True) if not g))
-    return pa.table({"page_id": group["page_id"], "url": group["url"], "text": pa.array(texts, pa.string()), "n_chars": pa.array(map(len, texts), pa.int64())})
+        yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", group: int = GROUP) -> DataFrame:
     """page_id, url, text and n_chars (its code points) for each row of pages."""
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     keyed = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
     # the table of hosts with over one group is written, so its size is known when the join is planned
-    large = cut(keyed.groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP).select("host", F.ceil(F.col("n") / GROUP).cast("int").alias("parts")), "hosts")
-    dealt = keyed.join(large, "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("parts", F.lit(1))).cast("int"))
+    large = cut(keyed.groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") > group).select("host", F.ceil(F.col("n") / group).cast("int").alias("parts")), "hosts")
+    dealt = keyed.join(large, "host", "left").select("html", "host", F.coalesce("parts", F.lit(1)).alias("parts"))
+    common = common_runs(dealt.mapInArrow(_contents, CONTENTS))
     kind = pages.schema[id_col].dataType.simpleString()
-    parsed = dealt.select("page_id", "url", "html", "host", "part").mapInArrow(_parse, f"page_id {kind}, url string, host string, part int, blocks array<string>, marked boolean")
-    return parsed.groupBy("host", "part").applyInArrow(_unrepeated, f"page_id {kind}, url string, text string, n_chars bigint")
+    return keyed.join(common, "host", "left").select("page_id", "url", "html", "inside", "elsewhere").mapInArrow(_texts, f"page_id {kind}, url string, text string, n_chars bigint")

@@ -179,3 +179,19 @@ def test_pages_keep_over_half(spark):
     long = " ".join(f"q{i}" for i in range(50))
     pages = [[long, f"own {i} text"] for i in range(12)]
     assert html_text.boilerplate(pages, [False] * 12) == [[False, False]] * 12
+
+
+def test_runs_are_counted_over_the_whole_host(spark):
+    rng = random.Random(9)
+    own = lambda: " ".join(f"w{rng.randint(0, 5000)}" for _ in range(150))
+    passages = [" ".join(f"p{k}x{j}" for j in range(12)) for k in range(12)]
+    holders = [set(rng.sample(range(300), 135 + 3 * k)) for k in range(12)]  # 45 % to 56 % of the pages
+    held = [[p for p, some in zip(passages, holders, strict=True) if i in some] for i in range(300)]
+    blocks = [[*few, own()] for few in held]
+    rows = [(i, f"https://h.example/{i}", "".join(f"<div>{b}</div>" for b in page)) for i, page in enumerate(blocks)]
+    gone = html_text.boilerplate(blocks, [False] * 300)
+    want = {i: "\n\n".join(b for b, g in zip(page, flags, strict=True) if not g) for i, (page, flags) in enumerate(zip(blocks, gone, strict=True))}
+    assert any(map(any, gone)) and not all(passages[0] not in t for t in want.values())
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    for group in (16, 64):
+        assert {r.page_id: r.text for r in html_text.extract(pages, group=group).collect()} == want
