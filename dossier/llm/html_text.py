@@ -14,7 +14,7 @@ never loses over half of it.
 
 Defined cases: null or empty html has an empty text; a null url belongs to one nameless host; repeated rows are rows of
 their own and count once as pages; an empty table gives an empty result. No group holds over a few times GROUP different
-pages, whatever the host's share.
+pages, whatever the host's share, and equal pages reach it once for each task that read them.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ from dossier.llm.common import cut
 GROUP = 64  # pages
 RUN = 8  # tokens
 COVERED = 0.8  # of a block's tokens
+MOST_SEEN = 500_000  # digests that a task remembers
 REPORTED = 0.25  # of a group's pages: runs that fewer hold are not reported
 #: share of the host's distinct pages, and how many at least, that hold a run of boilerplate: in a main part, elsewhere
 MARKED, UNMARKED = (0.9, 8), (0.5, 3)
@@ -223,15 +224,20 @@ CONTENTS = "host string, part int, parts int, content binary, blocks array<strin
 
 
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The blocks of the pages, dealt by their digest."""
+    """The blocks of the pages, dealt by their digest; of a host's equal pages in a task, one."""
+    seen: set[tuple[str, bytes]] = set()
     for b, parsed in _parsed(batches):
-        pages = [page for page, _ in parsed]
-        contents, parts = list(map(digest, pages)), b.column("parts")
-        part = [int.from_bytes(c[:8], "little") % n for c, n in zip(contents, parts.to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [b.column("host"), pa.array(part, pa.int32()), parts, pa.array(contents, pa.binary()), pa.array(pages, pa.list_(pa.string()))],
-            names=["host", "part", "parts", "content", "blocks"],
-        )
+        if len(seen) > MOST_SEEN:
+            seen.clear()
+        rows = []
+        for host, parts, (page, _) in zip(b.column("host").to_pylist(), b.column("parts").to_pylist(), parsed, strict=True):
+            content = digest(page)
+            if (host, content) not in seen:
+                seen.add((host, content))
+                rows.append((host, int.from_bytes(content[:8], "little") % parts, parts, content, page))
+        columns = zip(*rows) if rows else [()] * 5
+        kinds = pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["host", "part", "parts", "content", "blocks"])
 
 
 def _group_runs(group: pa.Table) -> pa.Table:

@@ -195,3 +195,18 @@ def test_runs_are_counted_over_the_whole_host(spark):
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
     for group in (16, 64):
         assert {r.page_id: r.text for r in html_text.extract(pages, group=group).collect()} == want
+
+
+def test_repeated_rows_are_one_page_of_a_group(spark):
+    rng = random.Random(4)
+    notice = " ".join(f"n{i}" for i in range(12))
+    blocks = [[*([notice] if i < 180 else []), " ".join(f"w{rng.randint(0, 5000)}" for _ in range(60))] for i in range(300)] + [["copy " * 30 + "end"]] * 900
+    gone = html_text.boilerplate(blocks, [False] * len(blocks))
+    want = sorted("\n\n".join(b for b, g in zip(page, flags, strict=True) if not g) for page, flags in zip(blocks, gone, strict=True))
+    assert gone[0] == [True, False]
+    rows = [(None, None, "".join(f"<div>{b}</div>" for b in page)) for page in blocks]  # rows of one key
+    for some in (rows, rows[::-1]):
+        pages = spark.createDataFrame(some, "page_id bigint, url string, html string").coalesce(2)
+        assert sorted(r.text for r in html_text.extract(pages).collect()) == want
+    dealt = pages.selectExpr("html", "'' AS host", "19 AS parts").mapInArrow(html_text._contents, html_text.CONTENTS)
+    assert dealt.count() <= 302 and dealt.groupBy("part").count().agg({"count": "max"}).collect()[0][0] <= html_text.GROUP
