@@ -3,8 +3,8 @@
 Every word and its character n-grams are hashed into BUCKETS learned vectors; a document is their average, a softmax over
 the classes its output. A word that repeats the one before it also counts as the hashed word AGAIN, with the weight of a
 word's n-grams: runs of one word look alike whatever the word. Vectors and output weights are trained by stochastic gradient descent in numpy on a sample of at
-most SAMPLE labelled documents, whose hashed features executors compute. Documents are scored whole: a word's summed
-vectors are computed once per task.
+most SAMPLE labelled documents, whose hashed features executors compute. Documents are scored whole, words of any length
+too: a word's summed vectors are computed once per task.
 
 Defined cases: an empty or null text scores the share of label 1 in the sample; without labelled rows every text scores
 0.5; repeated rows are rows of their own; an empty table gives an empty result.
@@ -29,17 +29,31 @@ SAMPLE, BUCKETS, DIM = 4_000, 1 << 15, 16
 GRAMS = (2, 3, 4)
 EPOCHS, RATE = 6, 0.5
 AGAIN, AGAIN_WEIGHT = zlib.crc32(b"<again>\0") % BUCKETS, 10
-LONGEST = 24  # characters of a word that make n-grams; the whole word counts too
+LONG = 1024  # characters: longer words are counted in slices
 
 
-def features(word: str) -> list[int]:
-    w, hashed = f"<{word}>", zlib.crc32
-    out = [hashed(w.encode("utf-8", "surrogatepass")) % BUCKETS]
-    w = w if len(w) <= LONGEST else w[: LONGEST - 6] + w[-6:]
+def grams(w: str, stop: int) -> list[int]:
+    """The hashed n-grams of w that begin before stop."""
+    hashed = zlib.crc32
     if w.isascii():  # its bytes are its characters: one encoding serves all n-grams
         b = w.encode()
-        return out + [hashed(b[i : i + n]) % BUCKETS for n in GRAMS for i in range(len(b) - n + 1)]
-    return out + [hashed(w[i : i + n].encode("utf-8", "surrogatepass")) % BUCKETS for n in GRAMS for i in range(len(w) - n + 1)]
+        return [hashed(b[i : i + n]) % BUCKETS for n in GRAMS for i in range(min(stop, len(b) - n + 1))]
+    return [hashed(w[i : i + n].encode("utf-8", "surrogatepass")) % BUCKETS for n in GRAMS for i in range(min(stop, len(w) - n + 1))]
+
+
+def features(word: str) -> list[int]:
+    w = f"<{word}>"
+    return [zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS, *grams(w, len(w))]
+
+
+def feature_counts(word: str) -> np.ndarray:
+    """How often each bucket is a feature of the word: its n-grams in slices of LONG characters, which overlap."""
+    w = f"<{word}>"
+    out = np.zeros(BUCKETS, np.int64)
+    out[zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS] = 1
+    for at in range(0, len(w), LONG):
+        out += np.bincount(grams(w[at : at + LONG + max(GRAMS) - 1], LONG), minlength=BUCKETS).astype(np.int64)
+    return out
 
 
 @dataclass
@@ -95,15 +109,23 @@ def learn(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col:
             ids, counts = [], []
             for t in part:
                 flat: list[int] = []
+                long = None
                 before = None
                 for w in t.split():
-                    if (f := hashed.get(w)) is None:
-                        f = hashed[w] = features(w)
-                    flat += f
+                    if len(w) > LONG:
+                        long = feature_counts(w) + (0 if long is None else long)
+                    else:
+                        if (f := hashed.get(w)) is None:
+                            f = hashed[w] = features(w)
+                        flat += f
                     if w == before:
                         flat += [AGAIN] * AGAIN_WEIGHT
                     before = w
                 u, n = np.unique(np.array(flat, np.int32), return_counts=True)
+                if long is not None:
+                    long[u] += n
+                    u = np.flatnonzero(long).astype(np.int32)
+                    n = long[u]
                 ids.append(u)
                 counts.append(n.astype(np.int32))
             return [pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))]
@@ -122,11 +144,16 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
 
     def work():
         m: Model = shared.value
+        exact = m.vectors.astype(np.float64)
 
         def rows(words: list[str]) -> np.ndarray:
-            ids = [features(w) for w in words]
+            ids = [features(w) if len(w) <= LONG else [] for w in words]
             n = np.fromiter(map(len, ids), np.int64, len(ids))
-            return np.column_stack((sums(m.vectors[np.fromiter(chain.from_iterable(ids), np.int64)], n), n))
+            out = np.column_stack((sums(m.vectors[np.fromiter(chain.from_iterable(ids), np.int64)], n), n))
+            for i in np.flatnonzero(n == 0).tolist():
+                counts = feature_counts(words[i])
+                out[i] = [*(counts @ exact), counts.sum()]
+            return out
 
         table = WordTable(DIM + 1, rows)
 

@@ -210,3 +210,26 @@ def test_repeated_rows_are_one_page_of_a_group(spark):
         assert sorted(r.text for r in html_text.extract(pages).collect()) == want
     dealt = pages.selectExpr("html", "'' AS host", "19 AS parts").mapInArrow(html_text._contents, html_text.CONTENTS)
     assert dealt.count() <= 302 and dealt.groupBy("part").count().agg({"count": "max"}).collect()[0][0] <= html_text.GROUP
+
+
+def test_quality_reads_the_middle_of_long_words(spark):
+    import zlib
+    from collections import Counter
+
+    def plain(word):
+        w = f"<{word}>"
+        return Counter(zlib.crc32(g.encode()) % quality_classifier.BUCKETS for g in [w, *(w[i : i + n] for n in quality_classifier.GRAMS for i in range(len(w) - n + 1))])
+
+    rng = random.Random(2)
+    for size in (1, 22, 23, 60, 1021, 1022, 1023, 1024, 1025, 2047, 2048, 5000):
+        word = "".join(rng.choice("abcdeé漢") for _ in range(size))
+        counts = quality_classifier.feature_counts(word)
+        assert Counter(quality_classifier.features(word)) == plain(word) == Counter({i: int(counts[i]) for i in np.flatnonzero(counts).tolist()})
+    # unspaced documents that differ in the middle only
+    text = lambda junk, n: "a" * 20 + "".join(rng.choice("xyz" if junk else "klm") for _ in range(n)) + "b" * 8
+    rows = [(1000 + i, text(i % 2, 3000 if i % 5 == 0 else 80), "en", "a") for i in range(200)]
+    docs = documents(spark, rows).filter("doc_id >= 1000")
+    labels = spark.createDataFrame([(d, d % 2) for d, *_ in rows], "doc_id bigint, quality int")
+    model = quality_classifier.learn(docs.filter("doc_id < 1150"), labels)
+    out = quality_classifier.score(docs.filter("doc_id >= 1150").select("doc_id", "text"), model).collect()
+    assert len(out) == 50 and all((r.score >= 0.5) == bool(r.doc_id % 2) for r in out)
