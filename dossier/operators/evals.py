@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dossier.operators.components import ensure_checkpoints
+
 CITATION_SHARE, GROUNDING_SHARE = 0.65, 0.35
 LONG_ANSWER = 400
 MOST_INVALID = 0.5
@@ -41,10 +45,44 @@ def exclusive_decile(values: Column) -> Column:
     return F.when(n >= 10, (F.get(values, j - 1) * (10 - delta) + F.get(values, j) * delta) / 10).otherwise(F.array_min(values))
 
 
+def values_at(rows: DataFrame, value: str, by: list[str], ranks: dict[str, Callable[[Column], Column]], ranges: int = 128, salts: int = 16) -> DataFrame:
+    """by, one column for each of ranks: the value at that place, from 0, among a group's n values that are not null.
+
+    Equal values are counted first. A group's different values lie in about `ranges` ranges of equal numbers; only those of
+    the ranges that hold a wanted place are ordered, so no group is collected or ordered whole.
+    """
+    ensure_checkpoints(rows)
+    per = rows.filter(F.col(value).isNotNull()).groupBy(F.struct(F.lit(0), *by).alias("_key"), F.col(value).alias("_v")).agg(F.count("*").alias("_m"))
+    shares = [i / ranges for i in range(1, ranges)]
+    group = per.groupBy("_key").agg(F.percentile_approx("_v", shares, 1000).alias("_bounds"), F.sum("_m").alias("_n")).checkpoint()
+    spread = group.select("_key", "_bounds", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    salted = per.withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(salts)).cast("int")).join(spread, ["_key", "_salt"])
+    ranged = salted.select("_key", "_v", "_m", F.size(F.filter("_bounds", lambda b: b < F.col("_v"))).alias("_range"))
+    counts = ranged.groupBy("_key", "_range").agg(F.sum("_m").alias("_held"))
+    counts = counts.withColumn("_end", F.sum("_held").over(Window.partitionBy("_key").orderBy("_range")))
+    asked = group.select("_key", F.explode(F.array(*[F.struct(F.lit(name).alias("name"), rank(F.col("_n")).cast("bigint").alias("rank")) for name, rank in ranks.items()])).alias("_w"))
+    hit = counts.join(asked, "_key").filter((F.col("_w.rank") >= F.col("_end") - F.col("_held")) & (F.col("_w.rank") < F.col("_end")))
+    held = hit.groupBy("_key", "_range").agg(F.first(F.col("_end") - F.col("_held")).alias("_before"), F.collect_list("_w").alias("_wanted"))
+    upto = F.col("_before") + F.sum("_m").over(Window.partitionBy("_key", "_range").orderBy("_v"))
+    placed = ranged.join(held, ["_key", "_range"]).withColumn("_upto", upto).select("_key", "_v", "_m", "_upto", F.explode("_wanted").alias("_w"))
+    found = placed.filter((F.col("_w.rank") >= F.col("_upto") - F.col("_m")) & (F.col("_w.rank") < F.col("_upto")))
+    return found.groupBy("_key").agg(*[F.max(F.when(F.col("_w.name") == name, F.col("_v"))).alias(name) for name in ranks])
+
+
+MEDIAN = {"lower": lambda n: F.floor((n - 1) / 2), "upper": lambda n: F.floor(n / 2)}
+
+
 def summary(scores: DataFrame, score: str = "overall", by: list[str] | None = None) -> DataFrame:
     """Number, mean, median and first decile of a score."""
-    grouped = scores.groupBy(*(by or [])).agg(F.count(score).alias("scored"), F.avg(score).alias("mean"), F.percentile(score, F.lit(0.5)).alias("p50"), F.sort_array(F.collect_list(score)).alias("v"))
-    return grouped.select(*(by or []), "scored", F.round("mean", 4).alias("mean"), F.round("p50", 4).alias("p50"), F.round(exclusive_decile(F.col("v")), 4).alias("p10"))
+    by = by or []
+    j = lambda n: F.greatest(F.lit(1), F.least(F.floor((n + 1) / 10), n - 1))
+    ranks = MEDIAN | {"low": lambda n: F.when(n >= 10, j(n) - 1).otherwise(0), "high": lambda n: F.when(n >= 10, j(n)).otherwise(0)}
+    at = values_at(scores, score, by, ranks)
+    grouped = scores.groupBy(*by).agg(F.count(score).alias("scored"), F.avg(score).alias("mean")).withColumn("_key", F.struct(F.lit(0), *by)).join(at, "_key", "left")
+    n = F.col("scored")
+    delta = (n + 1) - j(n) * 10
+    decile = F.when(n >= 10, (F.col("low") * (10 - delta) + F.col("high") * delta) / 10).otherwise(F.col("low"))
+    return grouped.select(*by, "scored", F.round("mean", 4).alias("mean"), F.round((F.col("lower") + F.col("upper")) / 2, 4).alias("p50"), F.round(decile, 4).alias("p10"))
 
 
 def nearest_rank(values: Column, share: float) -> Column:

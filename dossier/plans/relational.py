@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dossier.functions import text as txt
-from dossier.operators import diff, dml, windows
+from dossier.operators import diff, dml, evals, windows
 from dossier.operators.ingest import wave, with_hierarchy
 from dossier.operators.quality import embedding_dimensions, outdated
 from dossier.operators.topics import recount
@@ -309,14 +309,9 @@ def a20(spark: SparkSession, sf: str) -> DataFrame:
     FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS n, count(*) OVER (PARTITION BY event_type) AS c FROM events WHERE value IS NOT NULL) GROUP BY event_type""")
 def a22(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").filter("value is not null")
-    # a nearest-rank percentile from the numbers of equal values: no group is collected
-    per = e.groupBy("event_type", "value").agg(F.count("*").alias("m"))
-    order = Window.partitionBy("event_type").orderBy("value")
-    upto = per.withColumn("upto", F.sum("m").over(order)).withColumn("c", F.sum("m").over(Window.partitionBy("event_type")))
-    index = F.least(F.floor(F.col("c") * 0.95), F.col("c") - 1)
-    p95 = upto.groupBy(F.col("event_type").alias("model")).agg(F.round(F.min(F.when(F.col("upto") > index, F.col("value"))), 6).alias("p95"))
-    p50 = e.groupBy(F.col("event_type").alias("model")).agg(F.count("*").alias("runs"), F.round(F.percentile("value", F.lit(0.5)), 6).alias("p50"))
-    return p50.join(p95, "model").select("model", "runs", "p50", "p95")
+    at = evals.values_at(e, "value", ["event_type"], evals.MEDIAN | {"p95": lambda n: F.least(F.floor(n * 0.95), n - 1)})
+    runs = e.groupBy("event_type").agg(F.count("*").alias("runs")).withColumn("_key", F.struct(F.lit(0), "event_type")).join(at, "_key")
+    return runs.select(F.col("event_type").alias("model"), "runs", F.round((F.col("lower") + F.col("upper")) / 2, 6).alias("p50"), F.round("p95", 6).alias("p95"))
 
 
 @query("a24_version_histogram", "SELECT p_size % 5 AS ingest_version, count(*) AS n FROM part WHERE p_size % 5 < 4 GROUP BY 1")

@@ -169,3 +169,16 @@ def test_ingest(spark):
     assert [w for w in windows_[0].content.split()][-10:] == windows_[1].content.split()[:10]
     made, filtered = ingest.message_chunks(frame(spark, "doc_id int, body string", (1, "word " * 30 + "\n-----Original Message-----\nok")))
     assert made.count() == 1 and filtered.first().reason == "too_short"
+
+
+def test_summary_of_a_large_group_collects_no_array(spark):
+    import statistics
+
+    rng = random.Random(5)
+    rows = [("hot", rng.choice([rng.gauss(0, 1) ** 3, 0.5])) for _ in range(5000)] + [(None, float(i)) for i in range(11)] + [("few", 2.0), ("few", 1.0), ("few", None), ("none", None)]
+    out = evals.summary(spark.createDataFrame(rows, "kind string, overall double"), by=["kind"])
+    assert not any(f in out._jdf.queryExecution().optimizedPlan().toString() for f in ("collect_list(overall", "percentile(overall"))
+    got = {r.kind: (r.scored, r.p50, r.p10) for r in out.collect()}
+    hot = sorted(v for k, v in rows if k == "hot")
+    assert got["hot"] == (5000, round(statistics.median(hot), 4), round(statistics.quantiles(hot, n=10)[0], 4))
+    assert got[None] == (11, 5.0, round(statistics.quantiles(map(float, range(11)), n=10)[0], 4)) and got["few"] == (2, 1.5, 1.0) and got["none"] == (0, None, None)
