@@ -1,27 +1,35 @@
-"""Main text of web pages: structure, then a suffix array over each host's pages for what structure does not mark.
-
-Each page is cut into blocks of text. Blocks inside menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles or reader comments (by element, role, or class and id) go. Of the rest, those inside <article> (else <main>) are the
-page's main part; without either, all are.
-
-A host's distinct pages, told apart by a digest of their blocks, are dealt by that digest into groups of about GROUP pages.
-The token streams of a group are concatenated and their suffixes sorted to a depth of RUN tokens by prefix doubling; each
-group reports the runs that at least REPORTED of its pages hold. Added up over the host, the reports bound the number of
-its distinct pages that hold a run; where the bounds leave open whether it is enough, the pages are counted again for that
-run. A block covered by runs that most of the host's distinct pages hold is boilerplate. Inside a main part that must be
-nearly all pages, so a passage that some pages share, or pages that are copies of each other, keep their text; a page
-never loses over half of it.
+"""Main text of web pages by a suffix array over each host's pages, with markup for what no repeat can show.
+
+Each page is cut into blocks of text. The token streams of a host's distinct pages, told apart by a digest of their blocks,
+are concatenated; their suffixes are sorted and the lengths of their common prefixes taken, so that the suffixes that share
+their first RUN tokens or more lie side by side: these are the long substrings, and the pages they come from are counted.
+Runs may span blocks. A page loses the blocks, and the stretches of RUN tokens or more of a block, that are covered by runs
+which enough of its host's distinct pages hold. It keeps its unique runs; if there are none, all of it is shared, nothing
+tells the page's text from the rest, and it stays whole.
+
+A host may have any share of the pages, so its pages are dealt by their digest into groups of about GROUP, each with a suffix
+array of its own that reports the runs held by at least REPORTED of its pages. Added up over the host, the reports bound the
+number of distinct pages that hold a run; where the bounds leave open whether it is enough, the pages are counted again for
+that run. The result is that of one array over the whole host.
+
+Markup decides the rest: blocks inside menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader
+comments (by element, role, or class and id) go, even where their words differ on each page. Of the others, those inside
+<article> (else <main>) are the page's main part; without either, all are. In a main part only runs that nearly all pages
+hold go, and only if over half of the part stays: a passage that some pages share, or pages that are near copies of each
+other, keep their article.
 
 Defined cases: null or empty html has an empty text; a null url belongs to one nameless host; repeated rows are rows of
-their own and count once as pages; an empty table gives an empty result. No group holds over a few times GROUP different
-pages, whatever the host's share, and equal pages reach it once for each task that read them.
+their own and count once as pages; hosts of fewer pages than the least numbers of MARKED and UNMARKED lose no run; a very
+long page is cut as a whole, in the task that holds its group; ties do not arise, as runs are chosen by counts alone; other
+columns of pages are left out, whatever their names; an empty table gives an empty result. No group holds over a few times
+GROUP different pages, and equal pages reach it once for each task that read them.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from html import unescape
 
 import numpy as np
@@ -33,11 +41,10 @@ from dossier.llm.common import cut
 
 GROUP = 64  # pages
 RUN = 8  # tokens
-COVERED = 0.8  # of a block's tokens
 MOST_SEEN = 500_000  # digests that a task remembers
-REPORTED = 0.25  # of a group's pages: runs that fewer hold are not reported
+REPORTED = 0.1  # of a group's pages: runs that fewer hold are not reported
 #: share of the host's distinct pages, and how many at least, that hold a run of boilerplate: in a main part, elsewhere
-MARKED, UNMARKED = (0.9, 8), (0.5, 3)
+MARKED, UNMARKED = (0.9, 8), (0.2, 3)
 
 #: Elements and class or id words by their meaning in HTML.
 RAW = "script|style|noscript|template|svg|iframe|textarea|select|object|canvas|audio|video|title|button"
@@ -50,10 +57,12 @@ CONTAINERS = BLOCKS - frozenset("p hr li dt dd td th tr tbody thead tfoot h1 h2
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 NAMES = re.compile(
     r"""(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|newsletter|subscribe|popup|modal|sidebar|
-    widget|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|topbar|share|sharing|social|related|recommended|comments?|
+    menu|nav|navbar|navigation|breadcrumbs?|footer|share|sharing|social|related|recommended|comments?|
     respond|disqus|replies|login|signup|search|pagination|pager)(?=$|[\s_-])""".replace("\n    ", ""),
     re.I,
 )
+#: Names of a whole page's header and its boxes; the header of an article holds its heading and stays.
+PAGE_NAMES = re.compile(r"(?:^|\s)(?:(?:site|page|top|main|global|blog|sticky)[_-]?)?(?:header|masthead|topbar|widgets?)(?=$|\s)", re.I)
 TOKEN = re.compile(
     rf"""<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])(?:[^>"']++|"[^"]*+"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)|"""
     r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?/][^>]*>|<[a-zA-Z/!][^<>]*\Z""",
@@ -63,25 +72,31 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-hidden|hidden|style)\b(?:\s*=\s
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def skipped(name: str, attributes: str) -> bool:
+def skipped(name: str, attributes: str, in_main: bool) -> bool:
     """Whether an element and all in it are not main text."""
-    if name in SKIPPED:
+    if name in SKIPPED and not (in_main and name == "header"):
         return True
     for key, value in ATTRIBUTE.findall(attributes) if attributes else ():
         key, value = key.lower(), value.strip("\"'")
-        if (key in ("class", "id") and NAMES.search(value)) or (key == "role" and value.lower() in ROLES) or key == "hidden":
+        if key in ("class", "id") and (NAMES.search(value) or (not in_main and PAGE_NAMES.search(value))):
+            return True
+        if (key == "role" and value.lower() in ROLES) or key == "hidden":
             return True
         if (key == "aria-hidden" and value.lower() == "true") or (key == "style" and HIDDEN.search(value)):
             return True
     return False
 
 
+#: Where a block lies: in what markup names as no main text, outside a main part, in <main>, in an article.
+SKIP, PLAIN, MAIN, ARTICLE = range(4)
+
+
 def blocks(html: str) -> tuple[list[str], list[int]]:
-    """Texts of the page's blocks that structure leaves, and where each lies: 2 in an article, 1 in <main>, 0 elsewhere."""
+    """Texts of the page's blocks in order, and where each lies."""
     texts, places = [], []
     parts: list[str] = []
     stack: list[tuple[str, bool, int]] = []  # open containers: name, skipped, place
-    at, skip, place = 0, False, 0
+    at, skip, place = 0, False, PLAIN
 
     def close() -> None:
         if parts:
@@ -89,16 +104,16 @@ def blocks(html: str) -> tuple[list[str], list[int]]:
             parts.clear()
             if text:
                 texts.append(text)
-                places.append(place)
+                places.append(SKIP if skip else place)
 
     for m in TOKEN.finditer(html):
-        if not skip and m.start() > at:
+        if m.start() > at:
             parts.append(unescape(html[at : m.start()]))
         at = m.end()
         name = (m[3] or m[6] or "").lower()
         if not name:
             continue
-        if name == "br" and not skip:
+        if name == "br":
             parts.append(" ")
         if name not in BLOCKS:
             continue
@@ -107,42 +122,49 @@ def blocks(html: str) -> tuple[list[str], list[int]]:
             k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
             if k is not None:
                 del stack[k:]
-                _, skip, place = stack[-1] if stack else ("", False, 0)
+                _, skip, place = stack[-1] if stack else ("", False, PLAIN)
         elif name in CONTAINERS and not (m[4] or m[7] or "").endswith("/"):
             attributes = m[4] or m[7] or ""
-            main = 2 if name == "article" else 1 if name == "main" or 'role="main"' in attributes else 0
-            skip, place = skip or skipped(name, attributes), max(place, main)
+            named = ARTICLE if name == "article" else MAIN if name == "main" or 'role="main"' in attributes else PLAIN
+            skip, place = skip or skipped(name, attributes, place > PLAIN), max(place, named)
             stack.append((name, skip, place))
-    if not skip and at < len(html):
+    if at < len(html):
         parts.append(unescape(html[at:]))
     close()
     return texts, places
 
 
-def main_part(texts: list[str], places: list[int]) -> tuple[list[str], bool]:
-    """The blocks of the best place that has any, and whether markup named it."""
-    best = max(places, default=0)
-    return [t for t, p in zip(texts, places, strict=True) if p == best], best > 0
-
+def suffix_array(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The starts of the suffixes in order, and how long a prefix each shares with the one before it (0 for the first).
 
-def run_classes(tokens: np.ndarray) -> np.ndarray:
-    """For each position the class of the RUN tokens from it on: prefix doubling to depth RUN."""
-    rank, depth = tokens, 1
-    while depth < RUN:
-        ahead = np.concatenate((rank[depth:], np.zeros(min(depth, len(rank)), rank.dtype)))
-        rank = np.unique(rank * (int(rank.max()) + 1) + ahead, return_inverse=True)[1].astype(np.int64)
+    Prefix doubling: ranks by the first token, then by the first 2, 4, 8, ... until all differ. The ranks of each depth are
+    kept, as they tell whether two suffixes share so many tokens: the common prefix is put together from the longest down.
+    """
+    n = len(codes)
+    ranks, depth = [np.unique(codes, return_inverse=True)[1].astype(np.int64)], 1
+    while int(ranks[-1].max(initial=-1)) + 1 < n:
+        ahead = np.concatenate((ranks[-1][depth:] + 1, np.zeros(min(depth, n), np.int64)))
+        ranks.append(np.unique(ranks[-1] * (n + 1) + ahead, return_inverse=True)[1].astype(np.int64))
         depth *= 2
-    return rank
+    order = np.argsort(ranks[-1])
+    a, b, shared = order[:-1].copy(), order[1:].copy(), np.zeros(n, np.int64)
+    for k in range(len(ranks) - 1, -1, -1):
+        rank = np.append(ranks[k], -1)  # past the end nothing is shared
+        same = (rank[np.minimum(a, n)] == rank[np.minimum(b, n)]) & (np.maximum(a, b) + (1 << k) <= n)
+        step = same * (1 << k)
+        a, b = a + step, b + step
+        shared[1:] += step
+    return order, shared
 
 
 def run_hashes(tokens: np.ndarray) -> np.ndarray:
-    """For each position a hash of the RUN tokens from it on, the same in every process."""
+    """For each position from which RUN tokens follow a hash of these, the same in every process."""
     mixed, depth = tokens.astype(np.uint64), 1
     while depth < RUN:
         ahead = np.concatenate((mixed[depth:], np.zeros(min(depth, len(mixed)), np.uint64)))
         mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + ahead
         depth *= 2
-    return mixed.view(np.int64)
+    return mixed.view(np.int64)[: max(len(tokens) - RUN + 1, 0)]
 
 
 class Words:
@@ -152,8 +174,8 @@ class Words:
         self.known: dict[str, int] = {}
         self.most = most
 
-    def stream(self, page: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The page's word hashes, RUN zeros after each block, and the block of each."""
+    def stream(self, page: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of the page's words, and the block of each."""
         if len(self.known) > self.most:
             self.known.clear()
         flat, sizes = [], []
@@ -163,57 +185,87 @@ class Words:
                 if (h := self.known.get(w)) is None:
                     h = self.known[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") or 1
                 flat.append(h)
-            flat += [0] * RUN
-            sizes.append(len(words) + RUN)
+            sizes.append(len(words))
         return np.array(flat, np.uint64), np.repeat(np.arange(len(page)), sizes)
 
 
-def run_counts(pages: list[list[str]], words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all runs of different pages, and how many of the pages hold each."""
+def run_counts(pages: Sequence[Sequence[str]], words: Words, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the runs that at least `least` of different pages hold, and how many of the pages hold each."""
     streams = [words.stream(page)[0] for page in pages]
-    hashed = np.concatenate([*streams, np.zeros(0, np.uint64)])
-    real = np.flatnonzero(hashed)
-    if not len(real):
+    if not any(map(len, streams)):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    page_of = np.repeat(np.arange(len(pages)), [len(x) for x in streams])
-    # suffixes in order of their first RUN tokens; those of one class on different pages are repeats
-    codes = np.unique(hashed, return_inverse=True)[1].astype(np.int64)
-    classes = run_classes(codes)
-    pairs = np.unique(classes[real] * len(pages) + page_of[real])
-    held = np.bincount(pairs // len(pages), minlength=int(classes.max()) + 1)
-    names = np.zeros(len(held), np.int64)
-    names[classes[real]] = run_hashes(hashed)[real]
-    return names[held > 0], held[held > 0]
-
-
-def repeated_blocks(page: list[str], runs: np.ndarray, words: Words) -> list[bool]:
-    """For each block of the page whether the given runs cover it; none if they cover over half of the page."""
-    if not len(runs) or not page:
-        return [False] * len(page)
+    # each page ends in a token of its own, so no common prefix reaches beyond a page
+    codes = np.unique(np.concatenate(streams), return_inverse=True)[1].astype(np.int64)
+    ends = np.cumsum([len(x) for x in streams])
+    codes = np.insert(codes, ends, len(codes) + np.arange(len(pages)))
+    sizes = np.array([len(x) + 1 for x in streams])
+    page_of = np.repeat(np.arange(len(pages)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - 1 - np.arange(len(codes))  # tokens of the page from each position on
+    order, shared = suffix_array(codes)
+    group = np.cumsum(shared < RUN) - 1  # neighbours that share a run
+    pairs = np.unique((group * len(pages) + page_of[order])[left[order] >= RUN])
+    held = np.bincount(pairs // len(pages), minlength=int(group[-1]) + 1)
+    first = np.full(len(held), -1)
+    first[group[::-1]] = order[::-1]
+    enough = np.flatnonzero(held >= max(least, 1))
+    hashed = np.concatenate([np.append(run_hashes(x), np.zeros(min(len(x), RUN - 1) + 1, np.int64)) for x in streams])
+    return hashed[first[enough]], held[enough]
+
+
+def covered(hashed: np.ndarray, runs: np.ndarray, block_of: np.ndarray) -> np.ndarray:
+    """Which of a page's tokens the given runs cover, as whole blocks or as RUN tokens or more of a block.
+
+    A run that spans blocks may end in the first word of the next one, which is not boilerplate for that.
+    """
+    size = len(block_of)
+    if not len(runs) or not len(hashed):
+        return np.zeros(size, bool)
+    gone = np.convolve(np.isin(hashed, runs), np.ones(RUN, np.int64))[:size] > 0
+    edge = np.flatnonzero(np.concatenate(([True], (gone[1:] != gone[:-1]) | (block_of[1:] != block_of[:-1]))))
+    length = np.diff(np.append(edge, size))
+    long = (length >= RUN) | (length == np.bincount(block_of)[block_of[edge]])
+    return gone & np.repeat(long, length)
+
+
+def main_text(page: Sequence[str], places: Sequence[int], inside: np.ndarray, elsewhere: np.ndarray, words: Words) -> list[str]:
+    """The blocks of the main text; inside, elsewhere: the host's runs of boilerplate in a main part and out of it."""
+    best = max(places, default=SKIP)
+    if best == SKIP:
+        return []
+    runs = inside if best > PLAIN else elsewhere
+    mine = [t for t, p in zip(page, places, strict=True) if p == best]
+    if not len(runs):
+        return mine
     tokens, block_of = words.stream(page)
-    repeated = np.isin(run_hashes(tokens), runs) & (tokens > 0)
-    reach = np.convolve(repeated, np.ones(RUN, np.int64))[: len(tokens)] > 0  # a run covers its RUN tokens
-    real = tokens > 0
-    size = np.bincount(block_of[real], minlength=len(page))
-    gone = np.bincount(block_of[real], weights=reach[real], minlength=len(page)) >= COVERED * size
-    return gone.tolist() if 2 * size[gone].sum() <= size.sum() else [False] * len(page)
-
-
-def boilerplate(pages: list[list[str]], marked: list[bool]) -> list[list[bool]]:
-    """For each page and block of a whole host, whether runs that most of its distinct pages hold cover it."""
-    words, contents = Words(), list(dict.fromkeys(map(tuple, pages)))
-    if len(contents) < UNMARKED[1]:
-        return [[False] * len(page) for page in pages]
-    runs, held = run_counts(contents, words)
-    common = {m: runs[held >= max(least, np.ceil(share * len(contents)))] for m, (share, least) in ((True, MARKED), (False, UNMARKED))}
-    return [repeated_blocks(page, common[m], words) for page, m in zip(pages, marked, strict=True)]
-
-
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple[list[str], bool]]]]:
+    gone = covered(run_hashes(tokens), runs, block_of)
+    asked = np.array(places)[block_of] == best
+    n, left = int(asked.sum()), int((asked & ~gone).sum())
+    if left == n or left == 0 or (best > PLAIN and 2 * left <= n):
+        return mine
+    out, at = [], 0
+    for text, place in zip(page, places, strict=True):
+        parts = text.split(" ")
+        if place == best:
+            flags = gone[at : at + len(parts)]
+            kept = " ".join(w for w, g in zip(parts, flags.tolist(), strict=True) if not g) if flags.any() else text
+            out += [kept] if kept else []
+        at += len(parts)
+    return out
+
+
+def host_texts(pages: list[tuple[list[str], list[int]]]) -> list[str]:
+    """The main texts of a whole host's pages (blocks and places), by one suffix array."""
+    words, contents = Words(), list(dict.fromkeys(tuple(page) for page, _ in pages))
+    runs, held = run_counts(contents, words, UNMARKED[1])
+    inside, elsewhere = (runs[held >= max(least, np.ceil(share * len(contents)))] for share, least in (MARKED, UNMARKED))
+    return ["\n\n".join(main_text(page, places, inside, elsewhere, words)) for page, places in pages]
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple[list[str], list[int]]]]]:
     for b in batches:
         for k in range(0, b.num_rows, 200):
             part = b.slice(k, 200)
-            yield part, [main_part(*blocks(h or "")) for h in part.column("html").to_pylist()]
+            yield part, [blocks(h or "") for h in part.column("html").to_pylist()]
 
 
 def digest(page: Iterable[str]) -> bytes:
@@ -246,8 +298,7 @@ def _group_runs(group: pa.Table) -> pa.Table:
     n, whole = len(pages), group["parts"][0].as_py() == 1
     share, least = UNMARKED if whole else (REPORTED, 1)
     least = max(least, int(np.ceil(share * n)))
-    runs, held = run_counts([pages[c] for c in sorted(pages)], Words()) if n >= least else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    runs, held = runs[held >= least], held[held >= least]
+    runs, held = run_counts([pages[c] for c in sorted(pages)], Words(), least)
     return pa.table({
         "host": pa.array([group["host"][0].as_py()] * (len(runs) + 1), pa.string()), "run": pa.array([None, *runs.tolist()], pa.int64()),
         "n": pa.array([n, *held.tolist()], pa.int64()), "slack": pa.array([0 if whole else least - 1] * (len(runs) + 1), pa.int64()),
@@ -261,7 +312,7 @@ def _holding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hosts, contents, runs = [], [], []
         for host, content, page, asked in zip(*(b.column(c).to_pylist() for c in ("host", "content", "blocks", "asked")), strict=True):
             tokens, _ = words.stream(page)
-            held = np.intersect1d(run_hashes(tokens)[tokens > 0], np.array(asked, np.int64)).tolist()
+            held = np.intersect1d(run_hashes(tokens), np.array(asked, np.int64)).tolist()
             hosts += [host] * len(held)
             contents += [content] * len(held)
             runs += held
@@ -289,11 +340,8 @@ def common_runs(contents: DataFrame) -> DataFrame:
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words, none = Words(), np.zeros(0, np.int64)
     for b, parsed in _parsed(batches):
-        texts = []
-        for i, (page, marked) in enumerate(parsed):
-            runs = b.column("inside" if marked else "elsewhere")[i].values
-            gone = repeated_blocks(page, none if runs is None else runs.to_numpy(), words)
-            texts.append("\n\n".join(t for t, g in zip(page, gone, strict=True) if not g))
+        runs = [[none if (r := b.column(c)[i].values) is None else r.to_numpy() for c in ("inside", "elsewhere")] for i in range(b.num_rows)]
+        texts = ["\n\n".join(main_text(page, places, *both, words)) for (page, places), both in zip(parsed, runs, strict=True)]
         yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
