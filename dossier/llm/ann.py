@@ -1,15 +1,20 @@
 """Approximate nearest neighbours by learned partitions.
 
-A neighbour graph over a bounded sample of vectors is cut into balanced parts; a softmax classifier learns to name the part
-of a vector. Every vector is stored in its likeliest part, every query searches its likeliest parts, whose number is
-chosen on the sample so that their neighbours are found, and what it finds is ranked by exact cosine in double precision.
+A neighbour graph over a bounded sample of a part's vectors is cut into balanced parts; a softmax classifier learns to name
+the part of a vector. Every vector is stored in its likeliest part, every query searches its likeliest parts, whose number
+is chosen on the sample so that their neighbours are found. All vectors are one part at first; parts of over LARGEST rows
+are split so again, level by level, each by a classifier of its own that a task trains, so parts stay of one size however
+large the table is and the work grows with the rows, not with their square. What a query finds is ranked by exact cosine in
+double precision.
 
 Equal vectors are searched as one, with their smallest ids: exact, since a result of k can hold no more of them than k + 1.
-Parts are dealt into blocks of bounded size on both sides, so no task grows with a part.
+Parts are dealt into blocks of bounded size on both sides, so no task grows with a part that cannot be split.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part; vectors of another length
-than the most frequent one take no part; ties go to the smaller id; repeated ids are candidates once per different vector;
-an empty table gives an empty result.
+than the most frequent one (of equally frequent ones, the shorter) take no part; ties in score go to the smaller id, among
+all vectors of the searched parts, however many are tied; repeated ids are candidates once per different vector; a row
+without id takes no part; further columns of the table are not read, whatever their names; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -22,12 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import bounded_sample, cut
+from dossier.llm.common import cut
 
-SAMPLE, GRAPH_K = 6_000, 10
-PART_ROWS, MOST_PARTS = 400, 512
+SAMPLE, GRAPH_K = 6_000, 10  # rows that a part's classifier is trained on at most
+PART_ROWS, MOST_PARTS = 400, 256  # of one split
+LARGEST = 4 * PART_ROWS  # rows of a part that is not split further
 TARGET = 0.985  # of the sample's neighbours that the searched parts must hold
 BLOCK = 4096  # rows of a part in one group, on either side
+ROUTED = 20_000  # rows that one task routes at a time
+ROUNDING = 1e-12  # more than a cosine of unit vectors can be off
 EPOCHS, BATCH, RATE = 40, 256, 0.02
 
 
@@ -140,13 +148,13 @@ def vectors_of(column) -> np.ndarray:
 
 def _smallest_ids(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of equal vectors in a batch, the k smallest ids."""
+        """Of equal vectors in a batch, the k smallest different ids."""
         for b in batches:
-            first: dict[bytes, list[int]] = {}
+            first: dict[bytes, dict[int, int]] = {}
             x = vectors_of(b.column("vector"))
             for i, (row, v) in enumerate(zip(x, b.column("vec_id").to_pylist(), strict=True)):
-                first.setdefault(row.tobytes(), []).append((v, i))
-            keep = sorted(i for rows in first.values() for _, i in sorted(rows)[:k])
+                first.setdefault(row.tobytes(), {}).setdefault(v, i)
+            keep = sorted(i for rows in first.values() for _, i in sorted(rows.items())[:k])
             yield b.take(pa.array(keep, pa.int64()))
 
     return run
@@ -161,8 +169,81 @@ def distinct_vectors(valid: DataFrame, k: int) -> DataFrame:
     return salted.groupBy("vector").agg(least(F.flatten(F.collect_list("ids"))).alias("ids")).withColumn("gid", F.col("ids")[0])
 
 
+def parts_of(rows: int, sampled: int, part_rows: int) -> int:
+    """Into how many parts a part is split: a power of two."""
+    return 1 << max(1, min(int(np.log2(MOST_PARTS)), round(np.log2(rows / part_rows)), int(np.log2(sampled / 8 + 1))))
+
+
+def _trained(part_rows: int):
+    def run(group: pa.Table) -> pa.Table:
+        """The classifier of one part, from its sampled vectors: one row."""
+        group = group.sort_by("gid")
+        router = train_router(unit(vectors_of(group["vector"])), parts_of(group["n"][0].as_py(), group.num_rows, part_rows))
+        made = [router.weights.shape[1]], [router.probes], [router.weights.astype("<f4").tobytes()], [router.bias.astype("<f4").tobytes()]
+        return pa.table([group["part"].slice(0, 1), *map(pa.array, made)], names=["part", "parts", "probes", "weights", "bias"]).cast(pa.schema(ROUTER_FIELDS))
+
+    return run
+
+
+ROUTER_FIELDS = [("part", pa.int64()), ("parts", pa.int32()), ("probes", pa.int32()), ("weights", pa.binary()), ("bias", pa.binary())]
+ROUTER = "part bigint, parts int, probes int, weights binary, bias binary"
+
+
+def _routed(stored: bool, row: list[str]):
+    def run(rows: pa.Table, routers: pa.Table) -> pa.Table:
+        """Rows of one part with the numbers of their likeliest parts in it: one for a stored row, several for a query."""
+        rows = rows.select([*row, "part"])
+        if not rows.num_rows:
+            return rows
+        r = {c: routers[c][0].as_py() for c in routers.column_names}
+        weights, bias = (np.frombuffer(r[c], "<f4").reshape(-1, r["parts"]).astype(np.float64) for c in ("weights", "bias"))
+        z = log_parts(unit(vectors_of(rows["vector"])), Router(weights, bias[0], r["probes"]))
+        order = np.argsort(-z, axis=1, kind="stable")[:, : 1 if stored else r["probes"]]
+        at = np.repeat(np.arange(rows.num_rows), order.shape[1])
+        return rows.take(pa.array(at)).set_column(len(row), "part", pa.array(r["part"] * RADIX + 1 + order.ravel(), pa.int64()))
+
+    return run
+
+
+RADIX = 2 * MOST_PARTS  # of the digits that a part's number gains when it is split
+
+
+def _route(side: DataFrame, key: str, routers: DataFrame, large: DataFrame, stored: bool, name: str) -> DataFrame:
+    """side with the rows of split parts in their new ones. A part's rows are dealt to as many tasks as it needs."""
+    row = [c for c in side.columns if c != "part"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in side.select(*row, "part").schema)
+    shares = cut(side.groupBy("part").agg(F.ceil(F.count("*") / ROUTED).cast("int").alias("tasks")).join(large.select("part"), "part"), "tasks")
+    dealt = side.join(shares, "part").withColumn("task", F.pmod(F.xxhash64(key), F.col("tasks")).cast("int")).drop("tasks")
+    guides = routers.join(shares, "part").withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).drop("tasks")
+    moved = dealt.groupBy("part", "task").cogroup(guides.groupBy("part", "task")).applyInArrow(_routed(stored, row), schema)
+    return cut(moved.unionByName(side.join(large.select("part"), "part", "left_anti")), name)
+
+
+def partitioned(stored: DataFrame, sent: DataFrame, sample: int, part_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the column part: stored (vector, ids, gid) in one part each, sent (qid, vector) in all they search.
+
+    One round per level: parts of over 4 * part_rows rows are split, unless their last split left nearly all rows together.
+    """
+    stored, sent = stored.withColumn("part", F.lit(1).cast("bigint")), sent.withColumn("part", F.lit(1).cast("bigint"))
+    before = None
+    while True:
+        large = stored.groupBy("part").agg(F.count("*").alias("n")).filter(F.col("n") > 4 * part_rows)
+        if before is not None:
+            large = large.join(before.select(F.col("part").alias("parent"), F.col("n").alias("whole")), F.expr(f"part div {RADIX}") == F.col("parent"))
+            large = large.filter(F.col("n") < 0.9 * F.col("whole")).select("part", "n")
+        before = large = cut(large, "parts")
+        if large.isEmpty():
+            return stored, sent
+        taken = F.pmod(F.xxhash64("gid", F.lit(7)), F.lit(1_000_000)) < F.lit(1_000_000.0 * sample) / F.col("n")
+        sampled = stored.join(large, "part").filter(taken).select("part", "gid", "vector", "n")
+        routers = cut(sampled.groupBy("part").applyInArrow(_trained(part_rows), ROUTER), "routers")
+        large = routers.select("part")  # a part without a sampled row stays as it is
+        stored, sent = _route(stored, "gid", routers, large, True, "stored"), _route(sent, "qid", routers, large, False, "sent")
+
+
 def _block_search(k: int):
     def run(queries: pa.Table, found: pa.Table) -> pa.Table:
+        """The k nearest of each query, ties to smaller ids: those that rounding may have put behind the k-th included."""
         out: dict[str, list] = {"qid": [], "vec_id": [], "score": []}
         if queries.num_rows and found.num_rows:
             q, c = vectors_of(queries["vector"]), vectors_of(found["vector"])
@@ -170,12 +251,13 @@ def _block_search(k: int):
             ids, qids = found["ids"].to_pylist(), queries["qid"].to_pylist()
             for at in range(0, len(q), 512):
                 near = uq[at : at + 512] @ uc.T
-                m = min(near.shape[1], 2 * k)
-                best = np.argpartition(-near, m - 1, axis=1)[:, :m]
-                for i, row in enumerate(best):
-                    a, b = q[at + i], c[row]
+                m = min(near.shape[1], k)
+                least = np.partition(near, near.shape[1] - m, axis=1)[:, near.shape[1] - m]
+                for i, row in enumerate(near):
+                    best = np.flatnonzero(row >= least[i] - ROUNDING)
+                    a, b = q[at + i], c[best]
                     scores = (b * a).sum(axis=1) / (np.sqrt((a * a).sum()) * np.sqrt((b * b).sum(axis=1)))
-                    hits = sorted((-s, v) for s, j in zip(scores.tolist(), row.tolist(), strict=True) for v in ids[j])[:k]
+                    hits = sorted((-s, v) for s, j in zip(scores.tolist(), best.tolist(), strict=True) for v in ids[j])[:k]
                     out["qid"] += [qids[at + i]] * len(hits)
                     out["vec_id"] += [v for _, v in hits]
                     out["score"] += [-s for s, _ in hits]
@@ -184,7 +266,7 @@ def _block_search(k: int):
     return run
 
 
-def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE) -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, part_rows: int = PART_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row for which is_query holds, among all other rows."""
     v = F.col("vector")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -193,31 +275,16 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
     widths = valid.groupBy(F.size("vector").alias("w")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(1).collect()
     valid = valid.filter(F.size("vector") == (widths[0].w if widths else 0))
     groups = cut(distinct_vectors(valid, k + 1), "vectors")
-    n = groups.count()
-    taken = bounded_sample(groups.select("gid", "vector"), sample, F.col("gid")).toArrow().sort_by("gid")
-    parts = 1 << max(0, min(int(np.log2(MOST_PARTS)), round(np.log2(max(n, 1) / PART_ROWS)), int(np.log2(max(len(taken), 1) / 8 + 1))))
-    router = train_router(unit(vectors_of(taken["vector"])), parts) if len(taken) > 1 else Router(np.zeros((widths[0].w if widths else 1, 1)), np.zeros(1), 1)
-    shared = vectors.sparkSession.sparkContext.broadcast(router)
-
-    def route(most: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                z = log_parts(unit(vectors_of(b.column("vector"))), shared.value) if b.num_rows else np.zeros((0, 1))
-                order = np.argsort(-z, axis=1, kind="stable")[:, :most].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(order.tolist(), pa.list_(pa.int32()))], names=[*b.schema.names, "parts"])
-
-        return run
-
     asked = groups.join(valid.filter(is_query(F.col("vec_id"))).select("vector").distinct(), "vector").select(F.col("gid").alias("qid"), "vector")
-    stored = cut(groups.mapInArrow(route(1), "vector array<double>, ids array<bigint>, gid bigint, parts array<int>").select("vector", "ids", "gid", F.col("parts")[0].alias("part")), "stored")
-    sent = cut(asked.mapInArrow(route(router.probes), "qid bigint, vector array<double>, parts array<int>").select("qid", "vector", F.explode("parts").alias("part")), "sent")
-    # counts per part: MOST_PARTS rows at most
-    dealt = [{r.part: -(-r["count"] // BLOCK) for r in side.groupBy("part").count().collect()} for side in (stored, sent)]
-    pieces = [F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p, m in side.items() for x in (p, m)]), F.col("part")), F.lit(1)) if side else F.lit(1) for side in dealt]
-    own = lambda key, count: F.pmod(F.xxhash64(key), count).cast("int")
-    every = lambda count: F.explode(F.sequence(F.lit(0), count - 1))
-    left = sent.withColumn("q", own("qid", pieces[1])).withColumn("c", every(pieces[0]))
-    right = stored.withColumn("c", own("gid", pieces[0])).withColumn("q", every(pieces[1]))
+    stored, sent = partitioned(groups.select("vector", "ids", "gid"), cut(asked, "asked"), sample, part_rows)
+
+    pieces = lambda side: side.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("m"))
+    both = pieces(stored).select("part", F.col("m").alias("c_blocks")).join(pieces(sent).select("part", F.col("m").alias("q_blocks")), "part")
+    both = cut(both, "blocks")  # written, so its size is known when the joins are planned
+    own = lambda key, count: F.pmod(F.xxhash64(key), F.col(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    left = sent.join(both, "part").withColumn("q", own("qid", "q_blocks")).withColumn("c", every("c_blocks")).drop("q_blocks", "c_blocks")
+    right = stored.join(both, "part").withColumn("c", own("gid", "c_blocks")).withColumn("q", every("q_blocks")).drop("q_blocks", "c_blocks")
     key = ["part", "q", "c"]
     hits = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_block_search(k + 1), "qid bigint, vec_id bigint, score double")
     best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))), 1, k + 1)
