@@ -4,31 +4,37 @@ A known word scores by its log frequency in each language; an unseen word by the
 of its positions, from MAX_GRAM characters down to one. The language of the greatest sum over all words of the text wins,
 and the softmax of the sums, tempered by the text's length, is its score.
 
-Counts are distributed group-bys over a sample of at most SAMPLE labelled documents; the model holds the MOST_WORDS most
-frequent words and MOST_GRAMS n-grams, so its size has a bound and is broadcast.
-
-Defined cases: a text that is null or has no letter is `und` with score 0; nothing learned (no labelled rows) makes every
-text `und`; repeated rows are rows of their own; an empty table gives an empty result.
+Counts are distributed group-bys over a sample of at most SAMPLE labelled documents of each language, so a rare language is
+learned as well as a hot one. The model holds at most MOST_WORDS words and MOST_GRAMS n-grams, the most frequent ones of each
+language in equal shares: these bound the size of what is broadcast, not what is read, as a word that is left out is scored
+by its n-grams and an n-gram that is left out by a shorter one. All n-grams of all words are counted, however long the word.
+
+Defined cases: a text that is null or has no letter (Unicode category L) is `und` with score 0; nothing learned (no labelled
+rows) makes every text `und`; languages of equal score go to the one first in code point order; a very long text is scored
+whole, with memory in proportion to it; repeated rows are rows of their own; columns of docs named like a new one are replaced
+by it; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dossier.llm.common import bounded_sample, cut
+from dossier.llm.common import cut
 from dossier.llm.word_table import WordTable, map_texts, sums
 
-SAMPLE, MOST_WORDS, MOST_GRAMS = 12_000, 60_000, 60_000
+SAMPLE, MOST_WORDS, MOST_GRAMS = 3_000, 60_000, 60_000
 MAX_GRAM = 4
 SMOOTH = 0.5
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Runs of letters. The class of word characters also holds numbers that are no digits, such as fractions.
+LETTERS = re.compile(r"[^\W\d_%s]+" % "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not (c.isalpha() or c.isdecimal())))
 UNKNOWN = "und"
 EVIDENCE = 8.0  # a text's words count as so many at most in its score
 
@@ -59,27 +65,32 @@ def _table(rows: pa.Table, langs: list[str]) -> tuple[dict[str, int], np.ndarray
     return {t: i for i, t in enumerate(terms.dictionary.to_pylist())}, scores
 
 
-def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """A model of the labelled rows of docs (text and language not null), from a bounded sample of them."""
-    labelled = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    taken = bounded_sample(labelled.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")), sample, F.col("id"))
+def most_frequent(counted: DataFrame, bound: int) -> pa.Table:
+    """term, lang, n of the terms that are among the most frequent of a language; `bound` of them at most, in equal shares."""
+    n_langs = max(counted.select("lang").distinct().count(), 1)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "term"))
+    top = counted.withColumn("place", place).filter(F.col("place") <= max(bound // n_langs, 1)).select("term").distinct()
+    return counted.join(top, "term").select("lang", "term", "n").toArrow().sort_by([("term", "ascending"), ("lang", "ascending")])
+
+
+def learn(
+    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE, most_words: int = MOST_WORDS, most_grams: int = MOST_GRAMS
+) -> Model:
+    """A model of the labelled rows of docs (text and language not null), from about `sample` rows of each language at most."""
+    labelled = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).filter("text is not null and lang is not null")
+    rates = cut(labelled.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(sample)) / F.count("*")).alias("rate")), "rates")
+    chance = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1_000_000)) / F.lit(1e6)
+    taken = labelled.join(rates, "lang").filter(chance < F.col("rate"))
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
     counted = cut(taken.select("lang", F.explode(words).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("n")), "words")
     langs = [r.lang for r in counted.select("lang").distinct().orderBy("lang").collect()]
 
-    def most(df: DataFrame, bound: int) -> pa.Table:
-        top = df.groupBy("term").agg(F.sum("n").alias("total")).filter("total > 1").orderBy(F.desc("total"), "term").limit(bound)
-        return df.join(top, "term").select("lang", "term", "n").toArrow().sort_by([("term", "ascending"), ("lang", "ascending")])
-
-    spelled = F.concat(F.lit("^"), F.col("term"), F.lit("$"))
-    grams = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.lit(MAX_GRAM)),
-            lambda n: F.when(F.length(spelled) >= n, F.transform(F.sequence(F.lit(1), F.length(spelled) - n + 1), lambda i: F.substring(spelled, i, n))).otherwise(F.array().cast("array<string>")),
-        )
-    )
-    by_gram = counted.filter(F.length("term") <= 40).select("lang", F.explode(grams).alias("term"), "n").groupBy("lang", "term").agg(F.sum("n").alias("n"))
-    return Model(langs, *_table(most(counted, MOST_WORDS), langs), *_table(most(cut(by_gram, "grams"), MOST_GRAMS), langs))
+    # characters first, then slices of them: linear in the word, however long
+    letters = F.split(F.concat(F.lit("^"), F.col("term"), F.lit("$")), "")
+    n_grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("letters") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("letters", i, n), ""))
+    sizes = F.transform(F.sequence(F.lit(1), F.least(F.lit(MAX_GRAM), F.size("letters"))), n_grams)
+    by_gram = counted.select("lang", "n", letters.alias("letters")).select("lang", "n", F.explode(F.flatten(sizes)).alias("term")).groupBy("lang", "term").agg(F.sum("n").alias("n"))
+    return Model(langs, *_table(most_frequent(counted, most_words), langs), *_table(most_frequent(cut(by_gram, "grams"), most_grams), langs))
 
 
 def word_rows(words: list[str], m: Model) -> np.ndarray:
