@@ -1,35 +1,32 @@
-"""Connected components of an edge list by alternating star contractions, each round cut by a checkpoint."""
+"""Connected components of an edge list by alternating star contractions, each round cut by a written table."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dossier.cuts import cut
 
-def ensure_checkpoints(df: DataFrame) -> None:
-    """Sets a checkpoint folder where the session has none (tests); clusters name a shared one in spark.checkpoint.dir."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="dossier-"))
 
+def components(edges: DataFrame) -> DataFrame:
+    """node, component (the smallest node) for every node of the edges a, b.
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """node, component (the smallest node) for every node of the edges a, b."""
-    ensure_checkpoints(edges)
+    Rounds go on until none changes an edge: about the logarithm of the longest path of them. Self-loops, repeated edges and
+    either direction of an edge are alike; an edge with a null end is none.
+    """
+    edges = cut(edges.filter("a is not null and b is not null").select("a", "b"), "edges")
     nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
-    links = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct().checkpoint()
+    links = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
     seen = None
-    for _ in range(max_rounds):
-        state = tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+    while True:
+        state = tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
         if state[0] == 0 or state == seen:
             break
         seen = state
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("least"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("u", "least").alias("v")).distinct().checkpoint()
+        large = cut(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("u", "least").alias("v")).distinct(), "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("least"))
         moved = large.join(least, "u").filter("v > least").select(F.col("v").alias("u"), F.col("least").alias("v"))
-        links = moved.unionByName(least.select("u", F.col("least").alias("v"))).distinct().checkpoint()
+        links = cut(moved.unionByName(least.select("u", F.col("least").alias("v"))).distinct(), "small-star")
     return nodes.join(links, nodes.node == links.u, "left").select("node", F.coalesce("v", "node").alias("component"))

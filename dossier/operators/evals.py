@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dossier.operators.components import ensure_checkpoints
+from dossier.cuts import cut
 
 CITATION_SHARE, GROUNDING_SHARE = 0.65, 0.35
 LONG_ANSWER = 400
@@ -51,10 +51,9 @@ def values_at(rows: DataFrame, value: str, by: list[str], ranks: dict[str, Calla
     Equal values are counted first. A group's different values lie in about `ranges` ranges of equal numbers; only those of
     the ranges that hold a wanted place are ordered, so no group is collected or ordered whole.
     """
-    ensure_checkpoints(rows)
     per = rows.filter(F.col(value).isNotNull()).groupBy(F.struct(F.lit(0), *by).alias("_key"), F.col(value).alias("_v")).agg(F.count("*").alias("_m"))
     shares = [i / ranges for i in range(1, ranges)]
-    group = per.groupBy("_key").agg(F.percentile_approx("_v", shares, 1000).alias("_bounds"), F.sum("_m").alias("_n")).checkpoint()
+    group = cut(per.groupBy("_key").agg(F.percentile_approx("_v", shares, 1000).alias("_bounds"), F.sum("_m").alias("_n")), "bounds")
     spread = group.select("_key", "_bounds", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
     salted = per.withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(salts)).cast("int")).join(spread, ["_key", "_salt"])
     ranged = salted.select("_key", "_v", "_m", F.size(F.filter("_bounds", lambda b: b < F.col("_v"))).alias("_range"))

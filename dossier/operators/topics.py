@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dossier.cuts import cut
 from dossier.functions import vectors
 from dossier.functions.text import normal_name
-from dossier.operators.components import components, ensure_checkpoints
+from dossier.operators.components import components
 
 
 def similar_pairs(topics: DataFrame, least: float, below: float | None = None, key: str = "id", blocks: int = 16) -> DataFrame:
@@ -38,31 +40,60 @@ def cluster_plan(topics: DataFrame, pairs: DataFrame, weight: str = "chunk_count
     return member.withColumn("keeper", keeper).filter(F.col("id") != F.col("keeper")).select(F.col("id").alias("absorbed"), "keeper")
 
 
-def greedy_plan(topics: DataFrame, pairs: DataFrame, weight: str = "chunk_count", key: str = "id", rounds: int = 100) -> DataFrame:
-    """absorbed, keeper: heaviest first, each topic absorbs its similar lighter ones that are still free; not transitive.
+def _sequential(group: pd.DataFrame) -> pd.DataFrame:
+    """The greedy plan of one component; group: over, under, w, wu."""
+    weight = dict(zip(group["over"], group["w"], strict=True)) | dict(zip(group["under"], group["wu"], strict=True))
+    under: dict = {}
+    for o, u in zip(group["over"], group["under"], strict=True):
+        under.setdefault(o, []).append(u)
+    keeper: dict = {}
+    for topic in sorted(weight, key=lambda t: (-weight[t], t)):
+        if topic not in keeper:
+            keeper |= {u: topic for u in under.get(topic, ()) if u not in keeper}
+    return pd.DataFrame({"absorbed": list(keeper), "keeper": list(keeper.values())})
+
+
+def _by_rounds(over: DataFrame) -> DataFrame:
+    """The greedy plan by set operations: in each round, topics without a heavier undecided neighbour keep, and their
+    undecided neighbours go to the heaviest of them, until none is undecided. No task sees a component."""
+    over = cut(over.select("over", "under", "w"), "over")
+    done = over.limit(0).select(F.col("under").alias("absorbed"), F.col("over").alias("keeper"))
+    pieces = 0
+    while not over.isEmpty():
+        keep = cut(over.select("over").distinct().join(over.select(F.col("under").alias("over")), "over", "left_anti"), "keep")
+        reached = over.join(keep, "over")
+        most = reached.groupBy("under").agg(F.max("w").alias("w"))
+        # of equally heavy keepers the smaller id
+        taken = cut(reached.join(most, ["under", "w"]).groupBy("under").agg(F.min("over").alias("over")), "taken")
+        done, pieces = done.unionByName(taken.select(F.col("under").alias("absorbed"), F.col("over").alias("keeper"))), pieces + 1
+        if pieces % 16 == 0:
+            done = cut(done, "done")
+        gone = keep.select(F.col("over").alias("id")).unionByName(taken.select(F.col("under").alias("id")))
+        rest = over.join(gone.select(F.col("id").alias("over")), "over", "left_anti").join(gone.select(F.col("id").alias("under")), "under", "left_anti")
+        over = cut(rest.select("over", "under", "w"), "over")
+    return done
+
 
-    Rounds of set operations give the sequential result: in each, topics without a heavier undecided neighbour keep, and
-    their undecided neighbours go to the heaviest of them. Only edges are visited.
+def greedy_plan(topics: DataFrame, pairs: DataFrame, weight: str = "chunk_count", key: str = "id", most_edges: int = 100_000) -> DataFrame:
+    """absorbed, keeper: heaviest first (ties: the smaller id), each topic absorbs its similar lighter ones that are still
+    free; not transitive.
+
+    Connected components are decided apart. One of up to most_edges pairs is walked through in a task; larger ones take
+    rounds of set operations over all their pairs, with the same result.
     """
-    ensure_checkpoints(topics)
     place = topics.select(F.col(key).alias("id"), F.col(weight).alias("w"))
-    spark = topics.sparkSession
-    edge = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    edge = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     edge = edge.join(place.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(place.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
     heavier = (F.col("wa") > F.col("wb")) | ((F.col("wa") == F.col("wb")) & (F.col("a") < F.col("b")))
-    over = edge.filter(heavier).select(F.col("a").alias("over"), F.col("b").alias("under"), F.col("wa").alias("w")).checkpoint()  # over may absorb under
-    done = spark.createDataFrame([], over.select(F.col("under").alias("absorbed"), F.col("over").alias("keeper")).schema)
-    for _ in range(rounds):
-        undecided = over.select(F.col("over").alias("id")).unionByName(over.select(F.col("under").alias("id"))).distinct()
-        keep = undecided.join(over.select(F.col("under").alias("id")), "id", "left_anti").checkpoint()
-        if keep.isEmpty():
-            break
-        taken = over.join(keep.select(F.col("id").alias("over")), "over").groupBy("under").agg(F.max_by("over", F.struct("w", F.lit(0))).alias("keeper"), F.max("w").alias("w"))
-        first = over.join(keep.select(F.col("id").alias("over")), "over").join(taken.select("under", "w"), ["under", "w"]).groupBy("under").agg(F.min("over").alias("keeper"))
-        done = done.unionByName(first.select(F.col("under").alias("absorbed"), "keeper")).checkpoint()
-        gone = keep.unionByName(first.select(F.col("under").alias("id")))
-        over = over.join(gone.select(F.col("id").alias("over")), "over", "left_anti").join(gone.select(F.col("id").alias("under")), "under", "left_anti").select("over", "under", "w").checkpoint()
-    return done
+    over = cut(edge.filter(heavier).select(F.col("a").alias("over"), F.col("b").alias("under"), F.col("wa").alias("w"), F.col("wb").alias("wu")), "over")
+    label = components(over.select(F.col("over").alias("a"), F.col("under").alias("b")))
+    labelled = cut(over.join(label.select(F.col("node").alias("over"), "component"), "over"), "labelled")
+    sizes = labelled.groupBy("component").agg(F.count("*").alias("edges"))
+    small = labelled.join(sizes.filter(F.col("edges") <= most_edges), "component")
+    kind = over.schema["over"].dataType.simpleString()
+    walked = small.groupBy("component").applyInPandas(_sequential, f"absorbed {kind}, keeper {kind}")
+    large = labelled.join(sizes.filter(F.col("edges") > most_edges), "component")
+    return walked.unionByName(_by_rounds(large))
 
 
 def name_plan(topics: DataFrame, name: str = "name", weight: str = "chunk_count", key: str = "id") -> DataFrame:

@@ -182,3 +182,17 @@ def test_summary_of_a_large_group_collects_no_array(spark):
     hot = sorted(v for k, v in rows if k == "hot")
     assert got["hot"] == (5000, round(statistics.median(hot), 4), round(statistics.quantiles(hot, n=10)[0], 4))
     assert got[None] == (11, 5.0, round(statistics.quantiles(map(float, range(11)), n=10)[0], 4)) and got["few"] == (2, 1.5, 1.0) and got["none"] == (0, None, None)
+
+
+def test_greedy_plan_of_a_long_chain(spark):
+    """A chain of 1,000 ever lighter topics: every second one is absorbed by the one before it, in a task or by rounds."""
+    n = 1000
+    t = frame(spark, "id int, chunk_count int", *[(i, n - i) for i in range(n)])
+    chain = [(i, i + 1) for i in range(n - 1)]
+    assert set(rows(topics.greedy_plan(t, frame(spark, "a int, b int", *chain)))) == {(i + 1, i) for i in range(0, n, 2)}
+    rng = random.Random(8)
+    weights = {i: rng.randint(0, 6) for i in range(40)}
+    pairs = [p for p in itertools.combinations(range(40), 2) if rng.random() < 0.07]
+    some = frame(spark, "id int, chunk_count int", *weights.items())
+    for most in (0, 4):
+        assert set(rows(topics.greedy_plan(some, frame(spark, "a int, b int", *pairs), most_edges=most))) == sequential_greedy(weights, pairs)
