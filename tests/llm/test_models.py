@@ -1,10 +1,11 @@
+import itertools
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 
-
 from dossier.llm import ann, html_text, language_id, quality_classifier, toxicity
 from dossier.llm.common import fold
 from tests.llm.data import documents, empty
@@ -161,37 +162,110 @@ def test_article_text_without_boilerplate(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def plain_blocks(pages, place=html_text.PLAIN):
+    return [(list(p), [place] * len(p)) for p in pages]
+
+
+def plain_texts(pages, share, least):
+    """Main texts by looking for every run of RUN words on every distinct page of the host."""
+    run, distinct = html_text.RUN, {tuple(p) for p in pages}
+    words = [" ".join(p).split(" ") for p in distinct]
+    held = Counter(r for w in words for r in {tuple(w[i : i + run]) for i in range(len(w) - run + 1)})
+    common = {r for r, n in held.items() if n >= max(least, share * len(distinct))}
+    out = []
+    for page in pages:
+        flat = [(w, k) for k, text in enumerate(page) for w in text.split(" ")]
+        gone = {i + j for i in range(len(flat) - run + 1) if tuple(w for w, _ in flat[i : i + run]) in common for j in range(run)}
+        kept, i = [], 0
+        for text in page:
+            flags = [i + j in gone for j in range(len(text.split(" ")))]
+            i += len(flags)
+            stretches = [(g, len(list(same))) for g, same in itertools.groupby(flags)]
+            cut = [g and (n >= run or n == len(flags)) for g, n in stretches for _ in range(n)]
+            kept.append(" ".join(w for w, c in zip(text.split(" "), cut, strict=True) if not c))
+        out.append("\n\n".join(filter(None, kept)) or "\n\n".join(page))
+    return out
+
+
+def test_suffixes_are_in_order_with_their_common_prefixes():
+    rng = np.random.default_rng(3)
+    for n, kinds in ((0, 1), (1, 1), (40, 1), (60, 2), (300, 3), (400, 90)):
+        codes = np.append(rng.integers(0, kinds, n), kinds) if n else np.zeros(0, np.int64)
+        order, shared = html_text.suffix_array(codes)
+        suffixes = [codes[i:].tolist() for i in range(len(codes))]
+        assert [suffixes[i] for i in order] == sorted(suffixes)
+        prefix = lambda x, y: next((k for k, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+        assert shared.tolist() == [prefix(suffixes[order[k - 1]], suffixes[order[k]]) if k else 0 for k in range(len(order))]
+
+
 def test_repeated_runs_go_where_markup_is_silent():
     rng = random.Random(6)
     notice = "this site uses little files to keep your settings between visits please agree"
     pages = [[notice, " ".join(f"w{rng.randint(0, 5000)}" for _ in range(80))] for _ in range(12)]
-    assert html_text.boilerplate(pages, [False] * 12) == [[True, False]] * 12
-    assert html_text.boilerplate(pages, [True] * 12) == [[True, False]] * 12
-    # a passage that some pages share, and pages that are copies, keep their text
+    own = [p[1] for p in pages]
+    assert html_text.host_texts(plain_blocks(pages)) == own
+    assert html_text.host_texts(plain_blocks(pages, html_text.ARTICLE)) == own
+    # in an article, a passage that some pages share stays, and so do pages that are copies
     passage = " ".join(f"p{i}" for i in range(60))
     some = [[p[1]] + ([passage] if i < 5 else []) for i, p in enumerate(pages)]
-    assert html_text.boilerplate(some, [True] * 12) == [[False] * len(p) for p in some]
-    same = [[passage, "other " * 20]] * 12
-    assert html_text.boilerplate(same, [True] * 12) == [[False, False]] * 12
-
-
-def test_pages_keep_over_half(spark):
+    assert html_text.host_texts(plain_blocks(some, html_text.ARTICLE)) == ["\n\n".join(p) for p in some]
+    same = [[passage, "other " * 19 + "other"]] * 12
+    for place in (html_text.PLAIN, html_text.ARTICLE):
+        assert html_text.host_texts(plain_blocks(same, place)) == ["\n\n".join(same[0])] * 12
+    near = [[passage + f" x{i}"] for i in range(12)]
+    assert html_text.host_texts(plain_blocks(near, html_text.ARTICLE)) == [p[0] for p in near]
+
+
+def test_runs_are_what_a_search_of_all_pages_finds():
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randint(0, 3000)}"
+    menu = [f"item{i}" for i in range(11)]  # short blocks: a run spans them
+    footer = " ".join(f"f{i}" for i in range(20))
+    for n in (1, 2, 3, 9, 40):
+        pages = []
+        for i in range(n):
+            body = [" ".join(word() for _ in range(rng.randint(1, 60))) for _ in range(rng.randint(0, 4))]
+            inner = f"{word()} {word()} {footer} {word()}" if i % 3 else " ".join(footer.split()[:7])
+            pages.append([*(menu if i % 2 else menu[:5]), *body, inner])
+        pages += pages[: n // 4]  # repeated rows count once
+        assert html_text.host_texts(plain_blocks(pages)) == plain_texts(pages, *html_text.UNMARKED)
+    # the array is what removes the menu: with it off, all of it stays
+    assert not any("item3" in t for t in html_text.host_texts(plain_blocks(pages))[1:40:2])
+
+
+def test_long_repeats_leave_a_short_text():
     long = " ".join(f"q{i}" for i in range(50))
     pages = [[long, f"own {i} text"] for i in range(12)]
-    assert html_text.boilerplate(pages, [False] * 12) == [[False, False]] * 12
+    assert html_text.host_texts(plain_blocks(pages)) == [f"own {i} text" for i in range(12)]
+
+
+def test_held_out_pages_without_names(spark):
+    """Menus, notices and footers in plain boxes, and headings in boxes named after their article."""
+    rng = random.Random(12)
+    menu = "".join(f"<div>menu{i}</div>" for i in range(9))
+    foot = "<div>" + " ".join(f"foot{i}" for i in range(15)) + "</div>"
+    rows, want = [], {}
+    for i in range(40):
+        head, body = f"Heading {i} of {rng.random()}", " ".join(f"w{rng.randint(0, 9000)}" for _ in range(50))
+        inner = f'<div class="post-header"><h1>{head}</h1></div><p>{body}</p>'
+        page = f"<article><header><h1>{head}</h1></header><p>{body}</p></article>" if i % 4 == 0 else f'<div class="site-header">Site {i}</div>{inner}'
+        rows.append((i, f"https://h.example/{i}", f"<html><body>{menu}{page}{foot}</body></html>"))
+        want[i] = f"{head}\n\n{body}"
+    out = html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string"), group=8).collect()
+    assert {r.page_id: r.text for r in out} == want
 
 
 def test_runs_are_counted_over_the_whole_host(spark):
     rng = random.Random(9)
     own = lambda: " ".join(f"w{rng.randint(0, 5000)}" for _ in range(150))
     passages = [" ".join(f"p{k}x{j}" for j in range(12)) for k in range(12)]
-    holders = [set(rng.sample(range(300), 135 + 3 * k)) for k in range(12)]  # 45 % to 56 % of the pages
+    holders = [set(rng.sample(range(300), 45 + 3 * k)) for k in range(12)]  # 15 % to 26 % of the pages
     held = [[p for p, some in zip(passages, holders, strict=True) if i in some] for i in range(300)]
     blocks = [[*few, own()] for few in held]
     rows = [(i, f"https://h.example/{i}", "".join(f"<div>{b}</div>" for b in page)) for i, page in enumerate(blocks)]
-    gone = html_text.boilerplate(blocks, [False] * 300)
-    want = {i: "\n\n".join(b for b, g in zip(page, flags, strict=True) if not g) for i, (page, flags) in enumerate(zip(blocks, gone, strict=True))}
-    assert any(map(any, gone)) and not all(passages[0] not in t for t in want.values())
+    want = dict(enumerate(html_text.host_texts(plain_blocks(blocks))))
+    assert list(want.values()) == plain_texts(blocks, *html_text.UNMARKED)
+    assert any(passages[0] in t for t in want.values()) and not any(passages[-1] in t for t in want.values())
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
     for group in (16, 64):
         assert {r.page_id: r.text for r in html_text.extract(pages, group=group).collect()} == want
@@ -201,30 +275,56 @@ def test_repeated_rows_are_one_page_of_a_group(spark):
     rng = random.Random(4)
     notice = " ".join(f"n{i}" for i in range(12))
     blocks = [[*([notice] if i < 180 else []), " ".join(f"w{rng.randint(0, 5000)}" for _ in range(60))] for i in range(300)] + [["copy " * 30 + "end"]] * 900
-    gone = html_text.boilerplate(blocks, [False] * len(blocks))
-    want = sorted("\n\n".join(b for b, g in zip(page, flags, strict=True) if not g) for page, flags in zip(blocks, gone, strict=True))
-    assert gone[0] == [True, False]
+    want = html_text.host_texts(plain_blocks(blocks))
+    assert want[0] == blocks[0][1]
     rows = [(None, None, "".join(f"<div>{b}</div>" for b in page)) for page in blocks]  # rows of one key
     for some in (rows, rows[::-1]):
         pages = spark.createDataFrame(some, "page_id bigint, url string, html string").coalesce(2)
-        assert sorted(r.text for r in html_text.extract(pages).collect()) == want
+        assert sorted(r.text for r in html_text.extract(pages).collect()) == sorted(want)
     dealt = pages.selectExpr("html", "'' AS host", "19 AS parts").mapInArrow(html_text._contents, html_text.CONTENTS)
     assert dealt.count() <= 302 and dealt.groupBy("part").count().agg({"count": "max"}).collect()[0][0] <= html_text.GROUP
 
 
-def test_quality_reads_the_middle_of_long_words(spark):
-    import zlib
-    from collections import Counter
+def test_a_very_long_page(spark):
+    body = " ".join(f"w{i}" for i in range(300_000))
+    pages = spark.createDataFrame([(1, "https://h.example/", f"<article><p>{body}</p></article>"), (1, "https://h.example/", f"<p>{body}")], "page_id bigint, url string, html string")
+    assert [r.text for r in html_text.extract(pages).collect()] == [body, body]
+
 
-    def plain(word):
-        w = f"<{word}>"
-        return Counter(zlib.crc32(g.encode()) % quality_classifier.BUCKETS for g in [w, *(w[i : i + n] for n in quality_classifier.GRAMS for i in range(len(w) - n + 1))])
+def test_quality_reads_the_middle_of_long_words(spark):
+    q = quality_classifier
+
+    def plain(text):
+        """Buckets of the whole words and their n-grams, by loops over Python integers."""
+        out, before = Counter(), None
+        for w in text.split():
+            h = sum(ord(c) * pow(int(q.WORD_ROLL), i, 1 << 64) for i, c in enumerate(w + " "))
+            out[(h * int(q.WORD_MIX) % (1 << 64)) >> (64 - q.BUCKET_BITS)] += 1
+            spaced = f" {w} "
+            for n in q.GRAMS:
+                for i in range(len(spaced) - n + 1):
+                    r = 0
+                    for c in spaced[i : i + n]:
+                        r = (r * int(q.ROLL) + ord(c)) % (1 << 32)
+                    out[((r + n) * int(q.MIX) % (1 << 32)) >> (32 - q.BUCKET_BITS)] += 1
+            out[q.AGAIN] += q.AGAIN_WEIGHT * (w == before)
+            before = w
+        return +out
 
     rng = random.Random(2)
-    for size in (1, 22, 23, 60, 1021, 1022, 1023, 1024, 1025, 2047, 2048, 5000):
-        word = "".join(rng.choice("abcdeé漢") for _ in range(size))
-        counts = quality_classifier.feature_counts(word)
-        assert Counter(quality_classifier.features(word)) == plain(word) == Counter({i: int(counts[i]) for i in np.flatnonzero(counts).tolist()})
+    made = ["".join(rng.choice("abcdeé漢😀") for _ in range(size)) for size in (1, 2, 3, 22, 60, 1023, 5000, q.BLOCK - 3, q.BLOCK - 1, q.BLOCK + 1)]
+    some = [*made, "", " \t\n ", " a  a\ta b ", "é é é 漢", " ".join(made[:6]), "a " * 3000]
+    found = [Counter(dict(zip(ids.tolist(), n.tolist(), strict=True))) for ids, n in q.feature_counts(some)]
+    assert found == [plain(t) for t in some]
+    # scores: brute force over those counts, and the same for one text as for many
+    values = np.random.default_rng(1).normal(size=q.BUCKETS)
+    total, n = q.feature_sums(some, values)
+    assert n.tolist() == [sum(c.values()) for c in found]
+    assert np.allclose(total, [sum(values[b] * k for b, k in c.items()) for c in found])
+    model = q.train([(ids, k, i % 2) for i, (ids, k) in enumerate(q.feature_counts(some))])
+    for t, c, s in zip(some, found, q.scores(some, model, q.margins(model)), strict=True):
+        mean = sum(model.vectors[b].astype(float) * k for b, k in c.items()) / sum(c.values()) if c else None
+        assert abs(s - (q.softmax(mean @ model.weights + model.bias)[1] if c else model.prior)) < 1e-5
     # unspaced documents that differ in the middle only
     text = lambda junk, n: "a" * 20 + "".join(rng.choice("xyz" if junk else "klm") for _ in range(n)) + "b" * 8
     rows = [(1000 + i, text(i % 2, 3000 if i % 5 == 0 else 80), "en", "a") for i in range(200)]
