@@ -1,13 +1,12 @@
-"""What the operators of this subpackage share: table access, lineage cuts, word patterns, prefix sums."""
+"""What the operators of this subpackage share: table access, folds, samples, row keys, prefix sums."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dossier.cuts import cut  # noqa: F401  (for the operators)
+
 #: A word in every contract of this subpackage: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,25 +15,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for lineage cuts: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    sc = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not where:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="dossier-"))
-        where = sc.getCheckpointDir()
-    return where.rstrip("/")
-
-
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back.
-
-    Later stages then depend on files that every executor sees, so a lost executor costs no recomputation
-    of what lies before the cut. Each call takes a folder of its own.
-    """
-    path = f"{scratch_dir(df.sparkSession)}/dossier-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns of a row, as far as their types have one: rows that differ in any get different keys."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"])
 
 
 def fold(id_col: str, k: int) -> Column:

@@ -8,11 +8,12 @@ then rounded into 0, 1 or 2 copies so that the error of a source stays within ab
 
 Everything is DataFrame code: scans are reduced to counts of (source, size) before any step, the loop's state is one
 row per source, and no source, size or group of copies meets in one task: documents of one size are dealt into
-BINS bins by a hash and numbered inside them.
+BINS bins by a hash and numbered inside them, and a source's sizes are summed in blocks of SIZE_BLOCK, then over the blocks.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; a source without words has
-target 0 and its documents rate 1 (nothing is taken from them); repeated rows are rows of their own; an empty table
-gives an empty result.
+target 0 and its documents rate 1 (nothing is taken from them); a very long text is one large size, so that its source's
+error may be as large; documents of one size and source (ties) get their copies in the order of a hash; repeated rows are
+rows of their own; other columns may have any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,14 +21,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dossier.llm.common import WORD, cut
+from dossier.llm.common import WORD, cut, row_hash
 
 WEIGHTS = (3, 1, 2)  # by rank of the source, repeating
 SHARE = 1.5  # of all sizes
 CAP = 2.0  # times a source's or a document's size
 BINS = 1024
-MAX_STEPS = 60
 TOLERANCE = 1e-10
+UNIT = 1 << 20  # of a copy: expected copies are summed as whole numbers of these, so sums do not depend on their order
+SIZE_BLOCK = 1024
 
 
 def word_count(text: Column) -> Column:
@@ -75,12 +77,13 @@ def rate(lam: Column, z: Column) -> Column:
 
 
 def solve(classes: DataFrame, sources: DataFrame) -> DataFrame:
-    """sources with lambda; classes: source, size, n. Newton steps on the dual of each source, all sources at once."""
+    """sources with lambda; classes: source, size, n. Newton steps on the dual of each source, all sources at once, until each
+    meets its target: the dual is convex, and a step that leaves its bracket is replaced by the bracket's middle."""
     big = F.lit(float("inf"))
     state = sources.select("*", F.lit(0.0).alias("lam"), (-big).alias("lo"), big.alias("hi"), F.lit(None).cast("double").alias("miss"))
     free = (F.col("source_size") > 0) & (F.col("target") < F.col("source_size") * CAP)
     c, s = classes.alias("c"), lambda x: x.alias("s")
-    for _ in range(MAX_STEPS):
+    while True:
         z = F.col("c.size") * F.col("s.n_docs") / F.col("s.source_size")
         r = rate(F.col("s.lam"), z)
         moments = (
@@ -93,11 +96,13 @@ def solve(classes: DataFrame, sources: DataFrame) -> DataFrame:
         lo, hi = F.when(miss < 0, F.col("lam")).otherwise(F.col("lo")), F.when(miss > 0, F.col("lam")).otherwise(F.col("hi"))
         inside = (step > lo) & (step < hi) & ~F.isnan(step)
         middle = F.when(lo == -big, hi * 2 - 1).when(hi == big, lo * 2 + 1).otherwise((lo + hi) / 2)
-        near = F.abs(miss) <= F.lit(TOLERANCE) * F.col("target")
+        moved = F.when(inside, step).otherwise(middle)
+        # done within the tolerance, or where doubles have no value between the bracket's ends
+        near = (F.abs(miss) <= F.lit(TOLERANCE) * F.col("target")) | (moved == F.col("lam"))
         state = cut(
             state.join(moments, F.col("source").eqNullSafe(F.col("msource")), "left").select(
                 *sources.columns,
-                F.when(F.col("got").isNull() | near, F.col("lam")).when(inside, step).otherwise(middle).alias("lam"),
+                F.when(F.col("got").isNull() | near, F.col("lam")).otherwise(moved).alias("lam"),
                 lo.alias("lo"), hi.alias("hi"),
                 F.when(F.col("got").isNull() | near, F.lit(0.0)).otherwise(F.abs(miss)).alias("miss"),
             ),
@@ -109,15 +114,16 @@ def solve(classes: DataFrame, sources: DataFrame) -> DataFrame:
     return state.select(*sources.columns, F.round("lam", 9).alias("lam"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_key: Column | None = None) -> DataFrame:
     """One row per row of docs: doc_id, source, size, row_key, source_size, target, rate, copies, taken.
 
-    row_key is a hash of id, source and text, which finds the row again in docs.
+    row_key is a hash of id, source and text unless given.
     """
+    key = F.xxhash64(id_col, F.col(source_col).cast("string"), text_col) if row_key is None else row_key
     slim = cut(
         docs.select(
             F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"),
-            F.xxhash64(id_col, F.col(source_col).cast("string"), text_col).alias("row_key"),
+            key.alias("row_key"),
         ),
         "sizes",
     )
@@ -134,9 +140,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         )
     )
     # running sums in order of size: what rounding moves goes to the next size, so the error stays within one document
-    upto = F.sum(F.col("n") * F.col("rate")).over(Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, 0))
-    whole = lambda x: F.floor(x + F.lit(0.5 + 1e-7))
-    planned = expected.withColumn("upto", upto).withColumn("class_copies", whole(F.col("upto")) - whole(F.col("upto") - F.col("n") * F.col("rate")))
+    expected = expected.withColumns({"units": F.round(F.col("n") * F.col("rate") * UNIT).cast("bigint"), "block": F.expr(f"size div {SIZE_BLOCK}")})
+    blocks = expected.groupBy(F.col("source").alias("bsource"), F.col("block").alias("bblock")).agg(F.sum("units").alias("held"))
+    before = F.coalesce(F.sum("held").over(Window.partitionBy("bsource").orderBy("bblock").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    started = expected.join(blocks.withColumn("before", before), F.col("source").eqNullSafe(F.col("bsource")) & (F.col("block") == F.col("bblock")))
+    upto = F.col("before") + F.sum("units").over(Window.partitionBy("source", "block").orderBy("size").rowsBetween(Window.unboundedPreceding, 0))
+    whole = lambda x: F.floor((x + UNIT // 2) / UNIT).cast("bigint")
+    planned = started.withColumn("upto", upto).withColumn("class_copies", whole(F.col("upto")) - whole(F.col("upto") - F.col("units")))
 
     binned = slim.withColumn("bin", F.pmod(F.xxhash64("row_key", "doc_id"), F.lit(BINS)).cast("int"))
     cells = binned.groupBy("source", "size", "bin").agg(F.count("*").alias("m"))
@@ -156,9 +166,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs with every row repeated as often as the mix takes it: the columns of docs, whatever their names."""
-    plan = mix(docs, id_col, text_col, source_col).filter("copies > 0").select("row_key", "copies")
-    among = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*by))
-    plan = plan.withColumn("nth", F.row_number().over(Window.partitionBy("row_key").orderBy(F.desc("copies"))))
-    keyed = docs.select(F.struct("*").alias("row"), F.xxhash64(id_col, F.col(source_col).cast("string"), text_col).alias("row_key")).withColumn("nth", among("row_key"))
-    return keyed.join(plan, ["row_key", "nth"]).select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
+    """docs with every row repeated as often as the mix takes it: the columns of docs, whatever their names.
+
+    Texts are shuffled once, to their row keys; rows equal in all columns share a key and their copies are made of one.
+    """
+    planned = mix(docs, id_col, text_col, source_col, row_hash(docs)).groupBy(F.col("row_key").alias("plan_key"), "doc_id").agg(F.sum("copies").alias("copies"), F.count("*").alias("n"))
+    plan = cut(planned.filter("copies > 0"), "plan")
+    keyed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), row_hash(docs).alias("row_key"))
+    on = (F.col("row_key") == F.col("plan_key")) & F.col("id").eqNullSafe(F.col("doc_id"))
+    repeated = lambda df: df.select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("copy")).select("row.*")
+    single = repeated(keyed.join(plan.filter("n = 1"), on).select("row", "copies"))
+    several = cut(plan.filter("n > 1"), "repeats")
+    if several.isEmpty():
+        return single
+    equal = keyed.join(several, on).groupBy("row_key", "id").agg(F.first("row").alias("row"), F.first("copies").alias("copies"))
+    return single.unionByName(repeated(equal))

@@ -12,8 +12,9 @@
 5. Links are contracted to stars (alternating large and small stars) until nothing changes; a component's id is its smallest
    doc_id.
 
-Defined cases: a null or empty text has fingerprint 0 and is linked like any other; repeated rows are rows of their own; a
-null doc_id never names a component (null if it has no other); an empty table gives an empty result.
+Defined cases: a null or empty text has fingerprint 0 and is linked like any other; a very long text is hashed whole, SLICE
+shingles at a time; a bit set in exactly half of the hashes is 0; repeated rows are rows of their own; a null doc_id never
+names a component (null if it has no other); other columns may have any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,10 +25,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import cut
+from dossier.llm.common import cut, row_hash
+from dossier.operators.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 BLOCKS, GROUPS = 32, 4
@@ -59,8 +61,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp and row_key (a hash of id and text) for each row."""
-    slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("row_key"))
+    """doc_id, fp and row_key (a hash of all columns) for each row."""
+    slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), row_hash(docs).alias("row_key"))
     return slim.mapInArrow(_fingerprints, "doc_id bigint, fp bigint, row_key bigint")
 
 
@@ -114,36 +116,15 @@ def links(prints: DataFrame) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """a, b: each node that has a smaller one in its component, and the component's smallest node."""
-    edges, seen = cut(edges, "links"), None
-    for _ in range(max_rounds):
-        state = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
-        if state[0] == 0 or tuple(state) == seen:
-            break
-        seen = tuple(state)
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("least"))
-        large = (
-            both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.least("a", "least").alias("b")).distinct()
-        )
-        large = cut(large, "large-star")
-        least = large.groupBy("a").agg(F.min("b").alias("least"))
-        small = large.join(least, "a")
-        moved = small.filter("b > least").select(F.col("b").alias("a"), F.col("least").alias("b"))
-        edges = cut(moved.unionByName(least.select("a", F.col("least").alias("b"))).distinct(), "small-star")
-    return edges
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp, row_key, component_id for each row of docs."""
+    """doc_id, fp, row_key, root, component_id for each row of docs; root: the component's smallest fingerprint."""
     slim = cut(fingerprints(docs, id_col, text_col), "fingerprints")
     prints = cut(slim.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     roots = components(links(prints.select("fp")))
-    rooted = prints.join(roots, prints.fp == roots.a, "left").select("fp", "first_id", F.coalesce("b", "fp").alias("root"))
+    rooted = prints.join(roots, prints.fp == roots.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    ids = rooted.join(named, "root").select("fp", "component_id")
-    return slim.join(ids, "fp").select("doc_id", "fp", "row_key", "component_id")
+    ids = rooted.join(named, "root").select("fp", "root", "component_id")
+    return slim.join(ids, "fp").select("doc_id", "fp", "row_key", "root", "component_id")
 
 
 def hex_digits(fp: Column) -> Column:
@@ -151,19 +132,20 @@ def hex_digits(fp: Column) -> Column:
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: that of the smallest id (repeated rows of that id count once).
+    """docs with one row of each component: that of the smallest id, of several with it the one of the least row key, a hash
+    of all columns; rows without an id come last. Rows that are equal in all columns count once.
 
-    Rows without an id go if their component has one; otherwise one of them stays.
+    Texts are shuffled once, to their row keys; keys that repeat are few and are looked up by a second scan.
     """
     found = near_duplicates(docs, id_col, text_col)
-    nth = F.row_number().over(Window.partitionBy("component_id", "doc_id").orderBy("row_key"))
-    # rows whose id names the component, or without ids at all; then the first of them
-    named = cut(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "row_key", "fp", "component_id"), "named")
-    with_id = named.filter("doc_id is not null").withColumn("nth", nth)
-    without = named.filter("doc_id is null").groupBy("fp").agg(F.min("row_key").alias("row_key"))
-    stay = with_id.filter("nth = 1").select("row_key").unionByName(without.select("row_key")).distinct()
-    keyed = docs.select(F.struct("*").alias("row"), F.xxhash64(id_col, text_col).alias("row_key"))
-    copies = cut(found.groupBy("row_key").agg(F.count("*").alias("n")).filter("n > 1").select("row_key"), "repeats")
-    single = keyed.join(stay.join(copies, "row_key", "left_anti"), "row_key", "left_semi")
-    repeated = keyed.join(stay.join(copies, "row_key", "left_semi"), "row_key", "left_semi").groupBy("row_key").agg(F.first("row").alias("row"))
-    return single.select("row.*").unionByName(repeated.select("row.*"))
+    rows = found.groupBy("root", "doc_id", "row_key").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key", "n")).alias("k")
+    kept = cut(rows.groupBy("root").agg(first).select(F.col("k.doc_id").alias("kept_id"), F.col("k.row_key").alias("kept_key"), "k.n"), "kept")
+    keyed = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("id"), row_hash(docs).alias("row_key"))
+    on = (F.col("row_key") == F.col("kept_key")) & F.col("id").eqNullSafe(F.col("kept_id"))
+    single = keyed.join(kept.filter("n = 1"), on, "left_semi").select("row.*")
+    repeats = cut(kept.filter("n > 1"), "repeats")
+    if repeats.isEmpty():
+        return single
+    equal = keyed.join(repeats, on, "left_semi").groupBy("row_key", "id").agg(F.first("row").alias("row"))
+    return single.unionByName(equal.select("row.*"))

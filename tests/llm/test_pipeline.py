@@ -9,6 +9,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from dossier.llm import mixing
+from dossier.llm.common import row_hash
 from tests.llm.data import documents, empty
 from tests.llm.test_dedup_and_bpe import slow_components, slow_fingerprint
 from tests.llm.test_native import base_spans
@@ -33,8 +34,9 @@ def slow_pipeline(spark, docs):
     rows = [r for r in docs.collect() if re.search(r"[^\W\d_]", r.text or "")]
     component = {d: c for d, c in slow_components([(r.doc_id, slow_fingerprint(r.text)) for r in rows])}
     rows = [r for r in rows if component[r.doc_id] == r.doc_id]
-    rows = [(r.doc_id, slow_redaction(r.text), r.lang, r.source, 0) for r in rows]
-    copies = {r.doc_id: r.copies for r in mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")).collect()}
+    rows = [(r.doc_id, text, r.lang, r.source, None if text is None else len(text)) for r in rows for text in [slow_redaction(r.text)]]
+    clean = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    copies = {r.doc_id: r.copies for r in mixing.mix(clean, row_key=row_hash(clean)).collect()}
     library, out = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), collections.Counter()
     for doc_id, text, *_ in rows:
         ids = library.encode(text or "", add_special_tokens=False).ids
