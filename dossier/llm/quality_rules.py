@@ -1,18 +1,25 @@
 """Quality rules with adaptive thresholds [native].
 
 Each document's rates (characters per word, symbols per word, repeated lines, repeated 5-word windows) are compared with
-fences of its own language and source: quartile + WIDTH * spread, from KLL sketches merged over all documents. Sketches of
-(language, source) merge into those of the language and of the corpus, which stand in for groups of under LEAST_DOCS.
-The fences are then joined to the documents.
-
-Defined cases: a null text has no words (base_failed); null language or source are groups of their own; repeated rows
-are judged each; an empty table gives an empty result. A group may hold any share of the rows: sketches are built before
-the shuffle, and the joined fences are one row per group.
+fences of its own language and source: quartile + WIDTH * spread. The quartiles come from sketches that count values in bins
+of a relative width (each bound is GAMMA times the one before): adding up the counts merges them, the bins are few whatever
+the number of documents, a quantile is off by (GAMMA - 1) / 2 of its value at most, and neither the order nor the
+partitioning of the rows changes a count. Sketches of (language, source) add up to those of the language and of the corpus.
+A group's quartiles are drawn towards its language's as if PRIOR documents of it stood beside the group's own, and these
+towards the corpus likewise, so small groups have sound fences and no size changes the rule. The fences are then joined to
+the documents.
+
+Defined cases: a null text has no words (base_failed); null language or source are groups of their own; a very long text is
+counted whole; a rate equal to its fence passes; repeated rows are judged each; columns named like a new one are left out; an
+empty table gives an empty result. A group may hold any share of the rows: sketches are built before the shuffle, and the
+joined fences are one row per group.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.llm.common import WORD, cut
@@ -21,8 +28,8 @@ SYMBOLS = r"[#*$%&|<>]"
 SPACE = r"[\x20\x09-\x0D]"
 WINDOW = 5
 LEAST_WORDS, MOST_REPEATED = 10, 20  # the base rules
-SKETCH_K = 800  # rank error of about 0.3 %
-LEAST_DOCS = 100
+GAMMA = 1.01  # of two neighbouring bounds of a sketch's bins
+PRIOR = 10.0  # documents of the language beside a group's own
 WIDTH = 3.0
 #: rate -> (least spread, what a short document may add: divided by the root of its length, "lower" fence too)
 FENCES = {"chars_per_word": (1.0, 9.0, True), "symbols_per_word": (0.05, 1.0, False), "dup_line_share": (0.1, 1.0, False), "repeat_share": (0.05, 0.5, False)}
@@ -75,26 +82,44 @@ def with_rates(counted: DataFrame) -> DataFrame:
     )
 
 
-def fences(rated: DataFrame) -> DataFrame:
-    """lang, source, and <rate>_low / <rate>_high / of each (language, source), over all documents with words."""
-    groups = cut(
-        rated.filter("n_words > 0").groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(c, F.lit(SKETCH_K)).alias(c) for c in FENCES]), "sketches"
-    )
-    merged = lambda df: df.agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(c).alias(c) for c in FENCES])
-    langs, corpus = merged(groups.groupBy("lang")), merged(groups.groupBy())
-    own = groups.alias("g").join(langs.alias("l"), F.col("g.lang").eqNullSafe(F.col("l.lang"))).join(corpus.alias("c"), F.lit(True))
+def sketches(rated: DataFrame, *by: str) -> DataFrame:
+    """by, rate, bin, n: how many documents with words have the rate in the bin. Bin null: the rate is 0."""
+    rates = F.explode(F.array(*[F.struct(F.lit(c).alias("rate"), F.col(c).alias("value")) for c in FENCES])).alias("r")
+    bins = F.when(F.col("r.value") > 0, F.ceil(F.log(F.col("r.value")) / F.lit(math.log(GAMMA)))).cast("int")
+    return rated.filter("n_words > 0").select(*by, rates).groupBy(*by, F.col("r.rate").alias("rate"), bins.alias("bin")).agg(F.count("*").alias("n"))
+
 
-    def pick(c: str) -> Column:
-        return F.when(F.col("g.n") >= LEAST_DOCS, F.col(f"g.{c}")).when(F.col("l.n") >= LEAST_DOCS, F.col(f"l.{c}")).otherwise(F.col(f"c.{c}"))
+def merged(sketch: DataFrame, *by: str) -> DataFrame:
+    return sketch.groupBy(*by, "rate", "bin").agg(F.sum("n").alias("n"))
 
-    out = own.select("g.lang", "g.source", *[pick(c).alias(c) for c in FENCES])
-    quartile = lambda c, q: F.kll_sketch_get_quantile_double(F.col(c), F.lit(q))
-    bounds = {}
+
+def quartiles(sketch: DataFrame, *by: str) -> DataFrame:
+    """by, rate, n, q1, q3 of each group: the middles of the bins that hold them. A window sees the bins of one group."""
+    key = [*by, "rate"]
+    total, upto = F.sum("n").over(Window.partitionBy(*key)), F.sum("n").over(Window.partitionBy(*key).orderBy(F.col("bin").asc_nulls_first()))
+    value = F.coalesce(F.lit(2.0 / (1.0 + GAMMA)) * F.pow(F.lit(GAMMA), F.col("bin").cast("double")), F.lit(0.0))
+    placed = sketch.select(*key, value.alias("value"), total.alias("total"), upto.alias("upto"))
+    at = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * q), F.col("value")))
+    return placed.groupBy(*key).agg(F.max("total").alias("n"), at(0.25).alias("q1"), at(0.75).alias("q3"))
+
+
+def fences(rated: DataFrame) -> DataFrame:
+    """lang, source, and <rate>_low and <rate>_high of each (language, source), from all documents with words."""
+    own = cut(sketches(rated, "lang", "source"), "sketches")
+    by_lang = cut(merged(own, "lang"), "lang-sketches")
+    corpus = quartiles(merged(by_lang), *()).select("rate", F.col("q1").alias("c1"), F.col("q3").alias("c3"))
+
+    def drawn(own: str, other: str) -> Column:
+        return (F.col("n") * F.col(own) + F.lit(PRIOR) * F.col(other)) / (F.col("n") + F.lit(PRIOR))
+
+    langs = quartiles(by_lang, "lang").join(corpus, "rate").select(F.col("lang").alias("llang"), F.col("rate").alias("lrate"), drawn("q1", "c1").alias("l1"), drawn("q3", "c3").alias("l3"))
+    groups = quartiles(own, "lang", "source").join(langs, F.col("lang").eqNullSafe(F.col("llang")) & (F.col("rate") == F.col("lrate")))
+    bounds = groups.select("lang", "source", "rate", drawn("q1", "l1").alias("q1"), drawn("q3", "l3").alias("q3"))
+    limits = []
     for c, (least, _, _) in FENCES.items():
-        q1, q3 = quartile(c, 0.25), quartile(c, 0.75)
-        spread = F.greatest(q3 - q1, F.lit(least)) * WIDTH
-        bounds |= {f"{c}_low": q1 - spread, f"{c}_high": q3 + spread}
-    return out.select("lang", "source", *[v.alias(k) for k, v in bounds.items()])
+        spread = F.greatest(F.col("q3") - F.col("q1"), F.lit(least)) * WIDTH
+        limits += [F.max(F.when(F.col("rate") == c, F.col("q1") - spread)).alias(f"{c}_low"), F.max(F.when(F.col("rate") == c, F.col("q3") + spread)).alias(f"{c}_high")]
+    return bounds.groupBy("lang", "source").agg(*limits)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:

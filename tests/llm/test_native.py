@@ -1,5 +1,7 @@
 import collections
 import hashlib
+import math
+import random
 import re
 
 from dossier.llm import mixing, pii, quality_rules
@@ -164,3 +166,61 @@ def test_mixed_documents_repeat_rows(spark):
     assert got.columns == docs.columns
     assert collections.Counter(r.doc_id for r in got.collect()) == +plan
     assert mixing.apply_mix(empty(spark)).count() == 0 and mixing.mix(empty(spark)).count() == 0
+
+
+def test_fences_do_not_depend_on_partitions(spark):
+    rng = random.Random(4)
+    rows = [(1000 + i, " ".join("w" * rng.randint(1, 9) + rng.choice(["", "#", "%%"]) for _ in range(rng.randint(1, 60))), rng.choice(["en", "de", None]), rng.choice(["a", "b", None])) for i in range(600)]
+    docs = documents(spark, rows)
+    seen = []
+    for n in (1, 3, 7):
+        rated = quality_rules.with_rates(quality_rules.counts(docs.repartition(n)))
+        seen.append((sorted(map(repr, quality_rules.fences(rated).collect())), sorted(map(repr, quality_rules.judge(docs.repartition(n)).select("doc_id", "n_words", "kept", "failed_rules").collect()))))
+    assert seen[0] == seen[1] == seen[2]
+
+
+def test_fences_match_brute_force(spark):
+    """Exact quantiles of plain lists, within the sketch's relative error, drawn to the language's and the corpus's."""
+    rng = random.Random(5)
+    rows = [(1000 + i, " ".join("w" * rng.randint(1, 5 if i % 3 else 12) + "#" * (i % 4 == 0) for _ in range(rng.randint(1, 40))), ["en", "de", None][i % 3], ["a", None][i % 2]) for i in range(400)]
+    docs = documents(spark, rows)
+    rated = quality_rules.with_rates(quality_rules.counts(docs)).filter("n_words > 0").collect()
+    prior, error = quality_rules.PRIOR, (quality_rules.GAMMA - 1) / 2 + 1e-9
+
+    def quartile(values, q):
+        return sorted(values)[math.ceil(len(values) * q) - 1]
+
+    def drawn(n, own, other):
+        return (n * own + prior * other) / (n + prior)
+
+    for f in quality_rules.fences(quality_rules.with_rates(quality_rules.counts(docs))).collect():
+        for rate, (least, _, _) in quality_rules.FENCES.items():
+            want, slack = {}, 0
+            for q in (0.25, 0.75):
+                corpus = [r[rate] for r in rated]
+                lang = [r[rate] for r in rated if r.lang == f.lang]
+                own = [r[rate] for r in rated if (r.lang, r.source) == (f.lang, f.source)]
+                want[q] = drawn(len(own), quartile(own, q), drawn(len(lang), quartile(lang, q), quartile(corpus, q)))
+                slack += error * max(quartile(own, q), quartile(lang, q), quartile(corpus, q))
+            spread = quality_rules.WIDTH * max(want[0.75] - want[0.25], least)
+            assert abs(f[f"{rate}_high"] - want[0.75] - spread) <= 4 * slack + 1e-9
+            assert abs(f[f"{rate}_low"] - want[0.25] + spread) <= 4 * slack + 1e-9
+
+
+def test_verdicts_follow_the_fences(spark):
+    rng = random.Random(6)
+    rows = [(1000 + i, " ".join("word" + "#" * (7 if i % 50 == 0 else 0) for _ in range(rng.randint(1, 40))) + f" {i}", ["en", None][i % 2], "a") for i in range(300)]
+    docs = documents(spark, rows)
+    rated = quality_rules.with_rates(quality_rules.counts(docs))
+    limits = {(f.lang, f.source): f for f in quality_rules.fences(rated).collect()}
+    want = []
+    for r in rated.collect():
+        f, failed = limits.get((r.lang, r.source)), []
+        for rate, (_, short, lower) in quality_rules.FENCES.items():
+            slack = short / math.sqrt(max(r.n_lines if "line" in rate else r.n_words, 1))
+            if f and (r[rate] > f[f"{rate}_high"] + slack or (lower and r[rate] < f[f"{rate}_low"] - slack)):
+                failed.append(rate)
+        base = r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words
+        want.append(repr((r.doc_id, r.n_words, base, failed, not base and not failed)))
+    got = [repr((r.doc_id, r.n_words, r.base_failed, r.failed_rules, r.kept)) for r in quality_rules.judge(docs).collect()]
+    assert sorted(got) == sorted(want) and any("symbols" in w for w in want)
