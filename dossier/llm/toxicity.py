@@ -8,7 +8,8 @@ The sample of labelled rows is split into two halves by a hash of the id. Each h
 other half, so no row meets a lexicon that its own label shaped; four fifths of these rows train the trees (of spark.ml), the
 rest gives the isotonic curve that maps their margin to a probability. Scoring uses the lexicons of both halves together.
 
-Defined cases: a null or empty text has all features 0 and is scored like any other; without rows of both labels every text
+Defined cases: a document with labels of both values counts as toxic; a very long text is read whole; columns of docs named
+like a new one are replaced by it; a null or empty text has all features 0 and is scored like any other; without rows of both labels every text
 scores the share of label 1 (0 without labels); repeated rows are rows of their own; an empty table gives an empty result.
 """
 
@@ -30,11 +31,12 @@ from dossier.llm.common import bounded_sample, cut
 from dossier.llm.word_table import WordTable, map_texts, sums
 
 SAMPLE = 16_000
-MOST_TERMS, LEAST_TEXTS, LEAST_ODDS = 4_000, 3, 1.5  # of the learned lexicons
+LEAST_TEXTS, LEAST_ODDS = 3, 1.5  # of the learned lexicons
 LEAST_G = 16.0  # likelihood ratio statistic of a term against chance: many terms are tried
 STEMS = (4, 5, 6, 7, 8)
 NEAR = 5  # words between an abusive word and a second-person one
 TREES, DEPTH = 20, 3
+FIT_PARTS = 8  # of the sample
 
 #: Abusive words, and second-person words, of the languages at hand.
 CURATED = frozenset(
@@ -163,7 +165,7 @@ def learn_lexicons(labelled: DataFrame) -> list[Lexicon]:
         against = lambda k, of: F.when(k > 0, k * F.log(k / ((k1 + k0) * max(of, 1e-9)))).otherwise(0.0)
         g = 2 * (against(k1, share) + against(k0, 1 - share))
         kept = counted.withColumns({"k1": k1, "odds": odds, "g": F.round(g, 6)}).filter((F.col("k1") >= LEAST_TEXTS) & (F.col("odds") >= LEAST_ODDS) & (F.col("g") >= LEAST_G))
-        rows = kept.orderBy(F.desc("g"), "term").limit(MOST_TERMS).select("term", "odds").collect()
+        rows = kept.select("term", "odds").collect()  # all that stand out; the sample bounds their number
         return Lexicon({r.term: r.odds for r in rows if not r.term.endswith("*")}, {r.term[:-1]: r.odds for r in rows if r.term.endswith("*")})
 
     return [lexicon((0,)), lexicon((1,)), lexicon((0, 1))]
@@ -186,13 +188,16 @@ def learn(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col:
     n, ones = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     prior = ones / n if n else 0.0
     first, second, lexicon = learn_lexicons(rows)
-    halves = [featurize(rows.filter(F.col("half") == h).coalesce(8), other) for h, other in ((0, second), (1, first))]
+    # by a hash of the rows: the sample may lie in a few of the table's files
+    spread = cut(rows.repartition(FIT_PARTS, F.xxhash64("text", "part")), "spread")
+    halves = [featurize(spread.filter(F.col("half") == h), other) for h, other in ((0, second), (1, first))]
     seen = cut(halves[0].unionByName(halves[1]).select("part", "label", array_to_vector("features").alias("features")), "features")
     if seen.select("label").distinct().count() < 2:
         return Model(lexicon, None, None, prior)
-    to_fit, to_calibrate = seen.filter("part < 16").cache(), seen.filter("part >= 16")
+    to_fit, to_calibrate = seen.filter("part < 16"), seen.filter("part >= 16")
     if min(d.filter(f"label = {y}").count() for d in (to_fit, to_calibrate) for y in (0, 1)) < 5:
-        to_fit = to_calibrate = seen.cache()  # too few rows to hold some back
+        to_fit = to_calibrate = seen  # too few rows to hold some back
+    to_fit = to_fit.cache()
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=5, minInstancesPerNode=2, labelCol="label").fit(to_fit)
     margin = trees.transform(to_calibrate).select(vector_to_array("rawPrediction")[1].alias("margin"), F.col("label").cast("double").alias("label"))
     curve = IsotonicRegression(featuresCol="margin", labelCol="label").fit(margin)
