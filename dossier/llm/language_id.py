@@ -6,7 +6,7 @@ and the softmax of the sums, tempered by the text's length, is its score.
 
 Counts are distributed group-bys over a sample of at most SAMPLE labelled documents of each language, so a rare language is
 learned as well as a hot one. The model holds at most MOST_WORDS words and MOST_GRAMS n-grams, the most frequent ones of each
-language in equal shares: these bound the size of what is broadcast, not what is read, as a word that is left out is scored
+language in turn: these bound the size of what is broadcast, not what is read, as a word that is left out is scored
 by its n-grams and an n-gram that is left out by a shorter one. All n-grams of all words are counted, however long the word.
 
 Defined cases: a text that is null or has no letter (Unicode category L) is `und` with score 0; nothing learned (no labelled
@@ -32,6 +32,7 @@ from dossier.llm.word_table import WordTable, map_texts, sums
 
 SAMPLE, MOST_WORDS, MOST_GRAMS = 3_000, 60_000, 60_000
 MAX_GRAM = 4
+LEAST_SEEN = 2  # a term seen once tells no frequency: it is backed off like an unseen one
 SMOOTH = 0.5
 #: Runs of letters. The class of word characters also holds numbers that are no digits, such as fractions.
 LETTERS = re.compile(r"[^\W\d_%s]+" % "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not (c.isalpha() or c.isdecimal())))
@@ -61,15 +62,17 @@ def _table(rows: pa.Table, langs: list[str]) -> tuple[dict[str, int], np.ndarray
     counts = np.zeros((len(terms.dictionary) + 1, len(langs)))
     if len(rows):
         counts[terms.indices.to_numpy(), place[at.indices.to_numpy()]] = rows["n"].to_numpy()
-    scores = np.log((counts + SMOOTH) / (counts.sum(axis=0) + SMOOTH * len(counts))).astype(np.float32)
+    totals = np.maximum(counts.sum(axis=0), 1)
+    # one floor for all languages: what none was seen of must not speak for the language of fewest rows
+    scores = np.log(counts / totals + SMOOTH / totals.mean()).astype(np.float32) if langs else counts.astype(np.float32)
     return {t: i for i, t in enumerate(terms.dictionary.to_pylist())}, scores
 
 
 def most_frequent(counted: DataFrame, bound: int) -> pa.Table:
-    """term, lang, n of the terms that are among the most frequent of a language; `bound` of them at most, in equal shares."""
-    n_langs = max(counted.select("lang").distinct().count(), 1)
+    """term, lang, n of `bound` terms seen LEAST_SEEN times: the most frequent ones of each language in turn."""
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "term"))
-    top = counted.withColumn("place", place).filter(F.col("place") <= max(bound // n_langs, 1)).select("term").distinct()
+    first = counted.withColumn("place", place).groupBy("term").agg(F.min("place").alias("place"), F.sum("n").alias("total"))
+    top = first.filter(F.col("total") >= LEAST_SEEN).orderBy("place", F.desc("total"), "term").limit(bound).select("term")
     return counted.join(top, "term").select("lang", "term", "n").toArrow().sort_by([("term", "ascending"), ("lang", "ascending")])
 
 
