@@ -54,24 +54,27 @@ def _sequential(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def _by_rounds(over: DataFrame) -> DataFrame:
-    """The greedy plan by set operations: in each round, topics without a heavier undecided neighbour keep, and their
-    undecided neighbours go to the heaviest of them, until none is undecided. No task sees a component."""
-    over = cut(over.select("over", "under", "w"), "over")
-    done = over.limit(0).select(F.col("under").alias("absorbed"), F.col("over").alias("keeper"))
-    pieces = 0
-    while not over.isEmpty():
-        keep = cut(over.select("over").distinct().join(over.select(F.col("under").alias("over")), "over", "left_anti"), "keep")
-        reached = over.join(keep, "over")
-        most = reached.groupBy("under").agg(F.max("w").alias("w"))
-        # of equally heavy keepers the smaller id
-        taken = cut(reached.join(most, ["under", "w"]).groupBy("under").agg(F.min("over").alias("over")), "taken")
-        done, pieces = done.unionByName(taken.select(F.col("under").alias("absorbed"), F.col("over").alias("keeper"))), pieces + 1
-        if pieces % 16 == 0:
-            done = cut(done, "done")
-        gone = keep.select(F.col("over").alias("id")).unionByName(taken.select(F.col("under").alias("id")))
-        rest = over.join(gone.select(F.col("id").alias("over")), "over", "left_anti").join(gone.select(F.col("id").alias("under")), "under", "left_anti")
-        over = cut(rest.select("over", "under", "w"), "over")
-    return done
+    """The greedy plan by set operations, so that no task sees a component.
+
+    In each round, topics without a heavier undecided neighbour keep and their undecided neighbours are absorbed, until none
+    is undecided. Each absorbed topic then goes to the heaviest keeper beside it (ties: the smaller id).
+    """
+    edges = cut(over.select("over", "under", "w"), "over")
+    left = edges.select("over", "under")
+    absorbed, rounds = edges.select("under").limit(0), 0
+    while not left.isEmpty():
+        keep = left.select("over").distinct().join(left.select(F.col("under").alias("over")), "over", "left_anti")
+        keep, rounds = cut(keep, "keep"), rounds + 1
+        hit = cut(left.join(keep, "over").select("under").distinct(), "hit")
+        absorbed = absorbed.unionByName(hit)
+        if rounds % 16 == 0:
+            absorbed = cut(absorbed, "absorbed")
+        gone = keep.unionByName(hit.select(F.col("under").alias("over")))
+        left = cut(left.join(gone, "over", "left_anti").join(hit, "under", "left_anti").select("over", "under"), "left")
+    absorbed = cut(absorbed, "absorbed")
+    beside = edges.join(absorbed, "under").join(absorbed.select(F.col("under").alias("over")), "over", "left_anti")
+    most = beside.groupBy("under").agg(F.max("w").alias("w"))
+    return beside.join(most, ["under", "w"]).groupBy("under").agg(F.min("over").alias("over")).select(F.col("under").alias("absorbed"), F.col("over").alias("keeper"))
 
 
 def greedy_plan(topics: DataFrame, pairs: DataFrame, weight: str = "chunk_count", key: str = "id", most_edges: int = 100_000) -> DataFrame:
