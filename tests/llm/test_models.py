@@ -5,9 +5,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 
 from dossier.llm import ann, html_text, language_id, quality_classifier, toxicity
-from dossier.llm.common import fold
+from dossier.llm.common import cut, fold
 from tests.llm.data import documents, empty
 
 WORDS = {"en": "the and of with you walk house water green".split(), "de": "der die und mit haus wasser gehen grün nicht".split(), "fr": "le la et avec vous maison eau vert pas".split()}
@@ -41,6 +42,46 @@ def test_unseen_words_back_off_to_characters(spark):
     assert {r.doc_id: r.lang_pred for r in out.collect()} == {1: "de", 2: "fr"}
 
 
+def plain_language(text, m):
+    """Language and score by loops: known words by their row, others by the longest known n-gram at each position."""
+    rows = []
+    for w in regex.findall(r"\p{L}+", (text or "").lower()):
+        if w in m.words:
+            rows.append(m.word_scores[m.words[w]].astype(float))
+            continue
+        spelled, each = f"^{w}$", []
+        for p in range(len(spelled)):
+            known = [m.grams[spelled[p : p + n]] for n in range(min(language_id.MAX_GRAM, len(spelled) - p), 0, -1) if spelled[p : p + n] in m.grams]
+            each.append(m.gram_scores[known[0] if known else -1].astype(float))
+        rows.append(np.mean(each, axis=0))
+    if not rows:
+        return "und", 0.0
+    mean = np.mean(rows, axis=0) * min(len(rows), language_id.EVIDENCE)
+    odds = np.exp(mean - mean.max())
+    return m.langs[int(odds.argmax())], 1 / odds.sum()
+
+
+def test_language_scores_match_brute_force(spark):
+    some = [*texts(60, 5), *((500 + i, t, None, "b") for i, t in enumerate(("½ ² ① Ⅷ 12 _", "x² the ½house", "größe 漢字 наука", "the" * 4000, "Zz qqq", "É" * 50, "٣٤ ٥", "ª º")))]
+    docs = documents(spark, some)
+    model = language_id.learn(docs)
+    assert max(map(len, model.grams)) <= language_id.MAX_GRAM and len(model.langs) == 3
+    for r in language_id.predict(docs, model, keep_text=True).collect():
+        lang, score = plain_language(r.text, model)
+        assert (r.lang_pred, round(r.score, 4)) == (lang, round(score, 4)), r.text
+    assert {r.doc_id: r.lang_pred for r in language_id.predict(docs, model).collect()}[500] == "und"
+
+
+def test_rare_languages_are_learned_beside_a_hot_one(spark):
+    spell = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
+    rows = [(i, f"hot{spell(i % 700)} common{spell(i % 311)} word{spell(i)}", "hot", "a") for i in range(3000)] + [(5000 + i, f"rare{spell(i % 3)} seldom", "few", "a") for i in range(6)]
+    docs = documents(spark, rows).filter("doc_id >= 1000")
+    model = language_id.learn(docs, sample=200, most_words=100, most_grams=400)
+    assert model.langs == ["few", "hot"] and {"rarea", "seldom"} <= set(model.words) and len(model.words) <= 100 and len(model.grams) <= 400
+    told = language_id.predict(docs.filter("doc_id >= 5000").select("doc_id", "text"), model).collect()
+    assert {r.lang_pred for r in told} == {"few"}
+
+
 def test_language_filter_and_empty_tables(spark):
     docs = documents(spark, texts(60))
     model = language_id.learn(docs)
@@ -69,14 +110,14 @@ def labelled(spark, n=400):
     return documents(spark, rows), spark.createDataFrame([*labels, (None, 1, 1), (99999, 1, 0), (100, None, None)], "doc_id bigint, quality int, toxic int")
 
 
-@pytest.mark.parametrize("operator, column, cut", [(quality_classifier, "quality", 0.3), (toxicity, "toxic", 0.5)])
-def test_classifiers_on_held_out_rows(spark, operator, column, cut):
+@pytest.mark.parametrize("operator, column, least", [(quality_classifier, "quality", 0.3), (toxicity, "toxic", 0.5)])
+def test_classifiers_on_held_out_rows(spark, operator, column, least):
     docs, labels = labelled(spark)
     model = operator.learn(docs.filter(fold("doc_id", 5) != 0), labels)
     out = operator.score(docs.select("doc_id", "text", "row"), model)
     assert out.columns == ["doc_id", "row", "score"] and out.count() == docs.count()
     rows = out.join(labels, "doc_id").filter(fold("doc_id", 5) == 0).filter(f"{column} is not null").collect()
-    assert np.mean([(r.score >= cut) == bool(r[column]) for r in rows]) > 0.95
+    assert np.mean([(r.score >= least) == bool(r[column]) for r in rows]) > 0.95
     assert all(0 <= r.score <= 1 for r in out.collect())
     again = operator.score(docs.select("doc_id", "text"), operator.learn(docs.filter(fold("doc_id", 5) != 0), labels)).collect()
     first = out.collect()
@@ -145,6 +186,42 @@ def test_neighbours_of_few_or_no_vectors(spark):
     assert ann.search(spark.createDataFrame([], schema), lambda v: v % 50 == 0).count() == 0
 
 
+def test_ties_among_parallel_vectors_go_to_smaller_ids(spark):
+    base = np.array([0.3, -0.2, 0.9, 0.1])
+    rows = [(150 + i, (base * 2.0 ** (i % 7 - 3) * (1 + i // 7)).tolist()) for i in range(40)] + [(i, [float(i), 1.0, 0.0, 2.0]) for i in range(1, 30)]
+    rows += [(400, [1.0, 0.0, 0.0, 0.0])] * 9 + [(401 + i, [1.0, 0.0, 0.0, 0.0]) for i in range(6)]  # one id many times
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id bigint, embedding array<double>, label int")
+
+    def score(a, b):
+        a, b = np.array([a]), np.array([b])
+        return float((b * a).sum(axis=1)[0] / (np.sqrt((a * a).sum()) * np.sqrt((b * b).sum(axis=1))[0]))
+
+    by_id = dict(rows)
+    want = {q: sorted((-score(by_id[q], v), i) for i, v in by_id.items() if i != q)[:5] for q in by_id if q % 50 == 0}
+    got = {}
+    for r in ann.search(df, lambda v: v % 50 == 0).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+    assert got == want
+
+
+def test_parts_are_split_again_as_the_table_grows(spark):
+    made = vectors(3000)
+    rows = [(i, v) for i, v in made if i < 10000 and v and len(v) == len(made[0][1]) and None not in v and np.isfinite(v).all() and any(v)]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id bigint, embedding array<float>, label int").dropDuplicates(["vec_id"])
+    exact = cosine_top([(r.vec_id, r.embedding) for r in df.collect()], 5)
+    groups = cut(ann.distinct_vectors(df.selectExpr("vec_id", "CAST(embedding AS array<double>) AS vector"), 6))
+    sent = groups.filter("gid % 50 = 0").selectExpr("gid AS qid", "vector")
+    stored, asked = ann.partitioned(groups.select("vector", "ids", "gid"), sent, 200, 20)
+    sizes = [r["count"] for r in stored.groupBy("part").count().collect()]
+    assert sum(sizes) == groups.count() and np.median(sizes) <= 80
+    assert stored.agg({"part": "max"}).collect()[0][0] > ann.RADIX**2  # two levels at least
+    assert asked.select("qid").distinct().count() == sent.count()
+    found = {}
+    for r in ann.search(df, lambda v: v % 50 == 0, sample=400, part_rows=40).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    assert np.mean([len(found[q] & {v for _, v in near}) / 5 for q, near in exact.items()]) >= 0.9
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; x</title><style>p{{}}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/x">menu</a></li></ul></nav>
 <div class="ad">buy now</div><article><h1>Head &amp; one</h1><p><b>First {n}
 line<br><p>Second&nbsp;&eacute; {n}</p><div class="comments"><p>nice post</p></div><form><input>send</form></article><aside>side</aside><footer>&copy; foot</footer>{end}"""
