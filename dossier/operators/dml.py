@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,3 +108,35 @@ def backfill(bridge: DataFrame, children: DataFrame, chunks: DataFrame) -> DataF
     root_topics = bridge.join(chunks, "chunk_id").select(F.col("document_id").alias("root_id"), "topic_id").distinct()
     wanted = children.join(root_topics, "root_id").join(chunks, "document_id").select("chunk_id", "topic_id").distinct()
     return wanted.join(bridge, ["chunk_id", "topic_id"], "left_anti")
+
+
+def stamped(changed: DataFrame, base: DataFrame, keys: list[str], now: Column, column: str = "updated_at") -> DataFrame:
+    """changed with `column` set to now where a row is new or differs from the row of its key in base, else as base has it."""
+    values = [c for c in changed.columns if c not in (*keys, column)]
+    old = base.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[F.col(c).alias(f"_o_{c}") for c in values], F.col(column).alias("_stamp"), F.lit(True).alias("_known"))
+    on = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    same = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in values], F.col("_known").isNotNull())
+    return changed.drop(column).join(old, on, "left").select(*[c for c in changed.columns if c != column], F.when(same, F.col("_stamp")).otherwise(now).alias(column))
+
+
+def mark_checked(chunks: DataFrame, documents: DataFrame, document: str = "document_id", flag: str = "topics_checked") -> DataFrame:
+    """chunks with the flag set for all chunks of the given documents; those of others keep theirs."""
+    done = documents.select(F.col(document)).distinct().withColumn("_done", F.lit(True))
+    held = F.coalesce(F.col(flag), F.lit(False)) if flag in chunks.columns else F.lit(False)
+    return chunks.join(done, document, "left").withColumn(flag, F.coalesce("_done", held)).drop("_done")
+
+
+def with_fresh_ids(documents: DataFrame, chunks: DataFrame, existing: DataFrame, key: str = "doc_id", id_col: str = "id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, chunks, ids) for storing together: a document whose key is stored already keeps the stored id, and its
+    chunks, children and roots point to that; ids: old, new of those that changed.
+    """
+    stored = existing.groupBy(key).agg(F.min(id_col).alias("_new"))
+    ids = documents.join(stored, key).filter(F.col(id_col) != F.col("_new")).select(F.col(id_col).alias("old"), F.col("_new").alias("new")).distinct()
+
+    def moved(df: DataFrame, column: str) -> DataFrame:
+        mapped = ids.select(F.col("old").alias(column), F.col("new").alias("_moved"))
+        return df.join(mapped, column, "left").withColumn(column, F.coalesce("_moved", column)).drop("_moved").select(*df.columns)
+
+    for column in (id_col, "parent_id", "root_id"):
+        documents = moved(documents, column) if column in documents.columns else documents
+    return documents, moved(chunks, "document_id"), ids

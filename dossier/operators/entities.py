@@ -15,26 +15,22 @@ def lookup(register: DataFrame, id_col: str = "id", name: str = "name", aliases:
     return primary.unionByName(other).filter("term <> ''").withColumn("_n", F.row_number().over(first)).filter("_n = 1").select("term", "id")
 
 
-def word_grams(words: Column, longest: int) -> Column:
-    """Different runs of 1 to `longest` words of an array column, joined by one space."""
-    runs = F.transform(
-        F.sequence(F.lit(1), F.lit(longest)),
-        lambda n: F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.array_join(F.slice(words, i + 1, n), " "))).otherwise(F.array().cast("array<string>")),
-    )
-    return F.array_distinct(F.flatten(runs))
+def mentions(texts: DataFrame, terms: DataFrame, key: str, text: str) -> DataFrame:
+    """key, id of every registered name, of any number of words, that stands in a text as whole words.
 
-
-def mentions(texts: DataFrame, terms: DataFrame, key: str, text: str, longest: int = 4) -> DataFrame:
-    """key, id of every registered name that stands in a text as whole words.
-
-    An equi-join of the texts' word runs with the names, not a regex per name: names are split into words alike, so the
-    work does not grow with the register. Names of over `longest` words are not found.
+    Names and texts are split into words alike. A text meets the names by their first words: one join row for each different
+    first word that it holds, with the word runs that begin there compared inside the row. The work thus grows with the
+    texts' different words, not with the register times the texts, and no run of words is spelled out.
     """
-    spelled = terms.select(F.array_join(F.regexp_extract_all("term", F.lit(r"(?U)\w+"), F.lit(0)), " ").alias("gram"), "id").filter("gram <> ''")
-    # a column of its own: inside word_grams it is used once per run
-    words = texts.select(key, F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0)).alias("_words"))
-    grams = words.select(key, F.explode(word_grams(F.col("_words"), longest)).alias("gram"))
-    return grams.join(spelled, "gram").select(key, "id").distinct()
+    split = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\w+"), F.lit(0))
+    spelled = terms.select(split(F.col("term")).alias("_name"), "id").filter(F.size("_name") > 0)
+    register = spelled.select(F.col("_name")[0].alias("_first"), "_name", "id")
+    firsts = register.select("_first").distinct()
+    words = texts.select(key, F.array_join(split(F.col(text)), " ").alias("_spelled"))
+    # texts that hold no first word go before anything is shuffled; the words themselves do not travel twice
+    held = words.select(key, "_spelled", F.explode(F.array_distinct(F.split("_spelled", " "))).alias("_first")).join(firsts, "_first", "left_semi")
+    whole = F.contains(F.concat(F.lit(" "), F.col("_spelled"), F.lit(" ")), F.concat(F.lit(" "), F.array_join("_name", " "), F.lit(" ")))
+    return held.join(register, "_first").filter((F.size("_name") == 1) | whole).select(key, "id").distinct()
 
 
 def attributes(found: DataFrame, register: DataFrame, key: str, columns: list[str], id_col: str = "id") -> DataFrame:
@@ -57,20 +53,27 @@ def closest(candidates: DataFrame, terms: DataFrame, least: float = 0.88, name:
     return near.withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_n")
 
 
-#: What precedes a name in running text.
+#: What precedes a name in running text.
 CANDIDATE_PATTERNS = (r"\bM/?[VT]\.?\s+([A-Z][A-Za-z]+(?:\s[A-Z][A-Za-z]+){0,2})", r"(?i:vessel|ship)[: ]+([A-Z][A-Za-z]+(?:\s[A-Z][A-Za-z]+){0,2})", r"\"([A-Z][A-Z]+(?:\s[A-Z]+){0,2})\"")
+#: Words that begin or end no name: what surrounds one in running text.
+STOP_WORDS = frozenset("THE AND FOR WITH FROM THIS THAT WAS HAS HAVE WILL NAME OWNER MASTER CREW PORT DATE CALL CLASS TYPE FLAG REPORT SUBJECT".split())
 
 
 def candidates(text: Column) -> Column:
-    """Different uppercase candidates for names in a text."""
+    """Different uppercase candidates for names in a text, without stop words at either end."""
     found = [F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in CANDIDATE_PATTERNS]
-    return F.array_distinct(F.transform(F.concat(*found), lambda x: F.upper(F.trim(x))))
+    stop = "|".join(sorted(STOP_WORDS))
+    bare = lambda x: F.regexp_replace(F.upper(F.trim(x)), rf"^(?:(?:{stop})(?:\s+|$))+|(?:\s+(?:{stop}))+$", "")
+    return F.array_distinct(F.filter(F.transform(F.concat(*found), bare), lambda x: x != ""))
 
 
 def unknown(found: DataFrame, terms: DataFrame, name: str = "candidate") -> DataFrame:
-    """Candidates that are neither a term nor a term with a suffix."""
-    plain = found.withColumn("_key", F.lower(name)).join(terms.select(F.col("term").alias("_key")), "_key", "left_anti")
-    first = plain.withColumn("_first", F.substring_index("_key", " ", 1))
-    known = terms.select("term", F.substring_index("term", " ", 1).alias("_first"))
-    bleed = first.join(known, "_first").filter(F.startswith(F.col("_key"), F.concat(F.col("term"), F.lit(" ")))).select("_key").distinct()
-    return first.join(bleed, "_key", "left_anti").drop("_key", "_first")
+    """Candidates that are neither a term nor a term with a suffix.
+
+    A candidate's beginnings of 1, 2, ... words are looked up among the terms by equality, so no word is a join key alone.
+    """
+    known = terms.select(F.col("term").alias("_begin")).distinct()
+    words = F.split(F.lower(name), " ")
+    begins = F.transform(F.sequence(F.lit(1), F.size("_words")), lambda n: F.array_join(F.slice("_words", 1, n), " "))
+    each = found.select(name).distinct().withColumn("_words", words).select(name, F.explode(begins).alias("_begin"))
+    return found.join(each.join(known, "_begin", "left_semi").select(name).distinct(), name, "left_anti")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dossier.cuts import cut
 from dossier.functions import email, ids, shape
 from dossier.functions import text as txt
 
@@ -37,15 +38,24 @@ def wave(files: DataFrame, existing: DataFrame, n: int, key: str = "doc_id") ->
 
 
 def with_hierarchy(documents: DataFrame) -> DataFrame:
-    """depth, root_id and path from parent_id, by a recursive query over the tree."""
-    documents.select("id", "parent_id").createOrReplaceTempView("_tree")
-    tree = documents.sparkSession.sql("""
-        WITH RECURSIVE t(id, root_id, depth, path) AS (
-            SELECT id, id, 0, array(id) FROM _tree WHERE parent_id IS NULL
-            UNION ALL
-            SELECT d.id, t.root_id, t.depth + 1, concat(t.path, array(d.parent_id)) FROM _tree d JOIN t ON d.parent_id = t.id
-        ) SELECT * FROM t""")
-    return documents.drop("root_id", "depth", "path").join(tree, "id")
+    """depth, root_id and path (the ids from the root to the parent) from parent_id; rows outside any tree go.
+
+    Every node knows the ids above it up to some ancestor; each round joins it with what that ancestor knows, which doubles
+    the distance. The rounds are the logarithm of the depth, whatever the number of nodes; a cycle has no root and ends them.
+    """
+    known = documents.select("id", F.col("parent_id").alias("top"), F.when(F.col("parent_id").isNull(), F.array().cast("array<string>")).otherwise(F.array(F.col("parent_id").cast("string"))).alias("path"))
+    known, open_before = cut(known, "tree"), None
+    while True:
+        still = known.filter("top is not null").count()
+        if still in (0, open_before):
+            break
+        open_before = still
+        above = known.select(F.col("id").alias("top"), F.col("top").alias("next"), F.col("path").alias("before"))
+        rest = known.filter("top is not null").join(above, "top").select("id", F.col("next").alias("top"), F.concat("before", "path").alias("path"))
+        known = cut(known.filter("top is null").unionByName(rest), "tree")
+    kind = documents.schema["id"].dataType.simpleString()
+    done = known.filter("top is null").select("id", F.size("path").alias("depth"), F.col("path").cast(f"array<{kind}>").alias("path"))
+    return documents.drop("root_id", "depth", "path").join(done.withColumn("root_id", F.coalesce(F.get("path", F.lit(0)), F.col("id"))), "id")
 
 
 def message_chunks(bodies: DataFrame, doc: str = "doc_id", body: str = "body", least_words: int = LEAST_MESSAGE_WORDS) -> tuple[DataFrame, DataFrame]:
@@ -63,8 +73,8 @@ def word_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: w != "")
     n, step = F.size("_words"), size - overlap
     starts = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - overlap - 1, F.lit(0)), F.lit(step)))
-    cut = docs.select(key, words.alias("_words")).select(key, F.posexplode(F.transform(starts, lambda s: F.array_join(F.slice("_words", s + 1, size), " "))).alias("chunk_index", "content"))
-    return cut.filter(F.size(F.split("content", " ")) >= LEAST_WORDS)
+    windows = docs.select(key, words.alias("_words")).select(key, F.posexplode(F.transform(starts, lambda s: F.array_join(F.slice("_words", s + 1, size), " "))).alias("chunk_index", "content"))
+    return windows.filter(F.size(F.split("content", " ")) >= LEAST_WORDS)
 
 
 def split_text(text: str, size: int, overlap: int, count: Callable[[str], int]) -> list[str]:
@@ -133,10 +143,20 @@ def mode_chunks(docs: DataFrame, summarise: Callable[[Column], Column] = summary
     return out.withColumn("chunk_id", ids.chunk_id(F.col("doc_id"), start, F.coalesce("char_end", start + F.length("content"))))
 
 
-def digests(messages: DataFrame, thread: str, text: str, order: str, summarise: Callable[[Column], Column] = summary_of) -> DataFrame:
-    """One digest per thread of two or more messages: a summary of its messages in order."""
-    rows = messages.groupBy(thread).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))).alias("m"))
-    joined = F.array_join(F.transform("m", lambda m: m["t"]), "\n\n")
+def digests(messages: DataFrame, thread: str, text: str, order: str, summarise: Callable[[Column], Column] = summary_of, longest: int = 4000) -> DataFrame:
+    """One digest per thread of two or more messages: a summary of its messages in order.
+
+    The summary reads the first `longest` characters of the joined messages, at most. Where a message begins is a running
+    sum, so only those that begin within them are brought together, however long the thread.
+    """
+    at = Window.partitionBy(thread).orderBy(order, text)
+    # each message takes two characters at least, so the first longest / 2 of a thread suffice: tasks drop the rest early
+    first = messages.withColumn("_nth", F.row_number().over(at)).filter(F.col("_nth") <= longest // 2)
+    start = F.coalesce(F.sum(F.length(text) + 2).over(at.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    part = F.struct(F.col("_start").alias("o"), F.col("_nth").alias("k"), F.substring(text, 1, longest).alias("t"))
+    held = first.withColumn("_start", start).filter(F.col("_start") < longest).groupBy(thread).agg(F.array_sort(F.collect_list(part)).alias("m"))
+    rows = messages.groupBy(thread).agg(F.count("*").alias("n")).join(held, thread)
+    joined = F.substring(F.array_join(F.transform("m", lambda m: m["t"]), "\n\n"), 1, longest)
     return rows.filter("n >= 2").select(thread, "n", summarise(joined).alias("digest"), F.lit(ids.DIGEST[0]).alias("chunk_index"))
 
 

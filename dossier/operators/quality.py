@@ -170,3 +170,12 @@ def report(checks: dict[str, DataFrame]) -> DataFrame:
         one = df.agg(F.count("*").alias("violations")).select(F.lit(name).alias("check"), "violations")
         counts = one if counts is None else counts.unionByName(one)
     return names.join(counts, "check")
+
+
+def orphan_folders(folders: DataFrame, documents: DataFrame, folder_of: Column, path: str = "folder", stored: str | None = "archive_path") -> DataFrame:
+    """Archive folders that belong to no root document, neither by its computed folder nor by the one it stores."""
+    roots = documents.filter(F.coalesce("depth", F.lit(0)) == 0)
+    expected = roots.select(folder_of.alias(path))
+    if stored is not None and stored in documents.columns:
+        expected = expected.unionByName(roots.select(F.col(stored).alias(path)))
+    return violations(folders.select(path).distinct().join(expected.distinct(), path, "left_anti"), "orphan_folder", path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dossier.cuts import cut
 from dossier.functions import vectors
 
 VECTOR_SHARE, TEXT_SHARE = 0.7, 0.3
@@ -148,3 +149,56 @@ def topic_filter(chunks: DataFrame, topics: DataFrame, query: Column, threshold:
     left = rows.select("chunk_id", F.explode("topic_ids").alias("id")).join(ids, "id", "left_semi").agg(F.count_distinct("chunk_id").alias("chunks"))
     decision = F.when(F.size("topic_ids") == 0, "skip_no_topic").when(F.col("chunks") == 0, "skip_no_chunk").otherwise("filter")
     return chosen.join(left, F.lit(True)).withColumn("decision", decision)
+
+
+def topic_names_filter(names: DataFrame, topics: DataFrame, query: Column, threshold: float = 0.55, looser: float = 0.45, count: int = 5, least_chunks: int = 1, suggestions: int = 3) -> DataFrame:
+    """One row: what the topics named in a question filter by: detected, topic_ids, unmatched, chunks, loosened, decision and
+    suggested.
+
+    names: name, embedding of each detected name; topics: id, name, embedding, chunk_count. Each name matches a cluster of its
+    `count` most similar topics above the threshold, one of the very name first; the clusters are pooled. Where the pool has
+    under least_chunks chunks, a looser threshold is tried and kept if it finds more. No name: search broadly; no topic, or
+    topics without chunks: skip, and in the latter case suggest related topics with chunks.
+    """
+    named = names.select(F.col("name").alias("asked"), F.col("embedding").alias("e"))
+    same = (F.lower(F.trim("asked")) == F.lower(F.trim("name"))).cast("int")
+    # every detected name of one question, a handful of rows, meets every topic
+    near = named.join(topics.filter("embedding is not null"), F.lit(True))
+    near = near.select("asked", "id", "name", "chunk_count", same.alias("same"), vectors.cosine(F.col("embedding"), F.col("e")).alias("similarity"))
+    place = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("same"), F.desc("similarity"), "id"))
+    clusters = cut(near.filter((F.col("similarity") > looser) | (F.col("same") == 1)).withColumn("place", place).filter(F.col("place") <= count), "clusters")
+
+    def pool(rows: DataFrame, name: str) -> DataFrame:
+        ids = rows.groupBy("id").agg(F.max("chunk_count").alias("chunk_count"))
+        found = rows.agg(F.collect_set("asked").alias("asked"))
+        totals = ids.agg(F.array_sort(F.collect_list("id")).alias("ids"), F.coalesce(F.sum("chunk_count"), F.lit(0)).alias("chunks"))
+        return totals.join(found, F.lit(True)).select(F.struct("ids", "chunks", "asked").alias(name))
+
+    tight = pool(clusters.filter((F.col("similarity") > threshold) | (F.col("same") == 1)), "tight")
+    detected = named.agg(F.array_sort(F.collect_set("asked")).alias("detected"))
+    both = detected.join(tight, F.lit(True)).join(pool(clusters, "loose"), F.lit(True))
+    loosened = (F.col("tight.chunks") < least_chunks) & (F.col("loose.chunks") > F.col("tight.chunks"))
+    used = both.select("detected", loosened.alias("loosened"), F.when(loosened, F.col("loose")).otherwise(F.col("tight")).alias("used"))
+    related = similar_topics(topics.filter("chunk_count > 0"), query, -1.0, suggestions).agg(F.collect_list(F.struct((-F.col("similarity")).alias("far"), "name")).alias("related"))
+    decision = (
+        F.when(F.size("detected") == 0, "broad").when(F.size("used.ids") == 0, "skip_no_topic").when(F.col("used.chunks") == 0, "skip_no_chunk").otherwise("filter")
+    )
+    out = used.join(related, F.lit(True)).withColumn("decision", decision)
+    none = F.array().cast("array<string>")
+    suggested = F.when(F.col("decision") == "skip_no_chunk", F.transform(F.array_sort("related"), lambda r: r["name"])).otherwise(none)
+    return out.select("detected", F.col("used.ids").alias("topic_ids"), F.array_sort(F.array_except("detected", "used.asked")).alias("unmatched"), F.col("used.chunks").alias("chunks"), "loosened", "decision", suggested.alias("suggested"))
+
+
+def incident_summary(incidents: DataFrame) -> DataFrame:
+    """One row: `summary`, the text on the incidents that hits fall into; incidents: as by_incident() gives them, with date.
+
+    For the bounded result of a search.
+    """
+    filled = lambda c, none: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit(none))
+    row = F.struct("first_rank", "incident", filled("subject", "Unknown Subject").alias("subject"), filled("date", "Unknown Date").alias("date"), "hits")
+    rows = incidents.agg(F.array_sort(F.collect_list(row)).alias("rows"), F.coalesce(F.sum("hits"), F.lit(0)).alias("total"))
+    head = F.concat(
+        F.lit("\n---\n\n## Incident Summary\nFound "), F.col("total").cast("string"), F.lit(" relevant chunks from "), F.size("rows").cast("string"), F.lit(" unique incident(s).\n"),
+    )
+    part = lambda r, i: F.concat(F.lit("\n**Incident "), (i + 1).cast("string"), F.lit(":** "), r["subject"], F.lit("\n  - Date: "), r["date"], F.lit("\n  - Relevant sections: "), r["hits"].cast("string"), F.lit("\n"))
+    return rows.select(F.concat(head, F.array_join(F.transform("rows", part), "")).alias("summary"))

@@ -15,12 +15,22 @@ def sessions(df: DataFrame, key: list[str], at: str, minutes: float) -> DataFram
 
 
 def last_run(df: DataFrame, key: list[str], at: str, minutes: float) -> DataFrame:
-    """Per key the latest session: its start, end, number of rows and seconds."""
-    numbered = sessions(df, key, at, minutes)
-    runs = numbered.groupBy(*key, "session").agg(F.min(at).alias("started"), F.max(at).alias("ended"), F.count("*").alias("rows"))
-    newest = runs.groupBy(*key).agg(F.max_by(F.struct("started", "ended", "rows"), "session").alias("_run"))
-    took = (F.unix_micros(F.col("_run.ended").cast("timestamp")) - F.unix_micros(F.col("_run.started").cast("timestamp"))) / 1e6
-    return newest.select(*key, "_run.started", "_run.ended", "_run.rows", took.alias("seconds"))
+    """Per key (none: of all rows) the latest session: its start, end, number of rows and seconds.
+
+    A session ends at the last gap of over `minutes` before it. Time is cut into slots of that length, so a gap spans at
+    least one whole slot boundary: rows are first reduced to the earliest and latest time and the number of each slot, and
+    only slots are put in order. No task orders the rows of a key.
+    """
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    gap = int(minutes * 60 * 1_000_000)
+    slots = df.filter(F.col(at).isNotNull()).groupBy(*key, F.floor(micros / max(gap, 1)).alias("_slot"))
+    slots = slots.agg(F.min(at).alias("_first"), F.max(at).alias("_last"), F.min(micros).alias("_from"), F.max(micros).alias("_to"), F.count("*").alias("_rows"))
+    # inside a slot of the gap's length no two rows are further apart than the gap
+    back = Window.partitionBy(*key).orderBy(F.desc("_slot"))
+    broken = F.coalesce(F.lag("_from").over(back) - F.col("_to") > gap, F.lit(False)).cast("int")
+    newest = slots.withColumn("_new", broken).withColumn("_later", F.sum("_new").over(back.rowsBetween(Window.unboundedPreceding, 0))).filter("_later = 0")
+    out = newest.groupBy(*key).agg(F.min("_first").alias("started"), F.max("_last").alias("ended"), F.sum("_rows").alias("rows"), F.min("_from").alias("_a"), F.max("_to").alias("_b"))
+    return out.filter("rows is not null").select(*key, "started", "ended", "rows", ((F.col("_b") - F.col("_a")) / 1e6).alias("seconds"))
 
 
 def first_seen_index(df: DataFrame, by: list[str], group: str, position: str) -> DataFrame:

@@ -23,10 +23,10 @@ def f01(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("f02_point_filters", """SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders
-    WHERE o_orderstatus IN ('F', 'O') AND o_orderpriority <> '5-LOW' AND o_totalprice >= 1000 AND o_custkey IS NOT NULL AND o_orderkey < 5000""")
+    WHERE o_orderstatus IN ('F', 'O') AND o_orderpriority <> '5-LOW' AND o_totalprice >= 1000 AND o_custkey IS NOT NULL""")
 def f02(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders")
-    keep = F.col("o_orderstatus").isin("F", "O") & (F.col("o_orderpriority") != "5-LOW") & (F.col("o_totalprice") >= 1000) & F.col("o_custkey").isNotNull() & (F.col("o_orderkey") < 5000)
+    keep = F.col("o_orderstatus").isin("F", "O") & (F.col("o_orderpriority") != "5-LOW") & (F.col("o_totalprice") >= 1000) & F.col("o_custkey").isNotNull()
     return o.filter(keep).select("o_orderkey", "o_orderstatus", "o_totalprice")
 
 

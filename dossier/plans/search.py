@@ -90,9 +90,9 @@ def a02(spark: SparkSession, sf: str) -> DataFrame:
     return chunks(spark, sf).filter(retrieval.contains_any(F.col("topic_ids"), [0, 2, 11])).agg(F.count_distinct("chunk_id").alias("n"))
 
 
-@query("k02_similar_topics", f"""WITH {_QUERY}, n AS (SELECT e.vec_id AS id, {_COSINE} AS s FROM embeddings e, q WHERE e.vec_id < 200 ORDER BY s DESC, id LIMIT 20) SELECT id, round(s, 6) AS similarity FROM n WHERE s > 0.2 ORDER BY s DESC, id LIMIT 5""")
+@query("k02_similar_topics", f"""WITH {_QUERY}, n AS (SELECT e.vec_id AS id, {_COSINE} AS s FROM embeddings e, q ORDER BY s DESC, id LIMIT 20) SELECT id, round(s, 6) AS similarity FROM n WHERE s > 0.2 ORDER BY s DESC, id LIMIT 5""")
 def k02(spark: SparkSession, sf: str) -> DataFrame:
-    t = table(spark, sf, "embeddings").filter("vec_id < 200").select(F.col("vec_id").alias("id"), F.lit("t").alias("name"), "embedding")
+    t = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.lit("t").alias("name"), "embedding")
     return retrieval.similar_topics(t, question(spark, sf), 0.2, 5).select("id", F.round("similarity", 6).alias("similarity"))
 
 
@@ -147,12 +147,12 @@ def v08(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.envelope(hits, block, key="doc_id").withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), ","))
 
 
-def topic_table(spark: SparkSession, sf: str, most: int = 300) -> DataFrame:
-    return table(spark, sf, "embeddings").filter(F.col("vec_id") < most).select(F.col("vec_id").alias("id"), F.concat(F.lit("Topic-"), (F.col("vec_id") % 40).cast("string")).alias("name"), "embedding", (F.col("vec_id") * 31 % 17).alias("chunk_count"))
+def topic_table(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.concat(F.lit("Topic-"), (F.col("vec_id") % 40).cast("string")).alias("name"), "embedding", (F.col("vec_id") * 31 % 17).alias("chunk_count"))
 
 
 _PAIRS = """SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))) AS s
-    FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE a.vec_id < 300 AND b.vec_id < 300"""
+    FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id"""
 
 
 @query("j13_similar_pairs", f"SELECT a, b, round(s, 6) AS similarity FROM ({_PAIRS}) WHERE s >= 0.4")
@@ -165,29 +165,33 @@ def v12(spark: SparkSession, sf: str) -> DataFrame:
     return topics.similar_pairs(topic_table(spark, sf), 0.3, 0.45).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("v10_cluster_plan", f"""WITH RECURSIVE p AS (SELECT a, b FROM ({_PAIRS}) WHERE s >= 0.6), e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r(id, other) AS (SELECT a, a FROM e UNION SELECT r.id, e.b FROM r JOIN e ON r.other = e.a),
+@query("v10_cluster_plan", f"""WITH RECURSIVE p AS (SELECT a, b FROM ({_PAIRS}) WHERE s >= 0.42), e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r(id, other) AS (SELECT a, a FROM e UNION SELECT r.id, e.b FROM r JOIN e ON r.other = e.a),
     c AS (SELECT id, min(other) AS component FROM r GROUP BY id), k AS (SELECT id, first_value(id) OVER (PARTITION BY component ORDER BY id * 31 % 17 DESC, id) AS keeper FROM c) SELECT id AS absorbed, keeper FROM k WHERE id <> keeper""")
 def v10(spark: SparkSession, sf: str) -> DataFrame:
     t = topic_table(spark, sf)
-    return topics.cluster_plan(t, topics.similar_pairs(t, 0.6))
+    return topics.cluster_plan(t, topics.similar_pairs(t, 0.42))
 
 
 @query("v09_greedy_plan")
 def v09(spark: SparkSession, sf: str) -> DataFrame:
     t = topic_table(spark, sf)
-    return topics.greedy_plan(t, topics.similar_pairs(t, 0.6))
+    return topics.greedy_plan(t, topics.similar_pairs(t, 0.42))
 
 
-@query("v11_name_plan", """WITH t AS (SELECT vec_id AS id, vec_id % 40 AS bucket, vec_id * 31 % 17 AS w FROM embeddings WHERE vec_id < 300), k AS (SELECT id, first_value(id) OVER (PARTITION BY bucket ORDER BY w DESC, id) AS keeper FROM t) SELECT id AS absorbed, keeper FROM k WHERE id <> keeper""")
+@query("v11_name_plan", """WITH t AS (SELECT vec_id AS id, vec_id % 40 AS bucket, vec_id * 31 % 17 AS w FROM embeddings), k AS (SELECT id, first_value(id) OVER (PARTITION BY bucket ORDER BY w DESC, id) AS keeper FROM t) SELECT id AS absorbed, keeper FROM k WHERE id <> keeper""")
 def v11(spark: SparkSession, sf: str) -> DataFrame:
     return topics.name_plan(topic_table(spark, sf))
 
 
-@query("v13_resolve_topics")
+@query("v13_resolve_topics", """WITH p AS (SELECT n.vec_id AS n, t.vec_id AS t, list_dot_product(n.embedding::DOUBLE[], t.embedding::DOUBLE[]) / (sqrt(list_dot_product(n.embedding::DOUBLE[], n.embedding::DOUBLE[])) * sqrt(list_dot_product(t.embedding::DOUBLE[], t.embedding::DOUBLE[]))) AS s
+    FROM embeddings n JOIN embeddings t ON n.vec_id % 2 = 1 AND t.vec_id % 2 = 0), b AS (SELECT n, arg_max(t, s) AS t FROM p WHERE s >= 0.4 GROUP BY n), k AS (SELECT vec_id % 40 AS k, min(vec_id) AS id FROM embeddings WHERE vec_id % 2 = 0 GROUP BY 1)
+    SELECT 'topic ' || e.vec_id AS name, coalesce(k.id::VARCHAR, b.t::VARCHAR, substr(sha256('topic:topic ' || e.vec_id), 1, 32)) AS topic_id, CASE WHEN k.id IS NOT NULL THEN 'name' WHEN b.t IS NOT NULL THEN 'similar' ELSE 'new' END AS how
+    FROM embeddings e LEFT JOIN k ON k.k = e.vec_id LEFT JOIN b ON b.n = e.vec_id WHERE e.vec_id % 2 = 1""")
 def v13(spark: SparkSession, sf: str) -> DataFrame:
-    t = topic_table(spark, sf, 100)
-    names = table(spark, sf, "embeddings").filter("vec_id >= 90 and vec_id < 200").select(F.concat(F.lit("topic "), (F.col("vec_id") % 60).cast("string")).alias("name"), "embedding")
-    return topics.resolve(names, t, 0.5)
+    e = table(spark, sf, "embeddings")
+    known = topic_table(spark, sf).filter("id % 2 = 0")  # the odd ones ask
+    asked = e.filter("vec_id % 2 = 1").select(F.concat(F.lit("topic "), F.col("vec_id").cast("string")).alias("name"), "embedding")
+    return topics.resolve(asked, known, 0.4)
 
 
 @query("v15_vector_flaws", "SELECT vec_id, 'missing' AS flaw FROM embeddings WHERE embedding IS NULL OR len(embedding) = 0 UNION ALL SELECT vec_id, 'zero' FROM embeddings WHERE len(embedding) > 0 AND list_sum(list_transform(embedding, lambda x: abs(x))) = 0")
@@ -202,7 +206,7 @@ def j12(spark: SparkSession, sf: str) -> DataFrame:
     more = spark.createDataFrame([(200, "the"), (201, "of the"), (202, "and the")], "id int, name string")
     register = n.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")).unionByName(r.select((F.col("r_regionkey") + 100).alias("id"), F.col("r_name").alias("name"))).unionByName(more)
     terms = entities.lookup(register.withColumn("aliases", F.array().cast("array<string>")))
-    return entities.mentions(table(spark, sf, "documents"), terms, "doc_id", "text", 2)
+    return entities.mentions(table(spark, sf, "documents"), terms, "doc_id", "text")
 
 
 @query("j14_fuzzy_names", """WITH a AS (SELECT DISTINCT upper(n_name) || CASE WHEN n_nationkey % 2 = 0 THEN 'X' ELSE '' END AS candidate FROM nation), p AS (SELECT candidate, upper(n_name) AS term, 1.0 - levenshtein(candidate, upper(n_name))::DOUBLE / greatest(length(candidate), length(n_name)) AS ratio FROM a, nation),
@@ -213,13 +217,18 @@ def j14(spark: SparkSession, sf: str) -> DataFrame:
     return entities.closest(names, n.select(F.upper("n_name").alias("term")), 0.8).withColumn("ratio", F.round("ratio", 6))
 
 
-@query("v14_tagging", """WITH w AS (SELECT p_brand AS brand, p_type AS kind, p_partkey % 11 AS doc FROM part) SELECT doc, string_agg(DISTINCT brand, ',' ORDER BY brand) AS brands, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM w GROUP BY doc""")
+@query("v14_tagging", """WITH t AS (SELECT n_nationkey AS id, lower(n_name) AS term FROM nation UNION ALL SELECT * FROM (VALUES (200, 'the'), (201, 'of the'), (202, 'and the'))),
+    w AS (SELECT source, ' ' || array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), ' ') || ' ' AS s FROM documents), f AS (SELECT DISTINCT coalesce(source, '') AS root, id FROM w JOIN t ON contains(w.s, ' ' || array_to_string(regexp_extract_all(t.term, '[\\p{L}\\p{N}_]+'), ' ') || ' '))
+    SELECT root, string_agg(DISTINCT CAST(id AS VARCHAR), ',' ORDER BY CAST(id AS VARCHAR)) AS found, string_agg(DISTINCT CASE WHEN id < 200 THEN 'nation' ELSE 'phrase' END, ',' ORDER BY CASE WHEN id < 200 THEN 'nation' ELSE 'phrase' END) AS kinds FROM f GROUP BY root""")
 def v14(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "part")
-    register = p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"), F.col("p_type").alias("kind"))
-    found = p.select((F.col("p_partkey") % 11).alias("doc"), F.col("p_partkey").alias("id"))
-    out = entities.attributes(found, register, "doc", ["brand", "kind"])
-    return out.select("doc", F.array_join("brands", ",").alias("brands"), F.array_join("kinds", ",").alias("kinds"))
+    # a source stands for an e-mail tree: the names found in any of its texts tag all of it
+    more = spark.createDataFrame([(200, "the", "phrase"), (201, "of the", "phrase"), (202, "and the", "phrase")], "id int, name string, kind string")
+    register = table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.lit("nation").alias("kind")).unionByName(more)
+    terms = entities.lookup(register.withColumn("aliases", F.array().cast("array<string>")))
+    texts = table(spark, sf, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("root"), "text")
+    found = entities.mentions(texts, terms, "doc_id", "text").join(texts.select("doc_id", "root"), "doc_id").select("root", "id").distinct()
+    out = entities.attributes(found, register, "root", ["kind"])
+    return out.select("root", F.array_join(F.array_sort(F.col("ids").cast("array<string>")), ",").alias("found"), F.array_join("kinds", ",").alias("kinds"))
 
 
 _HITS = """h AS (SELECT doc_id % 20 AS question_id, doc_id AS chunk_id, row_number() OVER (PARTITION BY doc_id % 20 ORDER BY n_chars DESC, doc_id) AS rank FROM documents), g AS (SELECT doc_id % 20 AS question_id, doc_id AS chunk_id FROM labels WHERE quality = 1)"""

@@ -150,10 +150,19 @@ def t24(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("doc_id", "total_chars", r("repetition_score"), r("table_char_pct"), "heading_count", r("short_line_ratio"))
 
 
-@query("t25_embedding_mode", "SELECT doc_id, CASE WHEN length(text) < 200 THEN 'metadata_only' END AS short_mode FROM documents WHERE length(text) < 200")
+#: The rules of the embedding mode as SQL: doc_id, decision (mode/reason).
+_MODES = """WITH x AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), y AS (SELECT doc_id, t, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '\\S')) AS l, len(regexp_extract_all(t, '[\\p{L}\\p{N}\\p{M}_\\p{Pc}]+|[^\\w\\s]'))::BIGINT AS tokens, len(regexp_extract_all(t, '\\p{L}'))::DOUBLE AS letters,
+    len(regexp_extract_all(t, '\\p{Nd}'))::DOUBLE AS digits, length(regexp_replace(t, '[\\s\\x0B\\x1C-\\x1F\\x85\\x{A0}\\p{Z}]', '', 'g'))::DOUBLE AS solid FROM x),
+    z AS (SELECT doc_id, length(t) AS chars, tokens, CASE WHEN solid > 0 THEN letters / solid ELSE 0 END AS prose, CASE WHEN solid > 0 THEN digits / solid ELSE 0 END AS digit, greatest(len(l), 1) AS n, len(list_distinct(l)) AS d, len(list_filter(l, lambda x: starts_with(ltrim(x), '|'))) AS piped,
+    len(list_filter(l, lambda x: len(string_split(regexp_replace(trim(x), '\\s+', ' ', 'g'), ' ')) <= 3)) AS short, len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '^#{1,6}\\s+\\S'))) AS heads FROM y),
+    m AS (SELECT doc_id, CASE WHEN chars < 200 OR tokens < 50 THEN 'metadata_only/too_short' WHEN prose < 0.15 AND heads = 0 THEN 'metadata_only/no_prose' WHEN tokens > 20000 AND digit > 0.4 THEN 'summary/bulk_numeric' WHEN tokens > 20000 AND piped > 0.5 * n THEN 'summary/tabular'
+    WHEN tokens > 20000 AND n - d > 0.92 * n THEN 'summary/repetitive' WHEN tokens > 20000 AND short > 0.95 * n THEN 'summary/short_lines' WHEN tokens > 50000 AND prose < 0.5 THEN 'summary/triage_dense' ELSE 'full/default_prose' END AS decision FROM z)"""
+
+
+@query("t25_embedding_mode", f"{_MODES} SELECT doc_id, decision FROM m")
 def t25(spark: SparkSession, sf: str) -> DataFrame:
-    s = shape.with_shape(docs(spark, sf)).filter("total_chars < 200")
-    return s.select("doc_id", shape.embedding_mode()["mode"].alias("short_mode"))
+    s = shape.with_shape(docs(spark, sf)).withColumn("m", shape.embedding_mode())
+    return s.select("doc_id", F.concat_ws("/", "m.mode", "m.reason").alias("decision"))
 
 
 @query("t26_utility", """WITH w AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z][A-Za-z''-]*') AS w FROM documents) SELECT doc_id, len(w)::INTEGER AS word_count, round(CASE WHEN len(w) > 0 THEN len(list_distinct(list_transform(w, lambda x: lower(x))))::DOUBLE / len(w) ELSE 0 END, 6) AS unique_word_ratio, CASE WHEN len(w) < 100 THEN 'skip' END AS short_class FROM w""")
@@ -212,9 +221,9 @@ def t37(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy("user_id").agg(F.round((micros(F.max("ts")) - micros(F.min("ts"))) / 1e6, 1).alias("seconds"))
 
 
-@query("t39_sizes", "SELECT page_id, CASE WHEN n < 1024 THEN n || ' B' ELSE printf('%.1f KB', n / 1024.0) END AS size FROM (SELECT page_id, length(html) AS n FROM pages) WHERE n < 1000000")
+@query("t39_sizes", "SELECT page_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0::DOUBLE) ELSE printf('%.1f MB', n / 1048576.0::DOUBLE) END AS size FROM (SELECT page_id, length(html) AS n FROM pages)")
 def t39(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages").filter(F.length("html") < 1000000).select("page_id", txt.human_size(F.length("html")).alias("size"))
+    return table(spark, sf, "pages").select("page_id", txt.human_size(F.length("html")).alias("size"))
 
 
 @query("t40_candidates", "SELECT doc_id, CAST(len(list_distinct(regexp_extract_all(text || ' \"ALPHA STAR\" M/V Blue Whale', '\"([A-Z][A-Z]+(?:\\s[A-Z]+){0,2})\"', 1))) AS INTEGER) AS quoted FROM documents WHERE NOT regexp_matches(text, '(?i:vessel|ship)[: ]|M/?[VT]')")
@@ -292,9 +301,9 @@ def v17(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.mode_chunks(d)
 
 
-@query("v23_mode_drift", "SELECT 'full' AS current, 'metadata_only' AS proposed, count(*) AS n FROM documents WHERE length(text) < 200 HAVING count(*) > 0")
+@query("v23_mode_drift", f"{_MODES} SELECT 'full' AS current, split_part(decision, '/', 1) AS proposed, count(*) AS n FROM m WHERE decision NOT LIKE 'full/%' GROUP BY 2")
 def v23(spark: SparkSession, sf: str) -> DataFrame:
-    d = docs(spark, sf).filter(F.length("text") < 200).withColumn("embedding_mode", F.lit("full"))
+    d = docs(spark, sf).withColumn("embedding_mode", F.lit("full"))
     return ingest.mode_drift(d).groupBy("current", "proposed").agg(F.count("*").alias("n"))
 
 
@@ -392,9 +401,9 @@ def q27(spark: SparkSession, sf: str) -> DataFrame:
     return quality.not_single_chunk(o, table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("document_id")))
 
 
-@query("q29_residual_images", _CHECK.format("residual_image", "doc_id", "CAST(NULL AS VARCHAR)", "documents WHERE doc_id % 9 = 0"))
+@query("q29_residual_images", _CHECK.format("residual_image", "doc_id", "CAST(NULL AS VARCHAR)", "documents WHERE doc_id % 9 = 0 OR regexp_matches(text, '!\\[[^\\]]*\\]\\([^)]*\\)')"))
 def q29(spark: SparkSession, sf: str) -> DataFrame:
-    d = docs(spark, sf).filter(~F.contains("text", F.lit("]("))).withColumn("content", F.concat(F.col("text"), F.when(F.col("doc_id") % 9 == 0, "![x](image_1.png)").otherwise("")))
+    d = docs(spark, sf).withColumn("content", F.concat(F.col("text"), F.when(F.col("doc_id") % 9 == 0, "![x](image_1.png)").otherwise("")))
     return quality.residual_images(d, "content", "doc_id")
 
 

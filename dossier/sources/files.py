@@ -5,6 +5,7 @@ from __future__ import annotations
 import email
 import email.policy
 import io
+import uuid
 import zipfile
 from collections.abc import Iterator
 from datetime import UTC
@@ -151,11 +152,19 @@ def expand_zip(archives: DataFrame) -> DataFrame:
 
 
 def csv_as_markdown(files: DataFrame, content: str = "content") -> DataFrame:
-    """files with `markdown`: the CSV text (cut at the first NUL) as a table, by its most frequent separator of , ; and tab."""
-    plain = F.regexp_replace(F.regexp_replace(F.col(content).cast("string"), "\\x00.*", ""), "\r\n?", "\n")
-    times = lambda c: F.length("_t") - F.length(F.replace(F.col("_t"), F.lit(c), F.lit("")))
+    """files with `markdown`: the CSV text (cut at the first NUL) as a table, by its most frequent separator of , ; and tab.
+
+    Cells may be quoted: they then hold separators, line breaks and doubled quotes. Line breaks in cells become spaces.
+    """
+    plain = F.regexp_replace(F.regexp_replace(F.col(content).cast("string"), "(?s)\\x00.*", ""), "\r\n?", "\n")
+    bare = F.regexp_replace("_t", '"(?:[^"]|"")*+"', "")  # separators in quotes do not count
+    times = lambda c: F.length(bare) - F.length(F.replace(bare, F.lit(c), F.lit("")))
     sep = F.when((times(";") > times(",")) & (times(";") >= times("\t")), ";").when(times("\t") > times(","), "\t").otherwise(",")
-    rows = F.transform(F.filter(F.split("_t", "\n"), lambda x: F.trim(x) != ""), lambda line: F.split(line, F.col("_sep")))
+    # a line, then a cell, is a run of quoted parts and of characters that do not end it
+    lines = F.regexp_extract_all("_t", F.lit('(?:"(?:[^"]|"")*+"|[^\n"]|")++'), F.lit(0))
+    cell = F.concat(F.lit('(?:^|'), F.col("_sep"), F.lit(')((?:"(?:[^"]|"")*+"|[^"'), F.col("_sep"), F.lit(']|")*+)'))
+    clean = lambda c: F.regexp_replace(F.replace(F.regexp_replace(c, '^\\s*"((?s).*)"\\s*$', "$1"), F.lit('""'), F.lit('"')), "\n", " ")
+    rows = F.transform(F.filter(lines, lambda x: F.trim(x) != ""), lambda line: F.transform(F.regexp_extract_all(line, cell, F.lit(1)), clean))
     return files.withColumn("_t", plain).withColumn("_sep", sep).withColumn("markdown", text.markdown_table(rows)).drop("_t", "_sep")
 
 
@@ -188,7 +197,48 @@ def needs_ocr(pages: Column, has_form: Column, least: int = 50) -> Column:
     return has_form | F.exists(pages, lambda p: F.length(F.trim(p)) < least)
 
 
-def write_atomic(df: DataFrame, path: str, partition: list[str] | None = None) -> None:
-    """Replaces a table through Spark's commit protocol: readers see the old or the new files."""
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition) if partition else writer).parquet(path)
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder, jvm
+
+
+def _point_to(spark: SparkSession, path: str, version: str) -> None:
+    """Names the current version in a pointer file that is renamed over the old one: one operation of the file system."""
+    fs, folder, jvm = _file_system(spark, path)
+    fresh, current = (jvm.org.apache.hadoop.fs.Path(folder, name) for name in (f"_{version}", "_current"))
+    out = fs.create(fresh, True)
+    out.writeBytes(version)
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(fs.makeQualified(fresh), fs.makeQualified(current), options)
+
+
+def current_version(spark: SparkSession, path: str) -> str:
+    fs, folder, jvm = _file_system(spark, path)
+    stream = fs.open(jvm.org.apache.hadoop.fs.Path(folder, "_current"))
+    try:
+        return bytes(stream.readNBytes(64)).decode()
+    finally:
+        stream.close()
+
+
+def write_atomic(tables: DataFrame | dict[str, DataFrame], path: str, partition: list[str] | None = None) -> None:
+    """Replaces a table, or several by name, in one step.
+
+    The folder holds versions; each is written in full before the pointer names it. A failed job leaves the old version in
+    place, and readers of it keep their files.
+    """
+    version = uuid.uuid4().hex
+    each = {"": tables} if isinstance(tables, DataFrame) else {f"/{name}": df for name, df in tables.items()}
+    for name, df in each.items():
+        writer = df.write.partitionBy(*partition) if partition else df.write
+        writer.parquet(f"{path}/{version}{name}")
+    _point_to(df.sparkSession, path, version)
+
+
+def read_atomic(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
+    """The version that write_atomic() last put in place; name: which of several tables."""
+    return spark.read.parquet(f"{path}/{current_version(spark, path)}" + (f"/{name}" if name else ""))

@@ -4,6 +4,7 @@ import datetime as dt
 import io
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from dossier.sources import files
@@ -48,6 +49,9 @@ def test_zip(spark):
 def test_tables_and_registers(spark, tmp_path):
     df = spark.createDataFrame([(bytearray(b"a;b\r1;x|y\x00junk"),)], "content binary")
     assert files.csv_as_markdown(df).first().markdown == "| a | b |\n|---|---|\n| 1 | x\\|y |"
+    quoted = b'name,note\n"Smith, J","said ""no"",\nthen left"\nplain,\n\n;x\x00\x01\nbinary\n"'
+    df = spark.createDataFrame([(bytearray(quoted),)], "content binary")
+    assert files.csv_as_markdown(df).first().markdown == '| name | note |\n|---|---|\n| Smith, J | said "no", then left |\n| plain |  |\n| ;x |  |'
     (tmp_path / "r.csv").write_text("NAME;TYPE;CLASS;ALIASES\nBlue;t;c;B1, B2\nNo Class;t;;\n")
     r = files.register(spark, str(tmp_path / "r.csv")).collect()
     assert [(x.name, x.aliases) for x in r] == [("Blue", ["B1", "B2"])]
@@ -101,8 +105,18 @@ def test_batches_add_rows_once(spark, tmp_path):
     for i in (0, 0):
         add(batch, i)
     assert sorted(r.k for r in spark.read.parquet(path).collect()) == [1, 2]
-    files.write_atomic(spark.createDataFrame([(9,)], "k int"), path)
-    assert [r.k for r in spark.read.parquet(path).collect()] == [9]
+    path = str(tmp_path / "versions")
+    for k in (8, 9):
+        files.write_atomic(spark.createDataFrame([(k,)], "k int"), path)
+        assert [r.k for r in files.read_atomic(spark, path).collect()] == [k]
+    held = files.read_atomic(spark, path)
+    bad = spark.createDataFrame([(1,)], "k int").select(F.raise_error(F.lit("no")).cast("int").alias("k"))
+    with pytest.raises(Exception, match="no"):  # a failed job leaves the old version in place
+        files.write_atomic(bad, path)
+    assert [r.k for r in files.read_atomic(spark, path).collect()] == [9] == [r.k for r in held.collect()]
+    both = str(tmp_path / "together")
+    files.write_atomic({"a": spark.range(2), "b": spark.range(3)}, both)
+    assert (files.read_atomic(spark, both, "a").count(), files.read_atomic(spark, both, "b").count()) == (2, 3)
 
 
 def test_refresh_and_trail(spark):
