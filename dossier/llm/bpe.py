@@ -38,7 +38,7 @@ ODD_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\
 ENDINGS = frozenset(".,;:!?")
 NONE = np.iinfo(np.int32).max
 TABLE_BITS = 18  # of the table of pairs
-SLICE_CHARS = 8_000_000  # of text held as pieces at a time
+SLICE_CHARS = 2_000_000  # of text held as pieces at a time
 MOST_PIECES = 400_000  # remembered per task
 ROWS = 1000  # in an output batch
 

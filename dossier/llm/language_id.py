@@ -18,11 +18,11 @@ by it; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
-import sys
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,8 +34,9 @@ SAMPLE, MOST_WORDS, MOST_GRAMS = 3_000, 60_000, 60_000
 MAX_GRAM = 4
 LEAST_SEEN = 2  # a term seen once tells no frequency: it is backed off like an unseen one
 SMOOTH = 0.5
-#: Runs of letters. The class of word characters also holds numbers that are no digits, such as fractions.
-LETTERS = re.compile(r"[^\W\d_%s]+" % "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not (c.isalpha() or c.isdecimal())))
+#: Runs of letters, and of numbers that are no digits (fractions, circled numbers), which the class of word characters also
+#: holds; texts with such numbers are split by the second, slower pattern.
+NEARLY, LETTERS = re.compile(r"[^\W\d_]+"), regex.compile(r"\p{L}+")
 UNKNOWN = "und"
 EVIDENCE = 8.0  # a text's words count as so many at most in its score
 
@@ -49,6 +50,11 @@ class Model:
     gram_scores: np.ndarray  # the last row: unknown characters
 
 
+def letter_runs(text: str) -> list[str]:
+    words = NEARLY.findall(text)
+    return words if "".join(words).isalpha() else LETTERS.findall(text)
+
+
 def grams_of(word: str) -> list[str]:
     w = f"^{word}$"
     return [w[i : i + n] for n in range(1, MAX_GRAM + 1) for i in range(len(w) - n + 1)]
@@ -133,7 +139,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str
         def do(texts: list[str]) -> list[pa.Array]:
             if not m.langs:
                 return [pa.array([UNKNOWN] * len(texts), pa.string()), pa.array([0.0] * len(texts))]
-            at, n = table.look_up([LETTERS.findall(t.lower()) for t in texts])
+            at, n = table.look_up([letter_runs(t.lower()) for t in texts])
             mean = sums(table.rows[at], n) / np.maximum(n, 1)[:, None]
             mean = mean * np.minimum(n, EVIDENCE)[:, None]
             odds = np.exp(mean - mean.max(axis=1, keepdims=True))
