@@ -79,10 +79,10 @@ def s23(spark: SparkSession, sf: str) -> DataFrame:
     return dml.with_fresh_ids(docs, rows, stored)[1]
 
 
-@query("t41_unknown_names", "WITH c AS (SELECT DISTINCT upper(p_type) AS candidate FROM part), t AS (SELECT DISTINCT lower(split_part(p_type, ' ', 1)) AS term FROM part WHERE p_size < 3) SELECT candidate FROM c WHERE NOT EXISTS (SELECT 1 FROM t WHERE lower(candidate) = term OR starts_with(lower(candidate), term || ' '))")
+@query("t41_unknown_names", "WITH c AS (SELECT DISTINCT upper(p_type) AS candidate FROM part), t AS (SELECT DISTINCT lower(split_part(p_type, ' ', 1)) AS term FROM part WHERE p_type LIKE 'S%') SELECT candidate FROM c WHERE NOT EXISTS (SELECT 1 FROM t WHERE lower(candidate) = term OR starts_with(lower(candidate), term || ' '))")
 def t41(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part")
-    terms = p.filter("p_size < 3").select(F.lower(F.split("p_type", " ")[0]).alias("term"))
+    terms = p.filter("p_type LIKE 'S%'").select(F.lower(F.split("p_type", " ")[0]).alias("term"))
     return entities.unknown(p.select(F.upper("p_type").alias("candidate")).distinct(), terms)
 
 

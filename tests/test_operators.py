@@ -196,3 +196,59 @@ def test_greedy_plan_of_a_long_chain(spark):
     some = frame(spark, "id int, chunk_count int", *weights.items())
     for most in (0, 4):
         assert set(rows(topics.greedy_plan(some, frame(spark, "a int, b int", *pairs), most_edges=most))) == sequential_greedy(weights, pairs)
+
+
+def test_names_of_many_words(spark):
+    register = frame(spark, "id int, name string, aliases array<string>", (1, "Star of the North Sea Line", ["S.o.N."]), (2, "Star", []), (3, "sea-line", []))
+    docs = frame(spark, "d int, t string", (1, "the star of  the north, sea line sails"), (2, "a start of the north sea line"), (3, "STAR of the north"), (4, "s o n and sea LINE"), (5, None), (6, ""))
+    found = entities.mentions(docs, entities.lookup(register), "d", "t")
+    assert sorted(rows(found)) == [(1, 1), (1, 2), (1, 3), (2, 3), (3, 2), (4, 1), (4, 3)]
+
+
+def test_hierarchy_of_any_depth(spark):
+    """A chain deeper than recursive queries go, a cycle and a lost parent."""
+    chain = [(f"n{i:04d}", f"n{i - 1:04d}" if i else None) for i in range(300)]
+    tree = frame(spark, "id string, parent_id string", *chain, ("x", "y"), ("y", "x"), ("z", "gone"))
+    got = {r.id: (r.root_id, r.depth, r.path) for r in ingest.with_hierarchy(tree).collect()}
+    assert got == {n: ("n0000", i, [m for m, _ in chain[:i]]) for i, (n, _) in enumerate(chain)}
+
+
+def test_index_recall(spark, tmp_path):
+    import numpy as np
+
+    from dossier.operators import index
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 16))
+    made = [(i, (centres[i % 12] + 0.4 * rng.normal(size=16)).tolist()) for i in range(3000)] + [(9000, None), (9001, [0.0] * 16)]
+    index_rows, path = frame(spark, "chunk_id int, embedding array<double>", *made), str(tmp_path / "index")
+    cell_rows, index.CELL_ROWS = index.CELL_ROWS, 100
+    try:
+        index.build(index_rows, path)
+    finally:
+        index.CELL_ROWS = cell_rows
+    x = np.array([v for _, v in made[:3000]])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 3000, 600):
+        exact = sorted(zip((-(u @ u[q])).round(12).tolist(), range(3000), strict=True))[:10]
+        got = index.search(spark, path, x[q].tolist(), 10, probes=6)
+        hits += len({r.chunk_id for r in got.collect()} & {i for _, i in exact})
+        whole = index.search(spark, path, x[q].tolist(), 10, probes=1000).collect()
+        assert {r.chunk_id for r in whole} == {i for _, i in exact}
+    assert hits / 50 >= 0.9
+    assert "PartitionFilters: [cell" in got._jdf.queryExecution().toString()  # the other cells are not read
+
+
+def test_named_topics(spark):
+    known = frame(spark, "id int, name string, embedding array<double>, chunk_count bigint", (1, "Hull", [1.0, 0.0], 0), (2, "Hull paint", [0.9, 0.3], 7), (3, "Galley", [0.0, 1.0], 5))
+    names = lambda *n: frame(spark, "name string, embedding array<double>", *n)
+    ask = lambda n, **k: retrieval.topic_names_filter(n, known, F.array(F.lit(1.0), F.lit(0.0)), **k).first()
+    a = ask(names(("hull", [1.0, 0.0]), ("engine", [-1.0, -1.0])), threshold=0.99, looser=0.5)
+    assert (a.decision, a.topic_ids, a.loosened, a.unmatched, a.chunks) == ("filter", [1, 2], True, ["engine"], 7)
+    b = ask(names(("hull", [1.0, 0.0])), threshold=0.99, looser=0.98)
+    assert (b.decision, b.topic_ids, b.suggested[0]) == ("skip_no_chunk", [1], "Hull paint")
+    c = ask(names(("engine", [-1.0, -1.0])))
+    assert (c.decision, c.topic_ids, c.unmatched) == ("skip_no_topic", [], ["engine"])
+    d = retrieval.topic_names_filter(known.select("name", "embedding").limit(0), known, F.array(F.lit(1.0), F.lit(0.0))).first()
+    assert (d.decision, d.chunks) == ("broad", 0)
