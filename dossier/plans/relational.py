@@ -96,9 +96,9 @@ def f24(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").filter(F.col("role").isin("user", "assistant") & (F.trim(F.coalesce("text", F.lit(""))) != "")).select("conv_id", "turn", "role", "text")
 
 
-@query("f25_documents_without_chunks", "SELECT c_custkey FROM customer c WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+@query("f25_documents_without_chunks", "SELECT c_custkey FROM customer c WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P')")
 def f25(spark: SparkSession, sf: str) -> DataFrame:
-    c, o = table(spark, sf, "customer"), table(spark, sf, "orders")
+    c, o = table(spark, sf, "customer"), table(spark, sf, "orders").filter("o_orderstatus = 'P'")
     return c.filter(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
 
 
@@ -149,9 +149,9 @@ def j07(spark: SparkSession, sf: str) -> DataFrame:
     return diff.orphans(table(spark, sf, "orders"), parents, "o_custkey", "c_custkey").agg(F.count("*").alias("broken"))
 
 
-@query("j08_orphan_rows", "SELECT p_partkey FROM part LEFT JOIN (SELECT DISTINCT l_partkey FROM lineitem WHERE l_discount > 0.05) ON l_partkey = p_partkey WHERE l_partkey IS NULL")
+@query("j08_orphan_rows", "SELECT p_partkey FROM part LEFT JOIN (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity = 50) ON l_partkey = p_partkey WHERE l_partkey IS NULL")
 def j08(spark: SparkSession, sf: str) -> DataFrame:
-    used = table(spark, sf, "lineitem").filter("l_discount > 0.05")
+    used = table(spark, sf, "lineitem").filter("l_quantity = 50")
     return diff.orphans(table(spark, sf, "part"), used, "p_partkey", "l_partkey").select("p_partkey")
 
 
@@ -187,10 +187,10 @@ def j17(spark: SparkSession, sf: str) -> DataFrame:
     return path.select("c_custkey", "l_partkey").distinct()
 
 
-@query("j19_unexplained", """SELECT event_id FROM events e WHERE event_type = 'error' AND NOT EXISTS (SELECT 1 FROM events x WHERE x.user_id = e.user_id AND x.event_type = 'signup')""")
+@query("j19_unexplained", """SELECT event_id FROM events e WHERE event_type = 'error' AND NOT EXISTS (SELECT 1 FROM events x WHERE x.user_id = e.user_id AND x.event_type = 'signup' AND x.value > 100)""")
 def j19(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
-    return e.filter("event_type = 'error'").join(e.filter("event_type = 'signup'").select("user_id"), "user_id", "left_anti").select("event_id")
+    return e.filter("event_type = 'error'").join(e.filter("event_type = 'signup' and value > 100").select("user_id"), "user_id", "left_anti").select("event_id")
 
 
 @query("j20_origin_chunk", """WITH f AS (SELECT l_orderkey, min_by(l_partkey, l_linenumber * 10000000 + l_partkey) AS first_part FROM lineitem GROUP BY l_orderkey)

@@ -194,9 +194,12 @@ def v13(spark: SparkSession, sf: str) -> DataFrame:
     return topics.resolve(asked, known, 0.4)
 
 
-@query("v15_vector_flaws", "SELECT vec_id, 'missing' AS flaw FROM embeddings WHERE embedding IS NULL OR len(embedding) = 0 UNION ALL SELECT vec_id, 'zero' FROM embeddings WHERE len(embedding) > 0 AND list_sum(list_transform(embedding, lambda x: abs(x))) = 0")
+@query("v15_vector_flaws", """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 20 = 7 THEN NULL WHEN vec_id % 20 = 9 THEN list_transform(embedding, lambda x: x * 0) ELSE embedding END AS embedding FROM embeddings)
+    SELECT vec_id, 'missing' AS flaw FROM e WHERE embedding IS NULL OR len(embedding) = 0 UNION ALL SELECT vec_id, 'zero' FROM e WHERE len(embedding) > 0 AND list_sum(list_transform(embedding, lambda x: abs(x))) = 0""")
 def v15(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "embeddings").select("vec_id", vectors.flaw(F.col("embedding")).alias("flaw")).filter("flaw is not null")
+    k, e = F.col("vec_id") % 20, F.col("embedding")
+    spoilt = F.when(k == 9, F.transform(e, lambda x: x * F.lit(0).cast("float"))).when(k != 7, e)
+    return table(spark, sf, "embeddings").select("vec_id", vectors.flaw(spoilt).alias("flaw")).filter("flaw is not null")
 
 
 @query("j12_name_mentions", """WITH t AS (SELECT n_nationkey AS id, lower(n_name) AS term FROM nation UNION ALL SELECT r_regionkey + 100, lower(r_name) FROM region UNION ALL SELECT * FROM (VALUES (200, 'the'), (201, 'of the'), (202, 'and the'))),
@@ -303,8 +306,7 @@ def t35(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "labels").select("doc_id", evals.overall(F.col("quality"), (F.col("doc_id") % 10) / 10.0, F.col("toxic") == 1).alias("overall"))
 
 
-@query("t34_format_rules", """SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN role = 'assistant' AND NOT contains(text, 'the') THEN 'missing Component header' END, CASE WHEN length(text) > 400 AND role <> 'assistant' THEN 'no citations despite long response' END], lambda x: x IS NOT NULL), '; ') AS violations FROM conversations WHERE text IS NOT NULL AND NOT contains(text, 'Based on your query')""")
+@query("t34_format_rules", """SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN role = 'assistant' AND (NOT contains(text, 'the') OR contains(text, 'Based on your query') AND NOT contains(text, 'Component:') AND NOT contains(text, 'Most Relevant Solution')) THEN 'missing Component header' END, CASE WHEN length(text) > 400 AND role <> 'assistant' THEN 'no citations despite long response' END], lambda x: x IS NOT NULL), '; ') AS violations FROM conversations""")
 def t34(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "conversations").filter("text is not null and not contains(text, 'Based on your query')")
     rules = evals.format_violations(F.col("text"), F.col("role") == "assistant", F.lit(False), F.lit(False), ["the"])
-    return c.select("conv_id", "turn", F.array_join(rules, "; ").alias("violations"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(rules, "; ").alias("violations"))

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from dossier.functions import email, ids, shape
 from dossier.functions import text as txt
 from dossier.operators import ingest, quality
-from dossier.operators.entities import candidates
+from dossier.operators.entities import STOP_WORDS, candidates
 from dossier.plans.registry import query, table
 from dossier.sources.files import parse_eml
 from dossier.streaming import events as streams
 
+_STOP = "|".join(sorted(STOP_WORDS))
+
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents")
@@ -75,10 +77,10 @@ def t08(spark: SparkSession, sf: str) -> DataFrame:
     return docs(spark, sf).select("doc_id", F.length(email.clean_body(body)).alias("n"))
 
 
-@query("t09_anchor", "SELECT doc_id, CAST(CASE WHEN strpos(text, 'And the') > 0 THEN strpos(text, 'And the') - 1 WHEN strpos(lower(text), 'and the') > 0 THEN strpos(lower(text), 'and the') - 1 END AS INTEGER) AS at FROM documents WHERE NOT regexp_matches(text, '(?i)and\\s\\s+the|and[^\\S ]the')")
+@query("t09_anchor", """SELECT doc_id, CAST(CASE WHEN strpos(text, 'And the') > 0 THEN strpos(text, 'And the') - 1 WHEN strpos(lower(text), 'and the') > 0 THEN strpos(lower(text), 'and the') - 1
+    WHEN regexp_matches(text, '(?i)and[ \\t\\n\\r\\f\\x0b]+the') THEN strpos(text, regexp_extract(text, '(?i)and[ \\t\\n\\r\\f\\x0b]+the')) - 1 END AS INTEGER) AS at FROM documents""")
 def t09(spark: SparkSession, sf: str) -> DataFrame:
-    plain = docs(spark, sf).filter(~F.regexp_like("text", F.lit(r"(?i)and\s\s+the|and[^\S ]the")))
-    return plain.select("doc_id", txt.find_anchor(F.col("text"), F.lit("And the")).alias("at"))
+    return docs(spark, sf).select("doc_id", txt.find_anchor(F.col("text"), F.lit("And the")).alias("at"))
 
 
 @query("t12_strip_tags", r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'g'), '(?i)<a[^>]*href=[''"]([^''"]+)[''"][^>]*>([^<]*)</a>', '[\2](\1)', 'g'), '(?i)<a[^>]*>([^<]*)</a>', '\1', 'g'), '(?i)<(br|p|div|h[1-6]|li)[^>]*>', chr(10), 'g'), '<[^>]+>', '', 'g') AS text FROM pages""")
@@ -135,10 +137,10 @@ def t23(spark: SparkSession, sf: str) -> DataFrame:
     return docs(spark, sf).select("doc_id", F.size(txt.headings(marked)).alias("n"))
 
 
-@query("w07_heading_path", "SELECT doc_id, 'A/B/D' AS path FROM documents WHERE NOT regexp_matches(text, '(?m)^#')")
+@query("w07_heading_path", """SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(trim(regexp_extract_all(text, '(?m)^#[ \\t]+(\\S.*)$', 1)[-1]), 'A') || '/B/D' END AS path FROM documents""")
 def w07(spark: SparkSession, sf: str) -> DataFrame:
     marked = F.concat(F.lit("# A\n"), F.col("text"), F.lit("\n## B\n### C\n### D"))
-    return docs(spark, sf).filter(~F.regexp_like("text", F.lit("(?m)^#"))).select("doc_id", F.array_join(txt.heading_path(marked), "/").alias("path"))
+    return docs(spark, sf).select("doc_id", F.array_join(txt.heading_path(marked), "/").alias("path"))
 
 
 @query("t24_content_shape", """WITH l AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\S')) AS l FROM documents), n AS (SELECT *, greatest(len(l), 1) AS n FROM l)
@@ -178,9 +180,9 @@ def f21(spark: SparkSession, sf: str) -> DataFrame:
     return long.join(lab, "doc_id", "left_semi").select("doc_id")
 
 
-@query("t27_excerpts", "SELECT doc_id, substr(text, 1, 100) || '|' || substr(text, greatest(100, length(text) // 2 - 50) + 1, 100) || '|' || substr(text, length(text) - 99, 100) AS sample FROM documents WHERE length(text) > 300")
+@query("t27_excerpts", "SELECT doc_id, CASE WHEN length(text) <= 300 THEN text ELSE substr(text, 1, 100) || '|' || substr(text, greatest(100, length(text) // 2 - 50) + 1, 100) || '|' || substr(text, length(text) - 99, 100) END AS sample FROM documents")
 def t27(spark: SparkSession, sf: str) -> DataFrame:
-    return docs(spark, sf).filter(F.length("text") > 300).select("doc_id", F.array_join(txt.excerpts(F.col("text"), 100), "|").alias("sample"))
+    return docs(spark, sf).select("doc_id", F.array_join(txt.excerpts(F.col("text"), 100), "|").alias("sample"))
 
 
 @query("t28_metadata_stub", "SELECT doc_id, 'File: ' || source || chr(10) || 'Type: ' || lang || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'Subject: s' || doc_id ELSE '' END AS stub FROM documents")
@@ -194,10 +196,9 @@ def t29(spark: SparkSession, sf: str) -> DataFrame:
     return docs(spark, sf).select("doc_id", txt.embedding_text(F.when(F.col("doc_id") % 3 == 0, F.col("lang")), F.col("text")).alias("embedding_text"))
 
 
-@query("t30_token_truncate", "SELECT doc_id, array_to_string((regexp_split_to_array(trim(text), '[ \\t\\n\\r\\f\\x0b]+'))[1:50], ' ') AS head FROM documents WHERE len(regexp_split_to_array(trim(text), '[ \\t\\n\\r\\f\\x0b]+')) > 50")
+@query("t30_token_truncate", """WITH w AS (SELECT doc_id, text, regexp_split_to_array(trim(text), '[ \\t\\n\\r\\f\\x0b]+') AS w FROM documents) SELECT doc_id, CASE WHEN len(w) > 50 THEN array_to_string(w[1:50], ' ') ELSE text END AS head FROM w""")
 def t30(spark: SparkSession, sf: str) -> DataFrame:
-    long = docs(spark, sf).filter(F.size(F.split(F.trim("text"), r"\s+")) > 50)
-    return long.select("doc_id", txt.first_tokens(F.col("text"), 50).alias("head"))
+    return docs(spark, sf).select("doc_id", txt.first_tokens(F.col("text"), 50).alias("head"))
 
 
 @query("t32_jaccard", """WITH b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w FROM benchmark), p AS (SELECT x.item_id, x.w AS a, y.w AS b FROM b x JOIN b y ON y.item_id = x.item_id + 1)
@@ -226,16 +227,21 @@ def t39(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", txt.human_size(F.length("html")).alias("size"))
 
 
-@query("t40_candidates", "SELECT doc_id, CAST(len(list_distinct(regexp_extract_all(text || ' \"ALPHA STAR\" M/V Blue Whale', '\"([A-Z][A-Z]+(?:\\s[A-Z]+){0,2})\"', 1))) AS INTEGER) AS quoted FROM documents WHERE NOT regexp_matches(text, '(?i:vessel|ship)[: ]|M/?[VT]')")
+@query("t40_candidates", rf"""WITH x AS (SELECT doc_id, text || ' "ALPHA STAR" M/V Blue Whale' AS t FROM documents), c AS (SELECT doc_id, list_concat(list_concat(regexp_extract_all(t, '\bM/?[VT]\.?\s+([A-Z][A-Za-z]+(?:\s[A-Z][A-Za-z]+){{0,2}})', 1),
+    regexp_extract_all(t, '(?i:vessel|ship)[: ]+([A-Z][A-Za-z]+(?:\s[A-Z][A-Za-z]+){{0,2}})', 1)), regexp_extract_all(t, '"([A-Z][A-Z]+(?:\s[A-Z]+){{0,2}})"', 1)) AS c FROM x)
+    SELECT doc_id, CAST(len(list_distinct(list_filter(list_transform(c, lambda x: regexp_replace(upper(trim(x)), '^(?:(?:{_STOP})(?:\s+|$))+|(?:\s+(?:{_STOP}))+$', '', 'g')), lambda x: x <> ''))) AS INTEGER) AS n FROM c""")
 def t40(spark: SparkSession, sf: str) -> DataFrame:
-    plain = docs(spark, sf).filter(~F.regexp_like("text", F.lit("(?i:vessel|ship)[: ]|M/?[VT]")))
     found = candidates(F.concat(F.col("text"), F.lit(' "ALPHA STAR" M/V Blue Whale')))
-    return plain.select("doc_id", (F.size(found) - 1).alias("quoted"))
+    return docs(spark, sf).select("doc_id", F.size(found).alias("n"))
 
 
-@query("t44_greetings", "SELECT role, count(*) AS n FROM conversations WHERE regexp_matches(text, '(?i)^\\s*(hi|hello|hey|thanks|thank you|ok|okay|bye)\\b[\\s!.,?]*$') GROUP BY role")
+@query("t44_greetings", """WITH c AS (SELECT role, CASE WHEN conv_id % 5 = 0 AND turn % 3 = 0 THEN 'Good morning, ' || role || chr(10) WHEN conv_id % 5 = 1 AND turn % 2 = 0 THEN ' Thank you!' ELSE text END AS text FROM conversations)
+    SELECT role, count(*) AS n FROM c WHERE regexp_matches(text, '(?i)^\\s*(hi|hello|hey|good (morning|afternoon|evening)|thanks|thank you|ok|okay|bye)\\b[\\s!.,?]*$') GROUP BY role""")
 def t44(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "conversations").filter(txt.is_greeting(F.col("text"))).groupBy("role").agg(F.count("*").alias("n"))
+    named = F.concat(F.lit("Good morning, "), F.col("role"), F.lit("\n"))
+    thanks = F.when((F.col("conv_id") % 5 == 1) & (F.col("turn") % 2 == 0), " Thank you!").otherwise(F.col("text"))
+    c = table(spark, sf, "conversations").withColumn("text", F.when((F.col("conv_id") % 5 == 0) & (F.col("turn") % 3 == 0), named).otherwise(thanks))
+    return c.filter(txt.is_greeting(F.col("text"))).groupBy("role").agg(F.count("*").alias("n"))
 
 
 @query("t47_listed", "WITH t AS (SELECT n_regionkey, list(trim(n_name) ORDER BY n_nationkey) AS l FROM nation GROUP BY 1) SELECT n_regionkey, l[1] || ', ' || l[2] || ' and ' || (len(l) - 2) || ' more' AS topics FROM t WHERE len(l) > 2")
@@ -339,9 +345,10 @@ def q03(spark: SparkSession, sf: str) -> DataFrame:
     return docs(spark, sf).groupBy("lang").agg(F.count("*").alias("n"))
 
 
-@query("q06_empty_content", _CHECK.format("empty_content", "doc_id", "CAST(NULL AS VARCHAR)", "documents WHERE text IS NULL OR NOT regexp_matches(text, '\\S')"))
+@query("q06_empty_content", """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN ' ' || chr(10) ELSE text END AS text FROM documents) """ + _CHECK.format("empty_content", "doc_id", "CAST(NULL AS VARCHAR)", "d WHERE text IS NULL OR NOT regexp_matches(text, '\\S')"))
 def q06(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.empty_content(docs(spark, sf), "doc_id", "text")
+    blanked = docs(spark, sf).withColumn("text", F.when(F.col("doc_id") % 11 == 0, " \n").otherwise(F.col("text")))
+    return quality.empty_content(blanked, "doc_id", "text")
 
 
 @query("q08_without_chunks", _CHECK.format("without_chunks", "c_custkey", "CAST(NULL AS VARCHAR)", "customer WHERE c_mktsegment <> 'BUILDING' AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)"))
@@ -377,9 +384,9 @@ def q17(spark: SparkSession, sf: str) -> DataFrame:
     return quality.duplicates(table(spark, sf, "orders").filter("o_orderstatus = 'P'"), "o_custkey")
 
 
-@query("q18_encoded_names", _CHECK.format("encoded_name", "page_id", "url || '%20'", "pages WHERE page_id % 5 = 0"))
+@query("q18_encoded_names", """WITH n AS (SELECT page_id, url || CASE WHEN page_id % 5 = 0 THEN '%20' ELSE '' END AS name FROM pages) """ + _CHECK.format("encoded_name", "page_id", "name", "n WHERE regexp_matches(name, '%[0-9A-Fa-f]{2}')"))
 def q18(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "pages").filter(~F.regexp_like("url", F.lit("%[0-9A-Fa-f]{2}"))).withColumn("name", F.concat(F.col("url"), F.when(F.col("page_id") % 5 == 0, "%20").otherwise("")))
+    p = table(spark, sf, "pages").withColumn("name", F.concat(F.col("url"), F.when(F.col("page_id") % 5 == 0, "%20").otherwise("")))
     return quality.encoded_names(p, "name", "page_id")
 
 
