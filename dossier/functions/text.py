@@ -180,10 +180,10 @@ def heading_path(text: Column) -> Column:
 
 
 def excerpts(text: Column, each: int = 1500, n: int = 3) -> Column:
-    """Head, middle and tail of a long text; all of a short one."""
+    """Head, middle and tail of a long text; all of a short one; null for a null text."""
     middle = F.greatest(F.lit(each), F.floor(F.length(text) / 2).cast("int") - each // 2)
     parts = F.array(F.substring(text, 1, each), F.substring(text, middle + 1, F.lit(each)), F.substring(text, F.length(text) - each + 1, F.lit(each)))
-    return F.when(F.length(text) <= n * each, F.array(text)).otherwise(parts)
+    return F.when(F.length(text) <= n * each, F.array(text)).when(text.isNotNull(), parts)
 
 
 def metadata_stub(file_name: Column, kind: Column, title: Column, subject: Column) -> Column:

@@ -228,8 +228,8 @@ def t39(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("t40_candidates", rf"""WITH x AS (SELECT doc_id, text || ' "ALPHA STAR" M/V Blue Whale' AS t FROM documents), c AS (SELECT doc_id, list_concat(list_concat(regexp_extract_all(t, '\bM/?[VT]\.?\s+([A-Z][A-Za-z]+(?:\s[A-Z][A-Za-z]+){{0,2}})', 1),
-    regexp_extract_all(t, '(?i:vessel|ship)[: ]+([A-Z][A-Za-z]+(?:\s[A-Z][A-Za-z]+){{0,2}})', 1)), regexp_extract_all(t, '"([A-Z][A-Z]+(?:\s[A-Z]+){{0,2}})"', 1)) AS c FROM x)
-    SELECT doc_id, CAST(len(list_distinct(list_filter(list_transform(c, lambda x: regexp_replace(upper(trim(x)), '^(?:(?:{_STOP})(?:\s+|$))+|(?:\s+(?:{_STOP}))+$', '', 'g')), lambda x: x <> ''))) AS INTEGER) AS n FROM c""")
+    regexp_extract_all(t, '(?i:vessel|ship)[: ]+([A-Z][A-Za-z]+(?:\s[A-Z][A-Za-z]+){{0,2}})', 1)), regexp_extract_all(t, '"([A-Z][A-Z]+(?:\s[A-Z]+){{0,2}})"', 1)) AS c FROM x WHERE t IS NOT NULL)
+    SELECT doc_id, CAST(len(list_distinct(list_filter(list_transform(c, lambda x: regexp_replace(upper(trim(x)), '^(?:(?:{_STOP})(?:\s+|$))+|(?:\s+(?:{_STOP}))+$', '', 'g')), lambda x: x <> ''))) AS INTEGER) AS n FROM c UNION ALL SELECT doc_id, NULL FROM x WHERE t IS NULL""")
 def t40(spark: SparkSession, sf: str) -> DataFrame:
     found = candidates(F.concat(F.col("text"), F.lit(' "ALPHA STAR" M/V Blue Whale')))
     return docs(spark, sf).select("doc_id", F.size(found).alias("n"))

@@ -42,3 +42,29 @@ def test_query(spark, duck, name):
     assert sorted(names) == columns
     at = [names.index(c) for c in columns]
     assert rows == sorted((tuple(plain(r[i]) for i in at) for r in got.fetchall()), key=repr)
+
+
+ODD_TEXTS = [
+    None,
+    "",
+    "   \n ",
+    "# Top\nsaid and\n the rest\n## Sub\n# Last  \nend",
+    "Dear all,\nE-Mail: a@b.example\nM: +30 210 99\n_________\nDISCLAIMER: this is\nkept private\n\nStill here\n\n\n\nBest regards,\nX",
+    "CONFIDENTIAL to all\nsecond line\n",
+    'a ![x](image_3.png) b [q]](image) <img alt="z" src="1"/> ![k](foo) [n](http://x.example) ![r](page_1_p) [s](layout_2_a)',
+    'M/V Green Star met vessel: The Sea Owl and "RED MOON" near "THE PORT" on M/T. Blue',
+    " ".join(f"w{i}" for i in range(60)),
+    "x\n" * 400,
+]
+
+
+@pytest.mark.parametrize("name", "t07_boilerplate t09_anchor t13_image_references t22_line_numbers t27_excerpts t30_token_truncate t40_candidates w07_heading_path".split())
+def test_odd_texts(spark, tmp_path, name):
+    rows = [(i, t) for i, t in enumerate(ODD_TEXTS)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = QUERIES[name](spark, str(tmp_path))
+    columns = sorted(df.columns)
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = c.execute("SELECT " + ", ".join(f'"{k}"' for k in columns) + f" FROM ({ORACLES[name]})").fetchall()
+    assert sorted((tuple(r[k] for k in columns) for r in df.collect()), key=repr) == sorted(want, key=repr)
