@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import ann, bpe, html_text, language_id, mixing, near_dup, pii, quality_classifier, quality_rules, toxicity
+from dossier.llm import ann, bpe, html_text, language_id, merkle, mixing, near_dup, oracles, pii, quality_classifier, quality_rules, toxicity
 from dossier.llm.common import fold, table
 
 
@@ -72,9 +72,20 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    leaf, other = (merkle.leaf_digest(*fields, text) for text in (F.col("text"), F.replace("text", F.lit("\n"), F.lit(""))))
+    rows = docs.select(merkle.source_key(F.col("source")).alias("source"), F.col("doc_id").alias("id"), leaf.alias("leaf"), F.when(hit, other).otherwise(leaf).alias("read"))
+    proven = merkle.manifest(rows).withColumn("folded_root", merkle.folded(F.col("read"), F.col("steps")))
+    proof = F.sha2(merkle.proof(F.col("steps")), 256).alias("proof_sha256")
+    return proven.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_merkle": oracles.merkle_sql()}
