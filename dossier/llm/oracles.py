@@ -54,3 +54,49 @@ def merkle_sql(levels: int = 16) -> str:
 SELECT l.doc_id, l.leaf, s.subroot, r.h AS root, sha256(b.p) AS proof_sha256, b.f AS folded_root, b.f = r.h AS verified
 FROM leaves l JOIN sources s ON l.g = s.g JOIN b{levels} b ON b.id = l.g || ':' || l.i CROSS JOIN u{levels} r"""
     )
+
+
+def conversation_repair_sql() -> str:
+    """The same edits by a recursion from the last turn: of each grammar state the least (cost, audit) of what follows, as one text that sorts so."""
+    white = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    add = lambda cost, letters, v: f"printf('%08d', CAST(left({v}, 8) AS BIGINT) + {cost}) || '{letters}' || substr({v}, 9)"
+    after = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (2, "a"): 3, (3, "u"): 2}
+    turned = {0: 2, 1: 2, 2: 3, 3: 2}
+    never = "'90000000'"
+
+    def turn(q: int) -> str:
+        kept = "".join(f" WHEN x = '{x}' THEN {add('cut', 'K', f'v{to}')}" for (state, x), to in after.items() if state == q)
+        return f"least({add(2, 'D', f'v{q}')}, CASE WHEN gone THEN {never} ELSE least({add('cut + 1', 'R', f'v{turned[q]}')}, CASE{kept} ELSE {never} END) END) AS u{q}"
+
+    def inserted(q: int) -> str:
+        one, two = turned[q], turned[turned[q]]
+        return f"least(u{q}, {add(5, 'I', f'u{one}')}, {add(10, 'II', f'u{two}')})"
+
+    told = lambda c: f"coalesce(CAST({c} AS VARCHAR), ' ')"
+    return f"""
+WITH RECURSIVE crc_table AS ({CRC_TABLE}),
+kinds AS (SELECT conv_id, turn, {told("role")} AS role, {told("text")} AS text, {crc(told("conv_id") + " || ':' || " + told("turn"))} % 20 AS kind FROM conversations, crc_table),
+damaged AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM kinds, unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) WHERE kind <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i, rtrim(text, {white}) AS body FROM damaged),
+judged AS (SELECT *, left(role, 1) AS x, body = '' AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, right(body, 1) NOT IN ('.', '!', '?') AS ended_badly,
+  lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM placed),
+turns AS (SELECT conv_id, i, role, text, x, blank, NOT blank AND again AS duplicate, NOT blank AND NOT again AND ended_badly AS truncated, blank OR again AS gone, CASE WHEN ended_badly THEN 5 ELSE 0 END AS cut, pair FROM judged),
+summed AS (SELECT conv_id, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+  count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM turns GROUP BY conv_id),
+spans AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps FROM damaged GROUP BY conv_id),
+best AS (
+  SELECT conv_id, n + 1 AS i, '00000000' AS v0, '00000010II' AS v1, '00000005I' AS v2, '00000000' AS v3 FROM summed
+  UNION ALL
+  SELECT conv_id, i, {", ".join(map(inserted, range(4)))} FROM (
+    SELECT t.conv_id, t.i, {", ".join(map(turn, range(4)))} FROM best b JOIN turns t ON t.conv_id IS NOT DISTINCT FROM b.conv_id AND t.i = b.i - 1)),
+chosen AS (SELECT conv_id, CAST(left(v0, 8) AS BIGINT) AS cost, substr(v0, 9) AS audit FROM best WHERE i = 1),
+letters AS (SELECT conv_id, p, audit[p] AS letter, length(regexp_replace(audit[:p], 'I', '', 'g')) AS i, length(regexp_replace(audit[p:], 'D', '', 'g')) AS from_end
+  FROM chosen, unnest(range(1, length(audit) + 1)) AS u(p)),
+lines AS (SELECT l.conv_id, string_agg(CASE WHEN letter = 'K' THEN t.role WHEN from_end % 2 = 1 THEN 'assistant' ELSE 'user' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE t.text END, chr(10) ORDER BY p) AS body
+  FROM letters l LEFT JOIN turns t ON t.conv_id IS NOT DISTINCT FROM l.conv_id AND t.i = l.i WHERE letter <> 'D' GROUP BY l.conv_id)
+SELECT c.conv_id, CAST(coalesce(g.gaps, 0) AS BIGINT) AS gaps, coalesce(s.blank, 0) AS blank, coalesce(s.duplicate, 0) AS duplicate, coalesce(s.truncated, 0) AS truncated, coalesce(s.illegal, 0) AS illegal,
+  coalesce(k.cost, 0) AS cost, coalesce(k.audit, '') AS audit, sha256(coalesce(r.body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN summed s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN spans g ON g.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN chosen k ON k.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN lines r ON r.conv_id IS NOT DISTINCT FROM c.conv_id"""
