@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.llm import ann, bpe, html_text, language_id, merkle, mixing, near_dup, oracles, pii, quality_classifier, quality_rules, toxicity
-from dossier.llm.common import fold, table
+from dossier.llm import ann, bpe, conversation_repair, html_text, language_id, merkle, mixing, near_dup, oracles, packing, pii, quality_classifier, quality_rules, toxicity
+from dossier.llm.common import cut, fold, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +72,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return conversation_repair.report(conversations, conversation_repair.damage(conversations))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
@@ -83,9 +88,22 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proven.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def word_vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), word_vocabulary_path())
+    digests = cut(packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"), "pieces")
+    done = packing.numbered(digests, ["doc_id", "start", "ids_crc32"])
+    return done.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_merkle": oracles.merkle_sql()}
+    return {"op11_conversation_repair": oracles.conversation_repair_sql(), "op12_merkle": oracles.merkle_sql()}
