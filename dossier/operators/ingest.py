@@ -38,7 +38,9 @@ def wave(files: DataFrame, existing: DataFrame, n: int, key: str = "doc_id") ->
 
 
 def with_hierarchy(documents: DataFrame) -> DataFrame:
-    """depth, root_id and path (the ids from the root to the parent) from parent_id; rows outside any tree go.
+    """depth, root_id and path from parent_id; rows outside any tree go.
+
+    A root's path holds its own id; any other's is its parent's path and then the parent's id.
 
     Every node knows the ids above it up to some ancestor; each round joins it with what that ancestor knows, which doubles
     the distance. The rounds are the logarithm of the depth, whatever the number of nodes; a cycle has no root and ends them.
@@ -54,8 +56,10 @@ def with_hierarchy(documents: DataFrame) -> DataFrame:
         rest = known.filter("top is not null").join(above, "top").select("id", F.col("next").alias("top"), F.concat("before", "path").alias("path"))
         known = cut(known.filter("top is null").unionByName(rest), "tree")
     kind = documents.schema["id"].dataType.simpleString()
-    done = known.filter("top is null").select("id", F.size("path").alias("depth"), F.col("path").cast(f"array<{kind}>").alias("path"))
-    return documents.drop("root_id", "depth", "path").join(done.withColumn("root_id", F.coalesce(F.get("path", F.lit(0)), F.col("id"))), "id")
+    above = F.col("path").cast(f"array<{kind}>")
+    done = known.filter("top is null").select("id", F.size("path").alias("depth"), F.coalesce(F.get(above, F.lit(0)), F.col("id")).alias("root_id"), above.alias("above"))
+    done = done.select("id", "depth", "root_id", F.concat(F.array("root_id"), "above").alias("path"))
+    return documents.drop("root_id", "depth", "path").join(done, "id")
 
 
 def message_chunks(bodies: DataFrame, doc: str = "doc_id", body: str = "body", least_words: int = LEAST_MESSAGE_WORDS) -> tuple[DataFrame, DataFrame]:

@@ -117,14 +117,14 @@ def j02(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("j03_ancestry", """WITH RECURSIVE node AS (SELECT 'r' || r_regionkey AS id, NULL AS parent_id FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation
-    UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier), t(id, root_id, depth) AS (SELECT id, id, 0 FROM node WHERE parent_id IS NULL
-    UNION ALL SELECT d.id, t.root_id, t.depth + 1 FROM node d JOIN t ON d.parent_id = t.id) SELECT id, root_id, depth FROM t""")
+    UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier), t(id, root_id, depth, path) AS (SELECT id, id, 0, id FROM node WHERE parent_id IS NULL
+    UNION ALL SELECT d.id, t.root_id, t.depth + 1, t.path || '/' || t.id FROM node d JOIN t ON d.parent_id = t.id) SELECT id, root_id, depth, path FROM t""")
 def j03(spark: SparkSession, sf: str) -> DataFrame:
     r, n, s = (table(spark, sf, t) for t in ("region", "nation", "supplier"))
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     nodes = r.select(name("r", "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent_id")).unionByName(n.select(name("n", "n_nationkey").alias("id"), name("r", "n_regionkey").alias("parent_id")))
     nodes = nodes.unionByName(s.select(name("s", "s_suppkey").alias("id"), name("n", "s_nationkey").alias("parent_id")))
-    return with_hierarchy(nodes).select("id", "root_id", "depth")
+    return with_hierarchy(nodes).select("id", "root_id", "depth", F.array_join("path", "/").alias("path"))
 
 
 @query("j04_unnest_any", "SELECT count(DISTINCT l_orderkey) AS n FROM lineitem, unnest([3, 5, 8]) AS t(tid) WHERE l_partkey = tid")

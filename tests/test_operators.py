@@ -210,7 +210,7 @@ def test_hierarchy_of_any_depth(spark):
     chain = [(f"n{i:04d}", f"n{i - 1:04d}" if i else None) for i in range(300)]
     tree = frame(spark, "id string, parent_id string", *chain, ("x", "y"), ("y", "x"), ("z", "gone"))
     got = {r.id: (r.root_id, r.depth, r.path) for r in ingest.with_hierarchy(tree).collect()}
-    assert got == {n: ("n0000", i, [m for m, _ in chain[:i]]) for i, (n, _) in enumerate(chain)}
+    assert got == {n: ("n0000", i, ["n0000", *(m for m, _ in chain[:i])]) for i, (n, _) in enumerate(chain)}
 
 
 def test_index_recall(spark, tmp_path):
