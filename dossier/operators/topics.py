@@ -3,41 +3,37 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.cuts import cut
-from dossier.functions import vectors
 from dossier.functions.text import normal_name
+from dossier.operators import similar
 from dossier.operators.components import components
 
 
-def similar_pairs(topics: DataFrame, least: float, below: float | None = None, key: str = "id", blocks: int = 16) -> DataFrame:
-    """a < b and similarity of all pairs with similarity in [least, below).
+def similar_pairs(topics: DataFrame, least: float, below: float | None = None, key: str = "id") -> DataFrame:
+    """a < b and similarity of all pairs with similarity in [least, below)."""
+    return similar.self_join(topics, least, below, key).pairs()
 
-    Every pair is compared once: rows are dealt into blocks, and a pair of blocks is one group of the join, so work spreads
-    over blocks * (blocks + 1) / 2 keys whatever the data. Exact, and quadratic by nature: topics are a small dimension.
-    """
-    measured = topics.filter(F.col("embedding").isNotNull()).withColumn("_norm", vectors.norm(F.col("embedding"))).filter("_norm > 0")
-    unit = measured.select(
-        F.col(key).alias("id"), F.transform("embedding", lambda x: x.cast("double") / F.col("_norm")).alias("unit"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block")
-    )
-    cells = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = unit.withColumn("cell", F.explode(F.transform(cells, lambda c: F.struct(F.col("block").alias("x"), c.alias("y")))))
-    right = unit.withColumn("cell", F.explode(F.transform(cells, lambda c: F.struct(c.alias("x"), F.col("block").alias("y")))))
-    a, b = left.alias("a"), right.alias("b")
-    both = a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.id") < F.col("b.id")))
-    scored = both.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), vectors.dot(F.col("a.unit"), F.col("b.unit")).alias("similarity"))
-    within = F.col("similarity") >= least
-    return scored.filter(within if below is None else within & (F.col("similarity") < below))
+
+def similar_links(topics: DataFrame, least: float, key: str = "id") -> DataFrame:
+    """(a, b) that connect what pairs of similarity >= least connect; copies of a vector are linked to one of them only."""
+    found = similar.self_join(topics, least, None, key)
+    return found.representatives().select("a", "b").unionByName(found.copies().select(F.col("rep").alias("a"), F.col("id").alias("b")))
+
+
+def _heaviest(weight: str, key: str) -> Column:
+    """The heaviest row's key (ties: the smaller key), as an aggregate that combines before the shuffle."""
+    return F.min(F.struct((-F.col(weight)).alias("w"), F.col(key).alias("k")))["k"]
 
 
 def cluster_plan(topics: DataFrame, pairs: DataFrame, weight: str = "chunk_count", key: str = "id") -> DataFrame:
     """absorbed, keeper: single-linkage clusters merge into their heaviest member (ties: the smaller id)."""
     label = components(pairs.select("a", "b"))
     member = topics.join(label, topics[key] == label.node).select(F.col(key).alias("id"), weight, "component")
-    keeper = F.first("id").over(Window.partitionBy("component").orderBy(F.desc(weight), "id"))
-    return member.withColumn("keeper", keeper).filter(F.col("id") != F.col("keeper")).select(F.col("id").alias("absorbed"), "keeper")
+    keepers = member.groupBy("component").agg(_heaviest(weight, "id").alias("keeper"))
+    return member.join(keepers, "component").filter(F.col("id") != F.col("keeper")).select(F.col("id").alias("absorbed"), "keeper")
 
 
 def _sequential(group: pd.DataFrame) -> pd.DataFrame:
@@ -101,12 +97,12 @@ def greedy_plan(topics: DataFrame, pairs: DataFrame, weight: str = "chunk_count"
 
 def name_plan(topics: DataFrame, name: str = "name", weight: str = "chunk_count", key: str = "id") -> DataFrame:
     """absorbed, keeper: topics of one normalised name merge into the heaviest."""
-    bucket = Window.partitionBy("_bucket").orderBy(F.desc(weight), key)
-    named = topics.withColumn("_bucket", normal_name(F.col(name))).filter("_bucket <> ''").withColumn("keeper", F.first(key).over(bucket))
+    named = topics.withColumn("_bucket", normal_name(F.col(name))).filter("_bucket <> ''").select(key, weight, "_bucket")
+    named = named.join(named.groupBy("_bucket").agg(_heaviest(weight, key).alias("keeper")), "_bucket")
     return named.filter(F.col(key) != F.col("keeper")).select(F.col(key).alias("absorbed"), "keeper")
 
 
-def resolve(names: DataFrame, topics: DataFrame, least: float, blocks: int = 16) -> DataFrame:
+def resolve(names: DataFrame, topics: DataFrame, least: float) -> DataFrame:
     """name, topic_id, how (name, similar or new): known names first, then the most similar topic, else a new id.
 
     names: name, embedding; topics: id, name, embedding. Equal normalised names resolve alike.
@@ -115,14 +111,12 @@ def resolve(names: DataFrame, topics: DataFrame, least: float, blocks: int = 16)
     known = topics.withColumn("bucket", normal_name(F.col("name"))).groupBy("bucket").agg(F.min("id").alias("known_id"))
     by_name = wanted.join(known, "bucket", "left")
     misses = by_name.filter("known_id is null").groupBy("bucket").agg(F.min_by("embedding", "name").alias("embedding"))
-    usable = topics.filter(F.col("embedding").isNotNull()).select("id", F.col("embedding").alias("topic_embedding"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    best = (
-        misses.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(usable, "block").withColumn("similarity", vectors.cosine(F.col("embedding"), F.col("topic_embedding"))).filter(F.col("similarity") >= least)
-        .groupBy("bucket").agg(F.max_by(F.col("id"), F.struct("similarity", -F.xxhash64("id"))).alias("similar_id"))
-    )
+    asked = cut(misses.filter(F.col("embedding").isNotNull()), "misses")
+    near = similar.join(asked, topics, least, "bucket", "id").pairs()
+    best = near.groupBy(F.col("a").alias("bucket")).agg(F.max_by(F.col("b"), F.struct("similarity", -F.xxhash64("b"))).alias("similar_id"))
     new = F.substring(F.sha2(F.concat(F.lit("topic:"), F.col("bucket")), 256), 1, 32)
     how = F.when(F.col("known_id").isNotNull(), "name").when(F.col("similar_id").isNotNull(), "similar").otherwise("new")
-    return by_name.join(best, "bucket", "left").select("name", F.coalesce(F.col("known_id").cast("string"), F.col("similar_id").cast("string"), new).alias("topic_id"), how.alias("how"))
+    return by_name.join(best, "bucket", "left").select("name", F.coalesce(F.col("known_id").cast("string"), F.col("similar_id"), new).alias("topic_id"), how.alias("how"))
 
 
 def recount(topics: DataFrame, bridge: DataFrame, chunks: DataFrame, drop_empty: bool = True) -> DataFrame:

@@ -169,10 +169,16 @@ def v12(spark: SparkSession, sf: str) -> DataFrame:
     c AS (SELECT id, min(other) AS component FROM r GROUP BY id), k AS (SELECT id, first_value(id) OVER (PARTITION BY component ORDER BY id * 31 % 17 DESC, id) AS keeper FROM c) SELECT id AS absorbed, keeper FROM k WHERE id <> keeper""")
 def v10(spark: SparkSession, sf: str) -> DataFrame:
     t = topic_table(spark, sf)
-    return topics.cluster_plan(t, topics.similar_pairs(t, 0.42))
+    return topics.cluster_plan(t, topics.similar_links(t, 0.42))
 
 
-@query("v09_greedy_plan")
+@query("v09_greedy_plan", f"""WITH RECURSIVE p AS (SELECT a, b FROM ({_PAIRS}) WHERE s >= 0.42), w AS (SELECT vec_id AS id, vec_id * 31 % 17 AS w FROM embeddings),
+    e AS (SELECT x.a AS over, x.b AS under FROM (SELECT a, b FROM p UNION ALL SELECT b, a FROM p) x JOIN w wa ON wa.id = x.a JOIN w wb ON wb.id = x.b WHERE wa.w > wb.w OR wa.w = wb.w AND x.a < x.b),
+    t AS (SELECT e.over AS id, list(e.under) AS under, row_number() OVER (ORDER BY any_value(w.w) DESC, e.over) AS place FROM e JOIN w ON w.id = e.over GROUP BY e.over),
+    walk AS (SELECT 0::BIGINT AS place, []::BIGINT[] AS taken, NULL::BIGINT AS keeper, []::BIGINT[] AS fresh
+      UNION ALL SELECT place, taken || fresh, keeper, fresh FROM (SELECT t.place, k.taken, t.id AS keeper,
+        CASE WHEN list_contains(k.taken, t.id) THEN [] ELSE list_filter(t.under, lambda x: NOT list_contains(k.taken, x)) END AS fresh FROM walk k JOIN t ON t.place = k.place + 1))
+    SELECT unnest(fresh) AS absorbed, keeper FROM walk""")
 def v09(spark: SparkSession, sf: str) -> DataFrame:
     t = topic_table(spark, sf)
     return topics.greedy_plan(t, topics.similar_pairs(t, 0.42))
@@ -220,6 +226,15 @@ def j14(spark: SparkSession, sf: str) -> DataFrame:
     return entities.closest(names, n.select(F.upper("n_name").alias("term")), 0.8).withColumn("ratio", F.round("ratio", 6))
 
 
+@query("j14_name_ratio")
+def j14_ratio(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts' names, with a letter lost or doubled here and there, against the register of all of them; tests hold it against all pairs."""
+    p, name = table(spark, sf, "part"), F.upper("p_name")
+    spoilt = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.left(name, F.lit(4)), F.substring(name, 6, 100))).when(F.col("p_partkey") % 3 == 1, F.concat(name, F.right(name, F.lit(1)))).otherwise(F.reverse(name))
+    found = entities.closest_by_blocks(p.select(spoilt.alias("candidate")), p.select(name.alias("term")))
+    return found.withColumn("ratio", F.round("ratio", 6))
+
+
 @query("v14_tagging", """WITH t AS (SELECT n_nationkey AS id, lower(n_name) AS term FROM nation UNION ALL SELECT * FROM (VALUES (200, 'the'), (201, 'of the'), (202, 'and the'))),
     w AS (SELECT source, ' ' || array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), ' ') || ' ' AS s FROM documents), f AS (SELECT DISTINCT coalesce(source, '') AS root, id FROM w JOIN t ON contains(w.s, ' ' || array_to_string(regexp_extract_all(t.term, '[\\p{L}\\p{N}_]+'), ' ') || ' '))
     SELECT root, string_agg(DISTINCT CAST(id AS VARCHAR), ',' ORDER BY CAST(id AS VARCHAR)) AS found, string_agg(DISTINCT CASE WHEN id < 200 THEN 'nation' ELSE 'phrase' END, ',' ORDER BY CASE WHEN id < 200 THEN 'nation' ELSE 'phrase' END) AS kinds FROM f GROUP BY root""")
@@ -229,7 +244,7 @@ def v14(spark: SparkSession, sf: str) -> DataFrame:
     register = table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.lit("nation").alias("kind")).unionByName(more)
     terms = entities.lookup(register.withColumn("aliases", F.array().cast("array<string>")))
     texts = table(spark, sf, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("root"), "text")
-    found = entities.mentions(texts, terms, "doc_id", "text").join(texts.select("doc_id", "root"), "doc_id").select("root", "id").distinct()
+    found = entities.mentions(texts, terms, "root", "text")
     out = entities.attributes(found, register, "root", ["kind"])
     return out.select("root", F.array_join(F.array_sort(F.col("ids").cast("array<string>")), ",").alias("found"), F.array_join("kinds", ",").alias("kinds"))
 
