@@ -5,8 +5,9 @@ sequence of its own: its length is a power of two, so nothing is padded and no s
 one length form a bucket; they are numbered bucket by bucket, the longest first, by document and start within it, so a batch of
 equal lengths is a range of numbers.
 
-Ids come from the tokenizers library, run in tasks over Arrow batches. Words between white space never share an id, so
-each task remembers the ids of words it met, in a table of bounded size.
+Ids are those of the tokenizers library. Words between white space never share an id, so each task remembers the ids of
+words it met, in a table of bounded size. New words of ASCII and Latin letters are merged together, in rounds; all others go to the
+library.
 
 Defined cases: a null text is an empty one and has the end id alone; texts are packed whole, whatever their length; rows that
 repeat an id are packed each for themselves, equal ones interchangeably; an empty table gives an empty result; further columns are
@@ -15,23 +16,28 @@ kept, but those named as a column made here are replaced by it.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dossier.llm.bpe import ragged
+from dossier.llm.bpe import NONE, Vocabulary, byte_symbols, ragged
 from dossier.llm.ranks import ranked
+from dossier.llm.slices import release, text_slices
 
 LONGEST = 2048
 END_ID = 1
-SLICE_CHARS = 1_000_000  # of texts held as words at a time
-TABLE_CHARS = 4_000_000  # of words remembered by a task
+SLICE_BYTES = 1_000_000  # of texts held as words at a time
+TABLE_CHARS = 2_500_000  # of words remembered by a task
+ODD_WORDS = 5_000  # given to the library at a time
 PIECES = 500  # in an output batch: 4 MB of ids
 
 #: Separators that Python's split() takes for white space and the vocabulary's pre-tokenizer does not.
@@ -39,6 +45,14 @@ SEPARATORS = re.compile("[\x1c-\x1f]")
 #: ASCII white space.
 BLANKS = re.compile("[ \t-\r]+")
 
+#: Words of printable ASCII and of Latin letters that no normalization changes and that lower-case one to one.
+COMMON = re.compile("[!-~\u00c0-\u012f\u0131-\u017e]+").fullmatch
+PLAIN = re.compile("[ -~\t\n\u00c0-\u012f\u0131-\u017e]*").fullmatch
+#: A full stop or comma beside anything but letters and white space; all others are pieces of their own.
+MARKS = re.compile("[^a-z\u00df-\u00f6\u00f8-\u00ff][.,]|[.,][^a-z \n\t]|^[.,]").search
+#: Fixed value: the vocabulary's pre-tokenizer pattern.
+PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
 MADE = T.StructType(
     [
         T.StructField("start", T.LongType()),
@@ -49,13 +63,69 @@ MADE = T.StructType(
 )
 
 
+class Merges(Vocabulary):
+    """The vocabulary's merges, applied to many short pieces at once."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        ids, mark = model["vocab"], model["end_of_word_suffix"]
+        self.inner, self.final = np.zeros(256, np.int64), np.zeros(256, np.int64)
+        for c, b in byte_symbols().items():
+            self.inner[b], self.final[b] = ids[c], ids[c + mark]
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        self.size = max(ids.values()) + 1
+        self.left, self.right = (np.array([ids[m[k]] for m in merges], np.int64) for k in (0, 1))
+        self.made = np.array([ids[a + b] for a, b in merges], np.int64)
+        self.hash_pairs(self.left * self.size + self.right)
+
+    def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, one after another, and their number in each.
+
+        In each round every piece merges its pair of least rank, wherever it occurs; pieces without one leave.
+        """
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        raw = np.frombuffer(b"".join(pieces), np.uint8)
+        symbols, piece = self.inner[raw], np.repeat(np.arange(len(pieces)), lengths)
+        symbols[np.cumsum(lengths) - 1] = self.final[raw[np.cumsum(lengths) - 1]]
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(symbols):
+            rank = np.full(len(symbols), NONE, np.int32)
+            inner = np.flatnonzero(piece[1:] == piece[:-1])
+            rank[inner] = self.ranks(symbols[inner], symbols[inner + 1])
+            first = np.flatnonzero(np.concatenate(([True], piece[1:] != piece[:-1])))
+            best = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, len(piece))))
+            if (whole := best == NONE).any():
+                done.append((piece[whole], symbols[whole]))
+                symbols, piece, rank, best = symbols[~whole], piece[~whole], rank[~whole], best[~whole]
+                if not len(symbols):
+                    break
+            at = np.flatnonzero(rank == best)
+            if len(at) > 1:  # of overlapping pairs every other one, from the left
+                joined = np.concatenate(([False], at[1:] == at[:-1] + 1))
+                run = np.maximum.accumulate(np.where(joined, 0, np.arange(len(at))))
+                at = at[(np.arange(len(at)) - run) % 2 == 0]
+            symbols[at] = self.made[rank[at]]
+            keep = np.ones(len(symbols), bool)
+            keep[at + 1] = False
+            symbols, piece = symbols[keep], piece[keep]
+        of, ids = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.zeros(0, np.int64),) * 2
+        order = np.argsort(of, kind="stable")
+        return ids[order].astype(np.uint32), np.bincount(of, minlength=len(pieces)).astype(np.int64)
+
+
+@lru_cache(maxsize=2)
+def merges(path: str) -> Merges:
+    return Merges(path)
+
+
 class Words:
-    """Ids of texts by the ids of their words."""
+    """Ids of texts by the ids of their words: common ones by the merges, any other by the library itself."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.merges, self.tokenizer = merges(path), Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.forget()
@@ -65,19 +135,44 @@ class Words:
         self.chars, self.ids, self.starts, self.counts = 0, np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def learn(self, new: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-        counts = np.fromiter(map(len, got), np.int64, len(got))
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        simple = [w for w in new if w.isalpha() and COMMON(w)]
+        self.add(simple, *self.merges.encode([w.lower().encode() for w in simple]))
+        if len(simple) == len(new):
+            return
+        rest = [w for w in new if w not in self.known]
+        mixed = [w for w in rest if COMMON(w) and "<|" not in w]
+        if mixed:
+            cut = [PIECE.findall(w.lower()) for w in mixed]
+            place = {p: i for i, p in enumerate(dict.fromkeys(chain.from_iterable(cut)))}
+            piece_ids, n = self.merges.encode([p.encode() for p in place])
+            used = np.fromiter(map(place.__getitem__, chain.from_iterable(cut)), np.int64)
+            per_word = np.fromiter(map(len, cut), np.int64, len(cut))
+            self.add(mixed, ragged(piece_ids, (np.cumsum(n) - n)[used], n[used]), np.add.reduceat(n[used], np.cumsum(per_word) - per_word))
+        odd = [w for w in rest if w not in self.known]
+        for k in range(0, len(odd), ODD_WORDS):
+            got = [e.ids for e in self.tokenizer.encode_batch(odd[k : k + ODD_WORDS], add_special_tokens=False)]
+            self.add(odd[k : k + ODD_WORDS], np.fromiter(chain.from_iterable(got), np.uint32), np.fromiter(map(len, got), np.int64, len(got)))
+
+    def add(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
         self.starts = np.concatenate((self.starts, len(self.ids) + np.cumsum(counts) - counts))
         self.counts = np.concatenate((self.counts, counts))
-        self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(got), np.uint32, int(counts.sum()))))
-        self.chars += sum(map(len, new))
+        self.ids = np.concatenate((self.ids, ids))
+        self.chars += sum(map(len, words))
+
+    @staticmethod
+    def words(text: str) -> list[str]:
+        """Parts of a text that are encoded each for itself. Of common texts they are lower-case, without stops and commas."""
+        if PLAIN(text) and "<|" not in text:
+            text = text.lower()
+            return (text if MARKS(text) else text.replace(".", " . ").replace(",", " , ")).split()
+        return list(filter(None, BLANKS.split(text))) if SEPARATORS.search(text) else text.split()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and their number in each text."""
         if self.chars > TABLE_CHARS:
             self.forget()
-        cut = [list(filter(None, BLANKS.split(t))) if SEPARATORS.search(t) else t.split() for t in texts]
+        cut = list(map(self.words, texts))
         flat = list(chain.from_iterable(cut))
         used = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
         if len(missing := np.flatnonzero(used < 0)):
@@ -96,18 +191,6 @@ def lengths(n: int, longest: int = LONGEST) -> list[int]:
     return [longest] * (n // longest) + [1 << k for k in reversed(range(rest.bit_length())) if rest >> k & 1]
 
 
-def _slices(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
-    held, size, at = [], 0, 0
-    for i, t in enumerate(texts):
-        held.append(t or "")
-        size += len(held[-1])
-        if size >= SLICE_CHARS:
-            yield at, held
-            held, size, at = [], 0, i + 1
-    if held:
-        yield at, held
-
-
 def pieces(docs: DataFrame, path: str, text_col: str = "text", longest: int = LONGEST, end_id: int = END_ID) -> DataFrame:
     """A row for each piece of each document: its columns but the text, with start, length, ids and doc_tokens.
 
@@ -119,7 +202,8 @@ def pieces(docs: DataFrame, path: str, text_col: str = "text", longest: int = LO
         words = Words(path)
         for b in batches:
             others = b.select(kept) if kept else None
-            for at, texts in _slices(b.column(text_col).to_pylist()):
+            at = 0
+            for texts in text_slices(b.column(text_col), SLICE_BYTES):
                 ids, counts = words.encode(texts)
                 rows, first = [], 0
                 for i, n in enumerate(counts.tolist()):
@@ -133,6 +217,8 @@ def pieces(docs: DataFrame, path: str, text_col: str = "text", longest: int = LO
                             rows = []
                 if rows:
                     yield made(others, rows)
+                at += len(texts)
+            release()
 
     def made(others: pa.RecordBatch | None, rows: list[tuple]) -> pa.RecordBatch:
         of, *columns = zip(*rows, strict=True)

@@ -22,7 +22,7 @@ def tokenizer():
 def test_words_equal_the_library(tokenizer, monkeypatch):
     """Odd white space, marks, special tokens, capitals with odd lower case, long unspaced runs; a table that is forgotten."""
     rng = random.Random(1)
-    odd = list(" \t\n\x0b\x1c\x1f\x85\xa0 　'aZéÉßΣςİ9٣½ .,!̸́\U0001f600퟿中|<>") + ["<|endoftext|>", "<|startoftext|>", " the ", "'re", "ing"]
+    odd = list(" \t\n\x0b\x1c\x1f\x85\xa0 　'aZéÉßΣςİ9٣½ .,!̸́\U0001f600퟿中|<>") + ["<|endoftext|>", "<|startoftext|>", " the ", "'re", "ing", "l'é", "aaaa", "ooo", "ÿŸĳ×", "l'", "ll", "'d"]
     texts = ["".join(rng.choices(odd, k=rng.randrange(40))) for _ in range(3000)] + ["", "x" * 5000, "ab1" * 900, " ", "Σίσυφος ΣΊΣΥΦΟΣ"]
     monkeypatch.setattr(packing, "TABLE_CHARS", 2000)
     words = packing.Words(queries.word_vocabulary_path())
