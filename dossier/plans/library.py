@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from dossier.cuts import scratch_dir
 from dossier.functions import ids
 from dossier.functions import text as txt
-from dossier.operators import diff, dml, entities, index, quality, retrieval
+from dossier.operators import diff, dml, entities, fulltext, index, quality, retrieval
 from dossier.plans.registry import query, table
 from dossier.plans.search import _COSINE, _QUERY, chunks, question
 
@@ -26,6 +26,41 @@ def v03(spark: SparkSession, sf: str) -> DataFrame:
     return index.search(spark, path, list(wanted), 10, 0.1, probes=index.MOST_CELLS).select("chunk_id", F.round("cosine", 6).alias("cosine"))
 
 
+_WORDS = "w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents), p AS (SELECT doc_id, unnest(w) AS lexeme, unnest(range(1, len(w) + 1)) AS place FROM w)"
+_PAIR = "ln(1 - 0.1 * sqrt(1.0 / (1.005 + 0.05 * exp(least(abs(a.place - b.place) / 1.5 - 2, 80)))))"
+
+
+def _index(spark: SparkSession, sf: str, english: bool) -> str:
+    path = f"{scratch_dir(spark)}/dossier-words-{uuid.uuid4().hex}"
+    fulltext.build(table(spark, sf, "documents"), path, "doc_id", "text", english)
+    return path
+
+
+@query("f10_indexed_text", f"WITH {_WORDS}, k AS (SELECT a.doc_id, 1 - exp(sum({_PAIR})) AS rank FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.lexeme = 'the' AND b.lexeme = 'of' GROUP BY 1) SELECT doc_id, round(rank, 6) AS rank FROM k")
+def f10_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Words as they are, since SQL has no stems; tests hold stems against a plain search."""
+    return fulltext.matches(spark, _index(spark, sf, False), "of the", "doc_id", False).select("doc_id", F.round("rank", 6).alias("rank"))
+
+
+@query("f10_stemmed_text")
+def f10_stems(spark: SparkSession, sf: str) -> DataFrame:
+    """English lexemes: any form of the words, without stop words."""
+    return fulltext.matches(spark, _index(spark, sf, True), "the hands of a thing", "doc_id").select("doc_id", F.round("rank", 6).alias("rank"))
+
+
+@query("v02_indexed_search", f"""WITH {_QUERY}, {_WORDS}, c AS (SELECT e.vec_id, {_COSINE} AS cosine FROM embeddings e, q WHERE {_COSINE} > 0 ORDER BY cosine DESC, e.vec_id LIMIT 60),
+    k AS (SELECT a.doc_id, 1 - exp(sum({_PAIR})) AS rank FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.lexeme = 'the' AND b.lexeme = 'of' WHERE a.doc_id IN (SELECT vec_id FROM c) GROUP BY 1),
+    s AS (SELECT c.vec_id, coalesce(0.7 * c.cosine + 0.3 * k.rank, c.cosine) AS s FROM c JOIN documents d ON d.doc_id = c.vec_id LEFT JOIN k ON k.doc_id = c.vec_id) SELECT vec_id AS chunk_id, round(s, 6) AS similarity FROM s ORDER BY s DESC, chunk_id LIMIT 20""")
+def v02_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """Hybrid search whose text share comes from the stored index, looked up for the candidates alone."""
+    own, wanted = chunks(spark, sf), question(spark, sf)
+    near = retrieval.candidates(own, wanted, 0.0, 20).select(F.col("chunk_id").alias("doc_id"))
+    ranks = fulltext.matches(spark, _index(spark, sf, False), "the of", "doc_id", False, near).withColumnRenamed("doc_id", "chunk_id")
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.lit(None).cast("bigint").alias("root_id"))
+    hits = retrieval.match_chunks(own.withColumn("content", F.lit("")), docs, wanted, 0.0, 20, ranks=ranks)
+    return hits.select("chunk_id", F.round("similarity", 6).alias("similarity"))
+
+
 @query("v06_named_topics", f"""WITH n AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IN (0, 1, 2)), t AS (SELECT label AS id, min(vec_id) AS vec_id, count(*) AS chunk_count FROM embeddings GROUP BY label),
     p AS (SELECT 'topic ' || n.vec_id AS asked, t.id, t.chunk_count, (n.vec_id = t.id)::INTEGER AS same, list_dot_product(e.embedding::DOUBLE[], n.v) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(n.v, n.v))) AS s FROM t JOIN embeddings e ON e.vec_id = t.vec_id, n),
     c AS (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY same DESC, s DESC, id) AS place FROM p WHERE s > 0.1 OR same = 1), k AS (SELECT * FROM c WHERE place <= 5 AND (s > 0.2 OR same = 1)), i AS (SELECT DISTINCT id, chunk_count FROM k)
