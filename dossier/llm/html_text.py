@@ -4,8 +4,7 @@ Each page is cut into blocks of text. The token streams of a host's distinct pag
 are concatenated; their suffixes are sorted and the lengths of their common prefixes taken, so that the suffixes that share
 their first RUN tokens or more lie side by side: these are the long substrings, and the pages they come from are counted.
 Runs may span blocks. A page loses the blocks, and the stretches of RUN tokens or more of a block, that are covered by runs
-which enough of its host's distinct pages hold. It keeps its unique runs; if there are none, all of it is shared, nothing
-tells the page's text from the rest, and it stays whole.
+which enough of its host's distinct pages hold. It keeps its unique runs; a page of shared runs alone has an empty text.
 
 A host may have any share of the pages, so its pages are dealt by their digest into groups of about GROUP, each with a suffix
 array of its own that reports the runs held by at least REPORTED of its pages. Added up over the host, the reports bound the
@@ -13,8 +12,8 @@ number of distinct pages that hold a run; where the bounds leave open whether it
 that run. The result is that of one array over the whole host.
 
 Markup decides the rest: blocks inside menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader
-comments (by element, role, or class and id) go, even where their words differ on each page. Of the others, those inside
-<article> (else <main>) are the page's main part; without either, all are. In a main part only runs that nearly all pages
+comments (by element, role, or class and id of any element) go, even where their words differ on each page. A class or id counts
+if it names nothing else. Of the others, those inside <main> (else <article>) are the page's main part; without either, all are. In a main part only runs that nearly all pages
 hold go, and only if over half of the part stays: a passage that some pages share, or pages that are near copies of each
 other, keep their article.
 
@@ -54,13 +53,30 @@ BLOCKS = frozenset(
     h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul""".split()
 )
 CONTAINERS = BLOCKS - frozenset("p hr li dt dd td th tr tbody thead tfoot h1 h2 h3 h4 h5 h6 body html head".split())
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+WHOLE = frozenset("html head body".split())
+#: What ends an element whose end tag may be missing, when it opens beside it.
+ENDED_BY = {
+    **dict.fromkeys("p h1 h2 h3 h4 h5 h6".split(), BLOCKS),
+    "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"},
+    "tr": {"tr", "tbody", "tfoot"}, "tbody": {"tbody", "tfoot"}, "thead": {"tbody", "tfoot"}, "tfoot": {"tbody"},
+}
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-NAMES = re.compile(
-    r"""(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|newsletter|subscribe|popup|modal|sidebar|
-    menu|nav|navbar|navigation|breadcrumbs?|footer|share|sharing|social|related|recommended|comments?|
-    respond|disqus|replies|login|signup|search|pagination|pager)(?=$|[\s_-])""".replace("\n    ", ""),
-    re.I,
+#: Words that name what is no main text, and words that may stand beside them in a class or id without changing that.
+NAMES = frozenset(
+    """ad ads advert adverts advertisement advertisements advertising sponsor sponsors sponsored promo promos promotion banner banners cookie cookies
+    consent gdpr notice notices newsletter newsletters subscribe popup modal sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs
+    footer share sharing social related recommended recommendations comment comments respond disqus reply replies login signup search pagination
+    pager""".split()
 )
+BESIDE = frozenset(
+    """area article articles bar block blog body bottom box btn button buttons by center col column container content div entry feed fixed float form
+    global group hero holder icon icons inline inner item items js label left line link links list main message middle module native news outer page
+    panel pane policy post posts primary reader right row secondary section side site slot small stories sticky story text thread title top unit up user users
+    widget widgets wrap wrapper""".split()
+)
+PARTS = re.compile("[a-z]+|[0-9]+", re.I)
+CAPITAL = re.compile("(?<=[a-z])(?=[A-Z])")
 #: Names of a whole page's header and its boxes; the header of an article holds its heading and stays.
 PAGE_NAMES = re.compile(r"(?:^|\s)(?:(?:site|page|top|main|global|blog|sticky)[_-]?)?(?:header|masthead|topbar|widgets?)(?=$|\s)", re.I)
 TOKEN = re.compile(
@@ -72,13 +88,25 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-hidden|hidden|style)\b(?:\s*=\s
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+def named(value: str) -> bool:
+    """Whether one of the names in a class or id says that an element is no main text: a listed word, with others that do not change it.
+
+    `comment-list` does; `share-price` and `search-engines` name something else.
+    """
+    for name in value.split():
+        parts = [p.lower() for p in PARTS.findall(CAPITAL.sub("-", name)) if not p.isdigit()]
+        if any(p in NAMES for p in parts) and all(p in NAMES or p in BESIDE for p in parts):
+            return True
+    return False
+
+
 def skipped(name: str, attributes: str, in_main: bool) -> bool:
     """Whether an element and all in it are not main text."""
     if name in SKIPPED and not (in_main and name == "header"):
         return True
     for key, value in ATTRIBUTE.findall(attributes) if attributes else ():
         key, value = key.lower(), value.strip("\"'")
-        if key in ("class", "id") and (NAMES.search(value) or (not in_main and PAGE_NAMES.search(value))):
+        if key in ("class", "id") and (named(value) or (not in_main and PAGE_NAMES.search(value))):
             return True
         if (key == "role" and value.lower() in ROLES) or key == "hidden":
             return True
@@ -92,11 +120,12 @@ SKIP, PLAIN, MAIN, ARTICLE = range(4)
 
 
 def blocks(html: str) -> tuple[list[str], list[int]]:
-    """Texts of the page's blocks in order, and where each lies."""
+    """Texts of the page's blocks in order, and where each lies. Paragraphs, items, cells, headings and inline elements that are no main text are left out."""
     texts, places = [], []
     parts: list[str] = []
     stack: list[tuple[str, bool, int]] = []  # open containers: name, skipped, place
     at, skip, place = 0, False, PLAIN
+    hushed, depth, base = "", 0, 0  # an open element that is left out: its name, how deep that is nested, the containers around it
 
     def close() -> None:
         if parts:
@@ -107,28 +136,46 @@ def blocks(html: str) -> tuple[list[str], list[int]]:
                 places.append(SKIP if skip else place)
 
     for m in TOKEN.finditer(html):
-        if m.start() > at:
+        if m.start() > at and not hushed:
             parts.append(unescape(html[at : m.start()]))
         at = m.end()
         name = (m[3] or m[6] or "").lower()
         if not name:
             continue
-        if name == "br":
+        closing, attributes = bool(m[2] or m[5]), m[4] or m[7] or ""
+        block = name in BLOCKS
+        if hushed and block and not closing and len(stack) == base and name in ENDED_BY.get(hushed, ()):
+            hushed = ""
+        if hushed and name == hushed:
+            depth += -1 if closing else 1
+            if depth == 0:
+                hushed = ""
+                if block:
+                    close()
+                continue
+        if name == "br" and not hushed:
             parts.append(" ")
-        if name not in BLOCKS:
+        if not block:
+            if not (closing or hushed or name in VOID or attributes.endswith("/")) and skipped(name, attributes, place > PLAIN):
+                hushed, depth, base = name, 1, len(stack)
             continue
         close()
-        if m[2] or m[5]:
+        if closing:
             k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
             if k is not None:
                 del stack[k:]
                 _, skip, place = stack[-1] if stack else ("", False, PLAIN)
-        elif name in CONTAINERS and not (m[4] or m[7] or "").endswith("/"):
-            attributes = m[4] or m[7] or ""
-            named = ARTICLE if name == "article" else MAIN if name == "main" or 'role="main"' in attributes else PLAIN
-            skip, place = skip or skipped(name, attributes, place > PLAIN), max(place, named)
+                if len(stack) < base:
+                    hushed = ""
+        elif name in VOID or attributes.endswith("/"):
+            continue
+        elif name in CONTAINERS:
+            kind = ARTICLE if name == "article" else MAIN if name == "main" or 'role="main"' in attributes else PLAIN
+            skip, place = skip or skipped(name, attributes, place > PLAIN), max(place, kind)
             stack.append((name, skip, place))
-    if at < len(html):
+        elif not hushed and name not in WHOLE and skipped(name, attributes, place > PLAIN):
+            hushed, depth, base = name, 1, len(stack)
+    if at < len(html) and not hushed:
         parts.append(unescape(html[at:]))
     close()
     return texts, places
@@ -232,20 +279,21 @@ def main_text(page: Sequence[str], places: Sequence[int], inside: np.ndarray, el
     best = max(places, default=SKIP)
     if best == SKIP:
         return []
+    best = MAIN if MAIN in places else best  # all of <main>, with what of it lies outside its article
     runs = inside if best > PLAIN else elsewhere
-    mine = [t for t, p in zip(page, places, strict=True) if p == best]
+    mine = [t for t, p in zip(page, places, strict=True) if p >= best]
     if not len(runs):
         return mine
     tokens, block_of = words.stream(page)
     gone = covered(run_hashes(tokens), runs, block_of)
-    asked = np.array(places)[block_of] == best
+    asked = np.array(places)[block_of] >= best
     n, left = int(asked.sum()), int((asked & ~gone).sum())
-    if left == n or left == 0 or (best > PLAIN and 2 * left <= n):
+    if left == n or (best > PLAIN and 2 * left <= n):
         return mine
     out, at = [], 0
     for text, place in zip(page, places, strict=True):
         parts = text.split(" ")
-        if place == best:
+        if place >= best:
             flags = gone[at : at + len(parts)]
             kept = " ".join(w for w, g in zip(parts, flags.tolist(), strict=True) if not g) if flags.any() else text
             out += [kept] if kept else []

@@ -260,7 +260,7 @@ def plain_texts(pages, share, least):
             stretches = [(g, len(list(same))) for g, same in itertools.groupby(flags)]
             cut = [g and (n >= run or n == len(flags)) for g, n in stretches for _ in range(n)]
             kept.append(" ".join(w for w, c in zip(text.split(" "), cut, strict=True) if not c))
-        out.append("\n\n".join(filter(None, kept)) or "\n\n".join(page))
+        out.append("\n\n".join(filter(None, kept)))
     return out
 
 
@@ -293,6 +293,39 @@ def test_repeated_runs_go_where_markup_is_silent():
     assert html_text.host_texts(plain_blocks(near, html_text.ARTICLE)) == [p[0] for p in near]
 
 
+KEPT = "The engine was overhauled in May."
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (f'<article><p>{KEPT}</p><p class="advert">Buy now</p></article>', [KEPT]),
+        (f'<article><p class="cookie-notice">We use cookies<p>{KEPT}</article>', [KEPT]),
+        (f'<article><p>{KEPT}</p><ul><li class="comment">Nice<ul><li>inner</li></ul></li><li>Listed</ul></article>', [KEPT, "Listed"]),
+        (f'<article><p hidden>secret</p><p>{KEPT}</p></article>', [KEPT]),
+        (f'<article><p>{KEPT}</p><h2 class="related">More</h2>tail</article>', [KEPT, "tail"]),
+        (f'<article><p>{KEPT} <span class="sponsored">by <span>us</span> all</span>End.</p></article>', [KEPT + " End."]),
+        (f'<article><p>{KEPT}<a class="ad"><div>x</div></a></p></article>', [KEPT]),
+        (f'<article><table><tr><td class="ad">x<td>{KEPT}<tr class="ad"><td>y</table></article>', [KEPT]),
+        (f'<section id="search-engines"><article><p>{KEPT}</p></article></section>', [KEPT]),
+        (f'<article><p>{KEPT}</p><div class="share-price">Up 3 %</div></article>', [KEPT, "Up 3 %"]),
+        (f'<main><p>Lead.</p><article><p>{KEPT}</p></article><p>After.</p></main>', ["Lead.", KEPT, "After."]),
+        (f'<div class="postComments">a</div><div class="ad-1">b</div><div id="relatedPosts">c</div><p>{KEPT}</p>', [KEPT]),
+        (f'<div class="nav">m<div>n</div></div><p class="ad">x</div><p>{KEPT}</p>', [KEPT]),
+    ],
+)
+def test_every_element_is_asked(html, want):
+    texts, places = html_text.blocks(html)
+    assert html_text.main_text(texts, places, np.zeros(0, np.int64), np.zeros(0, np.int64), html_text.Words()) == want
+
+
+def test_pages_of_boilerplate_alone_are_empty():
+    rng = random.Random(4)
+    notice = " ".join(f"n{i}" for i in range(30))
+    pages = [[notice, " ".join(f"w{rng.randint(0, 5000)}" for _ in range(40))] for _ in range(8)] + [[notice]]
+    assert html_text.host_texts(plain_blocks(pages)) == [*(p[1] for p in pages[:8]), ""]
+
+
 def test_runs_are_what_a_search_of_all_pages_finds():
     rng = random.Random(8)
     word = lambda: f"w{rng.randint(0, 3000)}"
