@@ -2,7 +2,7 @@
 
 A neighbour graph over a bounded sample of a part's vectors is cut into balanced parts; a softmax classifier learns to name
 the part of a vector. Every vector is stored in its likeliest part, every query searches its likeliest parts, whose number
-is chosen on the sample so that their neighbours are found. All vectors are one part at first; parts of over LARGEST rows
+is chosen on the sample so that their neighbours are found. All vectors are one part at first; parts of over 4 * PART_ROWS rows
 are split so again, level by level, each by a classifier of its own that a task trains, so parts stay of one size however
 large the table is and the work grows with the rows, not with their square. What a query finds is ranked by exact cosine in
 double precision.
@@ -27,12 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import cut
+from dossier.llm.common import cut, in_sample
 
 SAMPLE, GRAPH_K = 6_000, 10  # rows that a part's classifier is trained on at most
-PART_ROWS, MOST_PARTS = 400, 256  # of one split
-LARGEST = 4 * PART_ROWS  # rows of a part that is not split further
-TARGET = 0.985  # of the sample's neighbours that the searched parts must hold
+PART_ROWS, MOST_PARTS = 64, 256  # of one split; a part of over 4 * PART_ROWS is split further
+TARGET = 0.965  # of the sample's neighbours that the searched parts must hold, all levels together
 BLOCK = 4096  # rows of a part in one group, on either side
 ROUTED = 20_000  # rows that one task routes at a time
 ROUNDING = 1e-12  # more than a cosine of unit vectors can be off
@@ -100,18 +99,18 @@ def log_parts(x: np.ndarray, r: Router) -> np.ndarray:
     return x @ r.weights + r.bias
 
 
-def train_router(x: np.ndarray, parts: int, seed: int = 3) -> Router:
+def train_router(x: np.ndarray, parts: int, seed: int = 3, target: float = TARGET) -> Router:
     """x: unit rows. Soft targets: where a row and its neighbours lie."""
     n, k = len(x), min(GRAPH_K, len(x) - 1)
     if k < 1 or parts < 2:
         return Router(np.zeros((x.shape[1], 1)), np.zeros(1), 1)
     graph = neighbour_graph(x, k)
     label = balanced_parts(x, graph, parts)
-    target = np.zeros((n, parts), np.float32)
-    np.add.at(target, (np.arange(n), label), 2.0)
+    wanted = np.zeros((n, parts), np.float32)
+    np.add.at(wanted, (np.arange(n), label), 2.0)
     for j in range(k):
-        np.add.at(target, (np.arange(n), label[graph[:, j]]), 1.0)
-    target /= target.sum(axis=1, keepdims=True)
+        np.add.at(wanted, (np.arange(n), label[graph[:, j]]), 1.0)
+    wanted /= wanted.sum(axis=1, keepdims=True)
     rng = np.random.default_rng(seed)
     w, b = np.zeros((x.shape[1], parts)), np.zeros(parts)
     moments = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(b), np.zeros_like(b)]
@@ -122,7 +121,7 @@ def train_router(x: np.ndarray, parts: int, seed: int = 3) -> Router:
             rows = order[at : at + BATCH]
             z = x[rows] @ w + b
             e = np.exp(z - z.max(axis=1, keepdims=True))
-            g = (e / e.sum(axis=1, keepdims=True) - target[rows]) / len(rows)
+            g = (e / e.sum(axis=1, keepdims=True) - wanted[rows]) / len(rows)
             step += 1
             rate = RATE * (1 - 0.9 * epoch / EPOCHS) * 5
             for value, grad, m, v in ((w, x[rows].T @ g, moments[0], moments[1]), (b, g.sum(axis=0), moments[2], moments[3])):
@@ -136,7 +135,7 @@ def train_router(x: np.ndarray, parts: int, seed: int = 3) -> Router:
     stored = ranked[:, 0]
     place = np.argsort(ranked, axis=1)  # of each part in a row's order
     reach = np.sort(place[np.arange(n)[:, None], stored[graph[:, : min(5, k)]]].ravel())
-    router.probes = int(reach[min(len(reach) - 1, int(np.ceil(TARGET * len(reach))))]) + 1
+    router.probes = int(reach[min(len(reach) - 1, int(np.ceil(target * len(reach))))]) + 1
     return router
 
 
@@ -174,11 +173,16 @@ def parts_of(rows: int, sampled: int, part_rows: int) -> int:
     return 1 << max(1, min(int(np.log2(MOST_PARTS)), round(np.log2(rows / part_rows)), int(np.log2(sampled / 8 + 1))))
 
 
-def _trained(part_rows: int):
+def levels(rows: int, part_rows: int) -> int:
+    """How often rows are split until their parts are small enough, at MOST_PARTS a split."""
+    return max(1, int(np.ceil(np.log(max(rows, 1) / (4 * part_rows)) / np.log(MOST_PARTS))))
+
+
+def _trained(part_rows: int, target: float):
     def run(group: pa.Table) -> pa.Table:
         """The classifier of one part, from its sampled vectors: one row."""
         group = group.sort_by("gid")
-        router = train_router(unit(vectors_of(group["vector"])), parts_of(group["n"][0].as_py(), group.num_rows, part_rows))
+        router = train_router(unit(vectors_of(group["vector"])), parts_of(group["n"][0].as_py(), group.num_rows, part_rows), target=target)
         made = [router.weights.shape[1]], [router.probes], [router.weights.astype("<f4").tobytes()], [router.bias.astype("<f4").tobytes()]
         return pa.table([group["part"].slice(0, 1), *map(pa.array, made)], names=["part", "parts", "probes", "weights", "bias"]).cast(pa.schema(ROUTER_FIELDS))
 
@@ -225,7 +229,7 @@ def partitioned(stored: DataFrame, sent: DataFrame, sample: int, part_rows: int)
     One round per level: parts of over 4 * part_rows rows are split, unless their last split left nearly all rows together.
     """
     stored, sent = stored.withColumn("part", F.lit(1).cast("bigint")), sent.withColumn("part", F.lit(1).cast("bigint"))
-    before = None
+    before, target = None, TARGET ** (1 / levels(stored.count(), part_rows))
     while True:
         large = stored.groupBy("part").agg(F.count("*").alias("n")).filter(F.col("n") > 4 * part_rows)
         if before is not None:
@@ -234,9 +238,9 @@ def partitioned(stored: DataFrame, sent: DataFrame, sample: int, part_rows: int)
         before = large = cut(large, "parts")
         if large.isEmpty():
             return stored, sent
-        taken = F.pmod(F.xxhash64("gid", F.lit(7)), F.lit(1_000_000)) < F.lit(1_000_000.0 * sample) / F.col("n")
+        taken = in_sample(F.col("gid"), sample, F.col("n"))
         sampled = stored.join(large, "part").filter(taken).select("part", "gid", "vector", "n")
-        routers = cut(sampled.groupBy("part").applyInArrow(_trained(part_rows), ROUTER), "routers")
+        routers = cut(sampled.groupBy("part").applyInArrow(_trained(part_rows, target), ROUTER), "routers")
         large = routers.select("part")  # a part without a sampled row stays as it is
         stored, sent = _route(stored, "gid", routers, large, True, "stored"), _route(sent, "qid", routers, large, False, "sent")
 

@@ -25,6 +25,11 @@ def fold(id_col: str, k: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % k, F.lit(0)).cast("int")
 
 
+def in_sample(key: Column, bound: int, n: Column, seed: int = 7) -> Column:
+    """Whether a row belongs to the about `bound` of n that a hash of key in 62 bits chooses: of any n some, of few all."""
+    return F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 2) < F.lit(2.0**62 * bound) / n
+
+
 def bounded_sample(df: DataFrame, bound: int, key: Column, seed: int = 7) -> DataFrame:
     """About `bound` rows of df at most, chosen by a hash of key: the same rows on every run.
 
@@ -33,7 +38,7 @@ def bounded_sample(df: DataFrame, bound: int, key: Column, seed: int = 7) -> Dat
     n = df.count()
     if n <= bound:
         return df
-    return df.filter(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * bound / n))
+    return df.filter(in_sample(key, bound, F.lit(float(n)), seed))
 
 
 def running(values: Column, combine, block: int = 128) -> Column:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dossier.llm.common import cut
+from dossier.llm.common import cut, in_sample
 from dossier.llm.word_table import WordTable, map_texts, sums
 
 SAMPLE, MOST_WORDS, MOST_GRAMS = 3_000, 60_000, 60_000
@@ -87,9 +87,8 @@ def learn(
 ) -> Model:
     """A model of the labelled rows of docs (text and language not null), from about `sample` rows of each language at most."""
     labelled = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).filter("text is not null and lang is not null")
-    rates = cut(labelled.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(sample)) / F.count("*")).alias("rate")), "rates")
-    chance = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1_000_000)) / F.lit(1e6)
-    taken = labelled.join(rates, "lang").filter(chance < F.col("rate"))
+    sizes = cut(labelled.groupBy("lang").agg(F.count("*").alias("rows")), "sizes")
+    taken = labelled.join(sizes, "lang").filter(in_sample(F.col("id"), sample, F.col("rows")))
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
     counted = cut(taken.select("lang", F.explode(words).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("n")), "words")
     langs = [r.lang for r in counted.select("lang").distinct().orderBy("lang").collect()]

@@ -1,4 +1,5 @@
 import itertools
+import os
 import random
 import zlib
 from collections import Counter
@@ -6,9 +7,10 @@ from collections import Counter
 import numpy as np
 import pytest
 import regex
+from pyspark.sql import functions as F
 
 from dossier.llm import ann, html_text, language_id, quality_classifier, toxicity
-from dossier.llm.common import cut, fold
+from dossier.llm.common import cut, fold, in_sample
 from tests.llm.data import documents, empty
 
 WORDS = {"en": "the and of with you walk house water green".split(), "de": "der die und mit haus wasser gehen grün nicht".split(), "fr": "le la et avec vous maison eau vert pas".split()}
@@ -443,3 +445,33 @@ def test_quality_reads_the_middle_of_long_words(spark):
     model = quality_classifier.learn(docs.filter("doc_id < 1150"), labels)
     out = quality_classifier.score(docs.filter("doc_id >= 1150").select("doc_id", "text"), model).collect()
     assert len(out) == 50 and all((r.score >= 0.5) == bool(r.doc_id % 2) for r in out)
+
+
+def test_samples_of_any_size(spark):
+    """Of 10 ** 11 rows the share is a part of 2 ** 62, not of a million: some rows are chosen, and of few rows all."""
+    rows = spark.range(2_000_000)
+    chosen = lambda bound, n: rows.filter(in_sample(F.col("id"), bound, F.lit(n))).count()
+    assert 1000 < chosen(10**8, 10**11) < 3000 and 19_000 < chosen(10_000, 10**6) < 21_000
+    assert chosen(4000, 10**11) < 10 and chosen(3_000_000, 2_000_000) == 2_000_000
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+def test_queries_search_some_parts_only(spark):
+    """On the given vectors, which lie evenly in all directions: fewer parts than there are, recall of 0.9 and more."""
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    groups = cut(ann.distinct_vectors(df.selectExpr("vec_id", "CAST(embedding AS array<double>) AS vector"), 6))
+    sent = groups.filter("gid % 50 = 0").selectExpr("gid AS qid", "vector")
+    stored, asked = ann.partitioned(groups.select("vector", "ids", "gid"), sent, ann.SAMPLE, ann.PART_ROWS)
+    parts = stored.select("part").distinct().count()
+    assert parts >= 8 and asked.count() < 0.95 * parts * sent.count()
+    x = {r.gid: np.array(r.vector) for r in groups.collect()}
+    ids = sorted(x)
+    u = np.array([x[i] / np.linalg.norm(x[i]) for i in ids])
+    found, hits = {}, 0
+    for r in ann.search(df, lambda v: v % 50 == 0).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    for q, got in found.items():
+        near = u @ u[ids.index(q)]
+        near[ids.index(q)] = -1
+        hits += len(got & {ids[j] for j in np.argsort(-near)[:5]})
+    assert hits >= 0.9 * 5 * len(found)
