@@ -1,19 +1,39 @@
-"""A stored index of vectors for retrieval: cells of a k-means over a sample, one folder of Parquet files each.
+"""A stored index of vectors for retrieval: cells around centres, one folder of Parquet files each, read best first.
 
-A query reads the cells whose centres are nearest to it, and nothing else: the cell is the partition column, so the scan
-prunes the other folders. Exact cosines then rank what was read. With all cells probed the result is that of a full scan.
+A cell keeps the least and the largest angle of its vectors to its centre. Since angles are a metric, these and the angle
+of a query to the centre bound the cosine that any vector of the cell can have. A search reads cells in the order of their
+bounds, a few more each round, until no unread cell's bound reaches the last of its hits: the result is that of a full scan, and
+the folders that cannot hold a hit are not read. The better the vectors cluster, the fewer are.
+
+New vectors go to the cell of the nearest centre; a cell that has outgrown its size is split in two, so the index is never
+rebuilt. Each change writes a new version of the small table of cells last: until then readers see the old one. Rows of cells that were
+split stay in their folders, unlisted.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from dossier.cuts import cut
 from dossier.functions import vectors
+from dossier.operators.similar import _matrix, sampled
 
 SAMPLE, CELL_ROWS, MOST_CELLS = 50_000, 1_000, 1_000
+SPLIT_SAMPLE = 2_000  # rows of a cell that its two halves are learned from, about
+SLACK = 1e-9  # of cosines, against rounding
+
+CELLS = "cell int, centre array<double>, nearest double, farthest double, rows bigint"
 
 
 def _unit(v: Column) -> Column:
@@ -21,30 +41,181 @@ def _unit(v: Column) -> Column:
     return F.flatten(F.transform(F.array(vectors.norm(v)), lambda n: F.transform(v, lambda x: F.try_divide(x.cast("double"), n))))
 
 
-def build(rows: DataFrame, path: str, vector: str = "embedding", key: str = "chunk_id", seed: int = 5) -> None:
+def _placed(rows: DataFrame, vector: str, cells: list[int], centres: np.ndarray) -> DataFrame:
+    """rows with the number of the nearest centre and the angle to it; MOST_CELLS centres at most go to each task."""
+    made = [T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType())]
+    numbers, unit = np.array(cells, np.int32), centres / np.linalg.norm(centres, axis=1, keepdims=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                angles = np.arccos(np.clip(_matrix(b.column(vector)) @ unit.T, -1, 1))
+                near = angles.argmin(1)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(numbers[near]), pa.array(angles[np.arange(len(near)), near])], names=[*b.schema.names, "cell", "angle"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *made]))
+
+
+def _store(placed: DataFrame, path: str, key: str) -> None:
+    placed.drop("angle").repartition("cell", F.pmod(F.xxhash64(key), F.lit(8))).write.mode("append").partitionBy("cell").parquet(f"{path}/rows")
+
+
+def _sizes(placed: DataFrame) -> DataFrame:
+    return placed.groupBy("cell").agg(F.min("angle").alias("nearest"), F.max("angle").alias("farthest"), F.count(F.lit(1)).alias("rows"))
+
+
+def cells(spark: SparkSession, path: str) -> DataFrame:
+    """The cells of the newest version: MOST_CELLS rows and what splits add."""
+    versions = spark.read.parquet(f"{path}/cells")
+    newest = versions.agg(F.max("version")).first()[0]
+    return versions.filter(F.col("version") == newest).drop("version")
+
+
+def _write_cells(spark: SparkSession, listed: list, path: str, version: int) -> None:
+    spark.createDataFrame([tuple(c) for c in listed], CELLS).coalesce(1).withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(f"{path}/cells")
+
+
+def build(rows: DataFrame, path: str, vector: str = "embedding", key: str = "chunk_id", seed: int = 5, cell_rows: int | None = None) -> None:
     """Stores rows with a usable vector under path, by cell. The centres are learned on at most about SAMPLE rows."""
-    usable = rows.filter(vectors.flaw(F.col(vector)).isNull())
+    cell_rows = cell_rows or CELL_ROWS
+    usable = cut(rows.filter(vectors.flaw(F.col(vector)).isNull()), "usable")
     n = usable.count()
-    cells = max(1, min(MOST_CELLS, n // CELL_ROWS))
-    chance = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000))
-    sample = usable.filter(chance < int(1_000_000 * min(1.0, SAMPLE / max(n, 1)))).select(array_to_vector(_unit(F.col(vector))).alias("features"))
-    prepared = usable.withColumn("features", array_to_vector(_unit(F.col(vector))))
-    if cells == 1 or sample.isEmpty():
-        placed, centres = prepared.withColumn("cell", F.lit(0)), []
+    k = max(1, min(MOST_CELLS, n // cell_rows))
+    sample = sampled(usable, SAMPLE, F.col(key), n, seed).select(array_to_vector(_unit(F.col(vector))).alias("features"))
+    if k > 1:
+        centres = np.array(KMeans(k=k, seed=seed, maxIter=10, distanceMeasure="cosine").fit(sample).clusterCenters())
+    else:
+        first = usable.select(vector).limit(1).collect()
+        centres = np.array([first[0][0] if first else [1.0]], float)
+    placed = cut(_placed(usable, vector, list(range(len(centres))), centres), "placed")
+    _store(placed, path, key)
+    listed = [(r.cell, centres[r.cell].tolist(), r.nearest, r.farthest, r.rows) for r in _sizes(placed).collect()]  # a row for each cell
+    _write_cells(rows.sparkSession, listed or [(0, centres[0].tolist(), 0.0, 0.0, 0)], path, 1)
+    _split(rows.sparkSession, path, vector, key, cell_rows)
+
+
+def add(rows: DataFrame, path: str, vector: str = "embedding", key: str = "chunk_id", cell_rows: int | None = None) -> None:
+    """Stores further rows in the cells of their nearest centres, and splits cells that hold over twice CELL_ROWS."""
+    spark, held = rows.sparkSession, {c.cell: c for c in cells(rows.sparkSession, path).collect()}
+    placed = cut(_placed(rows.filter(vectors.flaw(F.col(vector)).isNull()), vector, list(held), np.array([c.centre for c in held.values()])), "placed")
+    _store(placed, path, key)
+    new = {r.cell: r for r in _sizes(placed).collect()}
+    listed = [(c.cell, c.centre, min(c.nearest, x.nearest) if c.rows else x.nearest, max(c.farthest, x.farthest), c.rows + x.rows) if (x := new.get(c.cell)) else tuple(c) for c in held.values()]
+    _write_cells(spark, listed, path, _newest(spark, path) + 1)
+    _split(spark, path, vector, key, cell_rows or CELL_ROWS)
+
+
+def _newest(spark: SparkSession, path: str) -> int:
+    return spark.read.parquet(f"{path}/cells").agg(F.max("version")).first()[0]
+
+
+def _halves(vector: str):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        """Two centres of a cell's sample, far from each other at first; none where all vectors are alike."""
+        x = np.array(group[vector].tolist(), float)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        a = x[int(np.argmin(x @ x[0]))]
+        both = np.array([a, x[int(np.argmin(x @ a))]])
+        for _ in range(10):
+            near = (x @ both.T).argmax(1)
+            if len(set(near.tolist())) < 2:
+                return pd.DataFrame({"cell": np.array([], np.int32), "half": np.array([], np.int32), "centre": np.array([], object)})
+            both = np.array([x[near == h].mean(0) for h in (0, 1)])
+            both /= np.linalg.norm(both, axis=1, keepdims=True)
+        return pd.DataFrame({"cell": [group["cell"].iloc[0]] * 2, "half": [0, 1], "centre": list(both)})
+
+    return run
+
+
+def _split(spark: SparkSession, path: str, vector: str, key: str, cell_rows: int) -> None:
+    """Splits cells of over twice cell_rows until there is none but those whose vectors are all alike."""
+    whole: set[int] = set()
+    while True:
+        held = {c.cell: c for c in cells(spark, path).collect()}
+        large = [c for c in held.values() if c.rows > 2 * cell_rows and c.cell not in whole]
+        if not large:
+            return
+        rows = spark.read.parquet(f"{path}/rows").filter(F.col("cell").isin([c.cell for c in large]))
+        share = F.create_map(*[F.lit(v) for c in large for v in (c.cell, min(1.0, SPLIT_SAMPLE / c.rows))])[F.col("cell")]
+        sample = rows.filter(F.shiftrightunsigned(F.xxhash64(key, F.lit(9)), 2) < share * 2.0**62)
+        halves = sample.select("cell", F.col(vector).cast("array<double>").alias(vector)).groupBy("cell").applyInPandas(_halves(vector), "cell int, half int, centre array<double>").collect()
+        split = {h.cell for h in halves}
+        whole |= {c.cell for c in large} - split
+        if not split:
+            continue
+        first = max(held) + 1
+        centres = [np.array(h.centre) for h in halves]
+        numbers = list(range(first, first + len(halves)))
+        placed = []
+        for old in sorted(split):
+            mine = [i for i, h in enumerate(halves) if h.cell == old]
+            placed.append(_placed(rows.filter(F.col("cell") == old).drop("cell"), vector, [numbers[i] for i in mine], np.array([centres[i] for i in mine])))
+        moved = placed[0]
+        for p in placed[1:]:
+            moved = moved.unionByName(p)
+        moved = cut(moved, "split")
+        _store(moved, path, key)
+        listed = [tuple(c) for c in held.values() if c.cell not in split]
+        listed += [(r.cell, centres[r.cell - first].tolist(), r.nearest, r.farthest, r.rows) for r in _sizes(moved).collect()]
+        _write_cells(spark, listed, path, _newest(spark, path) + 1)
+
+
+@dataclass
+class Found:
+    """What a search read: cells by their number, and those that hold its hits; the cosine of the last hit."""
+
+    read: list[int]
+    cells: int
+    holding: list[int]
+    last: float
+
+
+def _bounds(listed: list, query: np.ndarray) -> list[tuple[float, int, int]]:
+    """(bound, cell, rows) of each cell, best first: no vector of the cell has a larger cosine to the query."""
+    out = []
+    for c in listed:
+        if c.rows:
+            centre = np.array(c.centre)
+            angle = math.acos(max(-1.0, min(1.0, float(centre @ query / (np.linalg.norm(centre) * np.linalg.norm(query))))))
+            out.append((math.cos(max(0.0, angle - c.farthest, c.nearest - angle)), c.cell, c.rows))
+    return sorted(out, key=lambda b: (-b[0], b[1]))
+
+
+def _scored(spark: SparkSession, path: str, query: list[float], chosen: list[int], threshold: float, where: Column | None, vector: str) -> DataFrame:
+    rows = spark.read.parquet(f"{path}/rows").filter(F.col("cell").isin(chosen))  # literals, so that the scan lists only these folders
+    if where is not None:
+        rows = rows.filter(where)
+    return rows.withColumn("cosine", vectors.cosine(F.col(vector), vectors.literal(query))).drop(vector).filter(F.col("cosine") > threshold)
+
+
+def find(spark: SparkSession, path: str, query: list[float], count: int, threshold: float = -1.0, where: Column | None = None, vector: str = "embedding", key: str = "chunk_id") -> Found:
+    """Reads cells best first until no other can hold one of the `count` best rows above the threshold."""
+    order = _bounds(cells(spark, path).collect(), np.array(query, float))
+    hits: list[tuple[float, object, int]] = []
+    at, batch = 0, 1
+    while at < len(order):
+        last = -hits[count - 1][0] if len(hits) >= count else threshold
+        ahead = [cell for bound, cell, _ in order[at : at + batch] if bound >= last - SLACK and bound > threshold - SLACK]
+        if not ahead:
+            break
+        best = _scored(spark, path, query, ahead, threshold, where, vector).orderBy(F.desc("cosine"), key).limit(count).select("cosine", key, "cell").collect()
+        hits = sorted([*hits, *((-r.cosine, r[key], r.cell) for r in best)])[:count]
+        at, batch = at + len(ahead), batch * 2
+    last = -hits[-1][0] if len(hits) >= count else threshold
+    return Found([cell for _, cell, _ in order[:at]], len(order), sorted({cell for _, _, cell in hits}), last)
+
+
+def search(
+    spark: SparkSession, path: str, query: list[float], count: int, threshold: float = -1.0, probes: int | None = None, vector: str = "embedding", key: str = "chunk_id", where: Column | None = None
+) -> DataFrame:
+    """The `count` rows with the largest cosine above the threshold, of those that `where` holds for; ties go to the smaller key.
+
+    Exact; with probes, only that many cells of the nearest centres are read, and hits may be missed.
+    """
+    if probes is None:
+        chosen = find(spark, path, query, count, threshold, where, vector, key).holding
     else:
-        model = KMeans(k=cells, seed=seed, maxIter=10, distanceMeasure="cosine").fit(sample)
-        placed, centres = model.transform(prepared).withColumnRenamed("prediction", "cell"), [c.tolist() for c in model.clusterCenters()]
-    placed.drop("features").repartition("cell", F.pmod(F.xxhash64(key), F.lit(8))).write.partitionBy("cell").parquet(f"{path}/rows")
-    # MOST_CELLS rows at most
-    rows.sparkSession.createDataFrame(list(enumerate(centres)), "cell int, centre array<double>").coalesce(1).write.parquet(f"{path}/centres")
-
-
-def search(spark: SparkSession, path: str, query: list[float], count: int, threshold: float = -1.0, probes: int = 8, vector: str = "embedding", key: str = "chunk_id") -> DataFrame:
-    """The `count` rows of the nearest cells with the largest cosine above the threshold; ties go to the smaller key."""
-    question = vectors.literal(query)
-    centres = spark.read.parquet(f"{path}/centres").select("cell", vectors.cosine(F.col("centre"), question).alias("near")).orderBy(F.desc("near"), "cell").limit(probes).collect()
-    rows = spark.read.parquet(f"{path}/rows")
-    if centres:  # as literals, so that the scan lists only these folders
-        rows = rows.filter(F.col("cell").isin([c.cell for c in centres]))
-    scored = rows.withColumn("cosine", vectors.cosine(F.col(vector), question)).drop(vector, "cell")
-    return scored.filter(F.col("cosine") > threshold).orderBy(F.desc("cosine"), key).limit(count)
+        question = vectors.literal(query)
+        near = cells(spark, path).select("cell", vectors.cosine(F.col("centre"), question).alias("near")).orderBy(F.desc("near"), "cell").limit(probes)
+        chosen = [c.cell for c in near.collect()]
+    return _scored(spark, path, query, chosen, threshold, where, vector).drop("cell").orderBy(F.desc("cosine"), key).limit(count)

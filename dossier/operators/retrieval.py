@@ -50,25 +50,26 @@ def candidates(chunks: DataFrame, query: Column, threshold: float, count: int, w
 
 
 def match_chunks(
-    chunks: DataFrame, documents: DataFrame, query: Column, threshold: float = 0.7, count: int = 10, topic_ids: list | None = None, other: dict[str, list] | None = None, text: str | None = None, inherited: tuple[str, ...] = (), ranks: DataFrame | None = None
+    chunks: DataFrame, documents: DataFrame, query: Column | None, threshold: float = 0.7, count: int = 10, topic_ids: list | None = None, other: dict[str, list] | None = None, text: str | None = None, inherited: tuple[str, ...] = (), ranks: DataFrame | None = None, found: bool = False
 ) -> DataFrame:
     """Hybrid search. chunks: chunk_id, document_id, content, embedding and metadata arrays; documents: id, root_id and more.
 
     Topics filter by any, other arrays by all of their values. The text bonus applies to candidates only. `inherited`
     columns come from the document, or else from its root. `ranks` (chunk_id, rank), the matches of a stored full-text index, takes the
-    place of `text`, which is matched word by word.
+    place of `text`, which is matched word by word. With found=True chunks are the candidates that a stored index has given, with
+    their cosine; no vector is compared and no filter applied again.
     """
     where = contains_any(F.col("topic_ids"), topic_ids) if topic_ids is not None else F.lit(True)
     for column, wanted in (other or {}).items():
         where = where & contains_all(F.col(column), wanted)
-    found = candidates(chunks, query, threshold, count, where)
+    near = chunks if found else candidates(chunks, query, threshold, count, where)
     bonus = F.when(matches_text(F.col("content"), text or ""), VECTOR_SHARE * F.col("cosine") + TEXT_SHARE * text_score(F.col("content"), text or "")).otherwise(F.col("cosine"))
     if ranks is not None:
-        found = found.join(ranks.select("chunk_id", "rank"), "chunk_id", "left")
+        near = near.join(ranks.select("chunk_id", "rank"), "chunk_id", "left")
         bonus = F.when(F.col("rank").isNotNull(), VECTOR_SHARE * F.col("cosine") + TEXT_SHARE * F.col("rank")).otherwise(F.col("cosine"))
-    found = found.withColumn("similarity", bonus if text or ranks is not None else F.col("cosine")).drop("cosine", "rank")
+    near = near.withColumn("similarity", bonus if text or ranks is not None else F.col("cosine")).drop("cosine", "rank")
     d, r = documents.alias("d"), documents.alias("r")
-    joined = found.alias("c").join(d, F.col("c.document_id") == F.col("d.id")).join(r, F.col("d.root_id") == F.col("r.id"), "left")
+    joined = near.alias("c").join(d, F.col("c.document_id") == F.col("d.id")).join(r, F.col("d.root_id") == F.col("r.id"), "left")
     return (
         joined.select("c.*", F.col("d.id").alias("document_uuid"), F.col("r.id").alias("root_uuid"), *[F.coalesce(F.col(f"d.{c}"), F.col(f"r.{c}")).alias(c) for c in inherited])
         .orderBy(F.desc("similarity"), "chunk_id").limit(count)
