@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dossier.llm.slices import release, text_slices
+
 #: Fixed value: the pre-tokenizer's pattern.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: A space between two other characters: what follows it never depends on what precedes it.
@@ -38,7 +40,7 @@ ODD_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\
 ENDINGS = frozenset(".,;:!?")
 NONE = np.iinfo(np.int32).max
 TABLE_BITS = 18  # of the table of pairs
-SLICE_CHARS = 2_000_000  # of text held as pieces at a time
+SLICE_BYTES = 2_000_000  # of text held as pieces at a time
 MOST_PIECES = 400_000  # remembered per task
 ROWS = 1000  # in an output batch
 
@@ -249,19 +251,6 @@ def ragged(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.nda
     return values[np.arange(counts.sum()) + np.repeat(shift, counts)]
 
 
-def slices(texts: list[str]) -> Iterator[list[str]]:
-    """Runs of whole texts of about SLICE_CHARS in all."""
-    held, size = [], 0
-    for t in texts:
-        held.append(t)
-        size += len(t)
-        if size >= SLICE_CHARS:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
 def token_lists(ids: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(ids, pa.int32()))
 
@@ -293,6 +282,7 @@ def _over_rows(df: DataFrame, text_col: str, made: list[T.StructField], work) ->
                     m = min(ROWS, n - k)
                     yield pa.RecordBatch.from_arrays([b.column(c).slice(at + k, m) for c in kept] + [a.slice(k, m) for a in arrays], names=[*kept, *[f.name for f in made]])
                 at += n
+            release()
 
     return df.mapInArrow(run, T.StructType([*[df.schema[c] for c in kept], *made]))
 
@@ -304,7 +294,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
         encoder = Encoder(path)
 
         def do(texts: pa.Array):
-            for part in slices([t or "" for t in texts.to_pylist()]):
+            for part in text_slices(texts, SLICE_BYTES):
                 yield (token_lists(*encoder.encode(part)),)
 
         return do
@@ -334,7 +324,7 @@ def round_trip(df: DataFrame, path: str, text_col: str = "text", ids_col: str =
         encoder, v = Encoder(path), vocabulary(path)
 
         def do(texts: pa.Array):
-            for part in slices([t or "" for t in texts.to_pylist()]):
+            for part in text_slices(texts, SLICE_BYTES):
                 lists = token_lists(*encoder.encode(part))
                 yield lists, decode_lists(lists, v)
 

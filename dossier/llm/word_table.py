@@ -10,7 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-SLICE_CHARS = 1_000_000
+from dossier.llm.slices import release, text_slices
+
+SLICE_BYTES = 1_000_000
 MOST_WORDS = 300_000
 
 
@@ -46,19 +48,6 @@ def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def slices(texts: list[str], most: int = SLICE_CHARS) -> Iterator[list[str]]:
-    """Runs of whole texts of about `most` characters in all."""
-    held, size = [], 0
-    for t in texts:
-        held.append(t)
-        size += len(t)
-        if size >= most:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
 def map_texts(df: DataFrame, text_col: str, made: list[T.StructField], work, keep_text: bool = False) -> DataFrame:
     """df, without text_col unless kept, with columns made from it: work() -> function of (texts of a slice) -> Arrow arrays."""
     kept = [c for c in df.columns if (keep_text or c != text_col) and c not in {f.name for f in made}]
@@ -67,8 +56,9 @@ def map_texts(df: DataFrame, text_col: str, made: list[T.StructField], work, kee
         do = work()
         for b in batches:
             at = 0
-            for part in slices([t or "" for t in b.column(text_col).to_pylist()]):
+            for part in text_slices(b.column(text_col), SLICE_BYTES):
                 yield pa.RecordBatch.from_arrays([b.column(c).slice(at, len(part)) for c in kept] + do(part), names=[*kept, *[f.name for f in made]])
                 at += len(part)
+            release()
 
     return df.mapInArrow(run, T.StructType([*[df.schema[c] for c in kept], *made]))
