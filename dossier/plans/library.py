@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from dossier.cuts import scratch_dir
 from dossier.functions import ids
 from dossier.functions import text as txt
-from dossier.operators import diff, dml, entities, fulltext, index, quality, retrieval
+from dossier.operators import diff, dml, entities, fulltext, index, keygraph, quality, retrieval
 from dossier.plans.registry import query, table
 from dossier.plans.search import _COSINE, _QUERY, chunks, question
 
@@ -157,3 +157,33 @@ def q24(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders")
     missing, extra = diff.missing_columns(o, [*[c for c in o.columns if c != "o_orderpriority"], "o_ghost"])
     return spark.createDataFrame([("orders", ",".join(missing), ",".join(extra))], "name string, missing string, extra string")
+
+
+#: The references among the relational tables.
+_EDGES = [
+    keygraph.Edge("nation", "n_regionkey", "region", "r_regionkey"), keygraph.Edge("customer", "c_nationkey", "nation", "n_nationkey"), keygraph.Edge("supplier", "s_nationkey", "nation", "n_nationkey"),
+    keygraph.Edge("orders", "o_custkey", "customer", "c_custkey"), keygraph.Edge("lineitem", "l_orderkey", "orders", "o_orderkey"), keygraph.Edge("lineitem", "l_suppkey", "supplier", "s_suppkey"),
+]
+_KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "orders": "o_orderkey", "lineitem": "l_orderkey"}
+
+
+@query("q23_orphans_by_reference", """SELECT 'nation' AS child, 'n_regionkey' AS "column", 'region' AS parent, count(*) AS orphans FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region WHERE r_regionkey <> 3)
+    UNION ALL SELECT 'customer', 'c_nationkey', 'nation', count(*) FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation) UNION ALL SELECT 'supplier', 's_nationkey', 'nation', count(*) FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation)
+    UNION ALL SELECT 'orders', 'o_custkey', 'customer', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT 'lineitem', 'l_orderkey', 'orders', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 10 <> 4)
+    UNION ALL SELECT 'lineitem', 'l_suppkey', 'supplier', count(*) FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier)""")
+def q23(spark: SparkSession, sf: str) -> DataFrame:
+    """Every reference of the key graph, on tables that have lost a region and some orders."""
+    tables = {name: table(spark, sf, name) for name in _KEYS}
+    tables |= {"region": tables["region"].filter("r_regionkey <> 3"), "orders": tables["orders"].filter("o_orderkey % 10 <> 4")}
+    return keygraph.orphans(tables, _EDGES)
+
+
+@query("d15_wipe", """SELECT 0 AS layer, 'lineitem' AS name, count(*) AS rows FROM lineitem UNION ALL SELECT 1, 'orders', count(*) FROM orders UNION ALL SELECT 1, 'supplier', count(*) FROM supplier
+    UNION ALL SELECT 2, 'customer', count(*) FROM customer UNION ALL SELECT 3, 'nation', count(*) FROM nation UNION ALL SELECT 4, 'region', count(*) FROM region""")
+def d15(spark: SparkSession, sf: str) -> DataFrame:
+    """A wipe that is interrupted and taken up again: rows gone by layer of the key graph and table."""
+    library = keygraph.Library(spark, f"{scratch_dir(spark)}/dossier-library-{uuid.uuid4().hex}", _KEYS, _EDGES, ranges=2)
+    library.store({name: table(spark, sf, name) for name in _KEYS})
+    library.wipe(most_steps=5)
+    library.wipe()
+    return library.progress().groupBy("layer", "name").agg(F.sum("rows").alias("rows"))

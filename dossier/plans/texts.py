@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dossier.cuts import cut
 from dossier.functions import email, ids, shape
 from dossier.functions import text as txt
-from dossier.operators import ingest, quality
+from dossier.operators import ingest, quality, reembed
 from dossier.operators.entities import STOP_WORDS, candidates
 from dossier.plans.registry import query, table
 from dossier.sources.files import parse_eml
@@ -313,6 +314,46 @@ def v23(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.mode_drift(d).groupBy("current", "proposed").agg(F.count("*").alias("n"))
 
 
+def _library(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents with the mode decided now; as they were embedded once, some else or not at all; and the chunks of then."""
+    d = shape.with_shape(docs(spark, sf).select("doc_id", "text")).withColumn("m", shape.embedding_mode()).select("doc_id", "text", F.col("m.mode").alias("embedding_mode"))
+    then = d.filter("doc_id % 11 <> 0").select("doc_id", F.sha2(F.concat("text", F.when(F.col("doc_id") % 7 == 0, " x").otherwise("")), 256).alias("text_digest"), F.when(F.col("doc_id") % 4 == 0, "full").otherwise(F.col("embedding_mode")).alias("embedding_mode"))
+    lost = d.filter("doc_id % 13 = 0").select((F.col("doc_id") + 1_000_000).alias("doc_id"), F.lit("").alias("text_digest"), F.lit("full").alias("embedding_mode"))
+    of_text = ingest.word_windows(d.filter("doc_id % 11 <> 0"), size=50, overlap=0).select(F.col("doc_id").alias("document_id"), "content")
+    chunks = of_text.unionByName(lost.select(F.col("doc_id").alias("document_id"), F.lit("gone").alias("content"))).withColumn("topic_ids", F.array((F.col("document_id") % 3).cast("string")))
+    return d, then.unionByName(lost), chunks
+
+
+def _made(d: DataFrame) -> DataFrame:
+    whole = ingest.word_windows(d.filter("embedding_mode = 'full'"), size=100, overlap=0).select(F.col("doc_id").alias("document_id"), "content")
+    return whole.unionByName(d.filter("embedding_mode <> 'full'").select(F.col("doc_id").alias("document_id"), F.left("text", F.lit(200)).alias("content")))
+
+
+@query("v22_reembed", f"""{_MODES}, d AS (SELECT doc_id, split_part(decision, '/', 1) AS mode FROM m), w AS (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n FROM documents),
+    b AS (SELECT d.doc_id, d.mode, n // 50 + (n % 50 >= 5)::INTEGER AS old, CASE WHEN d.mode = 'full' THEN n // 100 + (n % 100 >= 5)::INTEGER ELSE 1 END AS new, d.doc_id % 7 = 0 AS text, d.doc_id % 4 = 0 AND d.mode <> 'full' AS other FROM d JOIN w ON w.doc_id = d.doc_id),
+    a AS (SELECT *, CASE WHEN doc_id % 11 = 0 THEN 'new' WHEN text OR other THEN 'rebuild' ELSE 'keep' END AS action FROM b)
+    SELECT doc_id, action, CASE WHEN action = 'new' THEN 'new' WHEN text AND other THEN 'text and mode' WHEN text THEN 'text' WHEN other THEN 'mode' END AS reason, CASE WHEN action = 'rebuild' THEN old ELSE 0 END AS dropped,
+    CASE WHEN action = 'keep' THEN 0 ELSE new END AS made, CASE WHEN action = 'keep' THEN old ELSE 0 END AS kept FROM a UNION ALL SELECT doc_id + 1000000, 'drop', 'gone', 1, 0, 0 FROM documents WHERE doc_id % 13 = 0""")
+def v22_reembed(spark: SparkSession, sf: str) -> DataFrame:
+    """Which documents are embedded again, and how many chunks of each go, come and stay."""
+    d, then, chunks = _library(spark, sf)
+    decided = cut(reembed.decisions(d, then), "decided")
+    new = reembed.reembedded(d, chunks, decided, _made)
+    return reembed.changes(chunks, new, decided)
+
+
+@query("v24_line_numbers", """WITH w AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), c AS (SELECT doc_id, t, CAST(doc_id % 9 AS INTEGER) * 20 AS s FROM w WHERE length(t) > CAST(doc_id % 9 AS INTEGER) * 20)
+    SELECT doc_id AS document_id, CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 1 + length(regexp_replace(t[:s], '[^\n]', '', 'g')) END AS line_from,
+    CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 1 + length(regexp_replace(t[:s], '[^\n]', '', 'g')) + length(regexp_replace(rtrim(t[s + 1:s + 300], chr(10)), '[^\n]', '', 'g')) END AS line_to FROM c""")
+def v24_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Line numbers of chunks that lack them, from the place of each in its document."""
+    d = docs(spark, sf).select("doc_id", "text")
+    start = (F.col("doc_id") % 9 * 20).cast("int")
+    has = F.col("doc_id") % 5 == 0
+    chunks = d.filter(F.length("text") > start).select(F.col("doc_id").alias("document_id"), start.alias("char_start"), F.substring("text", start + 1, F.lit(300)).alias("content"), F.when(has, 1).alias("line_from"), F.when(has, 2).alias("line_to"))
+    return reembed.with_lines(chunks, d).select("document_id", F.col("line_from").cast("bigint").alias("line_from"), F.col("line_to").cast("bigint").alias("line_to"))
+
+
 @query("v25_never_tagged", "SELECT l_orderkey AS document_id FROM lineitem GROUP BY 1 HAVING NOT bool_or(l_partkey % 10 = 0) AND NOT bool_or(l_linenumber = 4)")
 def v25(spark: SparkSession, sf: str) -> DataFrame:
     chunks = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.when(F.col("l_partkey") % 10 == 0, F.array("l_partkey")).otherwise(F.array().cast("array<bigint>")).alias("topic_ids"), (F.col("l_linenumber") == 4).alias("topics_checked"))
