@@ -246,26 +246,34 @@ def partitioned(stored: DataFrame, sent: DataFrame, sample: int, part_rows: int)
 
 
 def _block_search(k: int):
+    def nearest(queries: pa.Table, found: pa.Table, hits: dict[int, list]) -> None:
+        """The k nearest of each query in one part, ties to smaller ids: those that rounding may have put behind the k-th included."""
+        q, c = vectors_of(queries["vector"]), vectors_of(found["vector"])
+        uq, uc = unit(q), unit(c)
+        ids, qids = found["ids"].to_pylist(), queries["qid"].to_pylist()
+        for at in range(0, len(q), 512):
+            near = uq[at : at + 512] @ uc.T
+            m = min(near.shape[1], k)
+            least = np.partition(near, near.shape[1] - m, axis=1)[:, near.shape[1] - m]
+            for i, row in enumerate(near):
+                best = np.flatnonzero(row >= least[i] - ROUNDING)
+                a, b = q[at + i], c[best]
+                scores = (b * a).sum(axis=1) / (np.sqrt((a * a).sum()) * np.sqrt((b * b).sum(axis=1)))
+                held = hits.setdefault(qids[at + i], [])
+                held += [(-s, v) for s, j in zip(scores.tolist(), best.tolist(), strict=True) for v in ids[j]]
+                held.sort()
+                del held[k:]
+
     def run(queries: pa.Table, found: pa.Table) -> pa.Table:
-        """The k nearest of each query, ties to smaller ids: those that rounding may have put behind the k-th included."""
-        out: dict[str, list] = {"qid": [], "vec_id": [], "score": []}
+        """The k nearest of each query in the parts of a bundle that it searches."""
+        hits: dict[int, list] = {}
         if queries.num_rows and found.num_rows:
-            q, c = vectors_of(queries["vector"]), vectors_of(found["vector"])
-            uq, uc = unit(q), unit(c)
-            ids, qids = found["ids"].to_pylist(), queries["qid"].to_pylist()
-            for at in range(0, len(q), 512):
-                near = uq[at : at + 512] @ uc.T
-                m = min(near.shape[1], k)
-                least = np.partition(near, near.shape[1] - m, axis=1)[:, near.shape[1] - m]
-                for i, row in enumerate(near):
-                    best = np.flatnonzero(row >= least[i] - ROUNDING)
-                    a, b = q[at + i], c[best]
-                    scores = (b * a).sum(axis=1) / (np.sqrt((a * a).sum()) * np.sqrt((b * b).sum(axis=1)))
-                    hits = sorted((-s, v) for s, j in zip(scores.tolist(), best.tolist(), strict=True) for v in ids[j])[:k]
-                    out["qid"] += [qids[at + i]] * len(hits)
-                    out["vec_id"] += [v for _, v in hits]
-                    out["score"] += [-s for s, _ in hits]
-        return pa.table({"qid": pa.array(out["qid"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
+            asked, held = queries["part"].to_numpy(), found["part"].to_numpy()
+            for part in np.intersect1d(asked, held):
+                nearest(queries.filter(pa.array(asked == part)), found.filter(pa.array(held == part)), hits)
+        rows = [(qid, v, -s) for qid, best in hits.items() for s, v in best]
+        qid, vec_id, score = zip(*rows, strict=True) if rows else ((), (), ())
+        return pa.table({"qid": pa.array(qid, pa.int64()), "vec_id": pa.array(vec_id, pa.int64()), "score": pa.array(score, pa.float64())})
 
     return run
 
@@ -284,12 +292,17 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
 
     pieces = lambda side: side.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("m"))
     both = pieces(stored).select("part", F.col("m").alias("c_blocks")).join(pieces(sent).select("part", F.col("m").alias("q_blocks")), "part")
-    both = cut(both, "blocks")  # written, so its size is known when the joins are planned
+    # small parts go to a task together, in bundles of about BLOCK rows, so a query brings its best of a bundle and not of each part
+    bundles = max(1, -(-max(stored.count(), sent.count()) // BLOCK))
+    alone = (F.col("c_blocks") > 1) | (F.col("q_blocks") > 1)
+    bundle = F.when(alone, -F.col("part")).otherwise(F.pmod(F.xxhash64("part"), F.lit(bundles)))
+    both = cut(both.withColumn("bundle", bundle), "blocks")  # written, so its size is known when the joins are planned
     own = lambda key, count: F.pmod(F.xxhash64(key), F.col(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
     left = sent.join(both, "part").withColumn("q", own("qid", "q_blocks")).withColumn("c", every("c_blocks")).drop("q_blocks", "c_blocks")
     right = stored.join(both, "part").withColumn("c", own("gid", "c_blocks")).withColumn("q", every("q_blocks")).drop("q_blocks", "c_blocks")
-    key = ["part", "q", "c"]
+    right = right.withColumn("bundle", F.col("bundle") + 0)  # a column of its own, as both sides hold the other one
+    key = ["bundle", "q", "c"]
     hits = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_block_search(k + 1), "qid bigint, vec_id bigint, score double")
     best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))), 1, k + 1)
     top = cut(hits.groupBy("qid").agg(best.alias("top")), "top")
