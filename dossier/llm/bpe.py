@@ -8,8 +8,9 @@ size, so a piece costs one lookup when met again.
 Texts are cut into pieces as the vocabulary's own pre-tokenizer does; the special token's string is its id wherever it
 occurs. Decoding joins the tokens' bytes; bytes that are not UTF-8 become U+FFFD.
 
-Defined cases: a null text is an empty one and has no tokens; repeated rows are rows of their own; an empty table gives
-an empty result.
+Defined cases: a null text is an empty one and has no tokens; texts are encoded whole, whatever their length; pairs of equal rank are
+merged from the left; repeated rows are rows of their own; an empty table gives an empty result; further columns are kept, but those
+named as a column made here are replaced by it.
 """
 
 from __future__ import annotations

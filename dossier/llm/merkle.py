@@ -146,7 +146,8 @@ def manifest(rows: DataFrame) -> DataFrame:
     source is a key that is not null and sorts as sources do; leaf is a digest. A row's position in its source is that by id and leaf.
     """
     carried = [c for c in rows.columns if c != "source"]
-    leaves = ranked(rows.withColumnRenamed("source", "g"), ["g"], ["id", "leaf"], "idx", "width").withColumn("digest", F.col("leaf"))
+    # written, as dealing by ranges reads its input twice: texts are hashed once
+    leaves = ranked(cut(rows.withColumnRenamed("source", "g"), "leaves"), ["g"], ["id", "leaf"], "idx", "width").withColumn("digest", F.col("leaf"))
     leaves = leaves.select("g", "idx", "width", "digest", *carried)
     tiers, subroots = _tiers(leaves.select("g", "idx", "digest", "width"))
     sources = cut(ranked(subroots.select(F.lit("").alias("g"), F.col("g").alias("source"), F.col("digest")), ["g"], ["source"], "idx", "width"), "sources")

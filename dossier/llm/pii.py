@@ -10,8 +10,9 @@ for context words nearby) reaches KEEP.
 Patterns hold possessive quantifiers and, where a run of one class starts a match, a look-behind: the same matches as the
 plain forms, in time linear in the text and without deep recursion on long runs.
 
-Defined cases: a null text is an empty one; an empty text has no spans; repeated rows are rows of their own; an empty
-table gives an empty result.
+Defined cases: a null text is an empty one; an empty text has no spans; texts are searched whole, whatever their length; spans that
+start together are in the order of their kinds; repeated rows are rows of their own; extra columns are kept in `row`, whatever their names;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations

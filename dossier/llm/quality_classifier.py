@@ -12,7 +12,7 @@ scoring looks up each bucket's share of the class margin in place of its vector:
 
 Defined cases: an empty or null text, or one of white space alone, scores the share of label 1 in the sample; without
 labelled rows every text scores 0.5; a document with labels of both values counts as 1; a very long text is hashed in blocks
-of BLOCK characters, so it takes about 40 bytes a character; repeated rows are rows of their own; columns of docs named like a new
+of BLOCK characters, so it takes about 40 bytes a character; equal texts have equal scores; repeated rows are rows of their own; columns of docs named like a new
 one are replaced by it; an empty table gives an empty result.
 """
 

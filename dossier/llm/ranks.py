@@ -16,7 +16,7 @@ def ranked(df: DataFrame, group: list[str], order: list[str], rank: str = "rank"
     Rows are dealt to partitions by ranges of (group, order), so a group of any size spreads over many of them; a row's
     position is that in its partition plus the rows of its group in earlier partitions, of which there is one count for each
     group and partition. Group columns hold no nulls. Rows equal in all these columns are interchangeable; a scan's row number keeps
-    many of them from meeting in one partition.
+    many of them from meeting in one partition. df is read twice, for the ranges and for the rows: give a written table.
     """
     keys = [*group, *order]
     placed = (

@@ -10,7 +10,7 @@ rest gives the isotonic curve that maps their margin to a probability. Scoring u
 
 Defined cases: a document with labels of both values counts as toxic; a very long text is read whole; columns of docs named
 like a new one are replaced by it; a null or empty text has all features 0 and is scored like any other; without rows of both labels every text
-scores the share of label 1 (0 without labels); repeated rows are rows of their own; an empty table gives an empty result.
+scores the share of label 1 (0 without labels); texts of equal features have equal scores; repeated rows are rows of their own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
