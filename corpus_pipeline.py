@@ -3,6 +3,11 @@
 STAGES lists (name, function); every function takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return
 the columns of documents. Its result has no SQL form (a trained model, sketches of sources, BPE), so ORACLE_SQL is None
 and tests hold each stage against brute force.
+
+Cases of documents: a null text, or one without letters, is of no told language and goes in the first stage, so no later stage meets
+one; later stages alone keep it, as an empty text. Very long texts pass every stage whole. Repeated rows are one document of their group
+in near-dedup, the one of the smallest id, of equal ids the least row; in the other stages they are rows of their own. An empty table gives
+an empty result of the same columns. Extra columns are carried to the stage before the last, whatever their names.
 """
 
 from __future__ import annotations
