@@ -109,10 +109,10 @@ def j01(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("j02_root_join", """SELECT l.l_orderkey, l.l_linenumber, o.o_custkey AS parent, c.c_custkey AS root FROM lineitem l
-    JOIN orders o ON l.l_orderkey = o.o_orderkey LEFT JOIN customer c ON o.o_custkey = c.c_custkey WHERE l.l_linenumber = 1""")
+    JOIN orders o ON l.l_orderkey = o.o_orderkey LEFT JOIN customer c ON o.o_custkey = c.c_custkey""")
 def j02(spark: SparkSession, sf: str) -> DataFrame:
     li, o, c = (table(spark, sf, t) for t in ("lineitem", "orders", "customer"))
-    joined = li.filter("l_linenumber = 1").join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey, "left")
+    joined = li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey, "left")
     return joined.select("l_orderkey", "l_linenumber", F.col("o_custkey").alias("parent"), F.col("c_custkey").alias("root"))
 
 
@@ -475,10 +475,10 @@ def d21(spark: SparkSession, sf: str) -> DataFrame:
     return dml.prune(table(spark, sf, "part"), keep, ["p_partkey"]).select("p_partkey")
 
 
-@query("d22_backfill", """WITH b AS (SELECT DISTINCT o_custkey AS root, l_partkey % 10 AS topic FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1), c AS (SELECT DISTINCT o_orderkey AS chunk_id, o_custkey AS root FROM orders),
-    have AS (SELECT DISTINCT l_orderkey AS chunk_id, l_partkey % 10 AS topic FROM lineitem WHERE l_linenumber = 1) SELECT c.chunk_id, b.topic AS topic_id FROM c JOIN b ON c.root = b.root EXCEPT SELECT chunk_id, topic FROM have""")
+@query("d22_backfill", """WITH b AS (SELECT DISTINCT o_custkey AS root, l_partkey % 10 AS topic FROM lineitem JOIN orders ON l_orderkey = o_orderkey), c AS (SELECT DISTINCT o_orderkey AS chunk_id, o_custkey AS root FROM orders),
+    have AS (SELECT DISTINCT l_orderkey AS chunk_id, l_partkey % 10 AS topic FROM lineitem) SELECT c.chunk_id, b.topic AS topic_id FROM c JOIN b ON c.root = b.root EXCEPT SELECT chunk_id, topic FROM have""")
 def d22(spark: SparkSession, sf: str) -> DataFrame:
-    o, li = table(spark, sf, "orders"), table(spark, sf, "lineitem").filter("l_linenumber = 1")
+    o, li = table(spark, sf, "orders"), table(spark, sf, "lineitem")
     own = li.select(F.col("l_orderkey").alias("chunk_id"), (F.col("l_partkey") % 10).alias("topic_id")).distinct()
     root = F.concat(F.lit("c"), F.col("o_custkey").cast("string"))
     of_root = li.join(o, li.l_orderkey == o.o_orderkey).select((-F.col("l_orderkey") - 1).alias("chunk_id"), root.alias("document_id"), (F.col("l_partkey") % 10).alias("topic_id"))
