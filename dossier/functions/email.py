@@ -14,22 +14,23 @@ BOUNDARIES = (
     r"From:\s+[^\n]+\nSent:\s+[^\n]+\nTo:\s+[^\n]+\n(?:Cc:\s+[^\n]+\n)?Subject:\s+[^\n]+",
     r"-{3,}\s*Original Message\s*-{3,}",
 )
-#: Boilerplate, in the order in which it is removed.
+#: Boilerplate, in the order in which it is removed. The disclaimer's last repetition is possessive, as each line it takes
+#: would be a level of recursion otherwise.
 BOILERPLATE = (
     r"<mailto:[^>]+>",
     r"\[cid:[^\]]+\]",
     r"\[\s*[Xx]?\s*\]",
     r"(?m)^[_\-]{6,}\s*$",
     r"(?m)^E-Mail:\s*[^\n]+$",
-    r"(?m)^[TME]:\s*\+?[\d\s\-.]+$",
+    r"(?m)^[TME]:\s*\+?[\d\s\-\.]+$",
     r"(?m)^[TME]:\s*\S+@\S+$",
-    r"(?mi)^(?:INM\s+FBB|VSAT|FAX)[\s\d:]+[\d\s\-.]+$",
+    r"(?mi)^(?:INM\s+FBB|VSAT|FAX)[\s\d:]+[\d\s\-\.]+$",
     r"(?m)^\d+[-\d]*\s+[A-Za-z\s]+(?:Street|Road|Ave|Avenue|Blvd),?\s*\d*,?\s*[A-Za-z\s]+,?\s*[A-Za-z\s]*$",
     r"(?m)^(?:Date|From|To|Att|Cc|Subject|Sent):\s*[^\n]+$",
     r"(?mi)^IMPORTANT:\s*Please always use[^\n]+$",
     r"(?mi)^Please send all invoices[^\n]+$",
     r"(?mi)^(?:Please\s+)?(?:find|see)\s+(?:the\s+)?(?:attached|enclosed|herewith)\s*\.?\s*$",
-    r"(?mi)^(?:DISCLAIMER|CONFIDENTIAL(?:ITY)?[\s:]|This (?:e-?mail|message|communication) (?:and any|is|may)[^\n]*(?:confidential|privileged|intended))[^\n]*(?:\n(?!\n)[^\n]*)*+",
+    r"(?mi)^(?:DISCLAIMER|CONFIDENTIAL(?:ITY)?[\s:]|This (?:e-?mail|message|communication) (?:and any|is|may)[^\n]*(?:confidential|privileged|intended))[^\n]*(?:\n(?![\n])[^\n]*)*+",
     r"(?mi)^(?:Unsubscribe|Click here to (?:unsubscribe|opt[- ]out))[^\n]*$",
     r"(?m)^(?:Best [Rr]egards|Kind [Rr]egards|Regards|Warm [Rr]egards)\s*,?\s*$",
 )

@@ -15,7 +15,7 @@ from dossier.plans.search import _COSINE, _QUERY, chunks, question
 from dossier.streaming import events as streams
 
 #: The patterns as the oracle's regular expressions spell them: it has no look-ahead.
-_BOILERPLATE = [p.replace(r"(?:\n(?!\n)[^\n]*)*+", r"(?:\n[^\n]+)*(?:\n\z)?") for p in email.BOILERPLATE]
+_BOILERPLATE = [p.replace(r"(?:\n(?![\n])[^\n]*)*+", r"(?:\n[^\n]+)*(?:\n\z)?") for p in email.BOILERPLATE]
 _IMAGES = [p.replace(r"((?:[^\]]|\](?!\())*+)", r"((?:[^\]]|\]+[^(\]])*\]*)") for p in txt.IMAGE_REFERENCES]
 
 
