@@ -33,6 +33,31 @@ def test_words_equal_the_library(tokenizer, monkeypatch):
         assert [g.tolist() for g in got] == [e.ids for e in tokenizer.encode_batch(part, add_special_tokens=False)]
 
 
+def test_parts_equal_the_library(tokenizer, monkeypatch):
+    """Contractions, runs of marks, digits and parts about as long as a key; a table that grows from four slots, over several blocks."""
+    rng = random.Random(2)
+    some = [*"'srevmltdSRL \t\n\x00aé×.!19<|>Ÿ", "<|endoftext|>", "слово ", " ’", *("x" * n for n in (7, 8, 9, 16, 17, 22, 23, 24, 25)), "é" * 12]
+    texts = ["".join(rng.choices(some, k=rng.randrange(20))) for _ in range(3000)]
+    monkeypatch.setattr(packing, "FIRST_BITS", 2)
+    monkeypatch.setattr(packing, "BLOCK", 700)
+    ids, counts = packing.Words(queries.word_vocabulary_path()).encode(texts)
+    got = np.split(ids, np.cumsum(counts)[:-1])
+    assert [g.tolist() for g in got] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_parts_are_merged_once(monkeypatch):
+    """Whatever stands beside a word, it is merged once, by all tasks of a worker; common texts do not need the library."""
+    path, merged = queries.word_vocabulary_path(), []
+    encode = packing.Merges.encode
+    monkeypatch.setattr(packing.Merges, "encode", lambda self, pieces: merged.extend(pieces) or encode(self, pieces))
+    monkeypatch.setattr(Tokenizer, "from_file", lambda _: pytest.fail("the library was opened"))
+    words = packing.Words(path)
+    for text in ("Erbleon erbleon. erbleon!! 17", "erbleon,### ERBLEON%%% erbleon's 71", "don't erbleon?é"):
+        words.encode([text])
+    assert len(merged) == len(set(merged)) and b"erbleon" in merged
+    assert packing.words_of(path) is packing.words_of(path)
+
+
 @pytest.mark.parametrize(("n", "want"), [(1, [1]), (7, [4, 2, 1]), (2048, [2048]), (2049, [2048, 1]), (6145, [2048, 2048, 2048, 1]), (4095, [2048, 1024, 512, 256, 128, 64, 32, 16, 8, 4, 2, 1])])
 def test_lengths(n, want):
     assert packing.lengths(n) == want and sum(want) == n
