@@ -82,6 +82,17 @@ def held_to_sql(spark, folder, name, rows, schema, source):
     assert want
 
 
+SHAPES = [
+    None, "", "\x0b", "#\x0bh", "\r# h", "\x85# q\u2028# q", "\u00a0| x", "\u3000a b c\x0bd", "\n#\n x\x0b", "a b c\u2003", "a b c \t", "\t\u2003w",
+    *("\n".join(["|x"] * d + ["a b c d"] * (n - d)) for n, d in ((128, 1), (640, 41), (640, 323))), *("\n".join(f"w{min(i, d - 1)} a" for i in range(640)) for d in (307, 317)),
+]
+
+
+def test_content_shape_of_odd_lines(spark, tmp_path):
+    """White space that only one of the engines' patterns counts, empty texts, shares that lie between two sixth decimals."""
+    held_to_sql(spark, tmp_path, "t24_content_shape", list(enumerate(SHAPES)), "doc_id bigint, text string", "documents")
+
+
 def test_lost_roots_in_tables_of_over_a_million_keys(spark, tmp_path):
     """The keys that a lost root is named after may be there; repeated, negative and null keys."""
     keys = [*range(40), *range(1000000, 1000040), 2000005, 5, 5, -6, -17, None]
