@@ -218,8 +218,9 @@ def date_bucket(at: Column, now: Column) -> Column:
 
 
 def human_size(n: Column) -> Column:
-    scaled = lambda unit, name: F.concat(F.format_string("%.1f", n / float(unit)), F.lit(f" {name}"))
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024**2, scaled(1024, "KB")).when(n < 1024**3, scaled(1024**2, "MB")).otherwise(scaled(1024**3, "GB"))
+    """Halves go to the even digit, as printf has them; null stays null."""
+    scaled = lambda unit, name: F.concat(F.format_string("%.1f", F.bround(n / float(unit), 1)), F.lit(f" {name}"))
+    return F.when(n.isNull(), None).when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024**2, scaled(1024, "KB")).when(n < 1024**3, scaled(1024**2, "MB")).otherwise(scaled(1024**3, "GB"))
 
 
 def archive_path(uri: Column) -> Column:

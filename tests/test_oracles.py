@@ -93,6 +93,11 @@ def test_content_shape_of_odd_lines(spark, tmp_path):
     held_to_sql(spark, tmp_path, "t24_content_shape", list(enumerate(SHAPES)), "doc_id bigint, text string", "documents")
 
 
+def test_sizes_that_lie_between_two_digits(spark, tmp_path):
+    sizes = [None, 0, 1, 1023, 1024, 1075, 1076, 1279, 1280, 1281, 1792, 2304, 2816, 1048575, 1048576, 1310720, 1835008, 2359296]
+    held_to_sql(spark, tmp_path, "t39_sizes", [(i, None if n is None else "é" * n) for i, n in enumerate(sizes)], "page_id bigint, html string", "pages")
+
+
 def test_lost_roots_in_tables_of_over_a_million_keys(spark, tmp_path):
     """The keys that a lost root is named after may be there; repeated, negative and null keys."""
     keys = [*range(40), *range(1000000, 1000040), 2000005, 5, 5, -6, -17, None]
