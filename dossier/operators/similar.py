@@ -3,7 +3,9 @@
 The angle between vectors is a metric, so |angle(a, p) - angle(b, p)| <= angle(a, b) for any pivot p. Rows are measured
 against a few pivots and dealt into tiles of a bounded number of rows near one pivot and at a like distance from it. A tile
 keeps the range of its angles to every pivot; two tiles of which one pivot shows that no pair can be near enough are never
-compared. The rest are compared as matrix products, a pair of tiles a task's group at a time.
+compared. Tiles near one pivot lie together in blocks, and rows are sent once to each pair of blocks that has tiles to compare, so
+a row is copied as often as there are blocks, not tiles. A task holds the one block and streams the other past it, as matrix
+products of tiles; what it finds is given out in batches.
 
 Vectors are reduced to different ones first, and pairs are expanded to the rows that share a vector at the end, so copies
 cost no comparisons. Null, empty and zero vectors and those with components that are not finite take no part.
@@ -12,11 +14,11 @@ cost no comparisons. Null, empty and zero vectors and those with components that
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +28,9 @@ from dossier.functions import vectors
 PIVOTS = 12
 PIVOT_SAMPLE = 1_000  # rows that pivots are chosen from, about
 TILE_ROWS = 512
+BLOCK_ROWS, BLOCK_BYTES = 65_536, 64 << 20  # of a block, which one task holds, at most about: rows, and their components in double precision
+MOST_TASKS = 10_000  # more pairs of blocks share tasks, one after the other
+OUT_ROWS = 100_000  # pairs of a batch, about
 RINGS = 4  # distances from a pivot, in parts of the join's angle
 SLACK = 1e-6  # of angles, against rounding
 
@@ -72,19 +77,32 @@ def _measured(rows: DataFrame, at: np.ndarray, ring: float) -> DataFrame:
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *made]))
 
 
-def _tiled(measured: DataFrame) -> DataFrame:
-    """measured rows with tile: rows of one side, pivot and ring, dealt by number into as many tiles as TILE_ROWS asks for."""
-    group = ["side", "pivot", "ring"]
+def _tiled(measured: DataFrame, block_rows: int) -> tuple[DataFrame, int]:
+    """measured rows with tile and block, and the number of blocks.
+
+    Rows of one side, pivot and ring are dealt by number into as many tiles as TILE_ROWS asks for; tiles of one side and pivot,
+    in the order of rings, into as many blocks as block_rows asks for. Blocks are numbered from 0, those of side 0 first.
+    """
+    group, near = ["side", "pivot", "ring"], Window.partitionBy("side", "pivot")
     numbered = measured.withColumn("_row", F.monotonically_increasing_id())  # of a written table, so it stays
-    sizes = numbered.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).alias("_tiles"))
+    sizes = measured.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows")).withColumn("_tiles", F.ceil(F.col("_rows") / TILE_ROWS))
+    before = F.sum("_tiles").over(near.orderBy("ring")) - F.col("_tiles")
+    sizes = cut(sizes.withColumns({"_before": before, "_all": F.sum("_tiles").over(near)}), "sizes")  # a row for each ring of a pivot
+    first, blocks = [], 0
+    for r in sizes.groupBy("side", "pivot").agg(F.sum("_rows").alias("rows")).orderBy("side", "pivot").collect():  # 2 * PIVOTS rows at most
+        n = math.ceil(r.rows / block_rows)
+        first += [F.lit(r.side * PIVOTS + r.pivot), F.array(F.lit(blocks), F.lit(n))]
+        blocks += n
     dealt = numbered.join(sizes, group).withColumn("_part", F.pmod(F.xxhash64("_row"), F.col("_tiles")))
-    return dealt.withColumn("tile", F.concat_ws("-", *group, "_part")).drop("_row", "_tiles", "_part", "pivot", "ring")
+    held = F.create_map(*first)[F.col("side") * PIVOTS + F.col("pivot")]
+    dealt = dealt.withColumn("block", (held[0] + F.floor((F.col("_before") + F.col("_part")) * held[1] / F.col("_all"))).cast("int"))
+    return dealt.withColumn("tile", F.concat_ws("-", *group, "_part")).drop("_row", "_rows", "_tiles", "_before", "_all", "_part", "pivot", "ring"), blocks
 
 
 def _tile_pairs(tiled: DataFrame, angle: float, n_pivots: int, both: bool) -> DataFrame:
-    """(a, b) of all tiles that may hold a pair within the angle; of one table a <= b, of two a on the left and b on the right."""
+    """(a, b, their blocks, rows compared) of all tiles that may hold a pair within the angle; of one table a <= b, of two a on the left and b on the right."""
     ends = [f(F.col("angles")[k]).alias(f"{name}{k}") for k in range(n_pivots) for name, f in (("lo", F.min), ("hi", F.max))]
-    tiles = tiled.groupBy("tile", "side").agg(F.count(F.lit(1)).alias("rows"), *ends)
+    tiles = tiled.groupBy("tile", "side", "block").agg(F.count(F.lit(1)).alias("rows"), *ends)
     # tiles meet by stretches of the first pivot's angle: a's own, b's widened by the angle
     reach = lambda lo, hi: F.sequence(F.floor(lo / angle), F.floor(hi / angle))
     a = tiles.withColumns({"cell": F.explode(reach(F.col("lo0"), F.col("hi0"))), "least": F.floor(F.col("lo0") / angle)}).alias("a")
@@ -95,30 +113,156 @@ def _tile_pairs(tiled: DataFrame, angle: float, n_pivots: int, both: bool) -> Da
     for k in range(n_pivots):
         apart = F.greatest(F.col(f"a.lo{k}") - F.col(f"b.hi{k}"), F.col(f"b.lo{k}") - F.col(f"a.hi{k}"))
         near = near & (apart <= angle + SLACK)
-    return a.join(b, near).select(F.col("a.tile").alias("a"), F.col("b.tile").alias("b"), (F.col("a.rows") * F.col("b.rows")).alias("compared"))
+    return a.join(b, near).select(F.col("a.tile").alias("a"), F.col("b.tile").alias("b"), F.col("a.block").alias("a_block"), F.col("b.block").alias("b_block"), (F.col("a.rows") * F.col("b.rows")).alias("compared"))
+
+
+class _Tile:
+    """Rows of a tile in one task: ids, unit vectors, the ranges of their angles to the pivots, their first number in the pair of blocks."""
+
+    def __init__(self, rep: pa.Array, vector: pa.Array, at: np.ndarray, first: int):
+        self.rep, self.x, self.first = rep, _matrix(vector), first
+        angles = np.arccos(np.clip(self.x @ at.T, -1, 1))
+        self.lo, self.hi = angles.min(0), angles.max(0)
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, bool, int], pa.Array, pa.Array]]:
+    """(pair, own, end), ids and vectors of one tile after the other, of rows sorted by pair, end and tile."""
+    key, parts = None, []
+    for b in batches:
+        marks = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("pair", "own", "end", "tile")], 1)
+        starts = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1).tolist(), len(marks)]
+        for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+            if lo == hi:
+                continue
+            mine = tuple(marks[lo].tolist())
+            if mine != key and parts:
+                yield key[:3], *(pa.concat_arrays(p) for p in zip(*parts, strict=True))
+                parts = []
+            key = mine
+            parts.append((b.column("rep").slice(lo, hi - lo), b.column("vector").slice(lo, hi - lo)))
+    if parts:
+        yield key[:3], *(pa.concat_arrays(p) for p in zip(*parts, strict=True))
+
+
+class _All:
+    """What a pair of blocks gives: every pair found."""
+
+    def add(self, left: _Tile, right: _Tile, sims: np.ndarray, keep: np.ndarray) -> Iterator[tuple]:
+        i, j = np.nonzero(keep)
+        if len(i):
+            yield left.rep.take(pa.array(i)), right.rep.take(pa.array(j)), sims[i, j]
+
+    def end(self) -> Iterator[tuple]:
+        yield from ()
 
 
-def _compared(tiled: DataFrame, pairs: DataFrame, least: float, below: float | None, kind: str) -> DataFrame:
-    """(a, b, similarity) of the representatives of all pairs of tiles."""
-    ends = F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("tile"), F.lit(0).alias("end"))))
-    ends = ends.otherwise(F.array(F.struct(F.col("a").alias("tile"), F.lit(0).alias("end")), F.struct(F.col("b").alias("tile"), F.lit(1).alias("end"))))
-    asked = pairs.select(F.concat_ws("|", "a", "b").alias("pair"), (F.col("a") == F.col("b")).alias("own"), F.explode(ends).alias("x")).select("pair", "own", "x.*")
-    rows = tiled.select("tile", "rep", "vector").join(asked, "tile").select("pair", "own", "end", "rep", "vector")
+class _Forest:
+    """Of the pairs found, those that connect what was not connected: fewer than a pair of blocks has rows."""
 
-    def compare(group: pa.Table) -> pa.Table:
-        end, rep, x = group.column("end").to_numpy(), group.column("rep").combine_chunks(), _matrix(group.column("vector"))
-        own = group.column("own")[0].as_py()
-        left, right = np.flatnonzero(end == 0), np.flatnonzero(end == (0 if own else 1))
-        sims = x[left] @ x[right].T
+    def __init__(self):
+        self.root = np.arange(0)
+
+    def add(self, left: _Tile, right: _Tile, sims: np.ndarray, keep: np.ndarray) -> Iterator[tuple]:
+        i, j = np.nonzero(keep)
+        most = max(left.first + len(left.x), right.first + len(right.x))
+        root = self.root = np.concatenate([self.root, np.arange(len(self.root), most)])
+        u, v = i + left.first, j + right.first
+        kept = []
+        for k in np.flatnonzero(root[u] != root[v]).tolist():
+            a, b = int(u[k]), int(v[k])
+            while root[a] != a:
+                a = root[a]
+            while root[b] != b:
+                b = root[b]
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                kept.append(k)
+        if kept:
+            while (root[root] != root).any():
+                root[:] = root[root]
+            yield left.rep.take(pa.array(i[kept])), right.rep.take(pa.array(j[kept])), sims[i[kept], j[kept]]
+
+    def end(self) -> Iterator[tuple]:
+        yield from ()
+
+
+class _Best:
+    """Of each row on the left, the pairs with its most similar rows on the right: those of the first place alone."""
+
+    def __init__(self):
+        self.best, self.found = np.zeros(0), []
+
+    def add(self, left: _Tile, right: _Tile, sims: np.ndarray, keep: np.ndarray) -> Iterator[tuple]:
+        self.best = np.concatenate([self.best, np.full(max(0, left.first + len(left.x) - len(self.best)), -np.inf)])
+        mine = self.best[left.first : left.first + len(left.x)]
+        sims = np.where(keep, sims, -np.inf)
+        np.maximum(mine, sims.max(1), out=mine)
+        i, j = np.nonzero(keep & (sims == mine[:, None]))
+        if len(i):
+            self.found.append((i + left.first, left.rep.take(pa.array(i)), right.rep.take(pa.array(j)), sims[i, j]))
+        yield from ()
+
+    def end(self) -> Iterator[tuple]:
+        for n, a, b, sims in self.found:
+            first = np.flatnonzero(sims == self.best[n])
+            yield a.take(pa.array(first)), b.take(pa.array(first)), sims[first]
+
+
+def _compared(tiled: DataFrame, pairs: DataFrame, blocks: int, at: np.ndarray, angle: float, least: float, below: float | None, kind: str, what: Callable) -> DataFrame:
+    """(a, b, similarity) of the representatives of all pairs of blocks, as `what` chooses them.
+
+    A task holds the tiles of the pair's one block, and a tile of the other at a time.
+    """
+    end = lambda block, n: F.struct(F.col(block).alias("block"), F.lit(n).alias("end"))
+    asked = pairs.select(F.least("a_block", "b_block").alias("p"), F.greatest("a_block", "b_block").alias("q")).distinct()
+    own = F.col("p") == F.col("q")
+    number = F.expr("q * (q + 1L) div 2 + p")
+    asked = asked.select(number.alias("pair"), own.alias("own"), F.explode(F.when(own, F.array(end("p", 0))).otherwise(F.array(end("p", 0), end("q", 1)))).alias("x"))
+    asked = cut(asked.select("pair", "own", "x.*"), "blocks")  # two rows for each pair of blocks
+    rows = tiled.select("block", F.xxhash64("tile").alias("tile"), "rep", "vector").join(asked, "block").select("pair", "own", "end", "tile", "rep", "vector")
+    tasks = min(MOST_TASKS, blocks * (blocks + 1) // 2)
+    dealt = rows.repartitionById(tasks, F.pmod("pair", F.lit(tasks)).cast("int")).sortWithinPartitions("pair", "end", "tile")
+
+    def compare(left: _Tile, right: _Tile, chosen) -> Iterator[tuple]:
+        if (np.maximum(left.lo - right.hi, right.lo - left.hi) > angle + SLACK).any():
+            return
+        sims = left.x @ right.x.T
         keep = sims >= least
         if below is not None:
             keep &= sims < below
-        if own:
+        if left is right:
             keep &= np.triu(np.ones_like(keep), 1)
-        i, j = np.nonzero(keep)
-        return pa.table({"a": rep.take(pa.array(left[i])), "b": rep.take(pa.array(right[j])), "similarity": pa.array(sims[i, j])})
+        if keep.any():
+            yield from chosen.add(left, right, sims, keep)
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        now, chosen, held, n = None, what(), [], 0
+        for (pair, own, end), rep, vector in _segments(batches):
+            if pair != now:
+                yield from chosen.end()
+                now, chosen, held, n = pair, what(), [], 0
+            tile = _Tile(rep, vector, at, n)
+            n += len(tile.x)
+            if end == 0:
+                held.append(tile)
+            if own or end == 1:
+                for left in held:
+                    yield from compare(left, tile, chosen)
+        yield from chosen.end()
 
-    return rows.groupBy("pair").applyInArrow(compare, f"a {kind}, b {kind}, similarity double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, n = [], 0
+        batch = lambda: pa.RecordBatch.from_arrays([pa.concat_arrays([p[0] for p in parts]), pa.concat_arrays([p[1] for p in parts]), pa.array(np.concatenate([p[2] for p in parts]))], names=["a", "b", "similarity"])
+        for part in found(batches):
+            parts.append(part)
+            n += len(part[2])
+            if n >= OUT_ROWS:
+                yield batch()
+                parts, n = [], 0
+        if n:
+            yield batch()
+
+    return dealt.mapInArrow(run, f"a {kind}, b {kind}, similarity double")
 
 
 class Join:
@@ -129,6 +273,8 @@ class Join:
         self.least, self.below, self.both = least, below, both
         usable = rows.filter(vectors.flaw(F.col("vector")).isNull())
         self.members = cut(usable.groupBy("side", "vector").agg(F.min("id").alias("rep"), F.collect_set("id").alias("ids")), "vectors")
+        self.many = cut(self.members.filter(F.size("ids") > 1).select("side", "rep", "ids"), "copies")
+        self.copied = not self.many.isEmpty()
         self.kind = rows.schema["id"].dataType.simpleString()
         self.n = self.members.count()
         different = self.members.select("side", "rep", "vector")
@@ -136,9 +282,9 @@ class Join:
         self.angle = max(angle, 1e-3)
         sample = sampled(different, PIVOT_SAMPLE, F.col("rep"), self.n).select("vector").limit(4 * PIVOT_SAMPLE).toArrow().column("vector")
         if self.n:
-            at = pivots(_matrix(sample)) if len(sample) else np.ones((1, 1))
+            at = self.at = pivots(_matrix(sample)) if len(sample) else np.ones((1, 1))
             measured = cut(_measured(different, at, self.angle / RINGS), "measured")
-            self.tiled = _tiled(measured)
+            self.tiled, self.blocks = _tiled(measured, max(TILE_ROWS, min(BLOCK_ROWS, BLOCK_BYTES // (8 * at.shape[1]))))
             self.tiles = cut(_tile_pairs(self.tiled, self.angle, len(at), both), "tiles")
 
     def share_compared(self) -> float:
@@ -148,29 +294,48 @@ class Join:
         each = F.when(F.col("a") == F.col("b"), F.col("compared") / 2).otherwise(F.col("compared"))
         return (self.tiles.agg(F.sum(each)).first()[0] or 0.0) / max(whole, 1) if self.n else 0.0
 
-    def representatives(self) -> DataFrame:
-        """(a, b, similarity): pairs of the smallest ids of different vectors."""
+    def _found(self, what: Callable) -> DataFrame:
         if not self.n:
             return self.members.sparkSession.createDataFrame([], f"a {self.kind}, b {self.kind}, similarity double")
-        return _compared(self.tiled, self.tiles, self.least, self.below, self.kind)
+        return _compared(self.tiled, self.tiles, self.blocks, self.at, self.angle, self.least, self.below, self.kind, what)
+
+    def representatives(self) -> DataFrame:
+        """(a, b, similarity): pairs of the smallest ids of different vectors."""
+        return self._found(_All)
+
+    def links(self) -> DataFrame:
+        """(a, b, similarity): of these pairs, enough to connect what they connect, fewer than the rows of each pair of blocks."""
+        return self._found(_Forest)
 
     def copies(self) -> DataFrame:
         """(rep, id) of rows that share a representative's vector; not the representative itself."""
-        return self.members.select("side", "rep", F.explode("ids").alias("id")).filter("id <> rep")
+        return self.many.select("side", "rep", F.explode("ids").alias("id")).filter("id <> rep")
+
+    def _expanded(self, found: DataFrame, right: DataFrame) -> DataFrame:
+        """found with each representative's rows in its place; right: b, bs. Vectors of one row are in neither table."""
+        if not self.copied:
+            return found
+        left = self.many.filter("side = 0").select(F.col("rep").alias("a"), F.col("ids").alias("as"))
+        each = found.join(left, "a", "left").join(right, "b", "left")
+        each = each.select(F.explode(F.coalesce("as", F.array("a"))).alias("a"), F.coalesce("bs", F.array("b")).alias("bs"), "similarity")
+        return each.select("a", F.explode("bs").alias("b"), "similarity")
+
+    def nearest(self) -> DataFrame:
+        """(a, b, similarity): of two tables, candidates for each left row's most similar right row, a few a row; of right rows that share
+        a vector the one with the least hash."""
+        ids = self.many.filter("side = 1").select(F.col("rep").alias("b"), F.explode("ids").alias("id"))
+        return self._expanded(self._found(_Best), ids.groupBy("b").agg(F.array(F.min_by("id", F.xxhash64("id"))).alias("bs")))
 
     def pairs(self) -> DataFrame:
         """(a, b, similarity) of all rows; of one table a < b."""
-        ids = self.members.select("side", "rep", F.size("ids").alias("n"), "ids")
-        found = self.representatives()
-        left = ids.filter("side = 0").select(F.col("rep").alias("a"), F.col("ids").alias("as"))
-        right = ids.filter(F.col("side") == (1 if self.both else 0)).select(F.col("rep").alias("b"), F.col("ids").alias("bs"))
-        each = found.join(left, "a").join(right, "b").select(F.explode("as").alias("a"), "bs", "similarity").select("a", F.explode("bs").alias("b"), "similarity")
+        right = self.many.filter(F.col("side") == (1 if self.both else 0)).select(F.col("rep").alias("b"), F.col("ids").alias("bs"))
+        each = self._expanded(self.representatives(), right)
         if self.both:
             return each
         each = each.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity").filter("a < b")
-        if self.least > 1 or (self.below is not None and self.below <= 1):
+        if not self.copied or self.least > 1 or (self.below is not None and self.below <= 1):
             return each
-        same = ids.filter("n > 1").select(F.explode("ids").alias("a"), "ids").select("a", F.explode("ids").alias("b")).filter("a < b")
+        same = self.many.select(F.explode("ids").alias("a"), "ids").select("a", F.explode("ids").alias("b")).filter("a < b")
         return each.unionByName(same.withColumn("similarity", F.lit(1.0)))
 
 
