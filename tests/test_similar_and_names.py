@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dossier.operators import entities, similar
+from dossier.plans import QUERIES
 
 
 def vectors(n, seed=1, groups=12):
@@ -75,6 +76,15 @@ def test_rows_are_sent_by_blocks(spark, monkeypatch):
     assert 4 <= join.blocks <= 6 and {r.block for r in tiles} == set(range(join.blocks)) and len(tiles) > 40
 
 
+def test_pairs_are_not_shuffled(spark, tmp_path):
+    """What a task finds is the result: no exchange or join of it where no vector has copies."""
+    x = vectors(60)
+    spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    plan = QUERIES["j13_similar_pairs"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    after, _, before = plan.partition("MapInArrow")
+    assert "Exchange" not in after and "Join" not in after and "Exchange" in before
+
+
 def test_no_rows(spark):
     none = spark.createDataFrame([], "id int, embedding array<float>")
     join = similar.self_join(none, 0.5)
