@@ -65,15 +65,14 @@ def test_two_tables(spark, monkeypatch):
 def test_rows_are_sent_by_blocks(spark, monkeypatch):
     """Many blocks of many tiles, the same pairs; a row is copied once for each block, however many tiles there are."""
     monkeypatch.setattr(similar, "TILE_ROWS", 4)
-    monkeypatch.setattr(similar, "BLOCK_ROWS", 60)
-    monkeypatch.setattr(similar, "PIVOTS", 2)
+    monkeypatch.setattr(similar, "BLOCK_ROWS", 16)
     monkeypatch.setattr(similar, "OUT_ROWS", 50)
     x = vectors(240, seed=9)
     join = similar.self_join(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, embedding array<float>"), -0.5, 0.9)
     s = cosines(x.astype(np.float32).astype(float))
     assert {(r.a, r.b) for r in join.pairs().collect()} == {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu((s >= -0.5) & (s < 0.9), 1)), strict=True)}
     tiles = join.tiled.select("tile", "block").distinct().collect()
-    assert 4 <= join.blocks <= 6 and {r.block for r in tiles} == set(range(join.blocks)) and len(tiles) > 40
+    assert 15 <= join.blocks <= 27 and {r.block for r in tiles} <= set(range(join.blocks)) and len(tiles) > 2 * join.blocks
 
 
 def test_pairs_are_not_shuffled(spark, tmp_path):
