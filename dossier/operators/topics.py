@@ -11,6 +11,8 @@ from dossier.functions.text import normal_name
 from dossier.operators import similar
 from dossier.operators.components import components
 
+FIRST_ROUNDS = 6  # of a greedy plan, before its components are told apart
+
 
 def similar_pairs(topics: DataFrame, least: float, below: float | None = None, key: str = "id") -> DataFrame:
     """a < b and similarity of all pairs with similarity in [least, below)."""
@@ -37,62 +39,62 @@ def cluster_plan(topics: DataFrame, pairs: DataFrame, weight: str = "chunk_count
 
 
 def _sequential(group: pd.DataFrame) -> pd.DataFrame:
-    """The greedy plan of one component; group: over, under, w, wu."""
+    """The topics of one component that are absorbed, heaviest first; group: over, under, w, wu."""
     weight = dict(zip(group["over"], group["w"], strict=True)) | dict(zip(group["under"], group["wu"], strict=True))
     under: dict = {}
     for o, u in zip(group["over"], group["under"], strict=True):
         under.setdefault(o, []).append(u)
-    keeper: dict = {}
+    absorbed: set = set()
     for topic in sorted(weight, key=lambda t: (-weight[t], t)):
-        if topic not in keeper:
-            keeper |= {u: topic for u in under.get(topic, ()) if u not in keeper}
-    return pd.DataFrame({"absorbed": list(keeper), "keeper": list(keeper.values())})
+        if topic not in absorbed:
+            absorbed.update(under.get(topic, ()))
+    return pd.DataFrame({"under": list(absorbed)})
 
 
-def _by_rounds(over: DataFrame) -> DataFrame:
-    """The greedy plan by set operations, so that no task sees a component.
+def _by_rounds(left: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Absorbed topics (under), by set operations, so that no task sees a component; and the edges left after `most` rounds.
 
     In each round, topics without a heavier undecided neighbour keep and their undecided neighbours are absorbed, until none
-    is undecided. Each absorbed topic then goes to the heaviest keeper beside it (ties: the smaller id).
+    is undecided.
     """
-    edges = cut(over.select("over", "under", "w"), "over")
-    left = edges.select("over", "under")
-    absorbed, rounds = edges.select("under").limit(0), 0
-    while not left.isEmpty():
-        keep = left.select("over").distinct().join(left.select(F.col("under").alias("over")), "over", "left_anti")
+    absorbed, rounds = left.select("under").limit(0), 0
+    while rounds != most and not left.isEmpty():
+        keep = left.select("over").distinct().join(left.select(F.col("under").alias("over")).distinct(), "over", "left_anti")
         keep, rounds = cut(keep, "keep"), rounds + 1
-        hit = cut(left.join(keep, "over").select("under").distinct(), "hit")
+        hit = cut(left.join(keep, "over", "left_semi").select("under").distinct(), "hit")
         absorbed = absorbed.unionByName(hit)
         if rounds % 16 == 0:
             absorbed = cut(absorbed, "absorbed")
         gone = keep.unionByName(hit.select(F.col("under").alias("over")))
-        left = cut(left.join(gone, "over", "left_anti").join(hit, "under", "left_anti").select("over", "under"), "left")
-    absorbed = cut(absorbed, "absorbed")
-    beside = edges.join(absorbed, "under").join(absorbed.select(F.col("under").alias("over")), "over", "left_anti")
-    most = beside.groupBy("under").agg(F.max("w").alias("w"))
-    return beside.join(most, ["under", "w"]).groupBy("under").agg(F.min("over").alias("over")).select(F.col("under").alias("absorbed"), F.col("over").alias("keeper"))
+        left = cut(left.join(gone, "over", "left_anti").join(hit, "under", "left_anti").select("over", "under", "w", "wu"), "left")
+    return absorbed, left
 
 
 def greedy_plan(topics: DataFrame, pairs: DataFrame, weight: str = "chunk_count", key: str = "id", most_edges: int = 100_000) -> DataFrame:
     """absorbed, keeper: heaviest first (ties: the smaller id), each topic absorbs its similar lighter ones that are still
     free; not transitive.
 
-    Connected components are decided apart. One of up to most_edges pairs is walked through in a task; larger ones take
-    rounds of set operations over all their pairs, with the same result.
+    A few rounds of set operations decide all topics but those at the end of long chains. Connected components of the rest are
+    decided apart: one of up to most_edges pairs is walked through in a task; larger ones take further rounds, with the same
+    result. Each absorbed topic then goes to the heaviest keeper beside it.
     """
-    place = topics.select(F.col(key).alias("id"), F.col(weight).alias("w"))
-    edge = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    place = cut(topics.select(F.col(key).alias("id"), F.col(weight).alias("w")), "weights")
+    edge = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b")
     edge = edge.join(place.select(F.col("id").alias("a"), F.col("w").alias("wa")), "a").join(place.select(F.col("id").alias("b"), F.col("w").alias("wb")), "b")
-    heavier = (F.col("wa") > F.col("wb")) | ((F.col("wa") == F.col("wb")) & (F.col("a") < F.col("b")))
-    over = cut(edge.filter(heavier).select(F.col("a").alias("over"), F.col("b").alias("under"), F.col("wa").alias("w"), F.col("wb").alias("wu")), "over")
-    label = components(over.select(F.col("over").alias("a"), F.col("under").alias("b")))
-    labelled = cut(over.join(label.select(F.col("node").alias("over"), "component"), "over"), "labelled")
-    sizes = labelled.groupBy("component").agg(F.count("*").alias("edges"))
-    small = labelled.join(sizes.filter(F.col("edges") <= most_edges), "component")
-    kind = over.schema["over"].dataType.simpleString()
-    walked = small.groupBy("component").applyInPandas(_sequential, f"absorbed {kind}, keeper {kind}")
-    large = labelled.join(sizes.filter(F.col("edges") > most_edges), "component")
-    return walked.unionByName(_by_rounds(large))
+    first = lambda a, b: F.when(F.col("wa") >= F.col("wb"), F.col(a)).otherwise(F.col(b))  # noqa: E731  # a is the smaller id
+    edges = cut(edge.filter("wa is not null and wb is not null").select(first("a", "b").alias("over"), first("b", "a").alias("under"), first("wa", "wb").alias("w"), first("wb", "wa").alias("wu")), "over")
+    absorbed, left = _by_rounds(edges, FIRST_ROUNDS)
+    if not left.isEmpty():
+        label = components(left.select(F.col("over").alias("a"), F.col("under").alias("b")))
+        labelled = cut(left.join(label.select(F.col("node").alias("over"), "component"), "over"), "labelled")
+        sizes = labelled.groupBy("component").agg(F.count("*").alias("edges"))
+        small = labelled.join(sizes.filter(F.col("edges") <= most_edges), "component")
+        walked = small.groupBy("component").applyInPandas(_sequential, f"under {edges.schema['under'].dataType.simpleString()}")
+        large = labelled.join(sizes.filter(F.col("edges") > most_edges), "component").select("over", "under", "w", "wu")
+        absorbed = absorbed.unionByName(walked).unionByName(_by_rounds(large)[0])
+    keepers = cut(edges.select("over").distinct().join(cut(absorbed, "absorbed").withColumnRenamed("under", "over"), "over", "left_anti"), "keepers")
+    beside = edges.join(keepers, "over", "left_semi").groupBy("under").agg(F.min(F.struct((-F.col("w")).alias("w"), F.col("over").alias("k"))).alias("best"))
+    return beside.select(F.col("under").alias("absorbed"), F.col("best.k").alias("keeper"))
 
 
 def name_plan(topics: DataFrame, name: str = "name", weight: str = "chunk_count", key: str = "id") -> DataFrame:

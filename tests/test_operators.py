@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -184,6 +185,23 @@ def test_summary_of_a_large_group_collects_no_array(spark):
     assert got[None] == (11, 5.0, round(statistics.quantiles(map(float, range(11)), n=10)[0], 4)) and got["few"] == (2, 1.5, 1.0) and got["none"] == (0, None, None)
 
 
+def test_greedy_plan_reads_pairs_once(spark, tmp_path):
+    """Pairs may be a costly join: their plan runs once."""
+    seen = str(tmp_path)
+
+    def run(batches):
+        for b in batches:
+            with open(f"{seen}/{uuid.uuid4().hex}", "w") as f:
+                f.write(str(b.num_rows))
+            yield b
+
+    pairs = [(a, b) for a in range(60) for b in range(a + 1, 60) if (a * b) % 7 == 1]
+    t = frame(spark, "id int, chunk_count int", *[(i, i * 31 % 17) for i in range(60)])
+    plan = rows(topics.greedy_plan(t, frame(spark, "a int, b int", *pairs).mapInArrow(run, "a int, b int")))
+    assert set(plan) == sequential_greedy({i: i * 31 % 17 for i in range(60)}, pairs)
+    assert sum(int(p.read_text()) for p in tmp_path.iterdir()) == len(pairs)
+
+
 def test_greedy_plan_of_a_long_chain(spark):
     """A chain of 1,000 ever lighter topics: every second one is absorbed by the one before it, in a task or by rounds."""
     n = 1000
