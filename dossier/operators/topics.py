@@ -22,7 +22,7 @@ def similar_pairs(topics: DataFrame, least: float, below: float | None = None, k
 def similar_links(topics: DataFrame, least: float, key: str = "id") -> DataFrame:
     """(a, b) that connect what pairs of similarity >= least connect; copies of a vector are linked to one of them only."""
     found = similar.self_join(topics, least, None, key)
-    return found.representatives().select("a", "b").unionByName(found.copies().select(F.col("rep").alias("a"), F.col("id").alias("b")))
+    return found.links().select("a", "b").unionByName(found.copies().select(F.col("rep").alias("a"), F.col("id").alias("b")))
 
 
 def _heaviest(weight: str, key: str) -> Column:

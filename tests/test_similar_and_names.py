@@ -84,6 +84,24 @@ def test_pairs_are_not_shuffled(spark, tmp_path):
     assert "Exchange" not in after and "Join" not in after and "Exchange" in before
 
 
+def test_links_are_fewer_than_pairs(spark):
+    """Enough to connect what all pairs connect, at most a row less than the two blocks of each pair of blocks have."""
+    x = vectors(300, seed=6, groups=5)
+    join = similar.self_join(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, embedding array<double>"), 0.9)
+    s, links = cosines(x), [(r.a, r.b) for r in join.links().collect()]
+
+    def least(pairs):
+        label = list(range(300))
+        for _ in range(300):
+            for a, b in pairs:
+                label[a] = label[b] = min(label[a], label[b])
+        return label
+
+    pairs = [(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(s >= 0.9, 1)), strict=True)]
+    assert all(s[a, b] >= 0.9 - 1e-12 for a, b in links) and least(links) == least(pairs)
+    assert len(links) < 300 * join.blocks < len(pairs)
+
+
 def test_no_rows(spark):
     none = spark.createDataFrame([], "id int, embedding array<float>")
     join = similar.self_join(none, 0.5)
