@@ -114,7 +114,7 @@ def resolve(names: DataFrame, topics: DataFrame, least: float) -> DataFrame:
     by_name = wanted.join(known, "bucket", "left")
     misses = by_name.filter("known_id is null").groupBy("bucket").agg(F.min_by("embedding", "name").alias("embedding"))
     asked = cut(misses.filter(F.col("embedding").isNotNull()), "misses")
-    near = similar.join(asked, topics, least, "bucket", "id").pairs()
+    near = similar.join(asked, topics, least, "bucket", "id").nearest()
     best = near.groupBy(F.col("a").alias("bucket")).agg(F.max_by(F.col("b"), F.struct("similarity", -F.xxhash64("b"))).alias("similar_id"))
     new = F.substring(F.sha2(F.concat(F.lit("topic:"), F.col("bucket")), 256), 1, 32)
     how = F.when(F.col("known_id").isNotNull(), "name").when(F.col("similar_id").isNotNull(), "similar").otherwise("new")

@@ -102,6 +102,24 @@ def test_links_are_fewer_than_pairs(spark):
     assert len(links) < 300 * join.blocks < len(pairs)
 
 
+def test_nearest_of_two_tables(spark, monkeypatch):
+    """The first place of each left row, copies on both sides, and few other candidates."""
+    monkeypatch.setattr(similar, "TILE_ROWS", 8)
+    x, y = vectors(80, 3), vectors(160, 5)
+    x[70:], y[150:] = x[0], y[7]
+    x[5] = y[7]  # its nearest has copies
+    frame = lambda v: spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "id int, embedding array<double>")
+    join = similar.join(frame(x), frame(y), 0.5)
+    got = join.nearest().collect()
+    u, w = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, y))
+    s, first = u @ w.T, {}
+    for r in got:
+        assert abs(r.similarity - s[int(r.a), int(r.b)]) < 1e-9
+        first[int(r.a)] = max(first.get(int(r.a), -1), r.similarity)
+    assert first.keys() == {i for i in range(80) if s[i].max() >= 0.5} and all(abs(v - s[i].max()) < 1e-9 for i, v in first.items())
+    assert len(got) < (s >= 0.5).sum() / 2 and len({r.b for r in got if int(r.b) in (7, *range(150, 160))}) == 1
+
+
 def test_no_rows(spark):
     none = spark.createDataFrame([], "id int, embedding array<float>")
     join = similar.self_join(none, 0.5)
