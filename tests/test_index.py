@@ -79,3 +79,18 @@ def test_empty_index(spark, tmp_path):
     index.build(spark.createDataFrame([(1, 0, None)], SCHEMA), path)
     index.add(frame(spark, made(3)[:, :1] + 9.0), path)
     assert {r.chunk_id for r in index.search(spark, path, [1.0], 5).collect()} == {0, 1, 2}
+
+
+def test_many_small_cells(spark, tmp_path, monkeypatch):
+    """Cells are split into as many as they need, and share folders: far fewer files than cells, and the same hits."""
+    monkeypatch.setattr(index, "FEW_CELLS", 16)
+    x, path = made(2000, spread=0.4), str(tmp_path / "i")
+    index.build(frame(spark, x), path, cell_rows=10)
+    held = index.cells(spark, path).collect()
+    assert len(held) > 130 and max(c.rows for c in held) <= 20 and sum(c.rows for c in held) == 2000
+    files = list((tmp_path / "i" / "rows").rglob("*.parquet"))
+    assert len(files) == len({f.parent for f in files}) == len({c.folder for c in held}) <= 16
+    for q in (3, 1500):
+        assert [r.chunk_id for r in index.search(spark, path, x[q].tolist(), 20).collect()] == nearest(x, x[q], 20)
+    found = index.find(spark, path, x[3].tolist(), 5)
+    assert len(found.read) < found.cells / 2
