@@ -94,3 +94,14 @@ def test_many_small_cells(spark, tmp_path, monkeypatch):
         assert [r.chunk_id for r in index.search(spark, path, x[q].tolist(), 20).collect()] == nearest(x, x[q], 20)
     found = index.find(spark, path, x[3].tolist(), 5)
     assert len(found.read) < found.cells / 2
+
+
+def test_filtered_search_of_shared_folders(spark, tmp_path, monkeypatch):
+    """Hits that a filter leaves, also of cells that were split into one folder; no row of another cell of it comes twice."""
+    monkeypatch.setattr(index, "FEW_CELLS", 4)
+    x, path = made(600, seed=8, spread=0.5), str(tmp_path / "i")
+    index.build(frame(spark, x), path, cell_rows=10)
+    assert len(list((tmp_path / "i" / "rows").rglob("*.parquet"))) <= 8
+    for count in (7, 300):
+        got = [r.chunk_id for r in index.search(spark, path, x[11].tolist(), count, where=F.col("kind") == 2).collect()]
+        assert got == nearest(x, x[11], count, keep=lambda i: i % 3 == 2)
